@@ -21,6 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm.tables import documents
@@ -148,7 +149,7 @@ def batches_of(batch: pa.RecordBatch, column: str, most: int = 1 << 20) -> Itera
     col = batch.column(batch.schema.get_field_index(column))
     if not len(col):
         return
-    ends = np.cumsum(np.asarray(pa.compute.fill_null(pa.compute.binary_length(col), 0), np.int64))
+    ends = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(col), 0), np.int64))
     start = 0
     while start < len(ends):
         stop = max(start + 1, int(np.searchsorted(ends, (ends[start - 1] if start else 0) + most, "right")))
