@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import bpe, packing, telephony
+from reelgrid.llm import bpe, near_dup, packing, telephony
 
-MODULES = [telephony, bpe, packing]
+MODULES = [telephony, near_dup, bpe, packing]
 
 
 def queries() -> dict:
