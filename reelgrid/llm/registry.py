@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import bpe, near_dup, packing, telephony
+from reelgrid.llm import bpe, near_dup, packing, quality_rules, telephony
 
-MODULES = [telephony, near_dup, bpe, packing]
+MODULES = [telephony, near_dup, quality_rules, bpe, packing]
 
 
 def queries() -> dict:
