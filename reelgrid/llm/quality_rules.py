@@ -14,13 +14,13 @@ with a null stratum form one of their own. Repeated rows are judged alike.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from reelgrid.llm.tables import documents, labels
+from reelgrid.llm.tables import documents, labels, written
 
-SPACES = " \t\n\x0b\x0c\r"
-SYMBOLS = "#*$%&|<>"
+WORD = r"[^\x20\x09-\x0D]"
+SYMBOL = "[#*$%&|<>]"
 ALPHA, DELTA = 0.02, 0.05
 #: Per rule: the figure, and cutoffs in thousandths from lenient to strict (a row at or above is rejected).
 RULES = {
@@ -45,28 +45,33 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """
     t = F.coalesce(F.col(text), F.lit(""))
     low = (1 << POSITION_BITS) - 1
-    near = lambda i: F.shiftright(F.get("windows", i), POSITION_BITS)
-    long_ones = F.col("n_words") > low
-    one = docs.withColumns({"words": words(t), "lines": F.filter(F.split(t, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)})
-    one = one.withColumns({"n_words": F.size("words").cast("long")})
-    at = F.when(F.col("n_words") >= 3, F.sequence(F.lit(0), F.size("words") - 3)).otherwise(F.array().cast("array<int>"))
-    hashed = lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))
-    short = F.sort_array(F.transform(at, lambda i: F.shiftleft(hashed(i), POSITION_BITS).bitwiseOR(i.cast("long"))))
-    two = one.withColumn("windows", F.when(~long_ones, short))
-    same = F.filter("windows", lambda x, i: (F.shiftright(x, POSITION_BITS) == near(i - 1)) | (F.shiftright(x, POSITION_BITS) == near(i + 1)))
-    # Positions above 20 bits: hash and position side by side.
-    wide = F.sort_array(F.transform(at, lambda i: F.struct(hashed(i).alias("h"), i.alias("p"))))
-    wide_same = F.transform(F.filter(wide, lambda x, i: (x.h == F.get(wide, i - 1).h) | (x.h == F.get(wide, i + 1).h)), lambda x: x.p.cast("long"))
-    three = two.withColumn("again", F.sort_array(F.when(~long_ones, F.transform(same, lambda x: x.bitwiseAND(low))).otherwise(wide_same)))
+    n = F.size("words")
+    long_one = F.col("n_words") > low
+    at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
+    df = docs.withColumns({"words": words(t), "lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))})
+    df = df.withColumns({
+        "n_words": n.cast("long"),
+        "word_chars": F.length(F.array_join("words", "")).cast("long"),
+        "windows": F.transform(at, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
+    })
+    df = df.withColumn("some", F.size(F.array_distinct("windows")) < F.size("windows"))  # most texts repeat none
+    df = df.withColumns({
+        "packed": F.when(F.col("some") & ~long_one, F.sort_array(F.transform("windows", lambda x, i: F.shiftleft(x, POSITION_BITS).bitwiseOR(i.cast("long"))))),
+        # Positions above 20 bits: hash and position side by side.
+        "wide": F.when(F.col("some") & long_one, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))),
+    })
+    near = lambda i: F.shiftright(F.get("packed", i), POSITION_BITS)
+    same = F.filter("packed", lambda x, i: (F.shiftright(x, POSITION_BITS) == near(i - 1)) | (F.shiftright(x, POSITION_BITS) == near(i + 1)))
+    wide_same = F.filter("wide", lambda x, i: (x.h == F.get("wide", i - 1).h) | (x.h == F.get("wide", i + 1).h))
+    df = df.withColumn("again", F.sort_array(F.coalesce(F.transform(same, lambda x: x.bitwiseAND(low)), F.transform(wide_same, lambda x: x.p))))
     gaps = F.transform("again", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("again", i + 1) - x, F.lit(3))))
-    return three.withColumns({
-        "word_chars": F.length(F.translate(t, SPACES, "")).cast("long"),
-        "n_symbols": (F.length(t) - F.length(F.translate(t, SYMBOLS, ""))).cast("long"),
-        "n_loud": (F.length(t) - F.length(F.translate(t, "!", ""))).cast("long"),
+    return df.withColumns({
+        "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"),
+        "n_loud": F.regexp_count(t, F.lit("!")).cast("long"),
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_lines": F.size("lines").cast("long"),
-        "n_repeat_words": F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x),
-    }).drop("words", "windows", "again", "lines")
+        "n_repeat_words": F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"),
+    }).drop("words", "windows", "some", "packed", "wide", "again", "lines")
 
 
 def base_failed() -> Column:
@@ -94,8 +99,7 @@ def cutoffs(good: DataFrame, stratum: str, rules: dict[str, list[int]] = RULES,
     """
     counts = [F.count_if(F.col(r) >= c).alias(f"{r}_{c}") for r, cs in rules.items() for c in cs]
     by = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counts)
-    strata = by.agg(F.count("*").alias("strata"))  # one row
-    by = by.crossJoin(F.broadcast(strata))
+    by = by.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))  # over the few rows of strata
     limit = F.lit(delta) / (F.col("strata") * len(rules))
     out = []
     for r, cs in rules.items():
@@ -111,8 +115,8 @@ def judged(docs: DataFrame, labelled: DataFrame, stratum: str = "lang") -> DataF
     """docs with figures, base_failed and kept. labelled(doc_id, quality): good rows have quality 1."""
     measured = figures(docs).withColumn("base_failed", base_failed()).withColumns(ratios())
     good = figures(docs.join(labelled.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
-    good = good.withColumn("base_failed", base_failed()).withColumns(ratios()).where(~F.col("base_failed"))
-    cut = cutoffs(good, stratum)  # a row per stratum: broadcast while small, by Spark's own threshold
+    good = written(good.withColumn("base_failed", base_failed()).withColumns(ratios()).select(stratum, "base_failed", *RULES), "labelled")
+    cut = written(cutoffs(good.where(~F.col("base_failed")), stratum), "cutoffs")
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col(f"{r}_cut"), F.lit(False))
