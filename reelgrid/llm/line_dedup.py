@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.llm.tables import documents, written
 
-MIN_SITES, SPREAD = 6, 0.7
+MIN_SITES, SPREAD = 6, 0.5
 #: 4096 registers: a relative standard error under 2 %; estimates within BAND (over five of these) of a threshold are counted exactly.
 REGISTERS_LOG2, BAND = 12, 0.1
 
