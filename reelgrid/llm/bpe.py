@@ -24,7 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 
-from reelgrid.llm.tables import documents
+from reelgrid.llm.tables import documents, schema_with
 
 os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
 
@@ -163,10 +163,8 @@ def encode(docs: DataFrame, path: str, text: str = "text", offsets: bool = False
     A token of a part of a character has the offsets of that whole character. Existing columns of
     those names are replaced; rows stay as they are, repeated ones too.
     """
-    schema = docs.drop("ids", "starts", "ends").schema
-    for name in ("ids", "starts", "ends") if offsets else ("ids",):
-        schema = schema.add(name, "array<int>")
     keep = docs.drop("ids", "starts", "ends")
+    schema = schema_with(keep, **dict.fromkeys(("ids", "starts", "ends") if offsets else ("ids",), "array<int>"))
 
     def run(batches):
         enc, ints = encoder(path), pa.list_(pa.int32())
@@ -188,7 +186,7 @@ def decode(df: DataFrame, path: str, ids: str = "ids") -> DataFrame:
     """df with columns decoded (binary, exactly the encoded bytes) and decoded_text (U+FFFD for bytes that are no
     whole character, as when ids stop inside one). Null ids give null."""
     keep = df.drop("decoded", "decoded_text")
-    schema = keep.schema.add("decoded", "binary").add("decoded_text", "string")
+    schema = schema_with(keep, decoded="binary", decoded_text="string")
 
     def run(batches):
         for b in batches:

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import bpe, line_dedup, near_dup, packing, quality_rules, telephony
+from reelgrid.llm import bpe, language, line_dedup, near_dup, packing, quality, quality_rules, telephony
 
-MODULES = [telephony, near_dup, quality_rules, bpe, line_dedup, packing]
+MODULES = [telephony, language, near_dup, quality_rules, bpe, quality, line_dedup, packing]
 
 
 def queries() -> dict:

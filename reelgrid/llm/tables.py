@@ -6,6 +6,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,3 +38,8 @@ def written(df: DataFrame, name: str) -> DataFrame:
 def remainder(doc_id: str = "doc_id", n: int = 5):
     """crc32 of the id as text, modulo n: the split into training and held-out rows (null id: that of the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
+
+
+def schema_with(df: DataFrame, **more: str) -> T.StructType:
+    """df's schema and further columns; df's own is left as it is."""
+    return T.StructType([*df.schema.fields, *(T.StructField(n, T.DataType.fromDDL(k)) for n, k in more.items())])

@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from reelgrid.llm.bpe import batches_of
-from reelgrid.llm.tables import documents
+from reelgrid.llm.tables import documents, schema_with
 
 # WAV format codes.
 PCM, A_LAW, MU_LAW, IMA_ADPCM = 1, 6, 7, 17
@@ -139,7 +139,7 @@ def store(docs: DataFrame, code: int = MU_LAW) -> DataFrame:
 def to_pcm(media: DataFrame, column: str = "media", rate: int = STORED_RATE) -> DataFrame:
     """media with column pcm: 16-bit little-endian samples at that rate. Null media give null."""
     keep = media.drop("pcm")
-    schema = keep.schema.add("pcm", "binary")
+    schema = schema_with(keep, pcm="binary")
 
     def pcm(x: bytes | None) -> bytes | None:
         if x is None:
