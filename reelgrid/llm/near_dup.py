@@ -9,12 +9,14 @@
    only when the two signatures are compared.
 3. First every class meets the least class of each of its lists, which joins large groups of
    copies by few links. Then, in lists that still hold more than one component, all classes of
-   different components are compared, in blocks of bounded size. So no link between components is
-   lost, and no group's pairs are all made.
+   different components are compared, in blocks of bounded size and each pair in the list of its
+   first common coordinate only. So no link between components is lost, and no group's pairs are all
+   made. A second, longer sketch rules out most pairs that are similar but not enough.
 4. A pair with at least MATCHES equal coordinates is confirmed on the full sets: linked if
    100 * intersection >= threshold * union. Components of the links are the classes of the result.
 
-For sets of similarity 0.8 the chance that fewer than 36 of 64 coordinates agree is below 1e-5.
+For sets of similarity 0.8 the chance that fewer than 36 of 64 coordinates agree, or that more than
+148 of the 1024 bits differ (102 are expected), is below 1e-5.
 
 Texts that are null, empty or without words have an empty set, link with nothing and are kept.
 Repeated rows of one doc_id share its fate. A row with a null doc_id is never kept when another
@@ -36,6 +38,8 @@ from reelgrid.llm.tables import documents, written
 from reelgrid.llm.words import shingle_sets, signature, words_of
 
 COORDINATES, MATCHES, BLOCK = 64, 36, 512
+#: Second sketch, of classes that share coordinates: one bit of each of so many further coordinates, and how many may differ.
+BITS, DIFFERENT = 1024, 148
 
 
 def signatures(docs: DataFrame, k: int) -> DataFrame:
@@ -55,15 +59,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id and the sorted 64-bit shingle hashes of each text, as bytes."""
+    """doc_id, the sorted 64-bit shingle hashes of each text, and its second sketch, as bytes."""
 
     def run(batches):
         for whole in batches:
             for b in batches_of(whole, "text"):
-                sets = [s.tobytes() for s in shingle_sets(words_of(b.column(1).to_pylist()), k)]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array(sets, pa.binary())], names=["doc_id", "shingles"])
+                sets = shingle_sets(words_of(b.column(1).to_pylist()), k)
+                bits = [np.packbits(signature(s, COORDINATES + BITS)[COORDINATES:] & 1).tobytes() for s in sets]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary, bits binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -106,33 +111,38 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(lists: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one list whose signatures agree; lists are compared in blocks."""
+def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of different components in one list whose sketches agree; lists are compared in blocks."""
     known = lists.select("key", "id").join(label, lists.id == label.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
     mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    blocks = F.ceil(F.col("n") / BLOCK)
-    placed = known.join(mixed.select("key", blocks.alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
+    placed = known.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
     # Each pair of blocks meets once; a row goes to all pairs of its block.
     meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
     placed = placed.select("key", "id", "component", "own", F.explode(meet).alias("m")).select("key", "m.i", "m.j", "own", "id", "component")
-    rows = placed.join(classes.select("id", "sig"), "id").select("key", "i", "j", "own", "id", "component", "sig")
+    merged = lists.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("merged"))  # a bit per coordinate
+    sketches = classes.select("id", "sig").join(merged, "id").join(sets.select(F.col("doc_id").alias("id"), "bits"), "id")
+    rows = placed.join(sketches, "id").select("key", "i", "j", "own", "id", "component", "merged", "sig", "bits")
     rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
 
     def compare(t: pa.Table) -> pa.RecordBatch:
-        key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-        own, ids, comp = (t.column(c).to_numpy() for c in ("own", "id", "component"))
+        key, i, j, own, ids, comp, merged = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "component", "merged"))
         sig = t.column("sig").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)
+        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
+        used = (merged[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
         edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
         a, b = [], []
         for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
+            at = int(key[lo]) >> 32
             for r in range(lo, hi - 1):
                 ok = comp[r + 1 : hi] != comp[r]
                 if i[lo] != j[lo]:
                     ok &= own[r + 1 : hi] != own[r]
-                if not ok.any():
-                    continue
                 there = np.flatnonzero(ok) + r + 1
-                hit = there[(sig[there] == sig[r]).sum(axis=1) >= MATCHES]
+                there = there[np.bitwise_count(bits[there] ^ bits[r]).sum(axis=1, dtype=np.int64) <= DIFFERENT] if len(there) else there
+                if not len(there):
+                    continue
+                same = sig[there] == sig[r]
+                hit = there[(same.sum(axis=1) >= MATCHES) & ((same & used[there] & used[r]).argmax(axis=1) == at)]
                 a.extend(np.minimum(ids[hit], ids[r]).tolist())
                 b.extend(np.maximum(ids[hit], ids[r]).tolist())
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
@@ -143,14 +153,15 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame) -> DataFrame:
             t = pa.Table.from_batches([batch])
             t = t if held is None else pa.concat_tables([held, t])
             key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            last = int(np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))[-1]) + 1 if (key[0], i[0], j[0]) != (key[-1], i[-1], j[-1]) else 0
+            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
+            last = int(other[-1]) + 1 if len(other) else 0
             if last:
                 yield compare(t.slice(0, last).combine_chunks())
             held = t.slice(last)
         if held is not None and len(held):
             yield compare(held.combine_chunks())
 
-    return rows.mapInArrow(run, "a long, b long").distinct()
+    return rows.mapInArrow(run, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -165,7 +176,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     star = lists.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = written(confirmed(agreeing(star, classes), sets, threshold), "links")
     label = components(links)
-    more = written(confirmed(across(lists, label, classes), sets, threshold), "links")
+    more = written(confirmed(across(lists, label, classes, sets), sets, threshold), "links")
     label = components(links.union(more))
     of_class = classes.select("set_key", "id").join(label, classes.id == label.node, "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     return (

@@ -115,6 +115,7 @@ def signature(values: np.ndarray, n: int) -> np.ndarray:
     """The least of n different hashes of the values, as 32-bit numbers."""
     a, b = permutations(n)
     low = np.full(n, np.iinfo(np.uint64).max, np.uint64)
-    for i in range(0, len(values), 2048):
-        np.minimum(low, (values[i : i + 2048, None] * a + b).min(axis=0), out=low)
+    step = max(1, (1 << 17) // n)  # keeps the products in cache
+    for i in range(0, len(values), step):
+        np.minimum(low, (values[i : i + step, None] * a + b).min(axis=0), out=low)
     return (low >> np.uint64(32)).astype(np.uint32).view(np.int32)
