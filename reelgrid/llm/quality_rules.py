@@ -111,12 +111,14 @@ def cutoffs(good: DataFrame, stratum: str, rules: dict[str, list[int]] = RULES,
     return by.select("stratum", *out)
 
 
-def judged(docs: DataFrame, labelled: DataFrame, stratum: str = "lang") -> DataFrame:
-    """docs with figures, base_failed and kept. labelled(doc_id, quality): good rows have quality 1."""
-    measured = figures(docs).withColumn("base_failed", base_failed()).withColumns(ratios())
-    good = figures(docs.join(labelled.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi"))
-    good = written(good.withColumn("base_failed", base_failed()).withColumns(ratios()).select(stratum, "base_failed", *RULES), "labelled")
-    cut = written(cutoffs(good.where(~F.col("base_failed")), stratum), "cutoffs")
+def judged(docs: DataFrame, labelled: DataFrame, stratum: str = "lang", text: str = "text") -> DataFrame:
+    """docs, without the text, with figures, base_failed and kept. labelled(doc_id, quality): good rows have quality 1.
+
+    Figures are written once; labels are joined to them, so no text is shuffled.
+    """
+    measured = written(figures(docs, text).drop(text).withColumn("base_failed", base_failed()).withColumns(ratios()), "figures")
+    good = measured.where(~F.col("base_failed")).join(labelled.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    cut = written(cutoffs(good, stratum), "cutoffs")  # a row per stratum: broadcast while small, by Spark's own threshold
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col(f"{r}_cut"), F.lit(False))
