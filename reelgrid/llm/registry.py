@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import bpe, language, line_dedup, near_dup, packing, quality, quality_rules, suffixes, telephony
+from reelgrid.llm import bpe, language, line_dedup, near_dup, packing, quality, quality_rules, recurrent_lm, suffixes, telephony
 
-MODULES = [telephony, language, near_dup, quality_rules, bpe, quality, suffixes, line_dedup, packing]
+MODULES = [telephony, language, near_dup, recurrent_lm, quality_rules, bpe, quality, suffixes, line_dedup, packing]
 
 
 def queries() -> dict:

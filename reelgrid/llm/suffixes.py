@@ -379,6 +379,43 @@ def cut(raw: bytes, los: list[int], his: list[int]) -> bytes:
     return b"".join(raw[a:b] for a, b in zip([0, *his], [*los, len(raw)], strict=True))
 
 
+def whole_characters(raw: bytes, los: list[int], his: list[int]) -> tuple[list[int], list[int]]:
+    """Spans without the characters that they hold in part only, so what is left is valid UTF-8."""
+    inner = lambda i: i < len(raw) and raw[i] & 0xC0 == 0x80
+    new_los, new_his = [], []
+    for lo, hi in zip(los, his, strict=True):
+        while lo < hi and inner(lo):
+            lo += 1
+        while hi > lo and inner(hi):
+            hi -= 1
+        if lo < hi:
+            new_los.append(lo)
+            new_his.append(hi)
+    return new_los, new_his
+
+
+def without_repeats(docs: DataFrame) -> DataFrame:
+    """docs with repeated strings cut out of the text, in whole characters; other columns and rows stay."""
+    spans = removed_spans(docs).where(F.size("los") > 0).select(F.col("doc_id").alias("span_of"), "los", "his").dropDuplicates(["span_of"])
+    joined = docs.join(spans, docs.doc_id == F.col("span_of"), "left").select(*docs.columns, "los", "his")
+    at = docs.columns.index("text")
+
+    def run(batches):
+        for whole in batches:
+            for b in batches_of(whole, "text"):
+                texts = []
+                for t, los, his in zip(*(b.column(i).to_pylist() for i in (at, -2, -1)), strict=True):
+                    if los and t is not None:
+                        raw = t.encode()
+                        t = cut(raw, *whole_characters(raw, los, his)).decode()
+                    texts.append(t)
+                cols = list(b.columns[:-2])
+                cols[at] = pa.array(texts, pa.string())
+                yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+
+    return joined.mapInArrow(run, docs.schema)
+
+
 def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
