@@ -398,7 +398,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of the text, in whole characters; other columns and rows stay."""
     spans = removed_spans(docs).where(F.size("los") > 0).select(F.col("doc_id").alias("span_of"), "los", "his").dropDuplicates(["span_of"])
     joined = docs.join(spans, docs.doc_id == F.col("span_of"), "left").select(*docs.columns, "los", "his")
-    at = docs.columns.index("text")
+    names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
         for whole in batches:
@@ -411,7 +411,7 @@ def without_repeats(docs: DataFrame) -> DataFrame:
                     texts.append(t)
                 cols = list(b.columns[:-2])
                 cols[at] = pa.array(texts, pa.string())
-                yield pa.RecordBatch.from_arrays(cols, names=docs.columns)
+                yield pa.RecordBatch.from_arrays(cols, names=names)
 
     return joined.mapInArrow(run, docs.schema)
 
