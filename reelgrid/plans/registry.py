@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import serving
+from reelgrid.plans import rules, serving, streams, text
 
-MODULES = [serving]
+MODULES = [serving, text, rules, streams]
 
 
 def queries() -> dict:
