@@ -151,30 +151,55 @@ def shared_anchors(docs: DataFrame, buckets: int) -> DataFrame:
     return sent.repartition("r").sortWithinPartitions("r").mapInArrow(meet, "doc_id long, h long").distinct()
 
 
+ZSTD = "zstd"
+
+
+def small(raw: bytes) -> bytes:
+    return pa.Codec(ZSTD, 1).compress(raw, asbytes=True)
+
+
+def large(packed: bytes, size: int) -> bytes:
+    return pa.Codec(ZSTD).decompress(packed, decompressed_size=size, asbytes=True) if size else b""
+
+
+def packed_texts(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, z): the compressed bytes of each text, which is what shuffles carry."""
+
+    def run(batches):
+        for whole in batches:
+            for b in batches_of(whole, "text"):
+                parts = [(t or "").encode() for t in b.column(1).to_pylist()]
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([small(p) for p in parts], pa.binary())], names=["doc_id", "n_bytes", "z"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary")
+
+
 def texts_with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, raw, at): positions of a document's shared anchors; raw is null where it has none, and
+    """(doc_id, n_bytes, z, at): positions of a document's shared anchors; z is null where it has none, and
     whole_sha256 then holds the digest."""
     own = shared.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list("h").alias("hs"))
-    joined = docs.select("doc_id", "text").join(own, F.col("doc_id").cast("long") == F.col("own"), "left").select("doc_id", "text", "hs")
+    joined = packed_texts(docs).join(own, F.col("doc_id").cast("long") == F.col("own"), "left").select("doc_id", "n_bytes", "z", "hs")
 
     def run(batches):
         for whole in batches:
-            for b in batches_of(whole, "text"):
-                parts = [(t or "").encode() for t in b.column(1).to_pylist()]
-                had = b.column(2).is_valid().to_pylist()
+            for b in batches_of(whole, "z", 1 << 19):
+                packed, sizes = b.column(2).to_pylist(), b.column(1).to_pylist()
+                parts = [large(z, n) for z, n in zip(packed, sizes, strict=True)]
+                had = b.column(3).is_valid().to_pylist()
                 doc, pos, h = anchors([p if x else b"" for p, x in zip(parts, had, strict=True)])
                 ends = np.searchsorted(doc, np.arange(len(parts) + 1))
                 at = []
                 for i, x in enumerate(had):
                     lo, hi = ends[i], ends[i + 1]
-                    at.append(pos[lo:hi][np.isin(h[lo:hi], b.column(2)[i].values.to_numpy().view(np.uint64))].astype(np.int32).tobytes() if x else None)
+                    at.append(pos[lo:hi][np.isin(h[lo:hi], b.column(3)[i].values.to_numpy().view(np.uint64))].astype(np.int32).tobytes() if x else None)
                 yield pa.RecordBatch.from_arrays([
-                    b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([p if x else None for p, x in zip(parts, had, strict=True)], pa.binary()),
+                    b.column(0), b.column(1), pa.array([z if x else None for z, x in zip(packed, had, strict=True)], pa.binary()),
                     pa.array(at, pa.binary()), pa.array([None if x else hashlib.sha256(p).hexdigest() for p, x in zip(parts, had, strict=True)], pa.string()),
-                ], names=["doc_id", "n_bytes", "raw", "at", "whole_sha256"])
+                ], names=["doc_id", "n_bytes", "z", "at", "whole_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, raw binary, at binary, whole_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary, at binary, whole_sha256 string")
 
 
 def records(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -193,7 +218,8 @@ def front_code(rows: np.ndarray) -> tuple[np.ndarray, bytes]:
     return lcp, rows[np.arange(rows.shape[1]) >= lcp[:, None]].tobytes()
 
 
-def front_decode(lcp: np.ndarray, rest: bytes) -> np.ndarray:
+def front_decode(lcp: np.ndarray, packed: bytes) -> np.ndarray:
+    rest = large(packed, int((WIDTH - lcp.astype(np.int64)).sum()))
     own = np.zeros((len(lcp), WIDTH), np.uint8)
     own[np.arange(WIDTH) >= lcp[:, None]] = np.frombuffer(rest, np.uint8)
     row = np.arange(len(lcp))
@@ -281,14 +307,15 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(r)], strict=True):
                 first = np.flatnonzero(new[lo:hi])
                 lcp, rest = front_code(m[lo:hi][first])
-                out.append((int(r[lo]), lcp.tobytes(), rest, planes(np.diff(np.append(first, hi - lo))), planes(d[lo:hi]), planes(a[lo:hi])))
+                out.append((int(r[lo]), lcp.tobytes(), small(rest), planes(np.diff(np.append(first, hi - lo))), planes(d[lo:hi]), planes(a[lo:hi])))
             return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["r", "lcp", "rest", "n", "d", "a"])
 
-        for b in batches:
-            for doc, raw, where in zip(*(b.column(i).to_pylist() for i in range(3)), strict=True):
+        for b in (x for whole in batches for x in batches_of(whole, "z")):
+            for doc, size, z, where in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
                 pos = np.frombuffer(where, np.int32)
                 if not len(pos):
                     continue
+                raw = large(z, size)
                 m = records(raw, pos)
                 first = np.ascontiguousarray(m[:, :GRAM]).view("<u8")
                 rows.append(m)
@@ -342,37 +369,41 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
             pos = a[use] >> 14
             yield pa.RecordBatch.from_arrays([pa.array(d[use]), pa.array(pos - far[use]), pa.array(pos - near[use] + WINDOW)], names=["doc_id", "lo", "hi"])
 
-    some = texts.where("raw is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "raw", "at")
+    some = texts.where("z is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "z", "at")
     sent = some.mapInArrow(send, "r int, lcp binary, rest binary, n binary, d binary, a binary")
     return sent.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "doc_id long, lo long, hi long")
 
 
-def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, raw, whole_sha256, los, his): the sorted maximal runs to remove; raw is null, and the digest
-    of the whole set, where nothing repeats."""
+def with_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_bytes, z, whole_sha256, spans): sorted intervals to remove, which may overlap; z is null, and the
+    digest of the whole set, where nothing can repeat."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = written(texts_with_anchors(docs, shared_anchors(docs, buckets)), "anchored")
-    found = intervals(texts, buckets).distinct().groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_list(F.struct("lo", "hi"))).alias("spans"))
-    joined = texts.drop("at").join(found, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+    found = intervals(texts, buckets).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    return texts.drop("at").join(found, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+
+
+def merged(spans: pa.ListScalar) -> tuple[list[int], list[int]]:
+    """Starts and ends of the maximal runs of sorted intervals."""
+    if not spans.is_valid or not len(spans.values):
+        return [], []
+    lo, hi = spans.values.field(0).to_numpy(), spans.values.field(1).to_numpy()
+    reach = np.maximum.accumulate(hi)
+    first = np.append(True, lo[1:] > reach[:-1])
+    return lo[first].tolist(), reach[np.append(first[1:], True)].tolist()
+
+
+def removed_spans(docs: DataFrame) -> DataFrame:
+    """(doc_id, los, his) of documents that lose bytes: the maximal runs."""
 
     def run(batches):
+        longs = pa.list_(pa.int64())
         for b in batches:
-            los, his = [], []
-            for spans in b.column(b.schema.get_field_index("spans")).to_pylist():
-                lo, hi = [], []
-                for s in spans or []:
-                    if lo and s["lo"] <= hi[-1]:
-                        hi[-1] = max(hi[-1], s["hi"])
-                    else:
-                        lo.append(s["lo"])
-                        hi.append(s["hi"])
-                los.append(lo)
-                his.append(hi)
-            longs = pa.list_(pa.int64())
-            yield pa.RecordBatch.from_arrays([*b.columns[:4], pa.array(los, longs), pa.array(his, longs)], names=["doc_id", "n_bytes", "raw", "whole_sha256", "los", "his"])
+            runs = [merged(x) for x in b.column(1)]
+            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in runs], longs), pa.array([r[1] for r in runs], longs)], names=["doc_id", "los", "his"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, raw binary, whole_sha256 string, los array<long>, his array<long>")
+    return with_spans(docs).where("spans is not null").select("doc_id", "spans").mapInArrow(run, f"doc_id {kind}, los array<long>, his array<long>")
 
 
 def cut(raw: bytes, los: list[int], his: list[int]) -> bytes:
@@ -396,7 +427,7 @@ def whole_characters(raw: bytes, los: list[int], his: list[int]) -> tuple[list[i
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of the text, in whole characters; other columns and rows stay."""
-    spans = removed_spans(docs).where(F.size("los") > 0).select(F.col("doc_id").alias("span_of"), "los", "his").dropDuplicates(["span_of"])
+    spans = removed_spans(docs).select(F.col("doc_id").alias("span_of"), "los", "his").dropDuplicates(["span_of"])
     joined = docs.join(spans, docs.doc_id == F.col("span_of"), "left").select(*docs.columns, "los", "his")
     names, at = docs.columns, docs.columns.index("text")
 
@@ -420,15 +451,16 @@ def digests(docs: DataFrame) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every row."""
 
     def run(batches):
-        for b in batches:
+        for b in (x for whole in batches for x in batches_of(whole, "z")):
             rows = []
-            for raw, sha, los, his in zip(*(b.column(i).to_pylist() for i in range(2, 6)), strict=True):
-                rows.append((sum(his) - sum(los), len(los), sha if raw is None else hashlib.sha256(cut(raw, los, his)).hexdigest()))
-            cols = zip(*rows, strict=True) if rows else ([], [], [])
+            for size, z, sha, spans in zip(b.column(1).to_pylist(), b.column(2).to_pylist(), b.column(3).to_pylist(), b.column(4), strict=True):
+                los, his = merged(spans)
+                rows.append((sum(his) - sum(los), len(los), sha if z is None else hashlib.sha256(cut(large(z, size), los, his)).hexdigest()))
+            cols = zip(*rows, strict=True)
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return removed_spans(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
