@@ -3,9 +3,8 @@
 Each partition packs its own documents as they come, so no row moves. A document's ids (an end id
 follows each document) give whole windows and a rest; the rest goes to the fill level that makes
 the sum of squared counts of partially filled windows least, which an array of counts by level
-tells: going from level h to h + r changes the sum by 2 * (count[h + r] - count[h]) plus a
-constant, where a new window (h = 0) and a full one (h + r = window) count nothing. Ties take the
-fullest level. Since documents may be cut, windows still open at the end of a partition are
+tells: leaving level h changes the sum by 1 - 2 * count[h], joining h + r by 1 + 2 * count[h + r],
+where a new window leaves no level and a full one joins none. Ties take the fullest level. Since documents may be cut, windows still open at the end of a partition are
 joined, the fullest first, and cut at window borders, which leaves one window with padding at most.
 
 Null text counts as empty: its only token is the end id. Repeated rows are packed each. A
@@ -41,7 +40,9 @@ class Levels:
     def level_for(self, length: int) -> int:
         """The level, of those with a window or 0, where a piece of that length makes the sum of squares least."""
         most = self.window - length
-        change = self.counts[length : self.window + 1] - self.counts[: most + 1]
+        change = 2 * (self.counts[length : self.window + 1] - self.counts[: most + 1]) + 2
+        change[0] -= 1  # a new window leaves no level,
+        change[most] -= 1  # and a full one joins none
         used = self.counts[: most + 1] > 0
         used[0] = True
         change[~used] = np.iinfo(np.int64).max

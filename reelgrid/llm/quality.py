@@ -57,6 +57,8 @@ def sigmoid(z):
 
 def fit_dense(x: np.ndarray, y: np.ndarray, rounds: int = 400, ridge: float = 1e-3) -> tuple[np.ndarray, float]:
     """Logistic regression on scaled columns by Adam."""
+    if not len(y):
+        return np.zeros(x.shape[1], np.float32), 0.0
     scale = x.std(axis=0) + 1e-3
     z, w, b = x / scale, np.zeros(x.shape[1]), float(np.log((y.sum() + 1) / (len(y) - y.sum() + 1)))
     m, v = np.zeros(len(w) + 1), np.zeros(len(w) + 1)
