@@ -201,22 +201,24 @@ def sql_grams(s: str) -> str:
     return f"CASE WHEN length({s}) <= 3 THEN [{s}] ELSE list_transform(range(1, length({s}) - 1), lambda i: substr({s}, i, 3)) END"
 
 
-def pairs(spark, d):
-    """Document and benchmark titles that start with the same word."""
+def pairs(spark, d, prepare=lambda c: c):
+    """Document and benchmark titles that start with the same word; x and y are prepared before the join."""
     first = lambda c, n: F.trim(F.regexp_replace(F.lower(F.array_join(F.slice(F.split(c, " "), 1, n), " ")), "[^a-z0-9]+", " "))
     docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", first("text", 8).alias("a")).where("a <> ''").withColumn("block", F.substring_index("a", " ", 1))
     bench = table(spark, d, "benchmark").select("item_id", first("text", 6).alias("b")).withColumn("block", F.substring_index("b", " ", 1))
-    return docs.join(bench, "block").select("doc_id", "item_id", "a", "b")
+    return docs.withColumn("x", prepare(F.col("a"))).join(bench.withColumn("y", prepare(F.col("b"))), "block").select("doc_id", "item_id", "a", "b", "x", "y")
 
 
 @query(f"WITH {PAIRS} SELECT doc_id, item_id, {sql_dice('x', 'y')} AS token_dice, levenshtein(a, b) AS distance FROM pairs")
 def token_dice(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.dice(similarity.tokens(F.col("a")), similarity.tokens(F.col("b"))).alias("token_dice"), F.levenshtein("a", "b").cast("long").alias("distance"))
+    p = pairs(spark, d, lambda c: similarity.numbered(similarity.tokens(c)))
+    return p.select("doc_id", "item_id", similarity.numbered_dice(F.col("x"), F.col("y")).alias("token_dice"), F.levenshtein("a", "b").cast("long").alias("distance"))
 
 
 @query(f"WITH {PAIRS}, g AS (SELECT doc_id, item_id, {sql_grams('a')} AS x, {sql_grams('b')} AS y FROM pairs) SELECT doc_id, item_id, {sql_dice('x', 'y')} AS trigram_dice FROM g")
 def trigram_dice(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.dice(similarity.trigrams(F.col("a")), similarity.trigrams(F.col("b"))).alias("trigram_dice"))
+    p = pairs(spark, d, lambda c: similarity.numbered(similarity.trigrams(c)))
+    return p.select("doc_id", "item_id", similarity.numbered_dice(F.col("x"), F.col("y")).alias("trigram_dice"))
 
 
 @query(f"WITH {PAIRS} SELECT doc_id, item_id, contains(' ' || a || ' ', ' ' || b || ' ') AS holds FROM pairs")
