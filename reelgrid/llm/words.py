@@ -18,6 +18,8 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[ord("A") : ord("Z") + 1] += 32
 BASE = np.uint64(0x9E3779B97F4A7C15)
 INVERSE = np.uint64(pow(int(BASE), -1, 1 << 64))
+#: Bytes hashed at once.
+BLOCK = 1 << 19
 
 
 def mix(x: np.ndarray) -> np.ndarray:
@@ -57,10 +59,19 @@ class Words:
     texts: np.ndarray  # where each text starts in data, and the end
 
     def hashes(self) -> np.ndarray:
-        up, down = powers_for(len(self.data) + 1)
-        sums = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum(BYTE_VALUE[self.data] * up[: len(self.data)], out=sums[1:])
-        return mix((sums[self.ends] - sums[self.starts]) * down[self.starts])
+        """Of words of BLOCK bytes together (or of one longer word), so memory does not grow with the texts."""
+        out, i = np.empty(len(self.starts), np.uint64), 0
+        while i < len(out):
+            lo = self.starts[i]
+            j = max(i + 1, int(np.searchsorted(self.ends, lo + BLOCK, "right")))
+            n = int(self.ends[j - 1] - lo)
+            up, down = powers_for(n + 1)
+            sums = np.zeros(n + 1, np.uint64)
+            np.cumsum(BYTE_VALUE[self.data[lo : lo + n]] * up[:n], out=sums[1:])
+            a, b = self.starts[i:j] - lo, self.ends[i:j] - lo
+            out[i:j] = mix((sums[b] - sums[a]) * down[a])
+            i = j
+        return out
 
 
 def words_of(texts: list[str | None], lower: bool = True) -> Words:
