@@ -3,10 +3,11 @@
 A line (split at \\n, with a character other than white space) is boilerplate if it stands on at
 least MIN_SITES distinct sites and among changing neighbours: the lines before it, or those after
 it, number at least SPREAD of its occurrences. The second condition leaves the lines of copied
-documents, which travel together, to document deduplication.
+documents, which travel together, to document deduplication. It also keeps lines of repeated blocks,
+so with spread None (the pipeline) a line needs MIN_SITES distinct texts instead: copies count as one.
 
 1. Lines are counted by hash (128 bits); lines with fewer occurrences than MIN_SITES are settled.
-2. For the rest, sketches of sites and of neighbours merge by aggregation, partly before the shuffle.
+2. For the rest, sketches of sites and of neighbours (or texts) merge by aggregation, partly before the shuffle.
 3. Lines whose estimates are clear are settled; those near a threshold get exact distinct counts.
 4. Documents get the hashes of their own boilerplate lines by a join on doc_id and drop them.
 
@@ -35,34 +36,37 @@ def second_hash(line: Column) -> Column:
 
 
 def lines(docs: DataFrame, text: str, site: str) -> DataFrame:
-    """(doc_id, h, g, site, before, after) of every line with a word; hashes stand for lines."""
-    split = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(site), F.lit(""))).alias("site"), F.split(F.coalesce(F.col(text), F.lit("")), "\n").alias("all"))
-    one = split.select("doc_id", "site", "all", F.posexplode("all").alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
+    """(doc_id, h, g, site, whole, before, after) of every line with a word; hashes stand for lines and whole texts."""
+    whole = F.coalesce(F.col(text), F.lit(""))
+    split = docs.select("doc_id", F.xxhash64(F.coalesce(F.col(site), F.lit(""))).alias("site"), F.xxhash64(whole).alias("whole"), F.split(whole, "\n").alias("all"))
+    one = split.select("doc_id", "site", "whole", "all", F.posexplode("all").alias("at", "line")).where(F.col("line").rlike(r"[^\x20\x09-\x0D]"))
     near = lambda d: F.xxhash64(F.coalesce(F.get("all", F.col("at") + d), F.lit("")))
-    return one.select("doc_id", first_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("g"), "site", near(-1).alias("before"), near(1).alias("after"))
+    return one.select("doc_id", first_hash(F.col("line")).alias("h"), second_hash(F.col("line")).alias("g"), "site", "whole", near(-1).alias("before"), near(1).alias("after"))
 
 
-def boilerplate(every: DataFrame, min_sites: int = MIN_SITES, spread: float = SPREAD) -> DataFrame:
-    """(h, g) of boilerplate lines."""
+def boilerplate(every: DataFrame, min_sites: int = MIN_SITES, spread: float | None = SPREAD) -> DataFrame:
+    """(h, g) of boilerplate lines; without spread, distinct texts count in place of neighbours."""
+    over = ["whole"] if spread is None else ["before", "after"]
+    most = lambda f: F.array_max(F.array(*(f(c) for c in over)))
     often = every.groupBy("h", "g").agg(F.count("*").alias("n")).where(F.col("n") >= min_sites)
-    rows = written(every.join(often, ["h", "g"]).select("h", "g", "n", "site", "before", "after"), "lines")
+    rows = written(every.join(often, ["h", "g"]).select("h", "g", "n", "site", *over), "lines")
     sketch = lambda c: F.hll_sketch_estimate(F.hll_sketch_agg(c, F.lit(REGISTERS_LOG2)))
-    about = rows.groupBy("h", "g").agg(F.first("n").alias("n"), sketch("site").alias("sites"), F.greatest(sketch("before"), sketch("after")).alias("near"))
+    about = rows.groupBy("h", "g").agg(F.first("n").alias("n"), sketch("site").alias("sites"), most(sketch).alias("near"))
     sure = lambda value, limit: value >= limit * (1 + BAND) + 1
     never = lambda value, limit: value < limit * (1 - BAND) - 1
-    need = F.col("n") * spread
+    need = F.lit(min_sites) if spread is None else F.col("n") * spread
     about = written(about.select(
         "h", "g",
         F.when(sure(F.col("sites"), F.lit(min_sites)) & sure(F.col("near"), need), True).when(never(F.col("sites"), F.lit(min_sites)) | never(F.col("near"), need), False).alias("is"),
     ), "estimates")
     # Distinct triples are few values of one column each; each count is of its own distinct rows.
     unsure = rows.join(about.where(F.col("is").isNull()).select("h", "g"), ["h", "g"], "left_semi")
-    exact = unsure.groupBy("h", "g").agg(F.first("n").alias("n"), F.count_distinct("site").alias("sites"), F.greatest(F.count_distinct("before"), F.count_distinct("after")).alias("near"))
+    exact = unsure.groupBy("h", "g").agg(F.first("n").alias("n"), F.count_distinct("site").alias("sites"), most(F.count_distinct).alias("near"))
     exact = exact.where((F.col("sites") >= min_sites) & (F.col("near") >= need))
     return about.where("is").select("h", "g").union(exact.select("h", "g"))
 
 
-def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, spread: float = SPREAD) -> DataFrame:
+def without_boilerplate(docs: DataFrame, text: str = "text", site: str = "source", min_sites: int = MIN_SITES, spread: float | None = SPREAD) -> DataFrame:
     """docs with boilerplate lines taken out of the text, and columns n_lines, n_removed_lines."""
     every = lines(docs, text, site)
     found = written(boilerplate(every, min_sites, spread), "boilerplate")

@@ -94,3 +94,23 @@ def test_run(spark, stages):
     rows = corpus_pipeline.run(spark, stages[0]).collect()
     assert sorted((r.doc_id, r.start, r.length, r.ids_crc32) for r in rows if r.length == packing.WINDOW) or rows
     assert {r.doc_id for r in rows} == {r.doc_id for r in stages[1]["packing"]}
+
+
+def test_lines_of_blocks_and_text_ends_go(spark):
+    """Blocks with constant neighbours, lines at text ends, and a group of copies that holds a line; copies keep their own lines."""
+    texts = [(f"own {i}\nLes\nTerms apply\nend {i}", f"s{i % 7}") for i in range(14)]
+    texts += [(f"mine {i}\nAll rights\nreserved", f"s{i}") for i in range(6)] + [(f"Skip to content\nbody {i}", f"s{i}") for i in range(6)]
+    texts += [(f"few {i}\nfive sites", f"s{i % 5}") for i in range(20)]
+    texts += [("copied\nwhole\nTerms apply", f"s{i}") for i in range(40)] + [(None, "s1"), ("", None)]
+    docs = spark.createDataFrame([(i, t, s, len(t or "")) for i, (t, s) in enumerate(texts)], "doc_id long, text string, source string, n_chars long")
+    sites, wholes = {}, {}
+    for t, s in texts:
+        for line in (t or "").split("\n"):
+            sites.setdefault(line, set()).add(s or "")
+            wholes.setdefault(line, set()).add(t or "")
+    bad = {x for x in sites if WORD.search(x) and len(sites[x]) >= 6 and len(wholes[x]) >= 6}
+    assert bad == {"Les", "Terms apply", "All rights", "reserved", "Skip to content"}
+    got = {r.doc_id: r for r in corpus_pipeline.lines(spark, docs, "").collect()}
+    for i, (t, _) in enumerate(texts):
+        left = None if t is None else "\n".join(x for x in t.split("\n") if x not in bad)
+        assert got[i].text == left and (left is None or got[i].n_chars == len(left))
