@@ -3,10 +3,11 @@
 1. Token counts of all training documents are one aggregation by 64-bit token hash, summed within
    tasks first. They grow with the input and stay distributed; only the HEAD most frequent tokens,
    a fixed number, are sent to all tasks.
-2. Output classes follow frequency: the WORDS most frequent tokens are CLASSES classes of equal
-   size whose members the hidden state tells apart; rarer ones are a few bands, within which a
-   token has its smoothed share of the band's counts. The last band holds all tokens beyond HEAD
-   and unknown ones. log P(token) = log P(class | state) + log P(token | class, state).
+2. Output classes follow frequency: the most frequent tokens (one in WORD_OF of the counted ones) are
+   classes of equal size whose members the hidden state tells apart, and have input rows of their own;
+   rarer ones are a few bands, within which a token has its smoothed share of the band's counts. The
+   last band holds all tokens beyond HEAD and unknown ones.
+   log P(token) = log P(class | state) + log P(token | class, state).
 3. Training: in each round every task runs truncated backpropagation over its part of the sampled
    training documents (one in EVERY by hash, whole texts), from the same start; the parameters are
    then averaged by Spark, weighted by tokens.
@@ -31,13 +32,15 @@ from reelgrid.llm.tables import documents, remainder, written
 from reelgrid.llm.words import mix, words_of
 
 END = mix(np.array([0x656E64], np.uint64))
-HEAD, WORDS, CLASSES = 1 << 18, 1024, 32
-#: Ranks where a band ends; the head ends the last but one.
+HEAD = 1 << 18
+#: Learned words: a power of two, one in WORD_OF of the counted ones or less.
+WORDS_LEAST, WORDS_MOST, WORD_OF = 1 << 10, 1 << 15, 16
+#: Ranks where a band ends, those above the learned words; the head ends the last but one.
 BANDS = (8192, 65536, HEAD)
 STEPS = 32
-MEMBERS, N_CLASSES = WORDS // CLASSES, CLASSES + len(BANDS) + 1
-INPUTS = WORDS + len(BANDS) + 1
-HIDDEN, WINDOW, LANES, EVERY, ROUNDS, RATE = 24, 16, 128, 8, 2, 0.004
+HIDDEN, WINDOW, LANES_LEAST, LANES, EVERY, ROUNDS, SHARE, RATE = 24, 16, 32, 512, 8, 2, 64, 0.004
+#: Rows of a softmax at a time, and parameters of a block that are averaged together.
+ROWS, BLOCK = 1 << 13, 1 << 12
 LN10 = float(np.log(10))
 
 
@@ -61,6 +64,11 @@ class Head:
         order = np.lexsort((hashes, -counts))
         hashes, counts = hashes[order], counts[order].astype(np.float64)
         self.total, self.distinct = total, distinct
+        self.words = min(WORDS_MOST, max(WORDS_LEAST, 1 << max(1, int(distinct) // WORD_OF).bit_length() - 1))
+        self.classes = 1 << (self.words.bit_length() - 1) // 2
+        self.members = self.words // self.classes
+        bands = [b for b in BANDS if b > self.words]
+        self.n_classes, self.inputs = self.classes + len(bands) + 1, self.words + len(bands) + 1
         by_hash = np.argsort(hashes)
         self.hashes, self.ranks = hashes[by_hash], by_hash.astype(np.int32)
         self.counts = np.append(counts, 0)
@@ -68,20 +76,20 @@ class Head:
         self.base = np.append(base, 0)
         rank = np.arange(len(counts))
         # Class of each rank, its input row and its fixed log share within a band (0 for learned ones); the last entry is the tail.
-        self.band = np.append(np.searchsorted(BANDS, rank, "right"), len(BANDS))
-        self.cls = np.append(np.where(rank < WORDS, rank // MEMBERS, CLASSES + self.band[:-1]), N_CLASSES - 1).astype(np.int32)
-        self.input = np.append(np.where(rank < WORDS, rank, WORDS + self.band[:-1]), INPUTS - 1).astype(np.int32)
+        band = np.searchsorted(bands, rank, "right")
+        self.cls = np.append(np.where(rank < self.words, rank // self.members, self.classes + band), self.n_classes - 1).astype(np.int32)
+        self.input = np.append(np.where(rank < self.words, rank, self.words + band), self.inputs - 1).astype(np.int32)
         self.share = np.zeros(len(counts) + 1)
-        mass = np.zeros(N_CLASSES)
+        mass = np.zeros(self.n_classes)
         np.add.at(mass, self.cls[:-1], counts + 0.5)
-        for c in range(CLASSES, N_CLASSES - 1):
+        for c in range(self.classes, self.n_classes - 1):
             here = self.cls[:-1] == c
             self.share[:-1][here] = np.log((counts[here] + 0.5) / mass[c]) if here.any() else 0
         self.tail_tokens, self.tail_distinct = total - counts.sum(), distinct - len(counts)
         mass[-1] += self.tail_tokens + 0.5 * (self.tail_distinct + 1)
         self.class_bias = np.log(np.maximum(mass, 0.5) / np.maximum(mass, 0.5).sum()).astype(np.float32)
-        words = np.zeros(WORDS)
-        words[: min(WORDS, len(counts))] = counts[:WORDS]
+        words = np.zeros(self.words)
+        words[: min(self.words, len(counts))] = counts[: self.words]
         self.word_bias = np.log(words + 0.5).astype(np.float32)
 
     def rank(self, tokens: np.ndarray) -> np.ndarray:
@@ -93,25 +101,26 @@ class Head:
         return np.where(self.hashes[at] == tokens, self.ranks[at], n).astype(np.int32)
 
 
-SHAPES = {"x": (INPUTS, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "c": (HIDDEN, N_CLASSES), "cb": (N_CLASSES,), "w": (WORDS, HIDDEN), "wb": (WORDS,)}
+def shapes(head: Head) -> dict[str, tuple]:
+    return {"x": (head.inputs, 3 * HIDDEN), "u": (HIDDEN, 3 * HIDDEN), "b": (3 * HIDDEN,), "c": (HIDDEN, head.n_classes), "cb": (head.n_classes,), "w": (head.words, HIDDEN), "wb": (head.words,)}
 
 
 def start(head: Head) -> dict[str, np.ndarray]:
     r = np.random.default_rng(7)
-    p = {k: (r.standard_normal(s) * 0.1).astype(np.float32) for k, s in SHAPES.items()}
+    p = {k: (r.standard_normal(s) * 0.1).astype(np.float32) for k, s in shapes(head).items()}
     return p | {"b": np.zeros(3 * HIDDEN, np.float32), "cb": head.class_bias.copy(), "wb": head.word_bias.copy()}
 
 
 def flat(p: dict) -> np.ndarray:
-    return np.concatenate([p[k].ravel() for k in SHAPES])
+    return np.concatenate([x.ravel() for x in p.values()])
 
 
-def unflat(v: np.ndarray) -> dict:
+def unflat(v: np.ndarray, like: dict) -> dict:
+    """Parameters of the shapes of `like`; what follows them in v is padding."""
     out, at = {}, 0
-    for k, s in SHAPES.items():
-        n = int(np.prod(s))
-        out[k] = v[at : at + n].reshape(s).astype(np.float32)
-        at += n
+    for k, x in like.items():
+        out[k] = v[at : at + x.size].reshape(x.shape).astype(np.float32)
+        at += x.size
     return out
 
 
@@ -127,42 +136,67 @@ def step(p: dict, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
 
 
-def by_class(cls: np.ndarray):
+def by_class(cls: np.ndarray, classes: int):
     """(class, indices) of the learned classes that occur."""
     order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(CLASSES + 1))
-    return [(c, order[edge[c] : edge[c + 1]]) for c in range(CLASSES) if edge[c] < edge[c + 1]]
+    edge = np.searchsorted(cls[order], np.arange(classes + 1))
+    return [(c, order[edge[c] : edge[c + 1]]) for c in range(classes) if edge[c] < edge[c + 1]]
 
 
-def log_softmax(logits: np.ndarray) -> np.ndarray:
-    logits = logits - logits.max(axis=1, keepdims=True)
-    return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
+def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """Log probability of column `at` of each row; logits become the loss's gradients there."""
+    rows = np.arange(len(logits))
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[rows, at]
+    np.exp(logits, out=logits)
+    total = logits.sum(axis=1)
+    logits /= total[:, None]
+    logits[rows, at] -= 1
+    return own - np.log(total)
+
+
+def log_share_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
+    """As above, without the gradients."""
+    logits -= logits.max(axis=1, keepdims=True)
+    own = logits[np.arange(len(logits)), at]
+    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
 
 
 def outputs(p: dict, head: Head, h: np.ndarray, ranks: np.ndarray, grads: dict | None = None):
-    """Natural log probabilities of tokens given states; with grads, adds the loss's gradients and returns that of the states."""
+    """Natural log probabilities of tokens given states; with grads, adds the loss's gradients and returns that of the states.
+
+    grads["w"] and grads["wb"] get the learned classes that occur, in order, with grads["classes"].
+    """
     cls = head.cls[ranks]
-    lp = log_softmax(h @ p["c"] + p["cb"])
-    out = lp[np.arange(len(h)), cls] + head.share[ranks]
-    dh = None
+    log_at = log_share_at if grads is None else log_softmax_at
+    out, dh = head.share[ranks], None if grads is None else np.empty_like(h)
+    for lo in range(0, len(h), ROWS):
+        here = slice(lo, lo + ROWS)
+        d = h[here] @ p["c"] + p["cb"]
+        out[here] += log_at(d, cls[here])
+        if grads is not None:
+            grads["c"] += h[here].T @ d
+            grads["cb"] += d.sum(axis=0)
+            dh[here] = d @ p["c"].T
+    found = by_class(cls, head.classes)
     if grads is not None:
-        d = np.exp(lp)
-        d[np.arange(len(h)), cls] -= 1
-        grads["c"] += h.T @ d
-        grads["cb"] += d.sum(axis=0)
-        dh = d @ p["c"].T
-    for c, at in by_class(cls):
-        lo = c * MEMBERS
-        w = p["w"][lo : lo + MEMBERS]
-        lw = log_softmax(h[at] @ w.T + p["wb"][lo : lo + MEMBERS])
-        member = ranks[at] - lo
-        out[at] += lw[np.arange(len(at)), member]
+        grads["classes"] = np.array([c for c, _ in found], np.int64)
+        grads["w"] = np.empty((len(found), head.members, HIDDEN), np.float32)
+        grads["wb"] = np.empty((len(found), head.members), np.float32)
+    for i, (c, every) in enumerate(found):
+        first = c * head.members
+        w, wb = p["w"][first : first + head.members], p["wb"][first : first + head.members]
         if grads is not None:
-            d = np.exp(lw)
-            d[np.arange(len(at)), member] -= 1
-            grads["w"][lo : lo + MEMBERS] += d.T @ h[at]
-            grads["wb"][lo : lo + MEMBERS] += d.sum(axis=0)
-            dh[at] += d @ w
+            grads["w"][i], grads["wb"][i] = 0, 0
+        for lo in range(0, len(every), ROWS):
+            at = every[lo : lo + ROWS]
+            own = h[at]
+            d = own @ w.T + wb
+            out[at] += log_at(d, ranks[at] - first)
+            if grads is not None:
+                grads["w"][i] += d.T @ own
+                grads["wb"][i] += d.sum(axis=0)
+                dh[at] += d @ w
     return out, dh
 
 
@@ -170,30 +204,39 @@ class Adam:
     def __init__(self, p: dict):
         self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
 
-    def apply(self, p: dict, g: dict):
+    def apply(self, p: dict, g: dict, rows: dict) -> None:
+        """One step. Parameters named in rows change only there: g has these rows, of as many values each as it says."""
         self.t += 1
         for k in p:
-            self.m[k] += 0.1 * (g[k] - self.m[k])
-            self.v[k] += 0.01 * (g[k] * g[k] - self.v[k])
-            p[k] -= RATE * (self.m[k] / (1 - 0.9**self.t)) / (np.sqrt(self.v[k] / (1 - 0.99**self.t)) + 1e-6)
+            x, m, v, new, at = p[k], self.m[k], self.v[k], g[k], slice(None)
+            if k in rows:
+                if not len(rows[k]):
+                    continue
+                new, at = new.reshape(len(new), -1), rows[k]
+                x, m, v = (a.reshape(-1, new.shape[1]) for a in (x, m, v))
+            m2 = m[at] + 0.1 * (new - m[at])
+            v2 = v[at] + 0.01 * (new * new - v[at])
+            m[at], v[at] = m2, v2
+            x[at] -= RATE * (m2 / (1 - 0.9**self.t)) / (np.sqrt(v2 / (1 - 0.99**self.t)) + 1e-6)
 
 
-def train(p: dict, head: Head, docs: list[np.ndarray]) -> None:
-    """Truncated backpropagation over the documents as one stream, cut into LANES equal parts side by side.
+def train(p: dict, head: Head, docs: list[np.ndarray], adam: Adam | None = None) -> None:
+    """Truncated backpropagation over the documents as one stream, cut into equal parts (up to LANES) side by side.
 
     The state starts anew behind each end token.
     """
     stream = np.concatenate(docs)
-    longest = -(-len(stream) // LANES)
-    grid = np.full(longest * LANES, -1, np.int64)
+    lanes = max(LANES_LEAST, min(LANES, len(stream) // (64 * WINDOW)))
+    longest = -(-len(stream) // lanes)
+    grid = np.full(longest * lanes, -1, np.int64)
     grid[: len(stream)] = stream
-    grid = grid.reshape(LANES, longest).T
+    grid = grid.reshape(lanes, longest).T
     end_rank = int(head.rank(END)[0])
-    adam, h = Adam(p), np.zeros((LANES, HIDDEN), np.float32)
-    before = np.full(LANES, -1, np.int64)
+    adam, h = adam or Adam(p), np.zeros((lanes, HIDDEN), np.float32)
+    before = np.full(lanes, -1, np.int64)
     for lo in range(0, longest, WINDOW):
         here = grid[lo : lo + WINDOW]
-        g = {k: np.zeros_like(v) for k, v in p.items()}
+        g = {k: np.zeros_like(p[k]) for k in ("u", "b", "c", "cb")}
         kept, states, rows, changes = [], [], [], []
         for t in here:
             if t.max() < 0:
@@ -212,7 +255,7 @@ def train(p: dict, head: Head, docs: list[np.ndarray]) -> None:
         _, d = outputs(p, head, flat_h[live.ravel()], targets[live], g)
         dh_out = np.zeros_like(flat_h)
         dh_out[live.ravel()] = d
-        dh_out = dh_out.reshape(len(states), LANES, HIDDEN)
+        dh_out = dh_out.reshape(len(states), lanes, HIDDEN)
         dh = np.zeros_like(h)
         for k in range(len(states) - 1, -1, -1):
             was, ids, fresh, (z, r, n, an) = kept[k]
@@ -226,12 +269,12 @@ def train(p: dict, head: Head, docs: list[np.ndarray]) -> None:
             changes.append(dx[~fresh])
             dh = np.where(fresh[:, None], 0, dh * z + da @ p["u"].T)
         rows, changes = np.concatenate(rows), np.concatenate(changes)
-        if len(rows):
-            order = np.argsort(rows, kind="stable")
-            first = np.flatnonzero(np.append(True, np.diff(rows[order])))
-            g["x"][rows[order][first]] = np.add.reduceat(changes[order], first)
+        order = np.argsort(rows, kind="stable")
+        first = np.flatnonzero(np.append(True, np.diff(rows[order]))) if len(rows) else order
+        g["x"] = np.add.reduceat(changes[order], first) if len(rows) else changes
         scale = np.float32(1 / max(1, live.sum()))
-        adam.apply(p, {k: v * scale for k, v in g.items()})
+        classes = g.pop("classes")
+        adam.apply(p, {k: v * scale for k, v in g.items()}, {"x": rows[order][first], "w": classes, "wb": classes})
 
 
 def score(p: dict, head: Head, ranks: np.ndarray, first: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
@@ -309,31 +352,56 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, every: int = EVERY) -
     """Parameters after averaging `rounds` times; round i learns from the documents whose hash is i modulo `every`."""
     spark, p = docs.sparkSession, start(head)
     shared_head = spark.sparkContext.broadcast(head)
+    share = SHARE * head.words
     for i in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches, shared=shared):
-            own, docs_here, n = {k: v.copy() for k, v in shared.value.items()}, [], 0
-            done = 0
+            shard, own, adam, held, n, done = None, None, None, [], 0, 0
+
+            def learn():
+                nonlocal held, n, done
+                if held:
+                    train(own, shared_head.value, held, adam)
+                held, n, done = [], 0, done + n
+
+            def blocks():
+                v = flat(own)
+                v = np.append(v, np.zeros(-len(v) % BLOCK, np.float32))
+                count = len(v) // BLOCK
+                values = pa.ListArray.from_arrays(pa.array(np.arange(count + 1, dtype=np.int32) * BLOCK), pa.array(v))
+                return pa.RecordBatch.from_arrays([pa.array(np.arange(count, dtype=np.int32)), pa.array(np.full(count, float(done))), values], names=["block", "n", "v"])
+
             for whole in batches:
                 for b in batches_of(whole, "text"):
-                    t, first = tokens_of(b.column(0).to_pylist())
+                    t, first = tokens_of(b.column(1).to_pylist())
                     r = shared_head.value.rank(t)
-                    docs_here += [r[x:y] for x, y in zip(first[:-1], first[1:], strict=True)]
-                    n += len(t)
-                    if n > 400_000:  # bounds memory; the parameters go on
-                        train(own, shared_head.value, docs_here)
-                        done, docs_here, n = done + n, [], 0
-            if docs_here:
-                train(own, shared_head.value, docs_here)
-                done += n
-            if done:
-                yield pa.RecordBatch.from_arrays([pa.array([flat(own)], pa.list_(pa.float32())), pa.array([float(done)])], names=["p", "n"])
-
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == i).select("text").mapInArrow(run, "p array<float>, n double")
-        mean = part.select("n", F.posexplode("p").alias("i", "v")).groupBy("i").agg((F.sum(F.col("v") * F.col("n")) / F.sum("n")).alias("v")).orderBy("i").toArrow()
-        if len(mean):
-            p = unflat(mean.column("v").to_numpy())
+                    for of, x, y in zip(b.column(0).to_pylist(), first[:-1], first[1:], strict=True):
+                        if of != shard:
+                            if shard is not None:
+                                learn()
+                                yield blocks()
+                            shard, own, done = of, {k: v.copy() for k, v in shared.value.items()}, 0
+                            adam = Adam(own)
+                        held.append(r[x:y])
+                        n += int(y - x)
+                        if n > 2 * share:  # bounds memory; the parameters go on
+                            learn()
+            if shard is not None:
+                learn()
+                yield blocks()
+
+        def mean(t: pa.Table) -> pa.Table:
+            n = t.column("n").to_numpy()
+            total = np.zeros(BLOCK)
+            for one, v in zip(n, t.column("v").combine_chunks(), strict=True):
+                total += one * v.values.to_numpy()
+            return pa.table({"block": t.column("block")[:1], "v": pa.array([total / n.sum()], pa.list_(pa.float32()))})
+
+        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == i).select(F.lit(0).alias("shard"), "text").mapInArrow(run, "block int, n double, v array<float>")
+        out = part.groupBy("block").applyInArrow(mean, "block int, v array<float>").toArrow().sort_by("block")
+        if len(out):
+            p = unflat(out.column("v").combine_chunks().flatten().to_numpy(), p)
     return p
 
 

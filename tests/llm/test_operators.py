@@ -197,6 +197,21 @@ def test_recurrent_lm_sums_to_one_and_learns():
     assert np.allclose(recurrent_lm.score(p, head, np.concatenate(docs), first, 7), recurrent_lm.score(p, head, np.concatenate(docs), first, 1000), rtol=1e-4)
 
 
+def test_recurrent_lm_vocabulary_grows():
+    """Words far behind rank 1024 have an input row and a learned output each; probabilities stay one distribution."""
+    n = 40_000
+    hashes = np.unique(W.mix(np.arange(1, n + 1, dtype=np.uint64)))
+    head = recurrent_lm.Head(hashes, np.arange(n, 0, -1), n * (n + 1) // 2, n)
+    ranks = np.array([1100, 1500, 2000])
+    assert len(set(head.input[ranks])) == 3 and not head.share[ranks].any()
+    p = recurrent_lm.start(head)
+    h = np.random.default_rng(1).standard_normal((1, recurrent_lm.HIDDEN)).astype(np.float32)
+    lp, _ = recurrent_lm.outputs(p, head, np.repeat(h, n + 1, 0), np.arange(n + 1))
+    assert np.exp(lp).sum() == pytest.approx(1, rel=1e-3)
+    sizes = [recurrent_lm.Head(hashes[:9], np.ones(9), d, d).words for d in (9, 40_000, 404_216, 10**9)]
+    assert sizes == [1024, 2048, 16384, recurrent_lm.WORDS_MOST]
+
+
 def test_quality_rules(spark, here):
     rows = result(spark, here, "op5_quality_rules")
     assert len(rows) == len(here[1])
