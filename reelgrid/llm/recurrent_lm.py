@@ -8,9 +8,10 @@
    rarer ones are a few bands, within which a token has its smoothed share of the band's counts. The
    last band holds all tokens beyond HEAD and unknown ones.
    log P(token) = log P(class | state) + log P(token | class, state).
-3. Training: in each round every task runs truncated backpropagation over its part of the sampled
-   training documents (one in EVERY by hash, whole texts), from the same start; the parameters are
-   then averaged by Spark, weighted by tokens.
+3. Training: every training document is in one of ROUNDS rounds and there in one shard, by hash. Shards
+   have SHARE tokens for each learned word on average, whatever the files. In each round every shard is
+   learned from by truncated backpropagation, in order of hash, from the same start; the parameters
+   are then averaged by Spark, weighted by tokens.
 4. Scoring: all documents of a batch advance together, a window of steps at a time; a document's
    state is carried from window to window to its end, so whole texts are scored. Tokens beyond
    HEAD get their counts by a join of (document, token) rows with the counts table.
@@ -38,7 +39,7 @@ WORDS_LEAST, WORDS_MOST, WORD_OF = 1 << 10, 1 << 15, 16
 #: Ranks where a band ends, those above the learned words; the head ends the last but one.
 BANDS = (8192, 65536, HEAD)
 STEPS = 32
-HIDDEN, WINDOW, LANES_LEAST, LANES, EVERY, ROUNDS, SHARE, RATE = 24, 16, 32, 512, 8, 2, 64, 0.004
+HIDDEN, WINDOW, LANES_LEAST, LANES, ROUNDS, SHARE, RATE = 24, 16, 32, 512, 4, 64, 0.004
 #: Rows of a softmax at a time, and parameters of a block that are averaged together.
 ROWS, BLOCK = 1 << 13, 1 << 12
 LN10 = float(np.log(10))
@@ -348,11 +349,19 @@ def head_of(counts: DataFrame) -> Head:
     return Head(top.column("token").to_numpy().view(np.uint64), top.column("c").to_numpy(), total, distinct)
 
 
-def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, every: int = EVERY) -> dict[str, np.ndarray]:
-    """Parameters after averaging `rounds` times; round i learns from the documents whose hash is i modulo `every`."""
+def dealt(docs: DataFrame, rounds: int, shards: int) -> DataFrame:
+    """(round, shard, key, text) of every document, by hash of id and text."""
+    key = F.xxhash64("doc_id", "text")
+    return docs.select(F.pmod(key, F.lit(rounds)).alias("round"), F.pmod(F.xxhash64(F.lit(1), "doc_id", "text"), F.lit(shards)).alias("shard"), key.alias("key"), "text")
+
+
+def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
+    """Parameters after averaging `rounds` times; every document is learned from once, in its round and shard."""
     spark, p = docs.sparkSession, start(head)
     shared_head = spark.sparkContext.broadcast(head)
     share = SHARE * head.words
+    shards = max(1, round(head.total / rounds / share))
+    parts = dealt(docs, rounds, shards)
     for i in range(rounds):
         shared = spark.sparkContext.broadcast(p)
 
@@ -398,7 +407,8 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS, every: int = EVERY) -
                 total += one * v.values.to_numpy()
             return pa.table({"block": t.column("block")[:1], "v": pa.array([total / n.sum()], pa.list_(pa.float32()))})
 
-        part = docs.where(F.pmod(F.xxhash64("doc_id"), F.lit(every)) == i).select(F.lit(0).alias("shard"), "text").mapInArrow(run, "block int, n double, v array<float>")
+        # More partitions than shards, so that few hold two; a partition's shards are learned from one after another.
+        part = parts.where(F.col("round") == i).repartition(4 * shards, "shard").sortWithinPartitions("shard", "key").select("shard", "text").mapInArrow(run, "block int, n double, v array<float>")
         out = part.groupBy("block").applyInArrow(mean, "block int, v array<float>").toArrow().sort_by("block")
         if len(out):
             p = unflat(out.column("v").combine_chunks().flatten().to_numpy(), p)

@@ -212,6 +212,17 @@ def test_recurrent_lm_vocabulary_grows():
     assert sizes == [1024, 2048, 16384, recurrent_lm.WORDS_MOST]
 
 
+def test_recurrent_lm_learns_from_all_documents_in_any_layout(spark):
+    """Each document's own word gets its input row changed, and the files' layout changes nothing."""
+    docs = spark.createDataFrame([(i, f"word{i} the house of water " * (3 + i % 4)) for i in range(48)], "doc_id long, text string")
+    head = recurrent_lm.head_of(recurrent_lm.token_counts(docs))
+    first = recurrent_lm.start(head)
+    one, many = (recurrent_lm.fit(docs.repartition(n), head) for n in (1, 7))
+    own = head.input[head.rank(W.words_of([" ".join(f"word{i}" for i in range(48))]).hashes())]
+    assert len(set(own)) == 48 and (one["x"][own] != first["x"][own]).any(axis=1).all()
+    assert all(np.allclose(one[k], many[k], atol=1e-6) for k in one)
+
+
 def test_quality_rules(spark, here):
     rows = result(spark, here, "op5_quality_rules")
     assert len(rows) == len(here[1])
