@@ -39,9 +39,9 @@ def drained(stream: DataFrame, name: str, mode: str = "append", each=None) -> Da
     return spark.read.parquet(f"{home}/out/all" if mode == "complete" else f"{home}/out").drop("batch")
 
 
-def unique(entries: DataFrame, keys: list[str], time: str, late: str = "1 hour") -> DataFrame:
-    """Entries once per key; keys are forgotten behind the watermark, so state stays bounded."""
-    return entries.withWatermark(time, late).dropDuplicatesWithinWatermark(keys)
+def unique(entries: DataFrame, keys: list[str]) -> DataFrame:
+    """Entries once per key, whatever their age: the state store holds all keys seen, dealt by hash, and grows with them."""
+    return entries.dropDuplicates(keys)
 
 
 def windowed(entries: DataFrame, time: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
