@@ -9,7 +9,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.operators import acquisition
@@ -26,12 +26,12 @@ def stream_of(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
 
 
 def drained(stream: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
-    """Runs a stream over all files there are and reads back what it wrote."""
+    """Runs a stream over all files there are and reads back what it wrote; each(batch, n, home) changes a batch first."""
     spark = stream.sparkSession
     home = shared_folder(spark, name)
 
     def put(batch: DataFrame, n: int):
-        out = each(batch) if each else batch
+        out = each(batch, n, home) if each else batch
         out.write.mode("overwrite").parquet(f"{home}/out/" + ("all" if mode == "complete" else f"batch={n}"))
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).foreachBatch(put).start()
@@ -49,7 +49,27 @@ def windowed(entries: DataFrame, time: str, size: str, slide: str | None = None,
     return entries.withWatermark(time, late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 
 
-def acquired(entries: DataFrame) -> DataFrame:
-    """The acquisition fold of a batch of (key, at, entry_id, feed, resolution)."""
-    rows = entries.withColumns({"rank": F.lit(0), "cross_seed": F.lit(False), "upgrade": F.lit(True)})
-    return acquisition.fold(rows, ["key"], [F.asc("at"), F.asc("entry_id")], "feed", "resolution", "rank", "cross_seed", "upgrade").select("key", "entry_id", "action")
+def acquired(batch: DataFrame, n: int, home: str) -> DataFrame:
+    """The acquisition fold of a batch of (key, at, entry_id, feed, resolution), on what earlier batches left.
+
+    The state has a row for each key and feed seen, with the quality held. A batch adds the rows of all its keys in a
+    folder of its own, so a retry overwrites them; of a key, those of its last batch count. Batches are taken as they come.
+    """
+    spark = batch.sparkSession
+    entries = batch.withColumns({"rank": F.lit(0), "cross_seed": F.lit(False), "upgrade": F.lit(True), "new": F.lit(True)})
+    if n:
+        kinds = {f.name: f.dataType.simpleString() for f in batch.schema}
+        known = spark.read.schema(f"key {kinds['key']}, feed {kinds['feed']}, resolution int, rank int, batch long").parquet(f"{home}/state").where(F.col("batch") < n)
+        keys = batch.select(F.col("key").alias("own")).distinct()
+        known = known.join(keys, F.col("key").eqNullSafe(F.col("own")), "left_semi").withColumn("last", F.max("batch").over(Window.partitionBy("key"))).where("batch = last")
+        # Rows before all entries: the first holds the quality, the others only their feeds.
+        past = known.select("key", "feed", "resolution", "rank").withColumns({"cross_seed": F.lit(False), "upgrade": F.lit(False), "new": F.lit(False)})
+        entries = entries.unionByName(past, allowMissingColumns=True)
+    folded = acquisition.fold(entries, ["key"], [F.asc("new"), F.asc("at"), F.asc("entry_id")], "feed", "resolution", "rank", "cross_seed", "upgrade")
+    path = f"{home}/folded/batch={n}"
+    folded.select("key", "entry_id", "feed", "new", "action", "held_resolution", "held_rank").write.mode("overwrite").parquet(path)
+    done = spark.read.parquet(path)
+    held = F.max(F.max(F.struct("held_resolution", "held_rank"))).over(Window.partitionBy("key"))
+    state = done.groupBy("key", "feed").agg(held.alias("held"))
+    state.select("key", "feed", F.col("held.held_resolution").cast("int").alias("resolution"), F.col("held.held_rank").cast("int").alias("rank")).write.mode("overwrite").parquet(f"{home}/state/batch={n}")
+    return done.where("new").select("key", "entry_id", "action")

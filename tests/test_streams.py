@@ -1,6 +1,8 @@
 """Streams over many files, in several batches and out of order, equal their batch forms."""
 
+import json
 import os
+import random
 
 from pyspark.sql import functions as F
 
@@ -24,3 +26,15 @@ def test_old_entries_are_kept_and_late_copies_dropped(spark, tmp_path):
     home = landed(spark, tmp_path, pieces + [[(3, "2023-01-01 00:00:00", 3, "view", "{}")]])
     rows = streams.stream_ingest(spark, home).collect()
     assert sorted(r.event_id for r in rows) == list(range(108))
+
+
+def test_acquisition_goes_on_from_batch_to_batch(spark, tmp_path):
+    r = random.Random(4)
+    rows = [(i, f"2024-03-01 {i // 60:02}:{i % 60:02}:00", r.choice([None, 1, 2, 3]), "view", f'{{"k":{r.randrange(9)}}}') for i in range(240)]
+    home = landed(spark, tmp_path, [rows[i : i + 2] for i in range(0, 240, 2)])
+    held, want = {}, {}
+    for i, _, key, _, props in rows:
+        k = json.loads(props)["k"]
+        want[i] = "SATISFY" if key not in held else "UPGRADE" if k > held[key] else "REJECT"
+        held[key] = max(k, held.get(key, -1))
+    assert {x.entry_id: x.action for x in streams.stream_acquisition(spark, home).collect()} == want
