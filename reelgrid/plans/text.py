@@ -76,8 +76,8 @@ def title_key_ascii(spark, d):
 
 @query()
 def title_key_unicode(spark, d):
-    """Keys of the first words of documents: marks go from Latin letters only."""
-    return table(spark, d, "documents").select("doc_id", text.title_key(F.substring_index("text", " ", 8)).alias("title_key"), text.score_key(F.substring_index("text", " ", 8)).alias("score_key"))
+    """Keys of whole documents: marks go from Latin letters only."""
+    return table(spark, d, "documents").select("doc_id", text.title_key(F.col("text")).alias("title_key"), text.score_key(F.col("text")).alias("score_key"))
 
 
 @query("SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, CASE WHEN l_extendedprice * 100000 >= 1073741824 THEN printf('%.1f GB', floor(l_extendedprice * 100000 / 1073741824.0 * 10 + 0.5) / 10) WHEN l_extendedprice * 100000 >= 1048576 THEN printf('%.1f MB', floor(l_extendedprice * 100000 / 1048576.0 * 10 + 0.5) / 10) ELSE CAST(l_extendedprice * 100000 AS BIGINT) || ' B' END AS size FROM (SELECT *  REPLACE (CAST(floor(l_extendedprice) AS BIGINT) AS l_extendedprice) FROM lineitem)")
