@@ -4,9 +4,17 @@ import json
 import os
 import random
 
+import pytest
 from pyspark.sql import functions as F
 
 from reelgrid.plans import streams
+from reelgrid.streaming import feeds
+
+
+@pytest.fixture(autouse=True)
+def one_file_a_batch(monkeypatch):
+    of = feeds.stream_of
+    monkeypatch.setattr(feeds, "stream_of", lambda spark, path, *_: of(spark, path, 1))
 
 
 def landed(spark, home, pieces):
@@ -22,16 +30,16 @@ def landed(spark, home, pieces):
 
 
 def test_old_entries_are_kept_and_late_copies_dropped(spark, tmp_path):
-    pieces = [[(i, f"2024-03-{28 - i // 8:02} 00:00:00", i % 5, "view", "{}")] for i in range(108)]
+    pieces = [[(i, f"2024-03-{28 - i:02} 00:00:00", i % 5, "view", "{}")] for i in range(6)]
     home = landed(spark, tmp_path, pieces + [[(3, "2023-01-01 00:00:00", 3, "view", "{}")]])
     rows = streams.stream_ingest(spark, home).collect()
-    assert sorted(r.event_id for r in rows) == list(range(108))
+    assert sorted(r.event_id for r in rows) == list(range(6))
 
 
 def test_acquisition_goes_on_from_batch_to_batch(spark, tmp_path):
     r = random.Random(4)
     rows = [(i, f"2024-03-01 {i // 60:02}:{i % 60:02}:00", r.choice([None, 1, 2, 3]), "view", f'{{"k":{r.randrange(9)}}}') for i in range(240)]
-    home = landed(spark, tmp_path, [rows[i : i + 2] for i in range(0, 240, 2)])
+    home = landed(spark, tmp_path, [rows[i : i + 60] for i in range(0, 240, 60)])
     held, want = {}, {}
     for i, _, key, _, props in rows:
         k = json.loads(props)["k"]
