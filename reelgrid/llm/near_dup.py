@@ -8,12 +8,15 @@
    coordinates share one of those); the frequent lists are skipped, and their coordinates count
    only when the two signatures are compared.
 3. First every class meets the least class of each of its lists, which joins large groups of
-   copies by few links. Then, in lists that still hold more than one component, all classes of
-   different components are compared, in blocks of bounded size and each pair in the list of its
-   first common coordinate only. So no link between components is lost, and no group's pairs are all
-   made. A second, longer sketch rules out most pairs that are similar but not enough.
+   copies by few links. Then, in lists that still hold more than one component, classes of
+   different components are compared, in parts of bounded size and each pair in the list of its
+   first common coordinate only. A second, longer sketch rules out most pairs that are similar but
+   not enough; for the rest the full sets are in the part, links join components as they are found,
+   and only links leave it, fewer than its rows.
 4. A pair with at least MATCHES equal coordinates is confirmed on the full sets: linked if
    100 * intersection >= threshold * union. Components of the links are the classes of the result.
+   Rows sent grow with the lists' lengths; in a list of more than BLOCK rows they grow with the
+   rows outside its largest component times its blocks.
 
 For sets of similarity 0.8 the chance that fewer than 36 of 64 coordinates agree, or that more than
 148 of the 1024 bits differ (102 are expected), is below 1e-5.
@@ -37,7 +40,9 @@ from reelgrid.llm.graph import components
 from reelgrid.llm.tables import documents, written
 from reelgrid.llm.words import shingle_sets, signature, words_of
 
-COORDINATES, MATCHES, BLOCK = 64, 36, 512
+COORDINATES, MATCHES = 64, 36
+#: Rows of a list, and bytes of their full sets, that are compared in one part.
+BLOCK, BLOCK_BYTES = 4096, 64 << 20
 #: Second sketch, of classes that share coordinates: one bit of each of so many further coordinates, and how many may differ.
 BITS, DIFFERENT = 1024, 148
 
@@ -111,57 +116,121 @@ def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     return both.mapInArrow(run, "a long, b long")
 
 
-def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs (a, b) of different components in one list whose sketches agree; lists are compared in blocks."""
-    known = lists.select("key", "id").join(label, lists.id == label.node, "left").select("key", "id", F.coalesce("component", "id").alias("component"))
-    mixed = known.groupBy("key").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n")).where("low <> high")
-    placed = known.join(mixed.select("key", F.ceil(F.col("n") / BLOCK).alias("blocks")), "key").withColumn("own", F.pmod(F.xxhash64("id"), F.col("blocks")))
-    # Each pair of blocks meets once; a row goes to all pairs of its block.
-    meet = F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda o: F.struct(F.least(o, F.col("own")).alias("i"), F.greatest(o, F.col("own")).alias("j")))
-    placed = placed.select("key", "id", "component", "own", F.explode(meet).alias("m")).select("key", "m.i", "m.j", "own", "id", "component")
+def grouped(batches, of: list[str]):
+    """Tables of the rows with equal values in columns `of`, of batches sorted by them; one is held at a time."""
+    held = None
+    for batch in batches:
+        t = pa.Table.from_batches([batch])
+        t = t if held is None else pa.concat_tables([held, t])
+        cols = [t.column(c).to_numpy() for c in of]
+        edge = np.flatnonzero(np.any([c[1:] != c[:-1] for c in cols], axis=0)) + 1
+        at = [0, *edge.tolist()]
+        for lo, hi in zip(at[:-1], at[1:], strict=True):
+            yield t.slice(lo, hi - lo)
+        held = t.slice(at[-1])
+    if held is not None and len(held):
+        yield held
+
+
+class Sketches:
+    """The rows of one group, and which of them agree."""
+
+    def __init__(self, t: pa.Table):
+        self.at, self.whole = int(t.column("key")[0].as_py()) >> 32, t.column("whole")[0].as_py()
+        self.side = t.column("side").to_numpy()
+        self.sig = t.column("sig").combine_chunks().values.to_numpy().reshape(len(t), COORDINATES)
+        self.bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(t), -1)
+        self.used = (t.column("merged").to_numpy()[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
+
+    def agree(self, r: int, component: np.ndarray) -> np.ndarray:
+        """Rows behind r of other components that look similar to it and have this list's coordinate as first common one."""
+        ok = component[r + 1 :] != component[r]
+        if not self.whole:
+            ok &= self.side[r + 1 :] != self.side[r]
+        there = np.flatnonzero(ok) + r + 1
+        if len(there):
+            there = there[np.bitwise_count(self.bits[there] ^ self.bits[r]).sum(axis=1, dtype=np.int64) <= DIFFERENT]
+        if len(there):
+            same = self.sig[there] == self.sig[r]
+            there = there[(same.sum(axis=1) >= MATCHES) & ((same & self.used[there] & self.used[r]).argmax(axis=1) == self.at)]
+        return there
+
+
+def placed(lists: DataFrame, label: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(key, part, side, whole, id, component) of the rows of lists that hold several components.
+
+    A list of BLOCK rows and BLOCK_BYTES of sets is one part. Of a longer one, the rows of its largest component, which need
+    no comparison among themselves, are dealt once over parts of that size; the rest, whose rows go to each of these, is
+    compared with itself in parts of two blocks.
+    """
+    known = lists.join(label, lists.id == label.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sizes, "id")
+    of = known.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
+    blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
+    mixed = of.groupBy("key").agg(F.count("*").alias("components"), F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("components > 1")
+    mixed = mixed.select("key", F.col("top.component").alias("major"), blocks(F.col("n"), F.col("bytes")).alias("all"), blocks(F.col("top.n"), F.col("top.bytes")).alias("major_blocks"), blocks(F.col("n") - F.col("top.n"), F.col("bytes") - F.col("top.bytes")).alias("rest_blocks"))
+    rows = known.join(mixed, "key")
+    number = F.xxhash64("id")
+    part = lambda p, side, whole: F.struct(p.alias("part"), side.cast("int").alias("side"), whole.alias("whole"))
+    own = F.pmod(number, F.col("rest_blocks")).cast("int")
+    with_rest = F.transform(F.sequence(F.lit(0), F.col("rest_blocks") - 1), lambda o: part(F.col("major_blocks") + F.least(o, own) * F.col("rest_blocks") + F.greatest(o, own), own > o, o == own))
+    with_major = F.transform(F.sequence(F.lit(0), F.col("major_blocks") - 1), lambda o: part(o, F.lit(1), F.lit(False)))
+    to = F.when(F.col("all") == 1, F.array(part(F.lit(0), F.lit(0), F.lit(True)))).when(F.col("component") == F.col("major"), F.array(part(F.pmod(number, F.col("major_blocks")).cast("int"), F.lit(0), F.lit(False)))).otherwise(F.concat(with_major, with_rest))
+    return rows.select("key", "id", "component", F.explode(to).alias("to")).select("key", "to.part", "to.side", "to.whole", "id", "component")
+
+
+def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
+    """Links (a, b) between components that meet in a list, fewer than the rows of each part.
+
+    First the sketches of a part's rows tell which have a similar row of another component there; only these get their full
+    sets, and within the part links are confirmed and join components at once, so pairs neither leave it nor repeat.
+    """
+    sizes = sets.select(F.col("doc_id").alias("id"), F.octet_length("shingles").alias("bytes"))
     merged = lists.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("merged"))  # a bit per coordinate
     sketches = classes.select("id", "sig").join(merged, "id").join(sets.select(F.col("doc_id").alias("id"), "bits"), "id")
-    rows = placed.join(sketches, "id").select("key", "i", "j", "own", "id", "component", "merged", "sig", "bits")
-    rows = rows.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-
-    def compare(t: pa.Table) -> pa.RecordBatch:
-        key, i, j, own, ids, comp, merged = (t.column(c).to_numpy() for c in ("key", "i", "j", "own", "id", "component", "merged"))
-        sig = t.column("sig").combine_chunks().values.to_numpy().reshape(-1, COORDINATES)
-        bits = np.frombuffer(b"".join(t.column("bits").to_pylist()), np.uint64).reshape(len(key), -1)
-        used = (merged[:, None] >> np.arange(COORDINATES) & 1).astype(bool)
-        edge = np.flatnonzero((key[1:] != key[:-1]) | (i[1:] != i[:-1]) | (j[1:] != j[:-1])) + 1
-        a, b = [], []
-        for lo, hi in zip([0, *edge.tolist()], [*edge.tolist(), len(key)], strict=True):
-            at = int(key[lo]) >> 32
-            for r in range(lo, hi - 1):
-                ok = comp[r + 1 : hi] != comp[r]
-                if i[lo] != j[lo]:
-                    ok &= own[r + 1 : hi] != own[r]
-                there = np.flatnonzero(ok) + r + 1
-                there = there[np.bitwise_count(bits[there] ^ bits[r]).sum(axis=1, dtype=np.int64) <= DIFFERENT] if len(there) else there
+    names = ["key", "part", "side", "whole", "id", "component", "merged", "sig", "bits"]
+    rows = placed(lists, label, sizes).join(sketches, "id").select(*names)
+    dealt = lambda df: df.repartition("key", "part").sortWithinPartitions("key", "part")
+
+    def met(batches):
+        for t in grouped(batches, ["key", "part"]):
+            sketch, component, similar = Sketches(t), t.column("component").to_numpy(), np.zeros(len(t), bool)
+            for r in range(len(t) - 1):
+                there = sketch.agree(r, component)
+                similar[there] = True
+                similar[r] |= len(there) > 0
+            if similar.any():
+                yield from t.filter(pa.array(similar)).to_batches()
+
+    some = dealt(rows).mapInArrow(met, rows.schema)
+    some = some.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id").select(*names, "shingles")
+
+    def linked(batches):
+        for t in grouped(batches, ["key", "part"]):
+            sketch, component, ids = Sketches(t), t.column("component").to_numpy().copy(), t.column("id").to_numpy()
+            own = [np.frombuffer(x.as_buffer(), np.uint64) for c in t.column("shingles").chunks for x in c]
+            sizes = np.array([len(x) for x in own])
+            # Shingles of the part by number, so that one row is compared with many by lookups.
+            values, number = np.unique(np.concatenate(own), return_inverse=True)
+            number = np.split(number, np.cumsum(sizes)[:-1])
+            there_is, a, b = np.zeros(len(values), np.int64), [], []
+            for r in range(len(t) - 1):
+                there = sketch.agree(r, component)
                 if not len(there):
                     continue
-                same = sig[there] == sig[r]
-                hit = there[(same.sum(axis=1) >= MATCHES) & ((same & used[there] & used[r]).argmax(axis=1) == at)]
-                a.extend(np.minimum(ids[hit], ids[r]).tolist())
-                b.extend(np.maximum(ids[hit], ids[r]).tolist())
-        return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
-
-    def run(batches):
-        held = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = t if held is None else pa.concat_tables([held, t])
-            key, i, j = (t.column(c).to_numpy() for c in ("key", "i", "j"))
-            other = np.flatnonzero((key != key[-1]) | (i != i[-1]) | (j != j[-1]))
-            last = int(other[-1]) + 1 if len(other) else 0
-            if last:
-                yield compare(t.slice(0, last).combine_chunks())
-            held = t.slice(last)
-        if held is not None and len(held):
-            yield compare(held.combine_chunks())
-
-    return rows.mapInArrow(run, "a long, b long")
+                there_is[number[r]] = 1
+                for x in there.tolist():
+                    if component[x] == component[r]:
+                        continue
+                    shared = int(there_is[number[x]].sum())
+                    if 100 * shared >= threshold * (sizes[x] + sizes[r] - shared):
+                        a.append(min(ids[x], ids[r]))
+                        b.append(max(ids[x], ids[r]))
+                        component[component == component[x]] = component[r]
+                there_is[number[r]] = 0
+            if a:
+                yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
+    return dealt(some).mapInArrow(linked, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
@@ -176,7 +245,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     star = lists.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = written(confirmed(agreeing(star, classes), sets, threshold), "links")
     label = components(links)
-    more = written(confirmed(across(lists, label, classes, sets), sets, threshold), "links")
+    more = written(across(lists, label, classes, sets, threshold), "links")
     label = components(links.union(more))
     of_class = classes.select("set_key", "id").join(label, classes.id == label.node, "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
     return (
