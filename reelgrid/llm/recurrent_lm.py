@@ -10,8 +10,8 @@
    log P(token) = log P(class | state) + log P(token | class, state).
 3. Training: every training document is in one of ROUNDS rounds and there in one shard, by hash. Shards
    have SHARE tokens for each learned word on average, whatever the files. In each round every shard is
-   learned from by truncated backpropagation, in order of hash, from the same start; the parameters
-   are then averaged by Spark, weighted by tokens.
+   learned from by truncated backpropagation, in order of hash, from the same start: Adam for what all
+   tokens use, Adagrad for the rows of words. The parameters are then averaged by Spark, weighted by tokens.
 4. Scoring: all documents of a batch advance together, a window of steps at a time; a document's
    state is carried from window to window to its end, so whole texts are scored. Tokens beyond
    HEAD get their counts by a join of (document, token) rows with the counts table.
@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import batches_of
-from reelgrid.llm.tables import documents, remainder, written
+from reelgrid.llm.tables import documents, one_thread_a_task, remainder, written
 from reelgrid.llm.words import mix, words_of
 
 END = mix(np.array([0x656E64], np.uint64))
@@ -39,9 +39,9 @@ WORDS_LEAST, WORDS_MOST, WORD_OF = 1 << 10, 1 << 15, 16
 #: Ranks where a band ends, those above the learned words; the head ends the last but one.
 BANDS = (8192, 65536, HEAD)
 STEPS = 32
-HIDDEN, WINDOW, LANES_LEAST, LANES, ROUNDS, SHARE, RATE = 24, 16, 32, 512, 4, 64, 0.004
+HIDDEN, WINDOW, LANES_LEAST, LANES, ROUNDS, SHARE, RATE, ROW_RATE = 24, 16, 32, 512, 4, 64, 0.004, 0.1
 #: Rows of a softmax at a time, and parameters of a block that are averaged together.
-ROWS, BLOCK = 1 << 13, 1 << 12
+ROWS, BLOCK = 1 << 12, 1 << 12
 LN10 = float(np.log(10))
 
 
@@ -137,91 +137,103 @@ def step(p: dict, x: np.ndarray, h: np.ndarray):
     return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
 
 
-def by_class(cls: np.ndarray, classes: int):
-    """(class, indices) of the learned classes that occur."""
-    order = np.argsort(cls, kind="stable")
-    edge = np.searchsorted(cls[order], np.arange(classes + 1))
-    return [(c, order[edge[c] : edge[c + 1]]) for c in range(classes) if edge[c] < edge[c + 1]]
-
-
-def log_softmax_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """Log probability of column `at` of each row; logits become the loss's gradients there."""
-    rows = np.arange(len(logits))
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[rows, at]
-    np.exp(logits, out=logits)
-    total = logits.sum(axis=1)
-    logits /= total[:, None]
-    logits[rows, at] -= 1
-    return own - np.log(total)
-
-
-def log_share_at(logits: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """As above, without the gradients."""
-    logits -= logits.max(axis=1, keepdims=True)
-    own = logits[np.arange(len(logits)), at]
-    return own - np.log(np.exp(logits, out=logits).sum(axis=1))
+def logits_of(h: np.ndarray, w: np.ndarray, bias: np.ndarray, safe: bool) -> np.ndarray:
+    """exp(h @ w + bias), shifted by each row's largest value unless no value can overflow."""
+    d = h @ w
+    d += bias
+    if not safe:
+        d -= d.max(axis=1, keepdims=True)
+    return d
 
 
 def outputs(p: dict, head: Head, h: np.ndarray, ranks: np.ndarray, grads: dict | None = None):
     """Natural log probabilities of tokens given states; with grads, adds the loss's gradients and returns that of the states.
 
+    A gradient is (exp(logits) - total at the token) / total; dividing the states by total instead saves a pass over the logits.
     grads["w"] and grads["wb"] get the learned classes that occur, in order, with grads["classes"].
     """
     cls = head.cls[ranks]
-    log_at = log_share_at if grads is None else log_softmax_at
+    # |h| <= 1, so these bound the logits; float32 exponentials overflow above 88.
+    safe = max(float(np.abs(p["c"]).sum(axis=0).max()), float(np.abs(p["w"]).sum(axis=1).max())) + max(float(np.abs(p["cb"]).max()), float(np.abs(p["wb"]).max())) < 80
     out, dh = head.share[ranks], None if grads is None else np.empty_like(h)
+
+    def part(here, own, w, bias, at):
+        """w: HIDDEN rows. Adds to out and dh; the gradients of w and bias."""
+        row = np.arange(len(own))
+        d = logits_of(own, w, bias, safe)
+        mine = d[row, at]
+        np.exp(d, out=d)
+        total = d.sum(axis=1)
+        out[here] += mine - np.log(total)
+        if grads is None:
+            return None
+        d[row, at] -= total
+        by = 1 / total
+        back = d @ w.T
+        back *= by[:, None]
+        return back, (own * by[:, None]).T @ d, by @ d
+
     for lo in range(0, len(h), ROWS):
         here = slice(lo, lo + ROWS)
-        d = h[here] @ p["c"] + p["cb"]
-        out[here] += log_at(d, cls[here])
+        got = part(here, h[here], p["c"], p["cb"], cls[here])
         if grads is not None:
-            grads["c"] += h[here].T @ d
-            grads["cb"] += d.sum(axis=0)
-            dh[here] = d @ p["c"].T
-    found = by_class(cls, head.classes)
+            dh[here] = got[0]
+            grads["c"] += got[1]
+            grads["cb"] += got[2]
+    order = np.argsort(cls, kind="stable")
+    edge = np.searchsorted(cls[order], np.arange(head.classes + 1))
+    order = order[: edge[-1]]
+    own, at = h[order], ranks[order]
+    found = np.flatnonzero(np.diff(edge))
     if grads is not None:
-        grads["classes"] = np.array([c for c, _ in found], np.int64)
-        grads["w"] = np.empty((len(found), head.members, HIDDEN), np.float32)
-        grads["wb"] = np.empty((len(found), head.members), np.float32)
-    for i, (c, every) in enumerate(found):
+        grads["classes"] = found
+        grads["w"] = np.zeros((len(found), head.members, HIDDEN), np.float32)
+        grads["wb"] = np.zeros((len(found), head.members), np.float32)
+        back = np.empty_like(own)
+    for i, c in enumerate(found.tolist()):
         first = c * head.members
-        w, wb = p["w"][first : first + head.members], p["wb"][first : first + head.members]
-        if grads is not None:
-            grads["w"][i], grads["wb"][i] = 0, 0
-        for lo in range(0, len(every), ROWS):
-            at = every[lo : lo + ROWS]
-            own = h[at]
-            d = own @ w.T + wb
-            out[at] += log_at(d, ranks[at] - first)
+        w, wb = p["w"][first : first + head.members].T, p["wb"][first : first + head.members]
+        for lo in range(edge[c], edge[c + 1], ROWS):
+            here = slice(lo, min(lo + ROWS, edge[c + 1]))
+            got = part(order[here], own[here], w, wb, at[here] - first)
             if grads is not None:
-                grads["w"][i] += d.T @ own
-                grads["wb"][i] += d.sum(axis=0)
-                dh[at] += d @ w
+                back[here] = got[0]
+                grads["w"][i] += got[1].T
+                grads["wb"][i] += got[2]
+    if grads is not None:
+        dh[order] += back
     return out, dh
 
 
-class Adam:
+class Steps:
+    """Adam for parameters that every token uses; for rows of words, whose tokens differ in frequency, Adagrad with a sum per row."""
+
     def __init__(self, p: dict):
-        self.m, self.v, self.t = {k: np.zeros_like(x) for k, x in p.items()}, {k: np.zeros_like(x) for k, x in p.items()}, 0
+        self.m, self.v = ({k: np.zeros_like(p[k]) for k in ("u", "b", "c", "cb")} for _ in range(2))
+        self.sums, self.t = {k: np.zeros(len(p[k]), np.float32) for k in ("x", "w", "wb")}, 0
 
     def apply(self, p: dict, g: dict, rows: dict) -> None:
-        """One step. Parameters named in rows change only there: g has these rows, of as many values each as it says."""
+        """One step. Rows named change only; g has these, in blocks of as many rows each as it says."""
         self.t += 1
-        for k in p:
-            x, m, v, new, at = p[k], self.m[k], self.v[k], g[k], slice(None)
-            if k in rows:
-                if not len(rows[k]):
-                    continue
-                new, at = new.reshape(len(new), -1), rows[k]
-                x, m, v = (a.reshape(-1, new.shape[1]) for a in (x, m, v))
-            m2 = m[at] + 0.1 * (new - m[at])
-            v2 = v[at] + 0.01 * (new * new - v[at])
-            m[at], v[at] = m2, v2
-            x[at] -= RATE * (m2 / (1 - 0.9**self.t)) / (np.sqrt(v2 / (1 - 0.99**self.t)) + 1e-6)
-
-
-def train(p: dict, head: Head, docs: list[np.ndarray], adam: Adam | None = None) -> None:
+        for k, m in self.m.items():
+            v, new = self.v[k], g[k]
+            m += 0.1 * (new - m)
+            v += 0.01 * (new * new - v)
+            p[k] -= RATE * (m / (1 - 0.9**self.t)) / (np.sqrt(v / (1 - 0.99**self.t)) + 1e-6)
+        for k, sums in self.sums.items():
+            if not len(rows[k]):
+                continue
+            new = g[k].reshape(len(rows[k]), -1, *p[k].shape[1:])
+            per = new.shape[1]
+            square = np.einsum("abc,abc->ab", new, new) / new.shape[2] if new.ndim == 3 else new * new
+            s = sums.reshape(-1, per)
+            s[rows[k]] += square
+            rate = ROW_RATE / (np.sqrt(s[rows[k]]) + 1e-6)
+            new *= rate[:, :, None] if new.ndim == 3 else rate
+            p[k].reshape(-1, per, *p[k].shape[1:])[rows[k]] -= new
+
+
+def train(p: dict, head: Head, docs: list[np.ndarray], steps: Steps | None = None) -> None:
     """Truncated backpropagation over the documents as one stream, cut into equal parts (up to LANES) side by side.
 
     The state starts anew behind each end token.
@@ -233,49 +245,55 @@ def train(p: dict, head: Head, docs: list[np.ndarray], adam: Adam | None = None)
     grid[: len(stream)] = stream
     grid = grid.reshape(lanes, longest).T
     end_rank = int(head.rank(END)[0])
-    adam, h = adam or Adam(p), np.zeros((lanes, HIDDEN), np.float32)
+    steps, h = steps or Steps(p), np.zeros((lanes, HIDDEN), np.float32)
     before = np.full(lanes, -1, np.int64)
     for lo in range(0, longest, WINDOW):
         here = grid[lo : lo + WINDOW]
+        here = here[: int(np.count_nonzero(here.max(axis=1) >= 0))]  # lanes are filled one after the other, so the first row has most
         g = {k: np.zeros_like(p[k]) for k in ("u", "b", "c", "cb")}
-        kept, states, rows, changes = [], [], [], []
-        for t in here:
-            if t.max() < 0:
-                break
-            fresh = (before < 0) | (before == end_rank)
-            h = np.where(fresh[:, None], 0, h).astype(np.float32)
-            ids = head.input[np.maximum(before, 0)]
-            x = np.where(fresh[:, None], 0, p["x"][ids]) + p["b"]
-            new, parts = step(p, x.astype(np.float32), h)
-            kept.append((h, ids, fresh, parts))
-            states.append(new)
-            h, before = new, t
-        targets = here[: len(states)]
-        live = targets >= 0
-        flat_h = np.concatenate(states)
-        _, d = outputs(p, head, flat_h[live.ravel()], targets[live], g)
-        dh_out = np.zeros_like(flat_h)
-        dh_out[live.ravel()] = d
-        dh_out = dh_out.reshape(len(states), lanes, HIDDEN)
-        dh = np.zeros_like(h)
-        for k in range(len(states) - 1, -1, -1):
-            was, ids, fresh, (z, r, n, an) = kept[k]
-            dh = dh + dh_out[k]
-            dn = dh * (1 - z) * (1 - n * n)
-            da = np.concatenate((dh * (was - n) * z * (1 - z), dn * an * r * (1 - r), dn * r), axis=1)
-            dx = np.concatenate((da[:, : 2 * HIDDEN], dn), axis=1)
+        inputs = np.vstack((before, here[:-1]))
+        fresh = (inputs < 0) | (inputs == end_rank)
+        ids = head.input[np.maximum(inputs, 0)]
+        x = p["x"][ids]
+        x[fresh] = 0
+        x += p["b"]
+        kept, states = [], np.empty((len(here), lanes, HIDDEN), np.float32)
+        for k in range(len(here)):
+            if fresh[k].any():
+                h = h.copy()
+                h[fresh[k]] = 0
+            was, (h, parts) = h, step(p, x[k], h)
+            kept.append((was, parts))
+            states[k] = h
+        before = here[-1]
+        live = here >= 0
+        _, d = outputs(p, head, states[live], here[live], g)
+        dh_out = np.zeros_like(states)
+        dh_out[live] = d
+        dh, dx = np.zeros_like(h), np.empty((len(here), lanes, 3 * HIDDEN), np.float32)
+        da = np.empty((lanes, 3 * HIDDEN), np.float32)
+        ut = np.ascontiguousarray(p["u"].T)
+        for k in range(len(here) - 1, -1, -1):
+            was, (z, r, n, an) = kept[k]
+            dh += dh_out[k]
+            dn = dh * (1 - z)
+            dn *= 1 - n * n
+            da[:, :HIDDEN] = dh * (was - n) * z * (1 - z)
+            da[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
+            dx[k, :, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
+            da[:, 2 * HIDDEN :] = dn * r
+            dx[k, :, 2 * HIDDEN :] = dn
             g["u"] += was.T @ da
-            g["b"] += dx.sum(axis=0)
-            rows.append(ids[~fresh])
-            changes.append(dx[~fresh])
-            dh = np.where(fresh[:, None], 0, dh * z + da @ p["u"].T)
-        rows, changes = np.concatenate(rows), np.concatenate(changes)
+            dh = dh * z + da @ ut
+            dh[fresh[k]] = 0
+        g["b"] += dx.sum(axis=(0, 1))
+        rows, changes = ids[~fresh], dx[~fresh]
         order = np.argsort(rows, kind="stable")
         first = np.flatnonzero(np.append(True, np.diff(rows[order]))) if len(rows) else order
         g["x"] = np.add.reduceat(changes[order], first) if len(rows) else changes
         scale = np.float32(1 / max(1, live.sum()))
         classes = g.pop("classes")
-        adam.apply(p, {k: v * scale for k, v in g.items()}, {"x": rows[order][first], "w": classes, "wb": classes})
+        steps.apply(p, {k: v * scale for k, v in g.items()}, {"x": rows[order][first], "w": classes, "wb": classes})
 
 
 def score(p: dict, head: Head, ranks: np.ndarray, first: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
@@ -357,7 +375,7 @@ def dealt(docs: DataFrame, rounds: int, shards: int) -> DataFrame:
 
 def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> dict[str, np.ndarray]:
     """Parameters after averaging `rounds` times; every document is learned from once, in its round and shard."""
-    spark, p = docs.sparkSession, start(head)
+    spark, p = one_thread_a_task(docs.sparkSession), start(head)
     shared_head = spark.sparkContext.broadcast(head)
     share = SHARE * head.words
     shards = max(1, round(head.total / rounds / share))
@@ -366,12 +384,12 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> dict[str, np.ndarr
         shared = spark.sparkContext.broadcast(p)
 
         def run(batches, shared=shared):
-            shard, own, adam, held, n, done = None, None, None, [], 0, 0
+            shard, own, steps, held, n, done = None, None, None, [], 0, 0
 
             def learn():
                 nonlocal held, n, done
                 if held:
-                    train(own, shared_head.value, held, adam)
+                    train(own, shared_head.value, held, steps)
                 held, n, done = [], 0, done + n
 
             def blocks():
@@ -391,7 +409,7 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> dict[str, np.ndarr
                                 learn()
                                 yield blocks()
                             shard, own, done = of, {k: v.copy() for k, v in shared.value.items()}, 0
-                            adam = Adam(own)
+                            steps = Steps(own)
                         held.append(r[x:y])
                         n += int(y - x)
                         if n > 2 * share:  # bounds memory; the parameters go on
@@ -417,7 +435,7 @@ def fit(docs: DataFrame, head: Head, rounds: int = ROUNDS) -> dict[str, np.ndarr
 
 def scored(docs: DataFrame, counts: DataFrame, head: Head, params: dict) -> DataFrame:
     """doc_id, n_tokens, n_known, base_score, score of every row."""
-    sc = docs.sparkSession.sparkContext
+    sc = one_thread_a_task(docs.sparkSession).sparkContext
     shared = sc.broadcast((head, params))  # of fixed size
     kind = docs.schema["doc_id"].dataType.simpleString()
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -18,13 +19,21 @@ def labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; one of our own only where the session sets none (tests)."""
+    """The folder of spark.checkpoint.dir; one of our own only where a session of one process sets none (tests)."""
     set_dir = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None)
     if set_dir:
         return set_dir.rstrip("/")
     if spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         return spark.sparkContext._jsc.sc().getCheckpointDir().get().rstrip("/")
-    return "/tmp/reelgrid-checkpoints"
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return tempfile.gettempdir().rstrip("/") + "/reelgrid-checkpoints"  # one process: its own folder is shared
+
+
+def one_thread_a_task(spark: SparkSession) -> SparkSession:
+    """Numpy in this session's Python workers multiplies in one thread: tasks fill the cores, and waiting threads would spin."""
+    spark.sparkContext.environment.setdefault("OPENBLAS_NUM_THREADS", "1")
+    return spark
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
