@@ -73,9 +73,15 @@ def decode_adpcm(data: np.ndarray, block: int = BLOCK) -> np.ndarray:
 
 
 def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
-    """Linear interpolation in whole numbers; the last sample is held."""
+    """In whole numbers: linear interpolation, the last sample held; to a lower rate, means over each new sample's time."""
     if rate == to or not len(pcm):
         return pcm.astype("<i2")
+    if to < rate:
+        sums = np.concatenate(([0], np.cumsum(pcm, dtype=np.int64), [0]))
+        at = np.arange(len(pcm) * to // rate + 1, dtype=np.int64) * rate
+        i, part = at // to, at % to
+        until = sums[i] * to + np.append(pcm, 0).astype(np.int64)[i] * part
+        return (np.diff(until) // rate).astype("<i2")
     x = np.append(pcm, pcm[-1]).astype(np.int64)
     at = np.arange(len(pcm) * to // rate, dtype=np.int64) * rate
     i, part = at // to, at % to
@@ -166,7 +172,10 @@ FEATURES = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string,
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests of what is stored and read back, and features of it under both laws, as ADPCM blocks and resampled."""
+    """Digests of what is stored and read back, and features of it under both laws, as ADPCM blocks and of its stored PCM.
+
+    media(doc_id, n_bytes, media, pcm), as store and to_pcm make it.
+    """
     schema = FEATURES.format(media.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
 
@@ -177,23 +186,23 @@ def features(media: DataFrame) -> DataFrame:
                 read = [read_wav(m) for m in stored]
                 blocks = decode_adpcm(np.frombuffer(b"".join(r[3] for r in read), np.uint8))  # of all rows at once
                 rows, at = [], 0
-                for m, (code, rate, _, payload) in zip(stored, read, strict=True):
+                for m, (_, _, _, payload), pcm in zip(stored, read, b.column(3), strict=True):
                     n = len(payload) // BLOCK
                     adpcm, at = blocks[at : at + n].ravel(), at + n
                     mu, a = expand(MU_LAW, payload), expand(A_LAW, payload)
-                    kept = resample(mu if code == MU_LAW else a, rate, STORED_RATE)
-                    feature = f"mulaw={loudness(mu)};alaw={loudness(a)};adpcm={loudness(adpcm)},{zlib.crc32(adpcm.tobytes())};pcm16k={len(kept)},{zlib.crc32(kept.tobytes())}"
+                    kept = pcm.as_buffer()
+                    feature = f"mulaw={loudness(mu)};alaw={loudness(a)};adpcm={loudness(adpcm)},{zlib.crc32(adpcm.tobytes())};pcm16k={kept.size // 2},{zlib.crc32(kept)}"
                     rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
                 cols = zip(*rows, strict=True)
                 kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Every document's bytes as mu-law samples, read back, with features."""
-    return features(store(documents(spark, sf_dir)))
+    """Every document's bytes as mu-law samples and resampled PCM, read back, with features."""
+    return features(to_pcm(store(documents(spark, sf_dir))))
 
 
 QUERIES = {"op1_telephony": op1_telephony}
