@@ -2,11 +2,12 @@
 
 A text's features are the square roots of the shares of hashed byte 1-grams and 3-grams of the
 lower-cased whole text, a vector of length one. Linear support vector machines are fitted in numpy
-on a bounded sample (SAMPLE training rows of each language, those of least hash): one for each pair
-of families, and one for each pair of languages of a family. Votes of the pairs decide, margins
-break ties. The score is the product of the decisive margins' logistic values, family and language.
+on a bounded sample (SAMPLE distinct training texts of each language, those of least hash; for
+families twice as many, of their languages alike): one for each pair of families, and one for each
+pair of languages of a family. Each pair is fitted in a task of its own and only its weights come to
+the driver. Votes of the pairs decide, margins break ties. The score is the product of the decisive margins' logistic values, family and language.
 
-A null text, or one without a letter, is `und` with score 0. Rows with null lang are predicted but
+A null text, or one without a letter (Unicode category L), is `und` with score 0. Rows with null lang are predicted but
 never learned from. With one learned language, it is predicted with score 1; with none, `und`.
 Repeated rows and equal texts get equal predictions.
 """
@@ -14,24 +15,34 @@ Repeated rows and equal texts get equal predictions.
 from __future__ import annotations
 
 import itertools
-import re
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import batches_of
-from reelgrid.llm.tables import documents, remainder, schema_with
+from reelgrid.llm.tables import documents, one_thread_a_task, remainder, schema_with, written
 
 #: Language to family; languages that are not listed are a family each.
 FAMILIES = {
     **dict.fromkeys(["en", "de", "nl", "sv", "da", "no", "is"], "germanic"),
     **dict.fromkeys(["fr", "es", "it", "pt", "ro", "ca", "gl"], "romance"),
-    **dict.fromkeys(["ru", "uk", "be", "pl", "cs", "sk", "bg", "sr", "hr", "sl"], "slavic"),
+    **dict.fromkeys(["ru", "uk", "be", "pl", "cs", "sk", "bg", "mk", "sr", "hr", "bs", "sl"], "slavic"),
+    **dict.fromkeys(["lt", "lv"], "baltic"),
+    **dict.fromkeys(["fi", "et", "hu"], "uralic"),
+    **dict.fromkeys(["tr", "az", "kk", "uz", "ky", "tt"], "turkic"),
+    **dict.fromkeys(["hi", "ur", "bn", "pa", "mr", "gu", "ne"], "indic"),
+    **dict.fromkeys(["fa", "ku", "ps", "tg"], "iranian"),
+    **dict.fromkeys(["ar", "he", "mt", "am"], "semitic"),
+    **dict.fromkeys(["ta", "te", "kn", "ml"], "dravidian"),
+    **dict.fromkeys(["id", "ms", "tl", "jv", "mg"], "austronesian"),
+    **dict.fromkeys(["ga", "cy", "gd", "br"], "celtic"),
+    **dict.fromkeys(["zh", "yue"], "sinitic"),
 }
 BITS, SAMPLE, ROUNDS = 13, 1000, 200
-LETTER = re.compile(r"[^\W\d_]")
+LETTER = regex.compile(r"\p{L}")
 
 
 def features(texts: list[str]) -> np.ndarray:
@@ -60,14 +71,6 @@ def svm(x: np.ndarray, y: np.ndarray, ridge: float = 1e-4) -> tuple[np.ndarray,
     return w, float(b)
 
 
-def pairwise(x: np.ndarray, names: np.ndarray) -> dict[tuple[str, str], tuple[np.ndarray, float]]:
-    found = {}
-    for a, b in itertools.combinations(sorted(set(names)), 2):
-        here = (names == a) | (names == b)
-        found[a, b] = svm(x[here], np.where(names[here] == a, 1, -1).astype(np.float32))
-    return found
-
-
 def vote(x: np.ndarray, names: list[str], machines: dict) -> tuple[np.ndarray, np.ndarray]:
     """The name with most pairs won and its least logistic margin, per row of x."""
     won = np.zeros((len(x), len(names)))
@@ -84,13 +87,14 @@ def vote(x: np.ndarray, names: list[str], machines: dict) -> tuple[np.ndarray, n
 
 
 class Model:
-    def __init__(self, x: np.ndarray, langs: list[str]):
-        langs = np.array(langs, object)
-        family = np.array([FAMILIES.get(v, v) for v in langs], object)
-        self.families = sorted(set(family))
-        self.between = pairwise(x, family)
-        self.langs = {f: sorted(set(langs[family == f])) for f in self.families}
-        self.within = {f: pairwise(x[family == f], langs[family == f]) for f in self.families}
+    """machines: weights and offset by level (family pairs: "") and pair."""
+
+    def __init__(self, langs: list[str], machines: dict[tuple[str, str, str], tuple[np.ndarray, float]]):
+        family = {v: FAMILIES.get(v, v) for v in langs}
+        self.families = sorted(set(family.values()))
+        self.langs = {f: sorted(v for v in langs if family[v] == f) for f in self.families}
+        self.between = {(a, b): m for (level, a, b), m in machines.items() if not level}
+        self.within = {f: {(a, b): m for (level, a, b), m in machines.items() if level == f} for f in self.families}
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], list[float]]:
         names, scores = ["und"] * len(texts), [0.0] * len(texts)
@@ -108,21 +112,45 @@ class Model:
         return names, scores
 
 
-def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
-    """Fitted on at most `sample` rows of each language, those whose text has the least hash; only they come to the driver."""
-    ranked = docs.where("lang is not null and text is not null").select("lang", "doc_id", F.xxhash64("text").alias("h"))
-    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h", "doc_id"))).where(F.col("rank") <= sample)
-    picked = docs.select("doc_id", "lang", "text").join(F.broadcast(ranked.select("doc_id", "lang").distinct()), ["doc_id", "lang"], "left_semi")
+def sampled(docs: DataFrame, sample: int) -> DataFrame:
+    """(lang, rank, x): features of at most `sample` distinct texts of each language, those of least hash."""
+    keyed = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
+    ranked = keyed.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample)
+    picked = keyed.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "rank").agg(F.first("text").alias("text"))  # languages x `sample` rows
 
     def run(batches):
         for whole in batches:
             for b in batches_of(whole, "text"):
-                x = features(b.column(1).to_pylist()).astype(np.float16)
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "x"])
+                x = features(b.column(2).to_pylist()).astype(np.float16)
+                yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([r.tobytes() for r in x], pa.binary())], names=["lang", "rank", "x"])
 
-    got = picked.select("lang", "text").mapInArrow(run, "lang string, x binary").toArrow()
-    x = np.stack([np.frombuffer(v, np.float16) for v in got.column("x").to_pylist()]).astype(np.float32) if len(got) else np.zeros((0, 1 << BITS), np.float32)
-    return Model(x, got.column("lang").to_pylist())
+    return picked.mapInArrow(run, "lang string, rank int, x binary")
+
+
+def fit(docs: DataFrame, sample: int = SAMPLE) -> Model:
+    """A machine for each pair, each fitted in its own task on at most 2 * `sample` rows a side."""
+    spark = one_thread_a_task(docs.sparkSession)
+    rows = written(sampled(docs, sample), "language_sample")
+    langs = sorted(r.lang for r in rows.select("lang").distinct().collect())
+    of: dict[str, list[str]] = {}
+    for v in langs:
+        of.setdefault(FAMILIES.get(v, v), []).append(v)
+    # (lang, most rows, level, pair, the side of the language)
+    sides = [(v, sample, f, a, b, 1.0 if v == a else -1.0) for f, vs in of.items() for a, b in itertools.combinations(vs, 2) for v in (a, b)]
+    sides += [(v, max(1, 2 * sample // len(of[f])), "", a, b, 1.0 if f == a else -1.0) for a, b in itertools.combinations(sorted(of), 2) for f in (a, b) for v in of[f]]
+    if not sides:
+        return Model(langs, {})
+    pairs = spark.createDataFrame(sides, "lang string, most int, level string, a string, b string, side double")
+    dealt = rows.join(F.broadcast(pairs), "lang").where("rank <= most").select("level", "a", "b", "side", "x")
+
+    def machine(t: pa.Table) -> pa.Table:
+        order = np.lexsort((np.array(t.column("x").to_pylist(), object), t.column("side").to_numpy()))  # the same on a retry
+        x = np.stack([np.frombuffer(v, np.float16) for v in t.column("x").take(order).to_pylist()]).astype(np.float32)
+        w, c = svm(x, t.column("side").to_numpy()[order].astype(np.float32))
+        return t.select(["level", "a", "b"]).slice(0, 1).append_column("w", pa.array([w.tobytes()], pa.binary())).append_column("c", pa.array([c]))
+
+    got = dealt.groupBy("level", "a", "b").applyInArrow(machine, "level string, a string, b string, w binary, c double").collect()
+    return Model(langs, {(r.level, r.a, r.b): (np.frombuffer(r.w, np.float32), r.c) for r in got})
 
 
 def predict(docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
