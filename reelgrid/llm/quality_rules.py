@@ -3,10 +3,11 @@
 Word, symbol, line and repetition figures of a text come from built-in array functions. Rules are
 ratios of these figures. For each stratum (language) and rule, cutoffs from lenient to strict are
 tested on labelled good rows: the next cutoff is taken only while the exact binomial tail
-P(X <= wrongly rejected | n, ALPHA) is at most DELTA / (strata * rules). Testing in fixed order
-needs no further correction within a rule, and Bonferroni's covers strata and rules, so with
-probability 1 - DELTA every rule rejects at most the share ALPHA of good rows of every stratum.
-Where labels are too few for that, the rule rejects nothing there.
+P(X <= wrongly rejected | n, ALPHA / rules) is at most DELTA / (strata * rules). Testing in fixed
+order needs no further correction within a rule, and Bonferroni's covers strata and rules, so with
+probability 1 - DELTA all rules together reject at most the share ALPHA of good rows of every
+stratum. Equal labelled texts of a stratum are one trial. Where labels are too few for that, the
+rule rejects nothing there.
 
 Null and empty texts have zero in all figures and fail the base rule (fewer than 50 words). Rows
 with a null stratum form one of their own. Repeated rows are judged alike.
@@ -29,7 +30,6 @@ RULES = {
     "repeats": [450, 400, 300, 250, 200, 150, 120, 100],
     "dup_lines": [900, 700, 500, 400, 300, 200],
 }
-POSITION_BITS = 20
 
 
 def words(text: Column) -> Column:
@@ -39,14 +39,12 @@ def words(text: Column) -> Column:
 def figures(docs: DataFrame, text: str = "text") -> DataFrame:
     """docs with n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_loud and n_lines.
 
-    Repeated windows of three words: each is a long, its hash above its position; sorted, equal
-    windows stand side by side. A covered word counts once: of each repeated window the part
+    Repeated windows of three words: pairs of 64-bit hash and position; sorted, equal windows stand
+    side by side. A covered word counts once: of each repeated window the part
     before the next one.
     """
     t = F.coalesce(F.col(text), F.lit(""))
-    low = (1 << POSITION_BITS) - 1
     n = F.size("words")
-    long_one = F.col("n_words") > low
     at = F.when(n >= 3, F.sequence(F.lit(0), n - 3)).otherwise(F.array().cast("array<int>"))
     df = docs.withColumns({"words": words(t), "lines": F.filter(F.split(t, "\n"), lambda x: x.rlike(WORD))})
     df = df.withColumns({
@@ -54,16 +52,10 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
         "word_chars": F.length(F.array_join("words", "")).cast("long"),
         "windows": F.transform(at, lambda i: F.xxhash64(F.get("words", i), F.get("words", i + 1), F.get("words", i + 2))),
     })
-    df = df.withColumn("some", F.size(F.array_distinct("windows")) < F.size("windows"))  # most texts repeat none
-    df = df.withColumns({
-        "packed": F.when(F.col("some") & ~long_one, F.sort_array(F.transform("windows", lambda x, i: F.shiftleft(x, POSITION_BITS).bitwiseOR(i.cast("long"))))),
-        # Positions above 20 bits: hash and position side by side.
-        "wide": F.when(F.col("some") & long_one, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))),
-    })
-    near = lambda i: F.shiftright(F.get("packed", i), POSITION_BITS)
-    same = F.filter("packed", lambda x, i: (F.shiftright(x, POSITION_BITS) == near(i - 1)) | (F.shiftright(x, POSITION_BITS) == near(i + 1)))
-    wide_same = F.filter("wide", lambda x, i: (x.h == F.get("wide", i - 1).h) | (x.h == F.get("wide", i + 1).h))
-    df = df.withColumn("again", F.sort_array(F.coalesce(F.transform(same, lambda x: x.bitwiseAND(low)), F.transform(wide_same, lambda x: x.p))))
+    some = F.size(F.array_distinct("windows")) < F.size("windows")  # most texts repeat none
+    df = df.withColumn("placed", F.when(some, F.sort_array(F.transform("windows", lambda x, i: F.struct(x.alias("h"), i.cast("long").alias("p"))))))
+    same = F.filter("placed", lambda x, i: (x.h == F.get("placed", i - 1).h) | (x.h == F.get("placed", i + 1).h))
+    df = df.withColumn("again", F.sort_array(F.transform(same, lambda x: x.p)))
     gaps = F.transform("again", lambda x, i: F.least(F.lit(3).cast("long"), F.coalesce(F.get("again", i + 1) - x, F.lit(3))))
     return df.withColumns({
         "n_symbols": F.regexp_count(t, F.lit(SYMBOL)).cast("long"),
@@ -71,7 +63,7 @@ def figures(docs: DataFrame, text: str = "text") -> DataFrame:
         "n_dup_lines": (F.size("lines") - F.size(F.array_distinct("lines"))).cast("long"),
         "n_lines": F.size("lines").cast("long"),
         "n_repeat_words": F.coalesce(F.aggregate(gaps, F.lit(0).cast("long"), lambda a, x: a + x), F.lit(0)).cast("long"),
-    }).drop("words", "windows", "some", "packed", "wide", "again", "lines")
+    }).drop("words", "windows", "placed", "again", "lines")
 
 
 def base_failed() -> Column:
@@ -100,7 +92,7 @@ def cutoffs(good: DataFrame, stratum: str, rules: dict[str, list[int]] = RULES,
     counts = [F.count_if(F.col(r) >= c).alias(f"{r}_{c}") for r, cs in rules.items() for c in cs]
     by = good.groupBy(F.col(stratum).alias("stratum")).agg(F.count("*").alias("n"), *counts)
     by = by.withColumn("strata", F.count("*").over(Window.partitionBy(F.lit(1))))  # over the few rows of strata
-    limit = F.lit(delta) / (F.col("strata") * len(rules))
+    limit, alpha = F.lit(delta) / (F.col("strata") * len(rules)), alpha / len(rules)
     out = []
     for r, cs in rules.items():
         # Above the mean the tail is never small, so long sums are not needed there.
@@ -116,13 +108,13 @@ def judged(docs: DataFrame, labelled: DataFrame, stratum: str = "lang", text: st
 
     Figures are written once; labels are joined to them, so no text is shuffled.
     """
-    measured = written(figures(docs, text).drop(text).withColumn("base_failed", base_failed()).withColumns(ratios()), "figures")
-    good = measured.where(~F.col("base_failed")).join(labelled.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi")
+    measured = written(figures(docs.withColumn("text_key", F.xxhash64(text)), text).drop(text).withColumn("base_failed", base_failed()).withColumns(ratios()), "figures")
+    good = measured.where(~F.col("base_failed")).join(labelled.where("quality = 1").select("doc_id").distinct(), "doc_id", "left_semi").dropDuplicates([stratum, "text_key"])
     cut = written(cutoffs(good, stratum), "cutoffs")  # a row per stratum: broadcast while small, by Spark's own threshold
     hit = F.lit(False)
     for r in RULES:
         hit = hit | F.coalesce(F.col(r) >= F.col(f"{r}_cut"), F.lit(False))
-    return measured.join(cut, F.col(stratum).eqNullSafe(F.col("stratum")), "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("stratum")
+    return measured.join(cut, F.col(stratum).eqNullSafe(F.col("stratum")), "left").withColumn("kept", ~F.col("base_failed") & ~hit).drop("stratum", "text_key")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
