@@ -44,6 +44,27 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+#: A key with one in HOT rows or more is split over SALTS parts in joins.
+HOT, SALTS = 1000, 32
+
+
+def hot_keys(counts: DataFrame, *keys: str) -> DataFrame:
+    """The keys of counts(keys, n) that hold one in HOT rows or more: HOT of them at most, so they may be broadcast."""
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    return F.broadcast(counts.where(F.col("n") * HOT >= total).select(*keys, F.lit(True).alias("is_hot")))
+
+
+def salted(rows: DataFrame, hot: DataFrame, by: str, *keys: str) -> DataFrame:
+    """rows with column salt: 0, or for a hot key one of SALTS by the hash of column `by`."""
+    return rows.join(hot, list(keys), "left").withColumn("salt", F.when(F.col("is_hot"), F.pmod(F.xxhash64(by), F.lit(SALTS)).cast("int")).otherwise(0)).drop("is_hot")
+
+
+def for_salts(table: DataFrame, hot: DataFrame, *keys: str) -> DataFrame:
+    """table, a row per key, with a copy for each salt that its rows can have."""
+    salts = F.when(F.col("is_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    return table.join(hot, list(keys), "left").withColumn("salt", F.explode(salts)).drop("is_hot")
+
+
 def remainder(doc_id: str = "doc_id", n: int = 5):
     """crc32 of the id as text, modulo n: the split into training and held-out rows (null id: that of the empty text)."""
     return F.crc32(F.coalesce(F.col(doc_id).cast("string"), F.lit("")).cast("binary")) % n
