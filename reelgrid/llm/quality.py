@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import batches_of
-from reelgrid.llm.tables import documents, labels, schema_with, written
+from reelgrid.llm.tables import documents, hot_keys, labels, one_thread_a_task, schema_with, written
 from reelgrid.llm.words import words_of
 
 SAMPLE, WORD_BITS = 12_000, 17
@@ -174,16 +174,32 @@ def posteriors(scored: DataFrame, keep_from: float = KEEP_FROM, toxic_from: floa
     own = F.col("good")
     host_rate = (F.col("host_s") - own + k * total) / (F.col("host_n") - 1 + k)
     path_rate = (F.col("path_s") - own + j * host_rate) / (F.col("path_n") - 1 + j)
-    joined = scored.join(sites, F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p")))
+    # Sites with a thousandth of all rows or more are a thousand at most: broadcast, so none of them meets in one task.
+    hot = hot_keys(sites.select("h", "p", F.col("path_n").alias("n")), "h", "p").select(F.col("h").alias("hot_h"), F.col("p").alias("hot_p"))
+    same = F.col("host").eqNullSafe(F.col("h")) & F.col("path").eqNullSafe(F.col("p"))
+    is_hot = lambda h, p: F.col(h).eqNullSafe(F.col("hot_h")) & F.col(p).eqNullSafe(F.col("hot_p"))
+    joined = scored.join(F.broadcast(sites.join(hot, is_hot("h", "p"), "left_semi")), same).unionByName(scored.join(hot, is_hot("host", "path"), "left_anti").join(sites.join(hot, is_hot("h", "p"), "left_anti"), same))
     joined = joined.select(*scored.columns, host_rate.alias("host_rate"), path_rate.alias("path_rate"))
     odds = logit(F.col("good")) + logit(F.col("path_rate")) - logit(F.lit(total))
     return joined.withColumn("posterior", F.when(F.col("good") > 0, 1 / (1 + F.exp(-odds))).otherwise(0.0)).withColumn("kept", (F.col("posterior") >= keep_from) & (F.col("toxic") < toxic_from))
 
 
+def host_of(source: Column) -> Column:
+    """A source's part before the first slash; an address's scheme and port are left out."""
+    return F.regexp_extract(source, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?([^/?#:]*)", 1)
+
+
+def path_of(source: Column, section: Column) -> Column:
+    """The first step of a source's path; a source without one has its sections (documents: languages) in place of paths."""
+    step = F.regexp_extract(source, r"^(?:[A-Za-z][A-Za-z0-9+.-]*://)?[^/?#]*/([^/?#]+)", 1)
+    return F.when(step != "", F.concat(F.lit("/"), step)).otherwise(section)
+
+
 def classified(docs: DataFrame, labelled: DataFrame) -> DataFrame:
-    """Documents' hosts are their sources; a path is a source's part in one language."""
+    """Hosts and paths of documents are those of their sources."""
+    one_thread_a_task(docs.sparkSession)
     model = fit(docs, labelled)
-    scored = written(evidence(docs, model, F.col("source"), F.col("lang")), "evidence")
+    scored = written(evidence(docs, model, host_of(F.col("source")), path_of(F.col("source"), F.col("lang"))), "evidence")
     return posteriors(scored)
 
 
