@@ -19,7 +19,8 @@ of any size cost sorting, not pairs, and no hash decides equality. All windows o
 anchor, so what is removed around it is one interval.
 
 Null text counts as empty; texts under WINDOW bytes lose nothing. Rows with a null doc_id lose
-nothing and cause no removal; rows that repeat a doc_id are one document.
+nothing and cause no removal. Rows that repeat a doc_id cause no removal in each other: together
+they are the document of that id for later ones, and each loses its own bytes.
 """
 
 from __future__ import annotations
@@ -28,7 +29,7 @@ import hashlib
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.llm.bpe import batches_of
@@ -40,6 +41,8 @@ BACK = WINDOW - GRAM
 WIDTH = WINDOW + BACK
 #: Anchors and records a task gathers before it sends a sorted run.
 RUN_ANCHORS, RUN_RECORDS = 1_000_000, 200_000
+#: Records of a merging bucket, on average; the number of buckets follows the counted anchors.
+BUCKET_RECORDS = 1_000_000
 
 
 def sliding(x: np.ndarray, width: int, least) -> np.ndarray:
@@ -163,23 +166,30 @@ def large(packed: bytes, size: int) -> bytes:
 
 
 def packed_texts(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, z): the compressed bytes of each text, which is what shuffles carry."""
+    """(doc_id, n_bytes, z, t): the compressed bytes of each text, which is what shuffles carry, and a hash of it."""
 
     def run(batches):
         for whole in batches:
             for b in batches_of(whole, "text"):
                 parts = [(t or "").encode() for t in b.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([small(p) for p in parts], pa.binary())], names=["doc_id", "n_bytes", "z"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([len(p) for p in parts], pa.int64()), pa.array([small(p) for p in parts], pa.binary()), b.column(2)], names=["doc_id", "n_bytes", "z", "t"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary")
+    return docs.select("doc_id", "text", text_hash().alias("t")).mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary, t long")
+
+
+def text_hash() -> Column:
+    return F.xxhash64(F.coalesce("text", F.lit("")))
 
 
 def texts_with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, z, at): positions of a document's shared anchors; z is null where it has none, and
-    whole_sha256 then holds the digest."""
+    """(doc_id, n_bytes, z, v, at): positions of a document's shared anchors; z is null where it has none, and
+    whole_sha256 then holds the digest. v tells the texts of one doc_id apart: 0 where there is one, else its hash."""
     own = shared.groupBy(F.col("doc_id").alias("own")).agg(F.collect_list("h").alias("hs"))
-    joined = packed_texts(docs).join(own, F.col("doc_id").cast("long") == F.col("own"), "left").select("doc_id", "n_bytes", "z", "hs")
+    joined = packed_texts(docs).join(own, F.col("doc_id").cast("long") == F.col("own"), "left")
+    # Rows are dealt by doc_id already. Null ids keep apart: they have no shared anchors.
+    same = Window.partitionBy("doc_id", F.when(F.col("doc_id").isNull(), F.col("t")))
+    joined = joined.withColumn("v", F.when(F.min("t").over(same) == F.max("t").over(same), 0).otherwise(F.col("t"))).select("doc_id", "n_bytes", "z", "hs", "v")
 
     def run(batches):
         for whole in batches:
@@ -195,11 +205,11 @@ def texts_with_anchors(docs: DataFrame, shared: DataFrame) -> DataFrame:
                     at.append(pos[lo:hi][np.isin(h[lo:hi], b.column(3)[i].values.to_numpy().view(np.uint64))].astype(np.int32).tobytes() if x else None)
                 yield pa.RecordBatch.from_arrays([
                     b.column(0), b.column(1), pa.array([z if x else None for z, x in zip(packed, had, strict=True)], pa.binary()),
-                    pa.array(at, pa.binary()), pa.array([None if x else hashlib.sha256(p).hexdigest() for p, x in zip(parts, had, strict=True)], pa.string()),
-                ], names=["doc_id", "n_bytes", "z", "at", "whole_sha256"])
+                    pa.array(at, pa.binary()), pa.array([None if x else hashlib.sha256(p).hexdigest() for p, x in zip(parts, had, strict=True)], pa.string()), b.column(4),
+                ], names=["doc_id", "n_bytes", "z", "at", "whole_sha256", "v"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary, at binary, whole_sha256 string")
+    return joined.mapInArrow(run, f"doc_id {kind}, n_bytes long, z binary, at binary, whole_sha256 string, v long")
 
 
 def records(raw: bytes, at: np.ndarray) -> np.ndarray:
@@ -290,16 +300,16 @@ class LoserTree:
 
 
 def intervals(texts: DataFrame, buckets: int) -> DataFrame:
-    """(doc_id, lo, hi): bytes of windows that stand in a document of a smaller doc_id."""
+    """(doc_id, v, lo, hi): bytes of windows that stand in a document of a smaller doc_id."""
 
     def send(batches):
-        rows, keys, docs, at, count = [], [], [], [], 0
+        rows, keys, docs, texts, at, count = [], [], [], [], [], 0
 
         def run():
-            m, d, a = np.concatenate(rows), np.concatenate(docs), np.concatenate(at)
+            m, d, v, a = np.concatenate(rows), np.concatenate(docs), np.concatenate(texts), np.concatenate(at)
             r = np.concatenate(keys)
             order = np.lexsort((d, m.view(f"S{WIDTH}").ravel(), r))
-            m, d, a, r = m[order], d[order], a[order], r[order]
+            m, d, v, a, r = m[order], d[order], v[order], a[order], r[order]
             new = np.ones(len(m), bool)
             new[1:] = (m[1:] != m[:-1]).any(axis=1) | (r[1:] != r[:-1])
             out = []
@@ -307,11 +317,11 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
             for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), len(r)], strict=True):
                 first = np.flatnonzero(new[lo:hi])
                 lcp, rest = front_code(m[lo:hi][first])
-                out.append((int(r[lo]), lcp.tobytes(), small(rest), planes(np.diff(np.append(first, hi - lo))), planes(d[lo:hi]), planes(a[lo:hi])))
-            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 5), strict=True)], names=["r", "lcp", "rest", "n", "d", "a"])
+                out.append((int(r[lo]), lcp.tobytes(), small(rest), planes(np.diff(np.append(first, hi - lo))), planes(d[lo:hi]), planes(v[lo:hi]) if v[lo:hi].any() else None, planes(a[lo:hi])))
+            return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), (pa.int32(), *[pa.binary()] * 6), strict=True)], names=["r", "lcp", "rest", "n", "d", "v", "a"])
 
         for b in (x for whole in batches for x in batches_of(whole, "z")):
-            for doc, size, z, where in zip(*(b.column(i).to_pylist() for i in range(4)), strict=True):
+            for doc, size, z, where, text in zip(*(b.column(i).to_pylist() for i in range(5)), strict=True):
                 pos = np.frombuffer(where, np.int32)
                 if not len(pos):
                     continue
@@ -321,12 +331,13 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
                 rows.append(m)
                 keys.append((mix(first[:, 0] ^ mix(first[:, 1])) % np.uint64(buckets)).astype(np.int32))
                 docs.append(np.full(len(pos), doc, np.int64))
+                texts.append(np.full(len(pos), text, np.int64))
                 # The bytes that a window can have before and behind the anchor go with the position.
                 at.append(pos.astype(np.int64) << 14 | np.minimum(pos, BACK).astype(np.int64) << 7 | np.minimum(len(raw) - pos, WINDOW))
                 count += len(pos)
                 if count > RUN_RECORDS:
                     yield run()
-                    rows, keys, docs, at, count = [], [], [], [], 0
+                    rows, keys, docs, texts, at, count = [], [], [], [], [], 0
         if count:
             yield run()
 
@@ -341,6 +352,7 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
             counts = np.concatenate([from_planes(x["n"]).astype(np.int64) for x in blocks])
             d = np.concatenate([from_planes(x["d"]).view(np.int64) for x in blocks])
             a = np.concatenate([from_planes(x["a"]).view(np.int64) for x in blocks])
+            v = np.concatenate([from_planes(x["v"]).view(np.int64) if x["v"] else np.zeros(len(x["d"]) // 8, np.int64) for x in blocks])
             back_bytes = np.concatenate(ms)[order][:, WINDOW:].astype(np.int64)
             ends = np.cumsum(counts)
             least = np.minimum.reduceat(d, ends - counts)[order]  # by string, in the order of all
@@ -367,20 +379,21 @@ def intervals(texts: DataFrame, buckets: int) -> DataFrame:
                 near[hit] = np.minimum(near[hit], j)
             use = far >= 0
             pos = a[use] >> 14
-            yield pa.RecordBatch.from_arrays([pa.array(d[use]), pa.array(pos - far[use]), pa.array(pos - near[use] + WINDOW)], names=["doc_id", "lo", "hi"])
+            yield pa.RecordBatch.from_arrays([pa.array(d[use]), pa.array(v[use]), pa.array(pos - far[use]), pa.array(pos - near[use] + WINDOW)], names=["doc_id", "v", "lo", "hi"])
 
-    some = texts.where("z is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "z", "at")
-    sent = some.mapInArrow(send, "r int, lcp binary, rest binary, n binary, d binary, a binary")
-    return sent.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "doc_id long, lo long, hi long")
+    some = texts.where("z is not null").select(F.col("doc_id").cast("long").alias("doc_id"), "n_bytes", "z", "at", "v")
+    sent = some.mapInArrow(send, "r int, lcp binary, rest binary, n binary, d binary, v binary, a binary")
+    return sent.repartition("r").sortWithinPartitions("r").mapInArrow(merge, "doc_id long, v long, lo long, hi long")
 
 
 def with_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_bytes, z, whole_sha256, spans): sorted intervals to remove, which may overlap; z is null, and the
+    """(doc_id, v, n_bytes, z, whole_sha256, spans): sorted intervals to remove, which may overlap; z is null, and the
     digest of the whole set, where nothing can repeat."""
     buckets = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     texts = written(texts_with_anchors(docs, shared_anchors(docs, buckets)), "anchored")
-    found = intervals(texts, buckets).groupBy(F.col("doc_id").alias("of")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
-    return texts.drop("at").join(found, F.col("doc_id").cast("long") == F.col("of"), "left").drop("of")
+    count = texts.agg(F.sum(F.octet_length("at"))).first()[0] or 0
+    found = intervals(texts, max(buckets, count // 4 // BUCKET_RECORDS)).groupBy(F.col("doc_id").alias("of"), F.col("v").alias("of_v")).agg(F.sort_array(F.collect_set(F.struct("lo", "hi"))).alias("spans"))
+    return texts.drop("at").join(found, (F.col("doc_id").cast("long") == F.col("of")) & (F.col("v") == F.col("of_v")), "left").drop("of", "of_v")
 
 
 def merged(spans: pa.ListScalar) -> tuple[list[int], list[int]]:
@@ -394,16 +407,16 @@ def merged(spans: pa.ListScalar) -> tuple[list[int], list[int]]:
 
 
 def removed_spans(docs: DataFrame) -> DataFrame:
-    """(doc_id, los, his) of documents that lose bytes: the maximal runs."""
+    """(doc_id, v, los, his) of documents that lose bytes: the maximal runs."""
 
     def run(batches):
         longs = pa.list_(pa.int64())
         for b in batches:
-            runs = [merged(x) for x in b.column(1)]
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array([r[0] for r in runs], longs), pa.array([r[1] for r in runs], longs)], names=["doc_id", "los", "his"])
+            runs = [merged(x) for x in b.column(2)]
+            yield pa.RecordBatch.from_arrays([*b.columns[:2], pa.array([r[0] for r in runs], longs), pa.array([r[1] for r in runs], longs)], names=["doc_id", "v", "los", "his"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs).where("spans is not null").select("doc_id", "spans").mapInArrow(run, f"doc_id {kind}, los array<long>, his array<long>")
+    return with_spans(docs).where("spans is not null").select("doc_id", "v", "spans").mapInArrow(run, f"doc_id {kind}, v long, los array<long>, his array<long>")
 
 
 def cut(raw: bytes, los: list[int], his: list[int]) -> bytes:
@@ -427,8 +440,9 @@ def whole_characters(raw: bytes, los: list[int], his: list[int]) -> tuple[list[i
 
 def without_repeats(docs: DataFrame) -> DataFrame:
     """docs with repeated strings cut out of the text, in whole characters; other columns and rows stay."""
-    spans = removed_spans(docs).select(F.col("doc_id").alias("span_of"), "los", "his").dropDuplicates(["span_of"])
-    joined = docs.join(spans, docs.doc_id == F.col("span_of"), "left").select(*docs.columns, "los", "his")
+    spans = removed_spans(docs).select(F.col("doc_id").alias("span_of"), F.col("v").alias("span_v"), "los", "his").dropDuplicates(["span_of", "span_v"])
+    own = docs.select("*", text_hash().alias("text_hash"))
+    joined = own.join(spans, (own.doc_id == F.col("span_of")) & ((F.col("span_v") == 0) | (F.col("span_v") == own.text_hash)), "left").select(*(own[c] for c in docs.columns), "los", "his")
     names, at = docs.columns, docs.columns.index("text")
 
     def run(batches):
@@ -460,7 +474,7 @@ def digests(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*b.columns[:2], *(pa.array(c, k) for c, k in zip(cols, (pa.int64(), pa.int64(), pa.string()), strict=True))], names=["doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    return with_spans(docs).mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
+    return with_spans(docs).select("doc_id", "n_bytes", "z", "whole_sha256", "spans").mapInArrow(run, f"doc_id {kind}, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
 
 
 def op8_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
