@@ -4,6 +4,8 @@ import hashlib
 import math
 import random
 import re
+import struct
+import unicodedata
 import zlib
 from collections import Counter
 
@@ -43,7 +45,7 @@ def corpus():
     texts += [(say(en, 30) + " " + passage + " " + say(fr, 10 + i), "en", "s2") for i in range(3)]
     texts += [(f"{say(en, 30 + i)}\nRead more at our site now\n{say(en, 30)}", "en", f"s{i}") for i in range(9)]
     texts += [("x" * 300, None, "s1"), ("a b " * 500, "en", None), ("%%% ### the $$$ " * 40, "en", "s3"), (say(en, 20_000), "en", "s4"), ("é😀 " * 60 + passage, "fr", "s5")]
-    texts += [(None, "en", "s1"), ("", None, None), (" \n\t ", "fr", "s2"), ("one two", "en", "s1"), ("One  TWO", "en", "s2"), ("1234 !!", "en", "s3")]
+    texts += [("½ ² ① Ⅷ", "fr", "s1"), (None, "en", "s1"), ("", None, None), (" \n\t ", "fr", "s2"), ("one two", "en", "s1"), ("One  TWO", "en", "s2"), ("1234 !!", "en", "s3")]
     rows = [(i, t, lang, s, len(t or "")) + ("x",) * 14 for i, (t, lang, s) in enumerate(texts)]
     return rows + [rows[5], (None, "no id here at all " * 20, "en", "s1", 1) + ("x",) * 14]
 
@@ -87,7 +89,28 @@ def test_telephony(spark, here):
         payload = raw + b"\0" * (-len(raw) % 64 if raw else 64)
         r = got[i]
         assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]))
-        assert r.media_sha256 == hashlib.sha256(telephony.wav(payload, telephony.MU_LAW)).hexdigest()
+        n = len(payload)
+        head = b"RIFF" + struct.pack("<I", 38 + n) + b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 7, 1, 8000, 8000, 1, 8, 0) + b"data" + struct.pack("<I", n)
+        assert (r.media_bytes, r.media_sha256) == (46 + n, hashlib.sha256(head + payload).hexdigest())
+        if n < 3000:
+            mu, a = ([telephony_value(law, b) for b in payload] for law in "ua")
+            pcm = [v for x, y in zip(mu, [*mu[1:], mu[-1]], strict=True) for v in (x, (x + y) // 2)]
+            figures = ["%d,%d,%d" % (math.isqrt(sum(v * v for v in p) // len(p)), max(map(abs, p)), sum((u < 0) != (v < 0) for u, v in zip(p, p[1:], strict=False))) for p in (mu, a)]
+            parts = r.feature.split(";")
+            assert parts[:2] == [f"mulaw={figures[0]}", f"alaw={figures[1]}"] and parts[2].startswith("adpcm=")
+            assert parts[3] == f"pcm16k={2 * n},{zlib.crc32(struct.pack(f'<{2 * n}h', *pcm))}"
+
+
+def telephony_value(law, code):
+    """One code of G.711, computed by itself."""
+    if law == "u":
+        code ^= 0xFF
+        size = ((2 * (code & 15) + 33) << (code >> 4 & 7)) - 33
+        return (-4 if code & 128 else 4) * size
+    code ^= 0x55
+    part, size = code >> 4 & 7, 2 * (code & 15) + 1
+    size = size if not part else (size + 32) << part - 1
+    return (8 if code & 128 else -8) * size
 
 
 def test_laws_and_adpcm():
@@ -110,6 +133,8 @@ def test_laws_and_adpcm():
     code, rate, block, back = telephony.read_wav(telephony.wav(data.tobytes(), telephony.IMA_ADPCM))
     assert (code, rate, block, back) == (17, 8000, 64, data.tobytes())
     assert telephony.resample(np.array([0, 100, 50], np.int16), 8000, 16000).tolist() == [0, 50, 100, 75, 50, 50]
+    assert telephony.resample(np.array([0, 100, 50, 70, 9], np.int16), 16000, 8000).tolist() == [50, 60]
+    assert telephony.resample(np.array([30, 60, 90, 30], np.int16), 4, 3).tolist() == [(30 * 3 + 60) // 4, (60 * 2 + 90 * 2) // 4, (90 + 30 * 3) // 4]
 
 
 def test_pcm_column(spark, here):
@@ -124,7 +149,7 @@ def test_language(spark, here):
     texts = {i: (t, lang) for i, t, lang, _ in here[1]}
     for r in got:
         text, _ = texts[r.doc_id]
-        assert (r.lang_pred == "und") == (not text or not re.search(r"[^\W\d_]", text))
+        assert (r.lang_pred == "und") == (not any(unicodedata.category(c)[0] == "L" for c in text or ""))
         assert 0 <= r.score <= 1
     plain = [r for r in got if r.doc_id is not None and r.doc_id < 60]
     assert sum(r.lang_pred == texts[r.doc_id][1] for r in plain if r.held_out) >= 0.9 * sum(r.held_out for r in plain)
@@ -238,6 +263,29 @@ def test_quality_rules(spark, here):
         assert (r.n_words, r.word_chars, r.n_symbols, r.n_dup_lines, r.n_repeat_words) == (len(w), sum(map(len, w)), len(re.findall(r"[#*$%&|<>]", text)), len(lines) - len(set(lines)), len(covered))
         assert r.base_failed == (len(w) < 50 or 100 * len(covered) > 50 * len(w))
         assert not (r.base_failed and r.kept)
+    assert all(r.kept == (not r.base_failed) for r in rows)  # too few labels for any cutoff
+
+
+def test_quality_rules_reject_within_the_bound(spark):
+    """Verdicts recomputed from the cutoffs; equal labelled texts are one trial."""
+    r = random.Random(1)
+    word = lambda: "".join(r.choice("abcdefgh") for _ in range(6))
+    rows = [(i, " ".join(word() for _ in range(60)) + " #" * (25 if i % 50 == 7 else 0), "en") for i in range(2500)]
+    rows += [(5000 + i, " ".join(word() for _ in range(60)) + " #" * 70, "en") for i in range(40)] + [(6000 + i, rows[0][1] + " !" * 90, "en") for i in range(300)]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, 1) for i in [*range(2500), *range(6000, 6300)]], "doc_id long, quality int")
+    got = {x.doc_id: x.kept for x in quality_rules.judged(docs, labels).collect()}
+    trials = {t for i, t, _ in rows if i < 2500 or i >= 6000}
+    share = lambda t, c: 1000 * t.count(c) // len(t.split())
+    tail = lambda k, n, p: sum(math.exp(math.lgamma(n + 1) - math.lgamma(i + 1) - math.lgamma(n - i + 1) + i * math.log(p) + (n - i) * math.log(1 - p)) for i in range(k + 1))
+    cuts = {}
+    for c, rule in (("#", "symbols"), ("!", "shouting")):
+        for cut in quality_rules.RULES[rule]:
+            k, p = sum(share(t, c) >= cut for t in trials), quality_rules.ALPHA / 4
+            if k > len(trials) * p or tail(k, len(trials), p) > quality_rules.DELTA / 4:
+                break
+            cuts[c] = cut
+    assert cuts["#"] == 300 and cuts["!"] == 50
+    assert all(got[i] == (share(t, "#") < cuts["#"] and share(t, "!") < cuts["!"]) for i, t, _ in rows)
 
 
 def test_cutoffs_are_controlled(spark):
@@ -295,13 +343,43 @@ def test_quality_classifier(spark, here):
 
 
 def test_sites_shrink(spark):
-    """Rates against the same formulas in plain Python; sparse sites move less than full ones."""
-    rows = [(i, "big", "p", 0.9 if i % 10 else 0.1, 0.0) for i in range(200)] + [(1000 + i, f"h{i % 20}", "p", 0.2 + 0.03 * (i % 20), 0.0) for i in range(60)] + [(2000, None, None, 0.5, 0.0)]
-    out = by_id(quality.posteriors(spark.createDataFrame(rows, "doc_id long, host string, path string, good double, toxic double")).collect())
-    total = sum(r[3] for r in rows) / len(rows)
+    """Rates and posteriors against the same formulas in plain Python, with a host and a path that hold most rows."""
+    r = random.Random(4)
+    rows = [(i, "big", "/a" if i % 3 else "/b", round(0.9 if i % 10 else 0.1, 2), 0.0) for i in range(200)]
+    rows += [(1000 + i, f"h{i % 20}", f"/p{i % 2}", round(r.random(), 2), 0.2 * (i % 3)) for i in range(60)] + [(2000, None, None, 0.5, 0.0), (None, None, "/x", 0.0, 0.0)]
+    got = spark.createDataFrame(rows, "doc_id long, host string, path string, good double, toxic double")
+    out = by_id(quality.posteriors(got).collect())
+
+    def strength(groups):
+        n = sum(g[0] for g in groups)
+        noise = sum(n_ * m * (1 - m) for n_, _, m in groups) / n
+        spread = (sum(n_ * (s / n_ - m) ** 2 for n_, s, m in groups) - len(groups) * noise) / n
+        return min(1e4, max(10.0, noise / spread - 1)) if spread > 0 else 1e4
+
+    sums = lambda key: {k: (sum(1 for x in rows if key(x) == k), sum(x[3] for x in rows if key(x) == k)) for k in {key(x) for x in rows}}
+    hosts, paths = sums(lambda x: x[1]), sums(lambda x: (x[1], x[2]))
+    total = sum(x[3] for x in rows) / len(rows)
+    k = strength([(n, s, total) for n, s in hosts.values()])
+    rate = {h: (s + k * total) / (n + k) for h, (n, s) in hosts.items()}
+    j = strength([(n, s, rate[h]) for (h, _), (n, s) in paths.items()])
+    log_odds = lambda p: math.log(min(1 - 1e-6, max(1e-6, p)) / (1 - min(1 - 1e-6, max(1e-6, p))))
     assert len(out) == len(rows)
-    assert abs(out[2000].host_rate - total) < 1e-9  # its own evidence is left out
-    assert abs(out[1].host_rate - total) > 0
+    for i, h, p, good, toxic in rows:
+        (hn, hs), (pn, ps) = hosts[h], paths[h, p]
+        host_rate = (hs - good + k * total) / (hn - 1 + k)
+        path_rate = (ps - good + j * host_rate) / (pn - 1 + j)
+        posterior = 1 / (1 + math.exp(-(log_odds(good) + log_odds(path_rate) - log_odds(total)))) if good > 0 else 0
+        o = out[i]
+        assert (o.host_rate, o.path_rate, o.posterior) == pytest.approx((host_rate, path_rate, posterior))
+        assert o.kept == (posterior >= quality.KEEP_FROM and toxic < quality.TOXIC_FROM)
+
+
+def test_hosts_and_paths(spark):
+    from pyspark.sql import functions as F
+
+    rows = [("https://a.org:80/news/1?x=2", "en"), ("a.org/news", "fr"), ("src1", "de"), ("http://b.net/", "es"), (None, None)]
+    out = spark.createDataFrame(rows, "source string, lang string").select(quality.host_of(F.col("source")).alias("h"), quality.path_of(F.col("source"), F.col("lang")).alias("p")).collect()
+    assert [tuple(r) for r in out] == [("a.org", "/news"), ("a.org", "/news"), ("src1", "de"), ("b.net", "es"), (None, None)]
 
 
 def test_suffix_dedup(spark, here):
@@ -323,6 +401,27 @@ def test_suffix_dedup(spark, here):
     assert removed > 1000 and got[None].n_removed == 0
 
 
+def test_suffix_dedup_of_repeated_ids(spark):
+    """Rows of one id with different texts: each loses its own bytes, none because of the other, and later ids lose what either has."""
+    r = random.Random(8)
+    say = lambda n: "".join(r.choice("abcdefgh ") for _ in range(n))
+    x, y, z = say(120), say(90), say(80)
+    rows = [(1, x), (2, y + x), (2, x[:60] + z + y), (2, "short"), (3, z + "é" + y), (3, z + "é" + y), (None, x)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got, cuts = sorted(tuple(r) for r in suffixes.digests(docs).collect() if r.doc_id is not None), []
+    for i, text in rows[:-1]:
+        raw, earlier = text.encode(), {t.encode()[p : p + 50] for j, t in rows[:-1] if j < i for p in range(len(t.encode()) - 49)}
+        cover = bytearray(len(raw))
+        for p in range(len(raw) - 49):
+            if raw[p : p + 50] in earlier:
+                cover[p : p + 50] = b"\1" * 50
+        kept = bytes(b for b, c in zip(raw, cover, strict=True) if not c)
+        cuts.append((i, len(raw), sum(cover), len(re.findall(b"\1+", bytes(cover))), hashlib.sha256(kept).hexdigest()))
+    assert got == sorted(cuts) and sum(c[2] > 0 for c in cuts) == 4
+    left = {r.text for r in suffixes.without_repeats(docs).collect()}
+    assert {x, y, z[:0] + z, "short"} & left >= {x, y, "short"}
+
+
 def test_loser_tree_and_front_coding():
     r = random.Random(5)
     runs = [sorted({bytes(r.choices(b"ab", k=suffixes.WIDTH)) for _ in range(n)} | {b"a" * suffixes.WIDTH}) for n in (0, 1, 5, 40, 7)]
@@ -338,13 +437,13 @@ def test_loser_tree_and_front_coding():
 def test_line_dedup(spark, here):
     rows = result(spark, here, "op9_line_dedup")
     assert len(rows) == len(here[1])
-    where = {}
-    for i, text, _, source in here[1]:
-        ls = (text or "").split("\n")
-        for p, line in enumerate(ls):
+    where, wholes = {}, {}
+    for _, text, _, source in here[1]:
+        for line in (text or "").split("\n"):
             if WORD.search(line):
-                where.setdefault(line, []).append((source or "", ls[p - 1] if p else "", ls[p + 1] if p + 1 < len(ls) else ""))
-    bad = {x for x, at in where.items() if len({a for a, _, _ in at}) >= line_dedup.MIN_SITES and max(len({b for _, b, _ in at}), len({c for _, _, c in at})) >= line_dedup.SPREAD * len(at)}
+                where.setdefault(line, set()).add(source or "")
+                wholes.setdefault(line, set()).add(text)
+    bad = {x for x in where if len(where[x]) >= line_dedup.MIN_SITES and len(wholes[x]) >= line_dedup.MIN_SITES}
     assert bad == {"Read more at our site now"}
     got = by_id(rows)
     for i, text, *_ in here[1]:
@@ -394,6 +493,6 @@ def test_signature_estimates_similarity():
 
 
 def test_languages_stand_alone(spark):
-    one = language.Model(language.features(["the house"]), ["en"])
+    one = language.Model(["en"], {})
     assert one.predict(["a", None, "12"]) == (["en", "und", "und"], [1.0, 0.0, 0.0])
     assert near_dup.MATCHES <= near_dup.COORDINATES
