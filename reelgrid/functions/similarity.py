@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 MILLION = 1_000_000
 # Tokens that do not count.
 HONORIFICS = ["mr", "mrs", "ms", "miss", "dr"]
+SEASON_WORDS = ["season", "series", "part", "cour"]
 
 
 def tokens(c: Column) -> Column:
@@ -19,8 +20,12 @@ def score_tokens(t: Column) -> Column:
 
 
 def numbered(t: Column) -> Column:
-    """Tokens with how many equal ones stand before each: sets of these intersect as the multisets do."""
-    return F.transform(t, lambda x, i: F.concat(x, F.lit("#"), F.size(F.filter(F.slice(t, F.lit(1), i), lambda y: y == x)).cast("string")))
+    """Tokens with how many equal ones stand before each: sets of these intersect as the multisets do.
+
+    Sorted, equal tokens stand together, and the count is the distance to the first of them.
+    """
+    ordered = F.array_sort(t)
+    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(ordered, x)).cast("string")))
 
 
 def numbered_dice(a: Column, b: Column) -> Column:
@@ -45,28 +50,42 @@ def contains_window(long: Column, short: Column) -> Column:
     return F.exists(starts, lambda i: F.slice(long, i, F.size(short)) == short)
 
 
-def containment(a: Column, b: Column) -> Column:
+def only_season(long: Column, short: Column, season: Column) -> Column:
+    """Whether what the longer list has beyond the shorter is the season's number, with or without words for it."""
+    rest = F.filter(F.array_except(long, short), lambda x: ~x.isin(SEASON_WORDS))
+    return rest == F.array(season.cast("string"))
+
+
+def containment(a: Column, b: Column, tv: Column | None = None, season: Column | None = None) -> Column:
     """One token list within the other, by how many tokens are left over; 0 if neither holds the other."""
     short, extra = F.least(F.size(a), F.size(b)), F.abs(F.size(a) - F.size(b))
-    score = F.when(extra == 0, 1_000_000).when((short >= 3) & (extra <= 1), 880_000).when((short >= 4) & (extra <= 2), 900_000).when((short >= 5) & (extra <= 4), 880_000).otherwise(800_000)
+    score = F.when(extra == 0, 1_000_000)
+    if tv is not None:
+        seasonal = F.when(F.size(a) > F.size(b), only_season(a, b, season)).otherwise(only_season(b, a, season))
+        score = score.when(tv & season.isNotNull() & seasonal, 940_000)
+    score = score.when((short >= 3) & (extra <= 1), 880_000).when((short >= 4) & (extra <= 2), 900_000).when((short >= 5) & (extra <= 4), 880_000).otherwise(800_000)
     return F.when(contains_window(a, b) | contains_window(b, a), score).otherwise(0).cast("long")
 
 
-def title_similarity(a: Column, b: Column) -> Column:
+def title_similarity(a: Column, b: Column, tv: Column | None = None, season: Column | None = None) -> Column:
     """The largest of containment, token dice and 0.96 times trigram dice of normalised titles."""
     x, y = tokens(a), tokens(b)
     p, q = score_tokens(x), score_tokens(y)
     grams = F.floor(dice(trigrams(F.array_join(p, " ")), trigrams(F.array_join(q, " "))) * 96 / 100).cast("long")
-    return F.when(a == b, F.lit(MILLION).cast("long")).otherwise(F.greatest(containment(x, y), dice(p, q), grams))
+    return F.when(a == b, F.lit(MILLION).cast("long")).otherwise(F.greatest(containment(x, y, tv, season), dice(p, q), grams))
 
 
-def candidate_score(t: Column, expected: Column, actual: Column, tv: Column, season: Column) -> Column:
-    """Hundredths, rounded down, from the title similarity and the years."""
+def candidate_score(t: Column, expected: Column, actual: Column, tv: Column, season: Column, episode: Column | None = None, boost: Column | None = None) -> Column:
+    """Hundredths, rounded down, from the title similarity and the years. Without `boost` an unconfirmed season lifts no score."""
+    boost = F.lit(True) if boost is None else boost
+    numbered_episode = season.isNotNull() & (F.lit(False) if episode is None else episode.isNotNull())
     base = t * 78 / 100
     delta = F.abs(expected - actual)
     known = expected.isNotNull() & actual.isNotNull()
     moved = base + F.when(delta == 0, 200_000).when(delta == 1, 80_000).otherwise(-150_000)
-    floored = F.when((delta == 0) & (t >= 940_000), F.greatest(moved, F.lit(930_000))).when((delta == 0) & (t >= 880_000), F.greatest(moved, F.lit(900_000))).when(delta > 1, F.least(moved, F.lit(550_000))).otherwise(moved)
-    series = F.when(tv & season.isNotNull() & (t >= 980_000) & expected.isNull(), F.greatest(base, F.lit(880_000))).otherwise(base)
-    score = F.when(known & tv & (expected > actual), base).when(known, floored).otherwise(series)
+    floored = F.when((delta == 0) & (t >= 940_000), F.greatest(moved, F.lit(930_000))).when((delta == 0) & (t >= 880_000), F.greatest(moved, F.lit(900_000)))
+    floored = floored.when((delta == 0) & tv & season.isNotNull() & (t >= 860_000), F.greatest(moved, F.lit(880_000))).when(delta > 1, F.least(moved, F.lit(550_000))).otherwise(moved)
+    series = F.when(tv & season.isNotNull() & (t >= 980_000) & expected.isNull() & boost, F.greatest(base, F.lit(880_000))).otherwise(base)
+    earlier = F.when(boost & (delta == 1) & numbered_episode & (t >= 980_000), F.greatest(base, F.lit(900_000))).otherwise(base)
+    score = F.when(known & tv & (expected > actual), earlier).when(known, floored).otherwise(series)
     return F.floor(F.greatest(F.lit(0), F.least(F.lit(MILLION), score)) / 10_000).cast("long")

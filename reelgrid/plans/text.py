@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import release, similarity, text
-from reelgrid.sources.tables import items, media, oracle, table
+from reelgrid.operators import similar
+from reelgrid.sources.tables import items, kept, media, oracle, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -86,47 +87,69 @@ def format_bytes(spark, d):
     return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", text.format_bytes(n).alias("size"))
 
 
-RAW = """CASE WHEN p_size % 2 = 0 THEN replace(p_name, ' ', '.') || '.' || (1980 + p_size) || CASE WHEN p_partkey % 5 = 0 THEN '.REPACK' ELSE '' END
-WHEN p_partkey % 3 = 0 THEN replace(p_name, ' ', '_') || '.S0' || (p_size % 9 + 1) || 'E' || (10 + p_partkey % 80) || CASE WHEN p_partkey % 6 = 0 THEN '-E' || (12 + p_partkey % 80) ELSE '' END
-WHEN p_partkey % 3 = 1 THEN '[TV] ' || p_name || ' S' || (10 + p_size % 9) || 'SP0' || (p_partkey % 9 + 1) ELSE p_name || ' Season 0' || (p_size % 9 + 1) END
-|| CASE p_partkey % 4 WHEN 0 THEN '.2160p' WHEN 1 THEN '.1080p' WHEN 2 THEN '.4K' ELSE '' END || CASE p_partkey % 3 WHEN 0 THEN '.WEB-DL' WHEN 1 THEN '.BluRay' ELSE '.HDTV' END
-|| CASE p_partkey % 4 WHEN 0 THEN '.x265' WHEN 1 THEN '.H.264' WHEN 2 THEN '.AVC' ELSE '' END || CASE p_partkey % 3 WHEN 0 THEN '.AAC' WHEN 1 THEN '.DTS-HD' ELSE '' END || '-GRP' || (p_partkey % 7)"""
+# Raw titles of parts in ten layouts. What they say is stated in the SQL from the same columns, not parsed.
+QUALITY_TAGS, SOURCE_TAGS = [".2160p", ".1080p", ".4K", ".1920x1080", ""], [".WEB-DL", ".BluRay", ".HDTV", ""]
+CODEC_TAGS, AUDIO_TAGS = [".x265", ".H.264", ".AVC", ".hevc", ".MPEG2", ".AV1", ""], [".AAC2.0", ".DTS-HD", ".DD+5.1", ".FLAC", ".DDP5.1", ""]
+J, LAYOUT = "(p_partkey // 10)", "p_partkey % 10"
+
+
+def pick(values: list, by: str) -> str:
+    shown = lambda v: "NULL" if v is None else f"'{v}'"
+    return f"CASE {by} % {len(values)} " + " ".join(f"WHEN {i} THEN {shown(v)}" for i, v in enumerate(values)) + " END"
+
+
+TAIL = f"{pick(QUALITY_TAGS, J)} || {pick(SOURCE_TAGS, J)} || {pick(CODEC_TAGS, J)} || {pick(AUDIO_TAGS, J)} || '-GRP' || ({J} % 7)"
+FIRST = f"(10 + {J} % 80)"
+RAW = f"""CASE {LAYOUT}
+WHEN 0 THEN replace(p_name, ' ', '.') || '.' || (1980 + p_size) || CASE WHEN {J} % 5 = 0 THEN '.REPACK' ELSE '' END || {TAIL}
+WHEN 1 THEN replace(p_name, ' ', '_') || '.S0' || (p_size % 9 + 1) || 'E' || {FIRST} || {pick(["", ".Part2", ".PURE", ".PLUS.Part03"], J)} || '.720p-GRP' || ({J} % 7)
+WHEN 2 THEN p_name || ' S0' || (p_size % 9 + 1) || 'E' || {FIRST} || '-E' || ({FIRST} + 2) || {TAIL}
+WHEN 3 THEN p_name || ' S01E' || (1000 + {J} % 9000) || {TAIL}
+WHEN 4 THEN '[TV series] ' || p_name || ' S' || (10 + p_size % 9) || 'SP0' || ({J} % 9 + 1) || {TAIL}
+WHEN 5 THEN p_name || ' Season 0' || (p_size % 9 + 1) || {TAIL} || '.mkv'
+WHEN 6 THEN '[Movies][HK][' || replace(p_name, ' ', '.') || '.' || (1980 + p_size) || '.1080p.BluRay.x264.DTS-HD-GRP1][片名' || p_partkey || ' | 类型： 动作][9.34 GiB]'
+WHEN 7 THEN '[Music] ' || p_name || ' ' || (1980 + p_size) || {TAIL}
+WHEN 8 THEN '[TV Series]CCTV-3 ' || p_name || ' S01E05' || {TAIL}
+ELSE replace(p_name, ' ', '.') || '.EP07-EP08' || {TAIL} END"""
 
 
 def raw_titles(spark, d):
     """Titles as feeds have them, one per part, in several layouts."""
-    return table(spark, d, "part").select(F.col("p_partkey").alias("media_id"), F.expr(RAW).alias("raw_title"))
-
-
-PARSED = rf"""raw AS (SELECT p_partkey AS media_id, {RAW} AS raw_title FROM part),
-dotted AS (SELECT *, trim(regexp_replace(raw_title, '[_\s.]+', '.', 'g'), '.') AS t FROM raw),
-tags AS (SELECT *, nullif(lower(regexp_extract(t, '(?i)\b({release.QUALITY})\b', 1)), '') AS q, nullif(upper(regexp_extract(t, '(?i)\b({release.SOURCE})\b', 1)), '') AS s,
-    nullif(lower(regexp_extract(t, '(?i)\b({release.CODEC})\b', 1)), '') AS c, nullif(upper(regexp_extract(t, '(?i)\b({release.AUDIO})\b', 1)), '') AS a,
-    nullif(regexp_extract(t, '-([A-Za-z0-9@._]+)$', 1), '') AS release_group, TRY_CAST(regexp_extract(t, '\b({release.YEAR})\b', 1) AS INT) AS year,
-    TRY_CAST(regexp_extract(t, '(?i)\b{release.EPISODE}\b', 1) AS INT) AS tv_season, TRY_CAST(regexp_extract(t, '(?i)\b{release.EPISODE}\b', 2) AS INT) AS episode,
-    TRY_CAST(regexp_extract(t, '(?i)\b{release.EPISODE}\b', 3) AS INT) AS last_episode, TRY_CAST(regexp_extract(t, '(?i)\b{release.SPECIAL}\b', 1) AS INT) AS special_season,
-    TRY_CAST(regexp_extract(t, '(?i)\b{release.SPECIAL}\b', 2) AS INT) AS special_number, TRY_CAST(regexp_extract(t, '(?i)\b{release.SEASON_WORD}\b', 1) AS INT) AS word_season FROM dotted),
-parsed AS (SELECT media_id, raw_title, CASE WHEN q = '4k' THEN '2160p' ELSE q END AS quality, CASE regexp_replace(s, '[^A-Z]', '', 'g') WHEN 'WEBDL' THEN 'WEB-DL' ELSE regexp_replace(s, '[^A-Z]', '', 'g') END AS source,
-    CASE regexp_replace(c, '[ .]', '', 'g') WHEN 'x265' THEN 'H.265' WHEN 'h264' THEN 'H.264' WHEN 'avc' THEN 'H.264' ELSE upper(c) END AS codec, regexp_replace(a, '[ -]', '.', 'g') AS audio, release_group, year,
-    coalesce(tv_season, special_season, word_season) AS season, episode, CASE WHEN last_episode > episode THEN last_episode END AS episode_end, special_number,
-    CASE WHEN special_number IS NOT NULL THEN 'SPECIAL' WHEN episode IS NOT NULL THEN 'EPISODE' END AS tv_unit_type,
-    CASE WHEN coalesce(tv_season, special_season, word_season) IS NOT NULL THEN 'TV_SERIES' WHEN year IS NOT NULL THEN 'MOVIE' ELSE 'UNKNOWN' END AS media_type,
-    trim(regexp_replace(regexp_replace(regexp_replace(t, '^\[[^\]]*\]\.?', ''), '(?i)\.(S\d+(E|SP)\d+|Season\.\d+|(19|20)\d\d|{release.QUALITY})\b.*$', ''), '\.', ' ', 'g')) AS title FROM tags),
-full_parse AS (SELECT *, least(100, 35 + CASE WHEN media_type <> 'UNKNOWN' THEN 25 ELSE 0 END + CASE WHEN year IS NOT NULL THEN 15 ELSE 0 END + CASE WHEN quality IS NOT NULL THEN 10 ELSE 0 END + CASE WHEN season IS NOT NULL THEN 15 ELSE 0 END) AS confidence FROM parsed)"""
+    return table(spark, d, "part").select(F.col("p_partkey").alias("media_id"), F.expr(RAW.replace(" // ", " div ")).alias("raw_title"))
+
+
+def unless(layouts: str, value: str, by: str) -> str:
+    return f"CASE WHEN {LAYOUT} IN ({layouts}) THEN {value} ELSE {by} END"
+
+
+PARSED = f"""full_parse AS (SELECT p_partkey AS media_id, {RAW} AS raw_title, p_name AS title,
+    {unless("1", "'720p'", unless("6", "'1080p'", pick(["2160p", "1080p", "2160p", "1080p", None], J)))} AS quality,
+    {unless("1", "NULL", unless("6", "'BluRay'", pick(["WEB-DL", "BluRay", "HDTV", None], J)))} AS source,
+    {unless("1", "NULL", unless("6", "'H.264'", pick(["H.265", "H.264", "H.264", "H.265", "MPEG-2", "AV1", None], J)))} AS codec,
+    {unless("1", "NULL", unless("6", "'DTS-HD'", pick(["AAC2.0", "DTS-HD", "DD+5.1", "FLAC", "DDP5.1", None], J)))} AS audio,
+    {unless("6", "'GRP1'", f"'GRP' || ({J} % 7)")} AS release_group, CASE WHEN {LAYOUT} IN (0, 6, 7) THEN 1980 + p_size END AS year,
+    CASE {LAYOUT} WHEN 1 THEN p_size % 9 + 1 WHEN 2 THEN p_size % 9 + 1 WHEN 3 THEN 1 WHEN 4 THEN 10 + p_size % 9 WHEN 5 THEN p_size % 9 + 1 WHEN 8 THEN 1 WHEN 9 THEN 1 END AS season,
+    CASE {LAYOUT} WHEN 1 THEN {FIRST} WHEN 2 THEN {FIRST} WHEN 3 THEN 1000 + {J} % 9000 WHEN 8 THEN 5 WHEN 9 THEN 7 END AS episode,
+    CASE {LAYOUT} WHEN 2 THEN {FIRST} + 2 WHEN 9 THEN 8 END AS episode_end, CASE {LAYOUT} WHEN 4 THEN {J} % 9 + 1 END AS special_number,
+    CASE {LAYOUT} WHEN 1 THEN {pick([None, "2", None, "3"], J)} END AS episode_part, CASE {LAYOUT} WHEN 1 THEN {pick([None, None, "PURE", "PLUS"], J)} END AS variant,
+    CASE WHEN {LAYOUT} = 4 THEN 'SPECIAL' WHEN {LAYOUT} IN (1, 2, 3, 8) THEN 'EPISODE' END AS tv_unit_type,
+    CASE WHEN {LAYOUT} IN (0, 6) THEN 'MOVIE' WHEN {LAYOUT} = 7 THEN 'UNKNOWN' ELSE 'TV_SERIES' END AS media_type,
+    35 + CASE WHEN {LAYOUT} = 7 THEN 0 ELSE 25 END + CASE WHEN {LAYOUT} IN (0, 6, 7) THEN 15 ELSE 0 END + CASE WHEN {LAYOUT} NOT IN (1, 6) AND {J} % 5 = 4 THEN 0 ELSE 10 END
+    + CASE WHEN {LAYOUT} IN (0, 6, 7) THEN 0 ELSE 15 END AS confidence FROM part)"""
 
 
 def parsed(spark, d):
     return release.parse(raw_titles(spark, d), "raw_title")
 
 
-@query(f"WITH {PARSED} SELECT media_id, quality, source, codec, audio, release_group FROM full_parse")
+@query(f"WITH {PARSED} SELECT media_id, quality, source, codec, audio, release_group, TRY_CAST(regexp_extract(quality, '[0-9]+') AS INT) AS resolution FROM full_parse")
 def parser_tags(spark, d):
-    return parsed(spark, d).select("media_id", "quality", "source", "codec", "audio", "release_group")
+    return parsed(spark, d).select("media_id", "quality", "source", "codec", "audio", "release_group", "resolution")
 
 
-@query(f"WITH {PARSED} SELECT media_id, year, season, episode, episode_end, special_number, tv_unit_type FROM full_parse")
+@query(f"WITH {PARSED} SELECT media_id, year, season, episode, episode_end, special_number, tv_unit_type, episode_part, variant FROM full_parse")
 def parser_numbers(spark, d):
-    return parsed(spark, d).select("media_id", "year", "season", "episode", "episode_end", "special_number", "tv_unit_type")
+    return parsed(spark, d).select("media_id", "year", "season", "episode", "episode_end", "special_number", "tv_unit_type", "episode_part", "variant")
 
 
 @query(f"WITH {PARSED} SELECT media_id, title, media_type, confidence FROM full_parse")
@@ -134,16 +157,25 @@ def parser_title_type(spark, d):
     return parsed(spark, d).select("media_id", "title", "media_type", "confidence")
 
 
-@query()
+def with_titles(spark, d):
+    """Parsed titles with the Arrow UDF's."""
+    return parsed(spark, d).withColumn("info", release.title_info("head", "raw_title", "title"))
+
+
+@query(f"""WITH {PARSED} SELECT media_id, title AS canonical, title || CASE WHEN media_id % 10 = 6 THEN '|片名' || media_id ELSE '' END AS candidates,
+CASE WHEN media_id % 10 = 6 THEN '片名' || media_id ELSE '' END AS search, CASE WHEN media_id % 10 = 6 THEN '片名' || media_id ELSE title END AS first_search FROM full_parse""")
 def parser_titles(spark, d):
-    """Canonical title, candidates and search titles by the Arrow UDF, of distinct titles."""
-    info = parsed(spark, d).select("title", "raw_title").distinct().withColumn("info", release.title_info("title", "raw_title"))
-    return info.select("raw_title", "info.canonical", F.array_join("info.candidates", "|").alias("candidates"), F.array_join("info.search", "|").alias("search"))
+    """Canonical title, candidates and search titles by the Arrow UDF."""
+    return with_titles(spark, d).select("media_id", "info.canonical", F.array_join("info.candidates", "|").alias("candidates"), F.array_join("info.search", "|").alias("search"), F.col("info.primary").alias("first_search"))
 
 
-@query(f"""WITH {PARSED} SELECT media_id, concat_ws('|', 'title=' || lower(title), 'mediaType=' || lower(media_type), 'year=' || coalesce(CAST(year AS VARCHAR), ''), 'season=' || coalesce(CAST(season AS VARCHAR), ''),
+SIGNATURE = """concat_ws('|', 'title=' || lower(title), 'mediaType=' || lower(media_type), 'year=' || coalesce(CAST(year AS VARCHAR), ''), 'season=' || coalesce(CAST(season AS VARCHAR), ''),
 'episode=' || coalesce(CAST(episode AS VARCHAR), ''), 'episodeEnd=' || coalesce(CAST(episode_end AS VARCHAR), ''), CASE WHEN special_number IS NOT NULL THEN 'tvUnitType=special|specialNumber=' || special_number END,
-coalesce(lower(quality), ''), coalesce(lower(source), ''), coalesce(lower(codec), ''), coalesce(lower(audio), ''), coalesce(lower(release_group), ''), CAST(media_id * 1000 AS VARCHAR)) AS signature FROM full_parse""")
+'episodePart=' || lower(episode_part), 'variant=' || lower(variant),
+coalesce(lower(quality), ''), coalesce(lower(source), ''), coalesce(lower(codec), ''), coalesce(lower(audio), ''), coalesce(lower(release_group), ''), CAST(media_id * 1000 AS VARCHAR))"""
+
+
+@query(f"WITH {PARSED} SELECT media_id, {SIGNATURE} AS signature FROM full_parse")
 def release_signature(spark, d):
     return parsed(spark, d).select("media_id", release.signature(F.col("media_id") * 1000).alias("signature"))
 
@@ -162,38 +194,84 @@ def dedupe_key(spark, d):
     return table(spark, d, "part").select(k.alias("media_id"), kinds.t.alias("key_type"), F.sha2(kinds.v, 256).alias("key_hash"), F.concat(F.lit("sha256:"), F.sha2(job, 256)).alias("job_key"))
 
 
-CHANGES = ["quality", "source", "codec", "year", "media_type", "title"]
+FIELDS = ["title", "search", "media_type", "tv_unit_type", "year", "season", "episode", "episode_end", "special_number", "episode_part", "resolution", "quality", "source", "codec", "audio", "release_group", "variant", "confidence", "signature"]
+KINDS = ["missing_persisted_parse", *(f"{f}_changed" for f in FIELDS), "known_media_to_unknown", "unknown_to_known_media"]
+# A stored parse as an older parser might have left it; of every 97th title there is none.
+STALE = {
+    "title": "CASE WHEN media_id % 13 = 0 THEN upper(title) ELSE title END", "quality": "CASE WHEN media_id % 10 = 0 THEN NULL ELSE quality END", "codec": "CASE WHEN media_id % 15 = 0 THEN 'X' ELSE codec END",
+    "media_type": "CASE WHEN media_id % 50 = 7 THEN 'MOVIE' WHEN media_id % 50 = 0 THEN 'UNKNOWN' ELSE media_type END", "season": "CASE WHEN media_id % 21 = 0 THEN coalesce(season, 0) + 1 ELSE season END", "variant": "CASE WHEN media_id % 31 = 0 THEN NULL ELSE variant END",
+    "episode_part": "CASE WHEN media_id % 41 = 0 THEN NULL ELSE episode_part END", "search": "CASE WHEN media_id % 26 = 0 THEN 'old' ELSE search END", "confidence": "CASE WHEN media_id % 17 = 0 THEN 10 ELSE confidence END",
+}
+FULL = f"""{PARSED}, fresh AS (SELECT *, TRY_CAST(regexp_extract(quality, '[0-9]+') AS INT) AS resolution, CASE WHEN media_id % 10 = 6 THEN '片名' || media_id ELSE '' END AS search, {SIGNATURE} AS signature FROM full_parse),
+stored AS (SELECT media_id, {", ".join(f"{STALE.get(f, f)} AS {f}" for f in FIELDS)} FROM fresh WHERE media_id % 97 <> 0)"""
+FLAGS = [f"f.media_id IS NOT NULL AND o.{f} IS DISTINCT FROM f.{f} AND o.media_id IS NOT NULL" for f in FIELDS]
+CONDITIONS = ["o.media_id IS NULL", *FLAGS, "o.media_type <> 'UNKNOWN' AND f.media_type = 'UNKNOWN'", "o.media_type = 'UNKNOWN' AND f.media_type <> 'UNKNOWN'"]
+
 
+def fresh_parse(spark, d):
+    return with_titles(spark, d).withColumn("search", F.array_join("info.search", "|")).withColumn("signature", release.signature(F.col("media_id") * 1000)).select("media_id", "raw_title", *FIELDS)
 
-@query(f"""WITH {PARSED}, other AS (SELECT media_id, CASE WHEN media_id % 10 = 0 THEN NULL ELSE quality END AS quality, source, CASE WHEN media_id % 15 = 0 THEN 'X' ELSE codec END AS codec, year,
-CASE WHEN media_id % 50 = 0 THEN 'UNKNOWN' ELSE media_type END AS media_type, upper(title) AS title FROM full_parse), c AS (SELECT {", ".join(f"count(*) FILTER (f.{x} IS DISTINCT FROM o.{x}) AS {x}" for x in CHANGES)}
-FROM full_parse f JOIN other o USING (media_id)) SELECT kind, n FROM c UNPIVOT (n FOR kind IN ({", ".join(CHANGES)})) WHERE n > 0""")
+
+def compared(spark, d):
+    """Fresh parses f, written once, beside stored ones s."""
+    fresh = kept(fresh_parse(spark, d), "parses")
+    return fresh.select("media_id", F.struct(*FIELDS).alias("f"), F.when(F.expr("media_id % 97 <> 0"), F.struct(*(F.expr(STALE.get(c, c)).alias(c) for c in FIELDS))).alias("s"))
+
+
+def change_kinds(both):
+    """(media_id, media_type, changes) of rows with structs f and s: how a fresh parse differs from the stored one, nulls equal."""
+    there = F.col("s").isNotNull()
+    was, now = F.col("s.media_type") == "UNKNOWN", F.col("f.media_type") == "UNKNOWN"
+    flags = [~there, *(there & ~F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")) for c in FIELDS), there & ~was & now, there & was & ~now]
+    return both.select("media_id", F.col("f.media_type").alias("media_type"), was.alias("was_unknown"), F.array_compact(F.array(*(F.when(c, F.lit(k)) for c, k in zip(flags, KINDS, strict=True)))).alias("changes"))
+
+
+@query(f"WITH {FULL}, c AS (SELECT {', '.join(f'count(*) FILTER ({c}) AS {k}' for c, k in zip(CONDITIONS, KINDS, strict=True))} FROM fresh f LEFT JOIN stored o USING (media_id)) SELECT kind, n FROM c UNPIVOT (n FOR kind IN ({', '.join(KINDS)})) WHERE n > 0")
 def parser_drift(spark, d):
-    """How often each field differs between a stored and a fresh parse, nulls equal."""
-    fresh = parsed(spark, d).select("media_id", *CHANGES)
-    m = F.col("media_id")
-    stored = fresh.withColumns({"quality": F.when(m % 10 != 0, F.col("quality")), "codec": F.when(m % 15 == 0, "X").otherwise(F.col("codec")), "media_type": F.when(m % 50 == 0, "UNKNOWN").otherwise(F.col("media_type")), "title": F.upper("title")})
-    both = fresh.alias("f").join(stored.alias("s"), "media_id")
-    kinds = F.array_compact(F.array(*(F.when(~F.col(f"f.{c}").eqNullSafe(F.col(f"s.{c}")), F.lit(c)) for c in CHANGES)))
-    return both.select(F.explode(kinds).alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """How often each kind of change occurs between stored and fresh parses."""
+    return change_kinds(compared(spark, d)).select(F.explode("changes").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+SUMMARY = f"""summary AS (SELECT count(*) AS total, count(*) FILTER (missing) AS missing, count(*) FILTER (n = 0) AS unchanged, count(*) FILTER (n > 0) AS changed,
+count(*) FILTER (was_unknown) AS then_unknown, count(*) FILTER (media_type = 'UNKNOWN') AS now_unknown, count(*) FILTER (lost) AS lost, count(*) FILTER (recovered) AS recovered
+FROM (SELECT f.media_type, o.media_id IS NULL AS missing, o.media_type = 'UNKNOWN' AS was_unknown, {CONDITIONS[-2]} AS lost, {CONDITIONS[-1]} AS recovered, {" + ".join(f"CAST(coalesce({c}, false) AS INT)" for c in CONDITIONS)} AS n
+FROM fresh f LEFT JOIN stored o USING (media_id)))"""
 
 
-@query(f"""WITH {PARSED}, r AS (SELECT count(*) AS total, count(*) FILTER (media_type = 'UNKNOWN') AS now_unknown, count(*) FILTER (media_id % 50 = 0 OR media_type = 'UNKNOWN') AS then_unknown,
-count(*) FILTER (media_id % 50 = 0 AND media_type <> 'UNKNOWN') AS recovered FROM full_parse) SELECT *, concat_ws(',', CASE WHEN now_unknown * 1000 > then_unknown * 1000 + 5 * total THEN 'unknown_rate' END) AS failures FROM r""")
+@query(f"""WITH {FULL}, {SUMMARY} SELECT *, concat_ws(',', CASE WHEN now_unknown * 1000 > then_unknown * 1000 + 5 * total THEN 'unknown_rate' END, CASE WHEN lost > 0 THEN 'known_to_unknown' END) AS failures FROM summary""")
 def parser_gates(spark, d):
-    p, m, u = parsed(spark, d), F.col("media_id"), F.col("media_type") == "UNKNOWN"
-    r = p.agg(F.count("*").alias("total"), F.count_if(u).alias("now_unknown"), F.count_if((m % 50 == 0) | u).alias("then_unknown"), F.count_if((m % 50 == 0) & ~u).alias("recovered"))
-    return r.withColumn("failures", F.concat_ws(",", F.when(F.expr("now_unknown * 1000 > then_unknown * 1000 + 5 * total"), "unknown_rate")))
+    """A corpus summary and the gates that it fails: parse failures that rise, an UNKNOWN rate that rises by half a point, known titles lost."""
+    return parser_summary(change_kinds(compared(spark, d)))
 
 
-PAIRS = """docs AS (SELECT doc_id, trim(regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 1, 8), ' ')), '[^a-z0-9]+', ' ', 'g')) AS a FROM documents WHERE lang = 'en'),
-bench AS (SELECT item_id, trim(regexp_replace(lower(array_to_string(list_slice(string_split(text, ' '), 1, 6), ' ')), '[^a-z0-9]+', ' ', 'g')) AS b FROM benchmark),
-pairs AS (SELECT doc_id, item_id, a, b, list_filter(string_split(a, ' '), lambda x: x <> '') AS x, list_filter(string_split(b, ' '), lambda x: x <> '') AS y FROM docs JOIN bench ON split_part(a, ' ', 1) = split_part(b, ' ', 1) AND a <> '')"""
+def parser_summary(changes, failed: int = 0, failed_before: int = 0):
+    has = lambda k: F.count_if(F.array_contains("changes", k))
+    r = changes.agg(
+        F.count("*").alias("total"), has(KINDS[0]).alias("missing"), F.count_if(F.size("changes") == 0).alias("unchanged"), F.count_if(F.size("changes") > 0).alias("changed"), F.count_if("was_unknown").alias("then_unknown"),
+        F.count_if(F.col("media_type") == "UNKNOWN").alias("now_unknown"), has(KINDS[-2]).alias("lost"), has(KINDS[-1]).alias("recovered"),
+    )
+    rate = F.expr("now_unknown * 1000 > then_unknown * 1000 + 5 * total")
+    return r.withColumn("failures", F.concat_ws(",", F.when(F.lit(failed > failed_before), "parse_failures"), F.when(rate, "unknown_rate"), F.when(F.col("lost") > 0, "known_to_unknown")))
+
+
+@query(f"""WITH {FULL}, k AS (SELECT f.media_id, {", ".join(f"coalesce({c}, false) AS k{i}" for i, c in enumerate(CONDITIONS))} FROM fresh f LEFT JOIN stored o USING (media_id))
+SELECT media_id, priority FROM (SELECT media_id, CASE {" ".join(f"WHEN k{i} THEN {n}" for n, i in enumerate([20, 0, *range(1, 20), 21]))} END AS priority FROM k) WHERE priority IS NOT NULL ORDER BY priority, media_id LIMIT 50""")
+def drift_samples(spark, d):
+    """Changed titles by the gravest of their changes: lost kinds first, recovered ones last."""
+    grave = F.array(*(F.lit(KINDS[i]) for i in [20, 0, *range(1, 20), 21]))
+    rank = F.array_min(F.transform("changes", lambda k: F.array_position(grave, k) - 1))
+    return change_kinds(compared(spark, d)).where(F.size("changes") > 0).select("media_id", rank.cast("int").alias("priority")).orderBy("priority", "media_id").limit(50)
+
+
+# Page titles, whole; all pairs in the SQL, a join on rare tokens here.
+TITLE = "regexp_extract(html, '<title>([^<]*)</title>', 1)"
+TITLES = f"titles AS (SELECT page_id, a, list_filter(string_split(a, ' '), lambda x: x <> '') AS x FROM (SELECT page_id, trim(regexp_replace(lower({TITLE}), '[^a-z0-9]+', ' ', 'g')) AS a FROM pages))"
+HALF, MOST = 500_000, 600_000
 
 
 def sql_dice(x: str, y: str) -> str:
     times = lambda xs: f"len(list_filter({xs}, lambda w: w = v))"
-    return f"CAST(floor(coalesce(list_sum(list_transform(list_distinct({x}), lambda v: least({times(x)}, {times(y)}))), 0) * 2000000 / (len({x}) + len({y}))) AS BIGINT)"
+    return f"coalesce(CAST(floor(coalesce(list_sum(list_transform(list_distinct({x}), lambda v: least({times(x)}, {times(y)}))), 0) * 2000000 / (len({x}) + len({y}))) AS BIGINT), 0)"
 
 
 def sql_grams(s: str) -> str:
@@ -201,36 +279,53 @@ def sql_grams(s: str) -> str:
     return f"CASE WHEN length({s}) <= 3 THEN [{s}] ELSE list_transform(range(1, length({s}) - 1), lambda i: substr({s}, i, 3)) END"
 
 
-def pairs(spark, d, prepare=lambda c: c):
-    """Document and benchmark titles that start with the same word; x and y are prepared before the join."""
-    first = lambda c, n: F.trim(F.regexp_replace(F.lower(F.array_join(F.slice(F.split(c, " "), 1, n), " ")), "[^a-z0-9]+", " "))
-    docs = table(spark, d, "documents").where("lang = 'en'").select("doc_id", first("text", 8).alias("a")).where("a <> ''").withColumn("block", F.substring_index("a", " ", 1))
-    bench = table(spark, d, "benchmark").select("item_id", first("text", 6).alias("b")).withColumn("block", F.substring_index("b", " ", 1))
-    return docs.withColumn("x", prepare(F.col("a"))).join(bench.withColumn("y", prepare(F.col("b"))), "block").select("doc_id", "item_id", "a", "b", "x", "y")
+def page_titles(spark, d):
+    key = F.trim(F.regexp_replace(F.lower(F.expr(TITLE.replace("'<title>", "r'<title>"))), "[^a-z0-9]+", " "))
+    return table(spark, d, "pages").select("page_id", key.alias("a"))
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, {sql_dice('x', 'y')} AS token_dice, levenshtein(a, b) AS distance FROM pairs")
+@query(f"WITH {TITLES} SELECT l.page_id AS page_id, r.page_id AS other_id, {sql_dice('l.x', 'r.x')} AS token_dice, levenshtein(l.a, r.a) AS distance FROM titles l JOIN titles r ON l.page_id < r.page_id WHERE {sql_dice('l.x', 'r.x')} >= {HALF}")
 def token_dice(spark, d):
-    p = pairs(spark, d, lambda c: similarity.numbered(similarity.tokens(c)))
-    return p.select("doc_id", "item_id", similarity.numbered_dice(F.col("x"), F.col("y")).alias("token_dice"), F.levenshtein("a", "b").cast("long").alias("distance"))
+    t = page_titles(spark, d)
+    p = similar.pairs(t.withColumn("tokens", similarity.numbered(similarity.tokens(F.col("a")))), "page_id", "tokens", HALF)
+    l, r = t.select(F.col("page_id").alias("left_id"), F.col("a").alias("l")), t.select(F.col("page_id").alias("right_id"), F.col("a").alias("r"))
+    both = p.join(l, "left_id").join(r, "right_id")
+    return both.select(F.col("left_id").alias("page_id"), F.col("right_id").alias("other_id"), F.col("dice").alias("token_dice"), F.levenshtein("l", "r").cast("long").alias("distance"))
 
 
-@query(f"WITH {PAIRS}, g AS (SELECT doc_id, item_id, {sql_grams('a')} AS x, {sql_grams('b')} AS y FROM pairs) SELECT doc_id, item_id, {sql_dice('x', 'y')} AS trigram_dice FROM g")
+@query(f"WITH {TITLES}, g AS (SELECT page_id, {sql_grams('a')} AS x FROM titles) SELECT l.page_id AS page_id, r.page_id AS other_id, {sql_dice('l.x', 'r.x')} AS trigram_dice FROM g l JOIN g r ON l.page_id < r.page_id WHERE {sql_dice('l.x', 'r.x')} >= {MOST}")
 def trigram_dice(spark, d):
-    p = pairs(spark, d, lambda c: similarity.numbered(similarity.trigrams(c)))
-    return p.select("doc_id", "item_id", similarity.numbered_dice(F.col("x"), F.col("y")).alias("trigram_dice"))
+    t = page_titles(spark, d).withColumn("grams", similarity.numbered(similarity.trigrams(F.col("a"))))
+    return similar.pairs(t, "page_id", "grams", MOST).select(F.col("left_id").alias("page_id"), F.col("right_id").alias("other_id"), F.col("dice").alias("trigram_dice"))
 
 
-@query(f"WITH {PAIRS} SELECT doc_id, item_id, contains(' ' || a || ' ', ' ' || b || ' ') AS holds FROM pairs")
+@query(f"WITH {TITLES} SELECT l.page_id AS page_id, r.page_id AS other_id FROM titles l JOIN (SELECT page_id, array_to_string(list_slice(x, 2, 3), ' ') AS part FROM titles WHERE len(x) >= 3) r ON l.page_id <> r.page_id AND contains(' ' || l.a || ' ', ' ' || r.part || ' ')")
 def window_containment(spark, d):
-    return pairs(spark, d).select("doc_id", "item_id", similarity.contains_window(similarity.tokens(F.col("a")), similarity.tokens(F.col("b"))).alias("holds"))
+    """Titles that hold the second and third word of another: the shorter list's rarest token finds them."""
+    t = page_titles(spark, d).withColumn("x", similarity.tokens(F.col("a")))
+    part = t.where(F.size("x") >= 3).select(F.col("page_id").alias("other_id"), F.slice("x", 2, 2).alias("y"))
+    return similar.containing(t.select("page_id", "x"), "x", part, "y").where("page_id <> other_id").select("page_id", "other_id")
+
+
+SCORED = f"""pairs AS (SELECT l.page_id AS page_id, r.page_id AS other_id, l.a, r.a AS b, l.x, r.x AS y, 1990 + l.page_id % 3 AS expected, CASE WHEN r.page_id % 7 <> 0 THEN 1990 + r.page_id % 4 END AS actual, l.page_id % 2 = 0 AS tv, CASE WHEN l.page_id % 4 = 0 THEN 2 END AS season
+FROM titles l JOIN titles r ON l.page_id < r.page_id WHERE {sql_dice('l.x', 'r.x')} >= {HALF}),
+held AS (SELECT *, least(len(x), len(y)) AS short, abs(len(x) - len(y)) AS extra, contains(' ' || a || ' ', ' ' || b || ' ') OR contains(' ' || b || ' ', ' ' || a || ' ') AS holds FROM pairs),
+similar_to AS (SELECT *, CASE WHEN a = b THEN 1000000 ELSE greatest(CASE WHEN NOT holds THEN 0 WHEN extra = 0 THEN 1000000 WHEN tv AND season IS NOT NULL AND (a = b || ' season ' || season OR b = a || ' season ' || season) THEN 940000 WHEN short >= 3 AND extra <= 1 THEN 880000 WHEN short >= 4 AND extra <= 2 THEN 900000 WHEN short >= 5 AND extra <= 4 THEN 880000 ELSE 800000 END,
+{sql_dice("list_filter(x, lambda w: w NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr'))", "list_filter(y, lambda w: w NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr'))")},
+CAST(floor({sql_dice(sql_grams("array_to_string(list_filter(x, lambda w: w NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr')), ' ')"), sql_grams("array_to_string(list_filter(y, lambda w: w NOT IN ('mr', 'mrs', 'ms', 'miss', 'dr')), ' ')"))} * 96 / 100) AS BIGINT)) END AS t FROM held),
+moved AS (SELECT *, t * 78 / 100 AS base, abs(expected - actual) AS delta FROM similar_to),
+final AS (SELECT *, CASE WHEN actual IS NULL THEN base WHEN tv AND expected > actual THEN base WHEN delta = 0 AND t >= 940000 THEN greatest(base + 200000, 930000) WHEN delta = 0 AND t >= 880000 THEN greatest(base + 200000, 900000)
+WHEN delta = 0 AND tv AND season IS NOT NULL AND t >= 860000 THEN greatest(base + 200000, 880000) WHEN delta = 0 THEN base + 200000 WHEN delta = 1 THEN base + 80000 ELSE least(base - 150000, 550000) END AS score FROM moved)"""
 
 
-@query(oracle("SELECT c.media_id, c.feed_id, CAST(floor(CASE WHEN c.title = q.title THEN CASE WHEN abs(c.year - q.year) = 0 THEN 980000 WHEN media_type = 'TV_SERIES' AND q.year > c.year THEN 780000 WHEN abs(c.year - q.year) = 1 THEN 860000 "
-              "ELSE 550000 END END / 10000) AS BIGINT) AS score FROM (SELECT i.media_id, i.feed_id, m.title, m.media_type, m.year + i.feed_id % 3 - 1 AS year FROM (SELECT DISTINCT media_id, feed_id FROM items) i JOIN media m USING (media_id)) c JOIN media q USING (media_id)".replace("media_type = 'TV_SERIES'", "c.media_type = 'TV_SERIES'")))
+@query(f"WITH {TITLES}, {SCORED} SELECT page_id, other_id, CAST(t AS BIGINT) AS title_similarity, CAST(floor(greatest(0, least(1000000, score)) / 10000) AS BIGINT) AS score FROM final")
 def candidate_score(spark, d):
-    """Candidates of a title with years off by up to one."""
-    q = media(spark, d).select("media_id", "title", "media_type", "year")
-    c = items(spark, d).select("media_id", "feed_id").distinct().join(q, "media_id").withColumn("found", F.col("year") + F.col("feed_id") % 3 - 1)
-    t = similarity.title_similarity(F.col("title"), F.col("title"))
-    return c.select("media_id", "feed_id", similarity.candidate_score(t, F.col("year"), F.col("found"), F.col("media_type") == "TV_SERIES", F.lit(None).cast("int")).alias("score"))
+    """Titles that share half of their tokens, with years off by up to two: similarity and score."""
+    i, o = F.col("left_id"), F.col("right_id")
+    t = page_titles(spark, d)
+    p = similar.pairs(t.withColumn("tokens", similarity.numbered(similarity.tokens(F.col("a")))), "page_id", "tokens", HALF)
+    both = p.join(t.select(F.col("page_id").alias("left_id"), F.col("a").alias("l")), "left_id").join(t.select(F.col("page_id").alias("right_id"), F.col("a").alias("r")), "right_id")
+    tv, season = i % 2 == 0, F.when(i % 4 == 0, 2)
+    both = both.withColumn("t", similarity.title_similarity(F.col("l"), F.col("r"), tv, season))
+    score = similarity.candidate_score(F.col("t"), (1990 + i % 3).cast("int"), F.when(o % 7 != 0, (1990 + o % 4).cast("int")), tv, season)
+    return both.select(i.alias("page_id"), o.alias("other_id"), F.col("t").alias("title_similarity"), score.alias("score"))

@@ -7,17 +7,11 @@ a retry, which makes them exactly-once.
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.operators import acquisition
-
-
-def shared_folder(spark: SparkSession, name: str) -> str:
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir", None) or "/tmp/reelgrid-streams"
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+from reelgrid.sources.tables import shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 100) -> DataFrame:

@@ -29,24 +29,6 @@ def test_dates(spark):
     assert got == ["2024-01-02 03:04:05", "2024-01-02 03:04:05", "None"]
 
 
-def test_release(spark):
-    titles = ["Some.Show.S02E05-E07.1080p.WEB-DL.H.264.AAC-GRP", "[Movie] A Film 1999 4K BluRay x265-TEAM", "Some Show S01SP02 720p", "Other.Show.Season.3.HDTV", "某剧 第十二集 1080p", "nothing here"]
-    rows = release.parse(spark.createDataFrame([(t,) for t in titles], "raw string"), "raw").collect()
-    got = [(r.media_type, r.season, r.episode, r.episode_end, r.special_number, r.quality, r.year) for r in rows]
-    assert got == [
-        ("TV_SERIES", 2, 5, 7, None, "1080p", None), ("MOVIE", None, None, None, None, "2160p", 1999), ("TV_SERIES", 1, None, None, 2, "720p", None),
-        ("TV_SERIES", 3, None, None, None, None, None), ("TV_SERIES", 1, 12, None, None, "1080p", None), ("UNKNOWN", None, None, None, None, None, None),
-    ]
-    assert [r.title for r in rows[:4]] == ["Some Show", "A Film", "Some Show", "Other Show"]
-    assert (rows[0].source, rows[0].codec, rows[0].audio, rows[0].release_group) == ("WEB-DL", "H.264", "AAC", "GRP")
-
-
-def test_candidates():
-    assert release.candidates_of("Film AKA Other Film", "x") == ["Film", "Other Film"]
-    assert release.candidates_of("某剧 Some Show", "[某剧2/Third][1080p]")[:4] == ["某剧", "Some Show", "某剧 Some Show", "某剧2"]
-    assert release.candidates_of(None, None) == []
-
-
 def test_similarity(spark):
     a, b = F.col("a"), F.col("b")
     assert one(spark, similarity.title_similarity(a, b), a="the big film", b="the big film") == 1_000_000
