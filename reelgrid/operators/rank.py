@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import base64
+import json
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,3 +33,19 @@ def after(*keys: tuple[str, bool, object]) -> Column:
         found = found | (equal & ((c < v) if down else (c > v)))
         equal = equal & (c == v)
     return found
+
+
+def encoded_cursor(position: dict) -> str:
+    """A page's last position as one opaque word."""
+    return base64.urlsafe_b64encode(json.dumps(position, separators=(",", ":")).encode()).rstrip(b"=").decode()
+
+
+def decoded_cursor(cursor: str, names: list[str]) -> dict:
+    """The position in a cursor; ValueError if it is not one with exactly these names."""
+    try:
+        found = json.loads(base64.urlsafe_b64decode(cursor + "=" * (-len(cursor) % 4)))
+    except ValueError as e:
+        raise ValueError("invalid cursor") from e
+    if not isinstance(found, dict) or set(found) != set(names):
+        raise ValueError("invalid cursor")
+    return found

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import rules, serving, streams, text
+from reelgrid.plans import catalog, rules, serving, streams, text
 
-MODULES = [serving, text, rules, streams]
+MODULES = [serving, catalog, text, rules, streams]
 
 
 def queries() -> dict:

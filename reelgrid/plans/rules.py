@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from reelgrid.operators import acquisition, rules
 from reelgrid.operators.rank import top_per_key
 from reelgrid.plans.serving import METADATA, metadata
-from reelgrid.sources.tables import feeds, items, matches, media, oracle, table
+from reelgrid.sources.tables import feeds, items, jobs, matches, media, oracle, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -22,41 +22,84 @@ def query(sql: str | None = None):
     return put
 
 
-RULES = """rule AS (SELECT c_custkey AS rule_id, c_custkey AS media_id, c_nationkey % 5 AS tenant_id, CASE WHEN c_mktsegment = 'BUILDING' THEN 'MOVIE' WHEN c_mktsegment = 'MACHINERY' THEN 'TV_SERIES' END AS media_type,
-    CASE WHEN c_custkey % 2 = 0 THEN 720 END AS min_resolution, CASE WHEN c_custkey % 7 = 0 THEN 1080 END AS max_resolution, CASE WHEN c_custkey % 4 = 0 THEN 'GRP1' END AS group_excluded, CASE WHEN c_custkey % 3 = 0 THEN 2000000 END AS min_size,
-    CASE WHEN c_custkey % 5 = 0 THEN 'widget|ring' END AS title_regex, CASE WHEN c_custkey % 6 = 0 THEN 3 END AS season, CASE WHEN c_custkey % 12 = 0 THEN 2 END AS episode_start FROM customer),
-candidate AS (SELECT i.*, title, m.media_type AS title_type, CAST(regexp_extract(quality, '^([0-9]+)', 1) AS VARCHAR) AS res, CASE WHEN m.media_type = 'TV_SERIES' THEN CAST(qty % 5 + 1 AS INT) END AS season, CASE WHEN m.media_type = 'TV_SERIES' AND qty % 3 <> 0 THEN line END AS episode,
-    x.status, x.confidence FROM items i JOIN media m USING (media_id) LEFT JOIN matches x ON x.release_id = i.release_id AND NOT invalidated),
-judged AS (SELECT r.rule_id, c.release_id, c.line, c.feed_id, c.qty, c.size_bytes, CASE WHEN c.status IS DISTINCT FROM 'MATCHED' THEN 'release has no active matched media title'
-    WHEN coalesce(c.confidence, 0) < 88 THEN 'metadata match confidence is below auto-download threshold' WHEN r.media_type <> c.title_type THEN 'media type does not match'
-    WHEN r.title_regex IS NOT NULL AND NOT regexp_matches(c.title, r.title_regex) THEN 'title regex did not match' WHEN r.min_resolution IS NOT NULL AND c.res IS NULL THEN 'release resolution is missing'
-    WHEN TRY_CAST(c.res AS INT) < r.min_resolution THEN 'resolution is below subscription minimum' WHEN r.max_resolution IS NOT NULL AND c.res IS NULL THEN 'release resolution is missing'
-    WHEN TRY_CAST(c.res AS INT) > r.max_resolution THEN 'resolution is above subscription maximum' WHEN c.release_group = r.group_excluded THEN 'release group is excluded by subscription'
-    WHEN c.size_bytes < r.min_size THEN 'release size is below subscription minimum'
-    WHEN (r.media_type = 'TV_SERIES' OR c.title_type = 'TV_SERIES' OR r.season IS NOT NULL OR r.episode_start IS NOT NULL) AND c.season IS NULL THEN 'series release lacks strict season and episode fields'
-    WHEN r.season IS NOT NULL AND c.season <> r.season THEN 'season does not match subscription'
-    WHEN (r.media_type = 'TV_SERIES' OR c.title_type = 'TV_SERIES' OR r.season IS NOT NULL) AND c.episode IS NULL AND r.episode_start IS NOT NULL THEN 'series release lacks strict season and episode fields'
-    WHEN c.episode < r.episode_start THEN 'episode is before subscription range' ELSE 'accepted' END AS reason FROM rule r JOIN candidate c USING (media_id))"""
+# Rules and candidates as columns that both engines read; lists are joined by commas, identities written provider:id.
+K = "c_custkey"
+RULE = {
+    "rule_id": K, "tenant_id": "c_nationkey % 5", "title": f"CASE WHEN {K} % 500 = 0 THEN NULL ELSE {K} END", "mode": f"CASE WHEN {K} % 500 = 0 THEN 'REGEX' ELSE 'MEDIA_TITLE' END",
+    "media_type": f"CASE WHEN {K} % 19 = 0 THEN 'MOVIE' WHEN {K} % 19 = 1 THEN 'TV_SERIES' END", "feed_ids": f"CASE WHEN {K} % 7 = 0 THEN 'f0,f1' END", "title_id": f"CASE WHEN {K} % 23 = 0 THEN {K} + 1 WHEN {K} % 500 <> 0 THEN {K} END",
+    "selected": f"CASE WHEN {K} % 13 = 0 THEN 'TMDB:' || {K} WHEN {K} % 13 = 1 THEN 'tvdb:7' END", "linked": f"CASE WHEN {K} % 17 = 0 THEN 'imdb:' || {K} WHEN {K} % 17 = 1 THEN 'imdb:0' END", "rated": f"CASE WHEN {K} % 6 = 0 THEN CASE WHEN {K} % 30 = 0 THEN 'none' ELSE 'douban' END END",
+    "title_regex": f"CASE WHEN {K} % 500 = 0 THEN 'a.*e' WHEN {K} % 5 = 0 THEN 'widget|ring|a' END", "include_regex": f"CASE WHEN {K} % 29 = 0 THEN '1080p|2160p' END", "exclude_regex": f"CASE WHEN {K} % 8 = 0 THEN 'hdtv' END",
+    "min_resolution": f"CASE WHEN {K} % 10 = 0 THEN 1080 END", "max_resolution": f"CASE WHEN {K} % 11 = 0 THEN 1080 END", "sources": f"CASE WHEN {K} % 12 = 1 THEN 'WEB-DL,REMUX' END", "codecs": f"CASE WHEN {K} % 12 = 2 THEN 'H.265' END", "audio": f"CASE WHEN {K} % 12 = 3 THEN 'AAC,DTS' END",
+    "groups_include": f"CASE WHEN {K} % 12 = 4 THEN 'GRP1,GRP2,GRP3' END", "groups_exclude": f"CASE WHEN {K} % 4 = 0 THEN 'GRP1' END", "variants_include": f"CASE WHEN {K} % 12 = 5 THEN 'PURE,PLUS' END", "variants_exclude": f"CASE WHEN {K} % 12 = 7 THEN 'PLUS' END",
+    "min_size": f"CASE WHEN {K} % 3 = 0 THEN 2000000 END", "max_size": f"CASE WHEN {K} % 12 = 8 THEN 3000000 END", "season": f"CASE WHEN {K} % 9 = 0 THEN 3 END", "episode_start": f"CASE WHEN {K} % 18 = 0 THEN 2 END", "episode_end": f"CASE WHEN {K} % 14 = 0 THEN 3 END", "season_pack_allowed": f"{K} % 15 <> 0",
+}
+CANDIDATE = {
+    "feed": "'f' || feed_id % 4", "match_source": "CASE WHEN release_id % 5 = 0 THEN 'MANUAL' ELSE 'AUTO' END", "title_key": "lower(title)", "raw_title": "title || ' ' || coalesce(quality, '') || CASE WHEN qty % 3 = 0 THEN ' HDTV' ELSE '' END",
+    "source": "CASE qty % 3 WHEN 0 THEN 'HDTV' WHEN 1 THEN 'WEB-DL' END", "codec": "CASE qty % 4 WHEN 0 THEN 'H.265' WHEN 1 THEN 'H.264' END", "audio": "CASE qty % 5 WHEN 0 THEN 'AAC' WHEN 1 THEN 'FLAC' END", "variant": "CASE qty % 6 WHEN 0 THEN 'PURE' WHEN 1 THEN 'PLUS' END",
+    "size": "CASE WHEN qty % 9 <> 0 THEN size_bytes END", "season": "CASE WHEN media_type = 'TV_SERIES' AND qty % 11 <> 0 THEN qty % 5 + 1 END", "episode": "CASE WHEN media_type = 'TV_SERIES' AND qty % 3 <> 0 THEN line END",
+    "rating": "CASE WHEN media_id % 4 <> 0 THEN media_id % 10 END", "rating_scale": "CASE WHEN media_id % 5 <> 0 THEN 10 ELSE 0 END", "votes": "media_id % 30",
+}
+KNOWN = "coalesce(status, '') = 'MATCHED'"
+LISTED = lambda xs, v: f"{xs} IS NOT NULL AND NOT coalesce(list_contains(string_split({xs}, ','), {v}), false)"
+SERIES = "(coalesce(r_media_type = 'TV_SERIES', false) OR c_type = 'TV_SERIES' OR r_season IS NOT NULL OR r_episode_start IS NOT NULL OR r_episode_end IS NOT NULL)"
+STRICT = "'series release lacks strict season and episode fields'"
+TITLED = "r_mode = 'MEDIA_TITLE'"
+RUNGS = [
+    (LISTED("r_feed_ids", "c_feed"), "'feed does not match subscription'"), (f"{TITLED} AND NOT ({KNOWN})", "'release has no active matched media title'"),
+    (f"{TITLED} AND c_match_source = 'AUTO' AND coalesce(confidence, 0) < 88", "'metadata match confidence is below auto-download threshold'"), (f"{TITLED} AND r_media_type <> c_type", "'media type does not match'"),
+    (f"{TITLED} AND r_title_id <> media_id", "'media title does not match subscription'"), (f"{TITLED} AND lower(r_selected) <> 'tmdb:' || media_id", "'selected provider title does not match subscription'"),
+    (f"{TITLED} AND r_linked <> 'imdb:' || media_id", "'linked provider title does not match subscription'"), (f"{TITLED} AND r_rated IS NOT NULL AND (r_rated = 'none' OR c_rating IS NULL)", "'provider rating is missing'"),
+    (f"{TITLED} AND r_rated IS NOT NULL AND c_rating_scale <= 0", "'provider rating scale is invalid'"), (f"{TITLED} AND r_rated IS NOT NULL AND c_votes < 10", "'provider rating vote count is below subscription minimum'"), (f"{TITLED} AND r_rated IS NOT NULL AND c_rating * 10 < 6 * c_rating_scale", "'provider rating does not match subscription'"),
+    (f"NOT ({TITLED}) AND r_media_type <> c_type", "'media type does not match'"), ("r_title_regex IS NOT NULL AND NOT (regexp_matches(lower(title), r_title_regex) OR regexp_matches(lower(c_raw_title), r_title_regex))", "'title regex did not match'"),
+    ("r_include_regex IS NOT NULL AND NOT regexp_matches(c_raw_title, '(?i)' || r_include_regex)", "'include regex did not match'"), ("regexp_matches(c_raw_title, '(?i)' || r_exclude_regex)", "'exclude regex matched'"),
+    ("r_min_resolution IS NOT NULL AND resolution IS NULL", "'release resolution is missing'"), ("resolution < r_min_resolution", "'resolution is below subscription minimum'"), ("r_max_resolution IS NOT NULL AND resolution IS NULL", "'release resolution is missing'"), ("resolution > r_max_resolution", "'resolution is above subscription maximum'"),
+    (LISTED("r_sources", "c_source"), "'source does not match subscription'"), (LISTED("r_codecs", "c_codec"), "'codec does not match subscription'"), (LISTED("r_audio", "c_audio"), "'audio does not match subscription'"),
+    ("r_groups_include IS NOT NULL AND release_group IS NULL", "'release group is missing'"), (LISTED("r_groups_include", "release_group"), "'release group is not included by subscription'"), ("release_group = r_groups_exclude", "'release group is excluded by subscription'"),
+    (LISTED("r_variants_include", "c_variant"), "'release variant is not included by subscription'"), ("c_variant = r_variants_exclude", "'release variant is excluded by subscription'"),
+    ("r_min_size IS NOT NULL AND c_size IS NULL", "'release size is missing'"), ("c_size < r_min_size", "'release size is below subscription minimum'"), ("r_max_size IS NOT NULL AND c_size IS NULL", "'release size is missing'"), ("c_size > r_max_size", "'release size is above subscription maximum'"),
+    (f"{SERIES} AND c_season IS NULL", STRICT), (f"{SERIES} AND c_season <> r_season", "'season does not match subscription'"), (f"{SERIES} AND c_episode IS NULL AND (NOT r_season_pack_allowed OR r_episode_start IS NOT NULL OR r_episode_end IS NOT NULL)", STRICT),
+    (f"{SERIES} AND c_episode < r_episode_start", "'episode is before subscription range'"), (f"{SERIES} AND c_episode > r_episode_end", "'episode is after subscription range'"),
+]
+RULES = f"""rule AS (SELECT {", ".join(f"{e} AS r_{n}" for n, e in RULE.items())} FROM customer),
+candidate AS (SELECT i.*, title, media_type AS c_type, f.tenant_id, TRY_CAST(regexp_extract(quality, '^([0-9]+)', 1) AS INT) AS resolution, x.status, x.confidence, {", ".join(f"{e} AS c_{n}" for n, e in CANDIDATE.items())}
+FROM items i JOIN media m USING (media_id) JOIN feeds f USING (feed_id) LEFT JOIN matches x ON x.release_id = i.release_id AND NOT invalidated),
+judged AS (SELECT r_rule_id AS rule_id, r_tenant_id AS tenant_id, release_id, line, feed_id, media_id, qty, size_bytes, first_seen, CASE {" ".join(f"WHEN {c} THEN {why}" for c, why in RUNGS)} ELSE 'accepted' END AS reason
+FROM rule r JOIN candidate c ON r.r_tenant_id = c.tenant_id AND (r_title = media_id OR r_title IS NULL))""".replace("i.release_id % 5", "release_id % 5").replace("CASE WHEN release_id % 5", "CASE WHEN i.release_id % 5")
+
+
+def rule_frame(spark, d):
+    """(rule_id, tenant_id, title, rule): title is null for rules of regular expressions."""
+    cols = {n: F.expr(e) for n, e in RULE.items()}
+    items_of = lambda n: F.split(F.col(n), ",")
+    none = F.lit(None).cast("string")
+    identity = lambda c: F.struct(F.split_part(c, F.lit(":"), F.lit(1)).alias("provider"), none.alias("mediaType"), none.alias("providerEntityType"), F.split_part(c, F.lit(":"), F.lit(2)).alias("providerId"))
+    rated = F.when(F.col("rated").isNotNull(), F.array(F.struct(F.col("rated").alias("provider"), none.alias("ratingType"), F.lit("gte").alias("comparison"), F.lit(6).alias("value"), F.lit(10).alias("scale"), F.lit(10).alias("minVoteCount"))))
+    lists = ["feed_ids", "sources", "codecs", "audio", "groups_include", "groups_exclude", "variants_include", "variants_exclude"]
+    plain = ["mode", "media_type", "title_id", "title_regex", "include_regex", "exclude_regex", "min_resolution", "max_resolution", "min_size", "max_size", "season", "episode_start", "episode_end", "season_pack_allowed"]
+    return table(spark, d, "customer").select(*(c.alias(n) for n, c in cols.items())).select("rule_id", "tenant_id", "title", F.struct(
+        *plain, *(items_of(n).alias(n) for n in lists), F.when(F.col("selected").isNotNull(), identity(F.col("selected"))).alias("selected"), F.when(F.col("linked").isNotNull(), F.array(identity(F.col("linked")))).alias("linked"), rated.alias("ratings"),
+    ).alias("rule"))
 
 
-def judged(spark, d):
-    """Each rule on the items of its title: an equi-join on the title, then one expression."""
-    k, none = F.col("c_custkey"), lambda t: F.lit(None).cast(t)
-    rule = table(spark, d, "customer").select(k.alias("rule_id"), k.alias("media_id"), F.struct(
-        F.lit("MEDIA_TITLE").alias("mode"), F.when(F.col("c_mktsegment") == "BUILDING", "MOVIE").when(F.col("c_mktsegment") == "MACHINERY", "TV_SERIES").alias("media_type"), none("array<bigint>").alias("feed_ids"),
-        F.when(k % 5 == 0, "widget|ring").alias("title_regex"), none("string").alias("include_regex"), none("string").alias("exclude_regex"), F.when(k % 2 == 0, 720).alias("min_resolution"), F.when(k % 7 == 0, 1080).alias("max_resolution"),
-        *(none("array<string>").alias(n) for n in ("sources", "codecs", "audio", "groups_include", "variants_include", "variants_exclude")), F.when(k % 4 == 0, F.array(F.lit("GRP1"))).alias("groups_exclude"),
-        F.when(k % 3 == 0, 2_000_000).alias("min_size"), none("bigint").alias("max_size"), F.when(k % 6 == 0, 3).alias("season"), F.when(k % 12 == 0, 2).alias("episode_start"), none("int").alias("episode_end"), F.lit(True).alias("season_pack_allowed"),
-    ).alias("rule"))
+def candidate_frame(spark, d):
     m = matches(spark, d).where("NOT invalidated").select("release_id", "status", "confidence")
-    tv = F.col("media_type") == "TV_SERIES"
-    c = items(spark, d).join(media(spark, d), "media_id").join(m, "release_id", "left")
-    c = c.select("media_id", "release_id", "line", "feed_id", "qty", "size_bytes", F.struct(
-        "feed_id", "status", F.lit("AUTO").alias("match_source"), "confidence", F.col("media_type").alias("title_type"), F.col("media_type").alias("parsed_type"), "title", F.lower("title").alias("title_key"), F.col("title").alias("raw_title"),
-        rules.normal_resolution(F.col("quality")).alias("resolution"), none("string").alias("source"), none("string").alias("codec"), none("string").alias("audio"), "release_group", none("string").alias("variant"), "size_bytes",
-        F.when(tv, (F.col("qty") % 5 + 1).cast("int")).alias("season"), F.when(tv & (F.col("qty") % 3 != 0), F.col("line")).alias("episode"),
+    every = items(spark, d).join(media(spark, d), "media_id").join(feeds(spark, d).select("feed_id", "tenant_id"), "feed_id").join(m, "release_id", "left")
+    c = every.select("*", *(F.expr(e).alias(f"c_{n}") for n, e in CANDIDATE.items()))
+    none, v = F.lit(None).cast("string"), lambda n: F.col(f"c_{n}").alias(n)
+    have = lambda p, rating=None: F.struct(F.lit(p).alias("provider"), none.alias("mediaType"), none.alias("providerEntityType"), F.col("media_id").cast("string").alias("providerId"), none.alias("ratingType"), (F.col("c_rating") if rating else F.lit(None)).cast("bigint").alias("ratingValue"), F.col("c_rating_scale").alias("ratingScale"), F.col("c_votes").alias("ratingVoteCount"))
+    return c.select("tenant_id", "media_id", "release_id", "line", "feed_id", "qty", "size_bytes", "first_seen", F.struct(
+        F.col("c_feed").alias("feed_id"), "status", v("match_source"), "confidence", F.col("media_type").alias("title_type"), F.col("media_type").alias("parsed_type"), "title", v("title_key"), v("raw_title"), F.col("media_id").alias("title_id"), have("tmdb").alias("selected"),
+        F.array(have("imdb"), have("douban", True)).alias("linked"), rules.normal_resolution(F.col("quality")).alias("resolution"), v("source"), v("codec"), v("audio"), "release_group", v("variant"), F.col("c_size").alias("size_bytes"), v("season"), v("episode"),
     ).alias("candidate"))
-    return rule.join(c, "media_id").withColumn("reason", rules.reason())
+
+
+def judged(spark, d):
+    """Each rule on the items of its tenant: an equi-join on tenant and title; the few rules without a title meet all of the tenant's."""
+    r, c = rule_frame(spark, d), candidate_frame(spark, d)
+    titled = r.where("title IS NOT NULL").withColumnRenamed("title", "media_id").join(c, ["tenant_id", "media_id"])
+    free = r.where("title IS NULL").drop("title").join(c, "tenant_id")
+    columns = ["rule_id", "tenant_id", "release_id", "line", "feed_id", "media_id", "qty", "size_bytes", "first_seen", "rule", "candidate"]
+    return titled.select(*columns).unionByName(free.select(*columns)).withColumn("reason", rules.reason())
 
 
 @query(oracle("SELECT rule_id, release_id, line, feed_id, qty, size_bytes, reason FROM judged", "," + RULES))
@@ -64,6 +107,48 @@ def rule_ladder(spark, d):
     return judged(spark, d).select("rule_id", "release_id", "line", "feed_id", "qty", "size_bytes", "reason")
 
 
+@query(oracle("""SELECT rule_id, release_id, line, feed_id, qty, size_bytes, accepted, accepted AND rule_id = first_rule AS creates_job FROM (SELECT *, min(CASE WHEN accepted THEN rule_id END) OVER (PARTITION BY tenant_id, release_id, line, feed_id, media_id) AS first_rule
+FROM (SELECT *, reason = 'accepted' AS accepted FROM judged))""", "," + RULES))
+def automation(spark, d):
+    """A decision for each rule and item; of the accepted ones of an item the first makes a job, the rest are duplicates."""
+    done = rules.automated(judged(spark, d), "rule_id", ["tenant_id", "release_id", "line", "feed_id"], "media_id")
+    return done.select("rule_id", "release_id", "line", "feed_id", "qty", "size_bytes", "accepted", "creates_job")
+
+
+@query(oracle("SELECT rule_id, release_id, line, feed_id, qty, size_bytes, first_seen FROM judged WHERE tenant_id = 2 AND reason <> 'accepted' ORDER BY first_seen DESC, release_id DESC, line, rule_id, feed_id, qty, size_bytes LIMIT 200", "," + RULES))
+def decision_history(spark, d):
+    """Rejected decisions of a tenant's rules, the newest 200."""
+    order = [F.desc("first_seen"), F.desc("release_id"), F.asc("line"), F.asc("rule_id"), F.asc("feed_id"), F.asc("qty"), F.asc("size_bytes")]
+    return judged(spark, d).where("tenant_id = 2 AND reason <> 'accepted'").orderBy(*order).limit(200).select("rule_id", "release_id", "line", "feed_id", "qty", "size_bytes", "first_seen")
+
+
+@query(oracle("SELECT r_rule_id AS rule_id, r_mode AS mode, title, CAST(r_rule_id % 10 AS BIGINT) AS downloader_id, coalesce(n, 0) AS n_jobs FROM rule LEFT JOIN media ON media_id = r_title LEFT JOIN (SELECT item_id, count(*) AS n FROM jobs GROUP BY 1) ON item_id = r_rule_id % 10 WHERE r_tenant_id = 1 AND r_rule_id % 3 = 0", "," + RULES))
+def subscription_list(spark, d):
+    """A user's subscriptions with their title and downloader."""
+    mine = rule_frame(spark, d).where("tenant_id = 1 AND rule_id % 3 = 0").select("rule_id", "rule.mode", "title", (F.col("rule_id") % 10).alias("downloader_id"))
+    n = jobs(spark, d).groupBy(F.col("item_id").alias("downloader_id")).agg(F.count("*").alias("n"))
+    names = media(spark, d).select(F.col("media_id").alias("of"), F.col("title").alias("name"))
+    return mine.join(names, F.col("title") == F.col("of"), "left").join(n, "downloader_id", "left").select("rule_id", "mode", F.col("name").alias("title"), "downloader_id", F.coalesce("n", F.lit(0)).alias("n_jobs"))
+
+
+RAW_RULE = """SELECT c_custkey AS rule_id, CASE WHEN c_custkey % 3 = 0 THEN 'REGEX' END AS mode, CASE WHEN c_custkey % 7 = 0 THEN c_custkey END AS title_id, CASE WHEN c_custkey % 4 = 0 THEN 2160 WHEN c_custkey % 4 = 1 THEN 720 END AS min_resolution,
+CASE WHEN c_custkey % 5 = 0 THEN 1080 END AS max_resolution, CASE WHEN c_custkey % 6 = 0 THEN 500 END AS min_size, CASE WHEN c_custkey % 9 = 0 THEN 100 ELSE 1000 END AS max_size, CASE WHEN c_custkey % 11 = 0 THEN repeat('a', 301) ELSE ' x ' END AS title_regex FROM customer"""
+
+
+@query(f"""SELECT rule_id, coalesce(mode, 'MEDIA_TITLE') AS mode, CASE WHEN rule_id % 2 = 0 THEN 'WEB-DL,BLURAY' ELSE '' END AS sources, CASE WHEN rule_id % 8 = 0 THEN 'GRP1,GRP2' ELSE '' END AS groups_include, trim(title_regex) AS title_regex,
+CASE WHEN mode = 'REGEX' AND title_id IS NOT NULL THEN 'regex subscriptions cannot use media identity filters' WHEN min_resolution > max_resolution THEN 'minResolution cannot be greater than maxResolution' WHEN min_size > max_size THEN 'minSizeBytes cannot be greater than maxSizeBytes'
+WHEN rule_id % 8 = 0 AND rule_id % 16 = 0 THEN 'preferredReleaseGroups must be within releaseGroupsInclude' WHEN length(trim(title_regex)) > 300 THEN 'regex is too long' END AS problem FROM ({RAW_RULE})""")
+def rule_validation(spark, d):
+    """Rules as people write them: normalised, with the reason where they are not valid; criteria JSON fills gaps."""
+    table(spark, d, "customer").createOrReplaceTempView("customer_for_rules")
+    raw, k, none = spark.sql(RAW_RULE.replace("FROM customer", "FROM customer_for_rules")), F.col("rule_id"), F.lit(None)
+    lists = {n: none.cast("array<string>") for n in rules.LISTS} | {"sources": F.when(k % 2 == 0, F.array(F.lit(" web-dl "), F.lit("WEBDL"), F.lit("blu ray"), F.lit(""))), "groups_include": F.when(k % 8 == 0, F.array(F.lit("grp1"), F.lit("GRP2"))), "groups_preferred": F.array(F.when(k % 16 == 0, "grp9").otherwise("Grp2"))}
+    more = {"media_type": none.cast("string"), "selected": none.cast("struct<provider:string>"), "linked": none.cast("array<string>"), "ratings": none.cast("array<string>"), "include_regex": F.lit(""), "exclude_regex": none.cast("string"), "criteria": F.lit('{"upgradePolicy": "better_quality", "allowCrossSeed": true}')}
+    flags = {n: none.cast("boolean") for n in ("season_pack_allowed", "cross_seed", "separate_variants")} | {"upgrade_policy": none.cast("string")}
+    out = rules.normal_rules(rules.with_criteria(raw.withColumns(lists | more | flags)))
+    return out.where("cross_seed AND upgrade_policy = 'better_quality'").select("rule_id", "mode", F.array_join("sources", ",").alias("sources"), F.array_join("groups_include", ",").alias("groups_include"), "title_regex", "problem")
+
+
 @query(oracle("SELECT reason, count(*) AS n, count(DISTINCT rule_id) AS n_rules FROM judged GROUP BY 1", "," + RULES))
 def rule_reason_counts(spark, d):
     return judged(spark, d).groupBy("reason").agg(F.count("*").alias("n"), F.count_distinct("rule_id").alias("n_rules"))

@@ -238,22 +238,25 @@ def due_feeds(spark, d):
     return due.orderBy(F.asc_nulls_first("next_attempt"), "feed_id").limit(20).select("feed_id", "tenant_id", "next_attempt")
 
 
-@query(oracle("SELECT release_id, status, confidence FROM (SELECT * FROM matches WHERE NOT invalidated) m LEFT JOIN (SELECT o_orderkey AS release_id, o_totalprice FROM orders) USING (release_id) WHERE status = 'UNMATCHED' OR (status = 'MATCHED' AND (confidence < 20 OR metadata_id IS NULL))"))
+@query(oracle("""SELECT release_id, media_id, status, confidence FROM (SELECT DISTINCT ON (m.release_id, i.media_id) m.release_id, i.media_id, m.status, m.confidence, poster FROM (SELECT * FROM matches WHERE NOT invalidated) m JOIN items i USING (release_id) LEFT JOIN media x ON x.media_id = m.metadata_id
+ORDER BY m.release_id, i.media_id, matched_at DESC NULLS LAST, updated_at DESC) WHERE status = 'UNMATCHED' OR (status = 'MATCHED' AND (confidence < 88 OR poster IS NULL))"""))
 def rematch_candidates(spark, d):
-    active = matches(spark, d).where("NOT invalidated")
-    return active.where("status = 'UNMATCHED' OR (status = 'MATCHED' AND (confidence < 20 OR metadata_id IS NULL))").select("release_id", "status", "confidence")
+    """Releases of items whose newest active match is missing, weak or without a poster."""
+    active = top_per_key(matches(spark, d).where("NOT invalidated"), ["release_id"], [F.desc_nulls_last("matched_at"), F.desc("updated_at")])
+    cover = media(spark, d).select(F.col("media_id").alias("metadata_id"), "poster")
+    both = active.join(items(spark, d).select("release_id", "media_id").distinct(), "release_id").join(cover, "metadata_id", "left")
+    return both.where("status = 'UNMATCHED' OR (status = 'MATCHED' AND (confidence < 88 OR poster IS NULL))").select("release_id", "media_id", "status", "confidence")
 
 
 ROLE = "CASE c_mktsegment WHEN 'BUILDING' THEN 'OWNER' WHEN 'MACHINERY' THEN 'ADMIN' WHEN 'HOUSEHOLD' THEN 'MEMBER' ELSE 'VIEWER' END"
 
 
-@query(f"WITH m AS (SELECT c_custkey AS user_id, {ROLE} AS role FROM customer), r AS (SELECT *, CASE role WHEN 'OWNER' THEN 0 WHEN 'ADMIN' THEN 1 WHEN 'MEMBER' THEN 2 ELSE 3 END AS role_rank FROM m) SELECT user_id, role, role_rank, row_number() OVER (ORDER BY role_rank, user_id) AS place FROM r WHERE role_rank <= 2 ORDER BY place LIMIT 100")
+@query(f"WITH m AS (SELECT c_custkey AS user_id, {ROLE} AS role FROM customer), r AS (SELECT *, CASE role WHEN 'OWNER' THEN 0 WHEN 'ADMIN' THEN 1 WHEN 'MEMBER' THEN 2 ELSE 3 END AS role_rank FROM m) SELECT user_id, role, role_rank FROM r WHERE role_rank <= 2 ORDER BY role_rank, user_id")
 def members_ranked(spark, d):
-    """Members with at least the role MEMBER, by declared role order, not by name."""
+    """All members with at least the role MEMBER, by declared role order, not by name: a sort by ranges."""
     ranks = {"OWNER": 0, "ADMIN": 1, "MEMBER": 2, "VIEWER": 3}
     rank = F.element_at(F.create_map(*(F.lit(x) for kv in ranks.items() for x in kv)), F.col("role"))
-    seen = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(ROLE).alias("role")).withColumn("role_rank", rank).where("role_rank <= 2").orderBy("role_rank", "user_id").limit(100)
-    return seen.withColumn("place", F.row_number().over(Window.orderBy("role_rank", "user_id")))  # over 100 rows
+    return table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.expr(ROLE).alias("role")).withColumn("role_rank", rank).where("role_rank <= 2").orderBy("role_rank", "user_id")
 
 
 @query("SELECT event_type AS reason, count(*) AS n FROM events GROUP BY 1")
