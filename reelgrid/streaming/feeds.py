@@ -11,26 +11,37 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelgrid.operators import acquisition
+from reelgrid.operators.rank import top_per_key
 from reelgrid.sources.tables import shared_folder
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
-    """A stream of a Parquet table's files; path may be a folder or one file."""
-    return spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files).parquet(f"{path}*")
+    """A stream of a Parquet table's files; path may be a folder or one file, and no sibling of it is read."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    reader = spark.readStream.schema(spark.read.parquet(path).schema).option("maxFilesPerTrigger", files)
+    if at.getFileSystem(spark._jsc.hadoopConfiguration()).getFileStatus(at).isFile():  # the path only; no file is opened here
+        return reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
+    return reader.parquet(path)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", each=None) -> DataFrame:
-    """Runs a stream over all files there are and reads back what it wrote; each(batch, n, home) changes a batch first."""
+def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys: list[str] | None = None) -> DataFrame:
+    """Runs a stream over all files there are and reads back what it wrote; each(batch, n, home) changes a batch first.
+
+    In update mode each batch writes the rows that changed; of rows with equal keys those of the last batch count.
+    """
     spark = stream.sparkSession
     home = shared_folder(spark, name)
 
     def put(batch: DataFrame, n: int):
         out = each(batch, n, home) if each else batch
-        out.write.mode("overwrite").parquet(f"{home}/out/" + ("all" if mode == "complete" else f"batch={n}"))
+        out.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
 
     run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).foreachBatch(put).start()
     run.awaitTermination()
-    return spark.read.parquet(f"{home}/out/all" if mode == "complete" else f"{home}/out").drop("batch")
+    out = spark.read.parquet(f"{home}/out")
+    if mode == "update":
+        out = top_per_key(out, keys, [F.desc("batch")])
+    return out.drop("batch")
 
 
 def unique(entries: DataFrame, keys: list[str]) -> DataFrame:
@@ -39,6 +50,7 @@ def unique(entries: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def windowed(entries: DataFrame, time: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
+    """Counts per window; a window's state goes when entries are `late` past its end, and later ones no longer count."""
     w = F.window(time, size, slide) if slide else F.window(time, size)
     return entries.withWatermark(time, late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
 

@@ -71,3 +71,44 @@ def test_aliases(spark):
 
     row = spark.createDataFrame([([" 0 A", "1st ", "a", "B", "b"], "A", "C")], "f array<string>, t string, o string").select(text.aliases(F.col("f"), F.col("t"), F.col("o")).alias("x")).first()
     assert row.x == ["0 A", "1st", "B"]
+
+
+def test_download_links(spark):
+    from reelgrid.functions import text
+
+    links = [("alternate", "text/html", "https://a/page", None), ("enclosure", "x", " https://a/t.torrent ", "77")]
+    row = (links, None, "https://b/u.torrent", "https://a/page", "guid", "99")
+    df = spark.createDataFrame([row, ([], None, None, "https://a/page", None, "99"), (None, "magnet:?x", None, None, None, None)], "links array<struct<rel:string,type:string,href:string,length:string>>, m string, e string, l string, g string, n string")
+    url = text.download_url(*(F.col(c) for c in "links m e l g".split()))
+    rows = df.withColumn("url", url).select("url", text.download_size(F.col("links"), F.col("url"), F.col("n")).alias("size")).collect()
+    assert [tuple(r) for r in rows] == [("https://a/t.torrent", 77), (None, 99), ("magnet:?x", None)]
+
+
+def test_equivalent_keys(spark):
+    from reelgrid.functions import text
+
+    rows = spark.createDataFrame([("The Quest & Son II",), ("Quest and Son 2",), ("A",), ("Anna",)], "t string").select(text.equivalent_key(F.col("t")).alias("k")).collect()
+    assert [r.k for r in rows] == ["quest and son 2", "quest and son 2", "a", "anna"]
+    near = spark.createDataFrame([("quiet river", "quiet rivers"), ("abc", "abd"), ("quiet river", "loud river")], "a string, b string").select(text.near_titles(F.col("a"), F.col("b")).alias("x")).collect()
+    assert [r.x for r in near] == [True, False, False]
+
+
+def test_feed_events_and_states(spark):
+    from reelgrid.sources import feeds
+
+    rows = spark.createDataFrame([('{"a": [1, {"b": "{[{"}]}',), ('{"a":{"b":{"c":{"d":{"e":{"f":{}}}}}}}',)], "j string").select(feeds.shallow(F.col("j")).alias("x")).collect()
+    assert rows[0].x is not None and rows[1].x is None
+    got = feeds.torrent_states(spark.createDataFrame([(1, "x", "1.5", None, 4, "10", None, "-1"), (2, "y", None, "Seeding", None, None, None, None), (3, "z", None, None, 99, None, None, None)], "id int, name string, progress string, state string, code int, download_speed string, upload_speed string, ratio string")).collect()
+    assert [(r.progress, r.state, r.ratio) for r in got] == [(1.0, "downloading", 0.0), (0.0, "seeding", 0.0), (0.0, "unknown", 0.0)]
+
+
+def test_cursors():
+    import pytest
+
+    from reelgrid.operators import rank
+
+    at = {"a": 1, "b": "x"}
+    assert rank.decoded_cursor(rank.encoded_cursor(at), ["b", "a"]) == at
+    for bad in ("%%", "e30", rank.encoded_cursor({"a": 1})):
+        with pytest.raises(ValueError):
+            rank.decoded_cursor(bad, ["a", "b"])
