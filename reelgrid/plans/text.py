@@ -114,8 +114,9 @@ ELSE replace(p_name, ' ', '.') || '.EP07-EP08' || {TAIL} END"""
 
 
 def raw_titles(spark, d):
-    """Titles as feeds have them, one per part, in several layouts."""
-    return table(spark, d, "part").select(F.col("p_partkey").alias("media_id"), F.expr(RAW.replace(" // ", " div ")).alias("raw_title"))
+    """Titles as feeds have them, one per part, in several layouts; dealt over all cores, since parsing costs far more than moving them."""
+    titles = table(spark, d, "part").select(F.col("p_partkey").alias("media_id"), F.expr(RAW.replace(" // ", " div ")).alias("raw_title"))
+    return titles.repartition(spark.sparkContext.defaultParallelism)
 
 
 def unless(layouts: str, value: str, by: str) -> str:

@@ -28,10 +28,14 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 
 
 def kept(df: DataFrame, name: str) -> DataFrame:
-    """df, written to the shared folder and read back, so what is used several times is computed once."""
-    path = shared_folder(df.sparkSession, name)
+    """df, written to the shared folder and read back, so what is used several times is computed once. The folder goes when the
+    application ends."""
+    spark = df.sparkSession
+    path = shared_folder(spark, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return spark.read.schema(df.schema).parquet(path)
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
