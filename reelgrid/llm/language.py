@@ -115,7 +115,11 @@ class Model:
 def sampled(docs: DataFrame, sample: int) -> DataFrame:
     """(lang, rank, x): features of at most `sample` distinct texts of each language, those of least hash."""
     keyed = docs.where("lang is not null and text is not null").select("lang", F.xxhash64("text").alias("h"), "text")
-    ranked = keyed.select("lang", "h").distinct().withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample)
+    every = keyed.select("lang", "h").distinct()
+    # Hashes are even, so the least twice `sample` of a language hold its least `sample`; only they are ranked, in a task a language.
+    often = F.broadcast(every.groupBy("lang").agg(F.count("*").alias("n")))  # a row a language
+    least = every.join(often, "lang").where((F.col("n") <= 2 * sample) | ((F.col("h") / 2.0**64 + 0.5) * F.col("n") <= 2 * sample))
+    ranked = least.withColumn("rank", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).where(F.col("rank") <= sample).select("lang", "h", "rank")
     picked = keyed.join(F.broadcast(ranked), ["lang", "h"]).groupBy("lang", "rank").agg(F.first("text").alias("text"))  # languages x `sample` rows
 
     def run(batches):
