@@ -222,6 +222,43 @@ def test_recurrent_lm_sums_to_one_and_learns():
     assert np.allclose(recurrent_lm.score(p, head, np.concatenate(docs), first, 7), recurrent_lm.score(p, head, np.concatenate(docs), first, 1000), rtol=1e-4)
 
 
+def test_recurrent_lm_scores_in_plain_python(spark):
+    """Each document's score, token by token, from the fitted parameters: classes, members, shares of bands and the tail."""
+    r = random.Random(6)
+    texts = [" ".join(f"w{int(r.paretovariate(0.7))}" for _ in range(r.randrange(5, 60))) for _ in range(150)]
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate([*texts, "never seen before w1", ""])], "doc_id long, text string")
+    learn = docs.where("doc_id < 120")
+    counts = recurrent_lm.token_counts(learn)
+    head = recurrent_lm.head_of(counts)
+    p = recurrent_lm.fit(learn, head, rounds=2)
+    got = {x.doc_id: x.score for x in recurrent_lm.scored(docs, counts, head, p).collect()}
+    q = {k: v.astype(np.float64) for k, v in p.items()}
+    known = {x.token: x.c for x in counts.collect()}
+    n, sig = recurrent_lm.HIDDEN, lambda x: 1 / (1 + np.exp(-x))
+    soft = lambda v: v - np.log(np.exp(v - v.max()).sum()) - v.max()
+    tail_of = head.tail_tokens + 0.5 * (head.tail_distinct + 1)
+    for i, t in [*enumerate(texts[:5]), (149, texts[149]), (150, "never seen before w1"), (151, "")]:
+        tokens = recurrent_lm.tokens_of([t])[0]
+        h, before, total = np.zeros(n), None, 0.0
+        for token, rank in zip(tokens, head.rank(tokens).tolist(), strict=True):
+            x = q["b"] + (0 if before is None else q["x"][head.input[before]])
+            a = h @ q["u"]
+            z, reset = sig(x[:n] + a[:n]), sig(x[n : 2 * n] + a[n : 2 * n])
+            new = np.tanh(x[2 * n :] + reset * a[2 * n :])
+            h = (1 - z) * new + z * h
+            c = head.cls[rank]
+            total += soft(h @ q["c"] + q["cb"])[c]
+            if c < head.classes:
+                lo = c * head.members
+                total += soft(q["w"][lo : lo + head.members] @ h + q["wb"][lo : lo + head.members])[rank - lo]
+            elif rank == len(head.hashes):
+                total += math.log((known.get(int(np.uint64(token).view(np.int64)), 0) + 0.5) / tail_of)
+            else:
+                total += head.share[rank]
+            before = rank
+        assert got[i] == pytest.approx(total / math.log(10), rel=1e-4)
+
+
 def test_recurrent_lm_vocabulary_grows():
     """Words far behind rank 1024 have an input row and a learned output each; probabilities stay one distribution."""
     n = 40_000
