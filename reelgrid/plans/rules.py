@@ -235,5 +235,8 @@ def policy_merge(spark, d):
     defaults = F.array(*(F.lit(s) for s, _ in DEFAULTS))  # in order
     missing = top.withColumn("missing", F.filter(defaults, lambda s: ~F.array_contains("have", s))).select("tenant_id", "top", F.posexplode("missing").alias("place", "source"))
     merged = own.unionByName(missing.select("tenant_id", "source", (F.col("top") + F.col("place") + 1).cast("int").alias("priority"), F.lit(True).alias("enabled")))
-    disabled = merged.where("tenant_id % 5 = 0 AND source LIKE 'ptgen%'").select("tenant_id", "source")
+    # Sources that a tenant switched off; the older table names a family of sources, which counts for each of them.
+    older = table(spark, d, "nation").where("n_nationkey % 5 = 0").select(n.alias("tenant_id"), F.lit("ptgen").alias("family"))
+    families = spark.createDataFrame([("ptgen", s) for s in ("ptgen_imdb", "ptgen_douban")], "family string, source string")
+    disabled = older.join(F.broadcast(families), "family").select("tenant_id", "source")
     return merged.join(disabled, ["tenant_id", "source"], "left_anti").select("tenant_id", "source", "priority", "enabled")

@@ -120,10 +120,12 @@ def metadata(spark, d):
     })
 
 
-@query(oracle("SELECT media_id, feed_id, source FROM metadata QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY has_content DESC, selected DESC, source, feed_id) = 1", "," + METADATA))
+@query(oracle("SELECT media_id, feed_id, source FROM metadata QUALIFY row_number() OVER (PARTITION BY media_id ORDER BY has_content DESC, selected DESC, (media_id + feed_id) % 2, source, votes > 25 DESC, rating DESC, feed_id) = 1", "," + METADATA))
 def best_metadata(spark, d):
-    """The first row with content in presentation order, else the first."""
-    return top_per_key(metadata(spark, d), ["media_id"], [F.desc("has_content"), F.desc("selected"), F.asc("source"), F.asc("feed_id")]).select("media_id", "feed_id", "source")
+    """The first row with content in presentation order, else the first: selected ones, of the title's type, by provider, fresh
+    ones, by payload time, by key."""
+    order = [F.desc("has_content"), F.desc("selected"), F.asc((F.col("media_id") + F.col("feed_id")) % 2), F.asc("source"), F.desc(F.col("votes") > 25), F.desc("rating"), F.asc("feed_id")]
+    return top_per_key(metadata(spark, d), ["media_id"], order).select("media_id", "feed_id", "source")
 
 
 @query(oracle("SELECT media_id, feed_id, rating, CASE WHEN rating >= 70 THEN 'high' WHEN rating >= 40 THEN 'middle' ELSE 'low' END AS band FROM metadata WHERE source = 1 AND rating > 0 AND votes >= 5 "

@@ -10,8 +10,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from reelgrid.functions import release
 from reelgrid.operators import acquisition
+from reelgrid.operators.catalogue import upserted
 from reelgrid.operators.rank import top_per_key
+from reelgrid.sources import feeds as source
 from reelgrid.sources.tables import shared_folder
 
 
@@ -79,3 +82,46 @@ def acquired(batch: DataFrame, n: int, home: str) -> DataFrame:
     state = done.groupBy("key", "feed").agg(held.alias("held"))
     state.select("key", "feed", F.col("held.held_resolution").cast("int").alias("resolution"), F.col("held.held_rank").cast("int").alias("rank")).write.mode("overwrite").parquet(f"{home}/state/batch={n}")
     return done.where("new").select("key", "entry_id", "action")
+
+
+#: Parts of the stored items; a batch reads and rewrites only those of its feeds.
+BUCKETS = 64
+COMPARED = ["raw_title", "title", "media_type", "year", "season", "episode", "quality", "source", "codec", "release_group", "size_bytes"]
+
+
+def keyed(parsed: DataFrame) -> DataFrame:
+    """Parsed items with their key (info hash, else signature, else link) and the hashes by which others may be the same item."""
+    sha = lambda c: F.sha2(c, 256)
+    kind = lambda t, v: F.when(v.isNotNull(), F.struct(F.lit(t).alias("type"), sha(v).alias("hash")))
+    key = F.coalesce(kind("INFO_HASH", F.col("info_hash")), kind("RELEASE_SIGNATURE", release.signature(F.col("size_bytes"))), kind("LINK_HASH", F.col("torrent_url")))
+    found = F.array_compact(F.array(sha(F.col("torrent_url")), sha(F.col("info_hash")), sha(F.col("guid"))))
+    return parsed.withColumn("key", key).select("feed_id", F.col("key.type").alias("key_type"), F.col("key.hash").alias("key_hash"), found.alias("hashes"), "seen_at", *COMPARED)
+
+
+def refreshed(batch: DataFrame, n: int, home: str) -> DataFrame:
+    """A refresh of feeds as one micro-batch of raw items (with feed_id and seen_at): normalised, parsed, merged into the stored
+    items of their feeds; returns what happened to each item that came.
+
+    Stored items lie by bucket of their feed and by batch; of a bucket those of its last batch count, so a retry overwrites its own.
+    """
+    spark = batch.sparkSession
+    extra = ["feed_id", "seen_at"]
+    items = source.normalised(batch, extra).where("skip_reason IS NULL")
+    incoming = keyed(release.parse(items, "raw_title"))
+    path = f"{home}/incoming/batch={n}"
+    incoming.write.mode("overwrite").parquet(path)  # parsed once
+    incoming = spark.read.schema(incoming.schema).parquet(path)
+    bucket = F.pmod(F.xxhash64("feed_id"), F.lit(BUCKETS)).cast("int")
+    empty = spark.createDataFrame([], incoming.schema).withColumn("item_id", F.lit("")).select("item_id", *incoming.columns)
+    stored = empty
+    if n:
+        touched = incoming.select(bucket.alias("bucket")).distinct()
+        every = spark.read.parquet(f"{home}/items").where(F.col("batch") < n).join(F.broadcast(touched), "bucket", "left_semi")  # BUCKETS rows at most
+        last = every.groupBy("bucket").agg(F.max("batch").alias("batch"))
+        stored = every.join(F.broadcast(last), ["bucket", "batch"], "left_semi").select(*empty.columns)
+    merged = upserted(stored, incoming, COMPARED)
+    out = f"{home}/outcome/batch={n}"
+    merged.write.mode("overwrite").parquet(out)
+    merged = spark.read.schema(merged.schema).parquet(out)
+    merged.drop("outcome").withColumns({"bucket": bucket, "batch": F.lit(n)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{home}/items")
+    return merged.where("outcome <> 'kept'").select("feed_id", "item_id", "raw_title", "outcome")
