@@ -168,13 +168,14 @@ def loudness(pcm: np.ndarray) -> str:
     return f"{math.isqrt(int(np.dot(wide, wide)) // len(wide))},{int(np.abs(wide).max())},{int(np.count_nonzero((wide[1:] < 0) != (wide[:-1] < 0)))}"
 
 
-FEATURES = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+FEATURES = "doc_id {}, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, pcm_bytes long, pcm_sha256 string"
 
 
 def features(media: DataFrame) -> DataFrame:
-    """Digests of what is stored and read back, and features of it under both laws, as ADPCM blocks and of its stored PCM.
+    """Digests of what is stored and read back, and features of it under both laws, as ADPCM blocks and of its PCM, resampled
+    and stored as a WAV file too, which is read back as well.
 
-    media(doc_id, n_bytes, media, pcm), as store and to_pcm make it.
+    One stage does both, since PCM is four times as large and would grow the batches between stages.
     """
     schema = FEATURES.format(media.schema["doc_id"].dataType.simpleString())
     names = [x.split()[0] for x in schema.split(", ")]
@@ -186,23 +187,24 @@ def features(media: DataFrame) -> DataFrame:
                 read = [read_wav(m) for m in stored]
                 blocks = decode_adpcm(np.frombuffer(b"".join(r[3] for r in read), np.uint8))  # of all rows at once
                 rows, at = [], 0
-                for m, (_, _, _, payload), pcm in zip(stored, read, b.column(3), strict=True):
+                for m, (code, rate, _, payload) in zip(stored, read, strict=True):
                     n = len(payload) // BLOCK
                     adpcm, at = blocks[at : at + n].ravel(), at + n
                     mu, a = expand(MU_LAW, payload), expand(A_LAW, payload)
-                    kept = pcm.as_buffer()
-                    feature = f"mulaw={loudness(mu)};alaw={loudness(a)};adpcm={loudness(adpcm)},{zlib.crc32(adpcm.tobytes())};pcm16k={kept.size // 2},{zlib.crc32(kept)}"
-                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+                    pcm = wav(resample(mu if code == MU_LAW else a, rate, STORED_RATE).tobytes(), PCM, STORED_RATE)
+                    kept = read_wav(pcm)[3]
+                    feature = f"mulaw={loudness(mu)};alaw={loudness(a)};adpcm={loudness(adpcm)},{zlib.crc32(adpcm.tobytes())};pcm16k={len(kept) // 2},{zlib.crc32(kept)}"
+                    rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(m), hashlib.sha256(m).hexdigest(), feature, len(pcm), hashlib.sha256(pcm).hexdigest()))
                 cols = zip(*rows, strict=True)
-                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+                kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.int64(), pa.string())
                 yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=names)
 
-    return media.select("doc_id", "n_bytes", "media", "pcm").mapInArrow(run, schema)
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(run, schema)
 
 
 def op1_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document's bytes as mu-law samples and resampled PCM, read back, with features."""
-    return features(to_pcm(store(documents(spark, sf_dir))))
+    return features(store(documents(spark, sf_dir)))
 
 
 QUERIES = {"op1_telephony": op1_telephony}

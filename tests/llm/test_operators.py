@@ -98,7 +98,10 @@ def test_telephony(spark, here):
             figures = ["%d,%d,%d" % (math.isqrt(sum(v * v for v in p) // len(p)), max(map(abs, p)), sum((u < 0) != (v < 0) for u, v in zip(p, p[1:], strict=False))) for p in (mu, a)]
             parts = r.feature.split(";")
             assert parts[:2] == [f"mulaw={figures[0]}", f"alaw={figures[1]}"] and parts[2].startswith("adpcm=")
-            assert parts[3] == f"pcm16k={2 * n},{zlib.crc32(struct.pack(f'<{2 * n}h', *pcm))}"
+            samples = struct.pack(f"<{2 * n}h", *pcm)
+            assert parts[3] == f"pcm16k={2 * n},{zlib.crc32(samples)}"
+            head = b"RIFF" + struct.pack("<I", 38 + 4 * n) + b"WAVEfmt " + struct.pack("<IHHIIHHH", 18, 1, 1, 16000, 32000, 2, 16, 0) + b"data" + struct.pack("<I", 4 * n)
+            assert (r.pcm_bytes, r.pcm_sha256) == (46 + 4 * n, hashlib.sha256(head + samples).hexdigest())
 
 
 def telephony_value(law, code):
