@@ -34,6 +34,8 @@ from reelgrid.llm.words import mix, words_of
 
 END = mix(np.array([0x656E64], np.uint64))
 HEAD = 1 << 18
+#: Bits of a hash behind those that index the head.
+LEAD = np.uint64(64 - 18)
 #: Learned words: a power of two, one in WORD_OF of the counted ones or less.
 WORDS_LEAST, WORDS_MOST, WORD_OF = 1 << 10, 1 << 15, 16
 #: Ranks where a band ends, those above the learned words; the head ends the last but one.
@@ -41,7 +43,7 @@ BANDS = (8192, 65536, HEAD)
 STEPS = 32
 HIDDEN, WINDOW, LANES_LEAST, LANES, ROUNDS, SHARE, RATE, ROW_RATE = 24, 16, 32, 512, 4, 64, 0.004, 0.1
 #: Rows of a softmax at a time, and parameters of a block that are averaged together.
-ROWS, BLOCK = 1 << 12, 1 << 12
+ROWS, BLOCK = 1 << 8, 1 << 12
 LN10 = float(np.log(10))
 
 
@@ -72,6 +74,8 @@ class Head:
         self.n_classes, self.inputs = self.classes + len(bands) + 1, self.words + len(bands) + 1
         by_hash = np.argsort(hashes)
         self.hashes, self.ranks = hashes[by_hash], by_hash.astype(np.int32)
+        # Where the hashes of each leading bits begin: a token's place is there or a few further.
+        self.begin = np.searchsorted(self.hashes >> LEAD, np.arange(1 << 64 - int(LEAD), dtype=np.uint64)).astype(np.int32)
         self.counts = np.append(counts, 0)
         base = np.log10((counts + 0.5) / (total + 0.5 * (distinct + 1)))
         self.base = np.append(base, 0)
@@ -98,7 +102,13 @@ class Head:
         n = len(self.hashes)
         if not n:
             return np.zeros(len(tokens), np.int32)
-        at = np.minimum(np.searchsorted(self.hashes, tokens), n - 1)
+        at = np.minimum(self.begin[tokens >> LEAD], n - 1)
+        left = np.flatnonzero(self.hashes[at] < tokens)
+        while len(left):
+            at[left] += 1
+            left = left[at[left] < n]
+            left = left[self.hashes[at[left]] < tokens[left]]
+        at = np.minimum(at, n - 1)
         return np.where(self.hashes[at] == tokens, self.ranks[at], n).astype(np.int32)
 
 
@@ -125,81 +135,86 @@ def unflat(v: np.ndarray, like: dict) -> dict:
     return out
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
-
-
 def step(p: dict, x: np.ndarray, h: np.ndarray):
-    a = h @ p["u"]
-    g = sigmoid(x[:, : 2 * HIDDEN] + a[:, : 2 * HIDDEN])
-    z, r = g[:, :HIDDEN], g[:, HIDDEN:]
-    n = np.tanh(x[:, 2 * HIDDEN :] + r * a[:, 2 * HIDDEN :])
-    return n + z * (h - n), (z, r, n, a[:, 2 * HIDDEN :])
-
-
-def logits_of(h: np.ndarray, w: np.ndarray, bias: np.ndarray, safe: bool) -> np.ndarray:
-    """exp(h @ w + bias), shifted by each row's largest value unless no value can overflow."""
-    d = h @ w
-    d += bias
-    if not safe:
-        d -= d.max(axis=1, keepdims=True)
-    return d
+    """One step of states h, a column each, on inputs x, which are overwritten; gates are whole rows, so numpy runs over long ones."""
+    a = p["u"].T @ h
+    g, n, an = x[: 2 * HIDDEN], x[2 * HIDDEN :], a[2 * HIDDEN :]
+    g += a[: 2 * HIDDEN]
+    np.negative(g, out=g)
+    np.exp(g, out=g)
+    g += 1
+    np.divide(1, g, out=g)
+    z, r = g[:HIDDEN], g[HIDDEN:]
+    n += r * an
+    np.tanh(n, out=n)
+    new = h - n
+    new *= z
+    new += n
+    return new, (z, r, n, an)
 
 
 def outputs(p: dict, head: Head, h: np.ndarray, ranks: np.ndarray, grads: dict | None = None):
     """Natural log probabilities of tokens given states; with grads, adds the loss's gradients and returns that of the states.
 
-    A gradient is (exp(logits) - total at the token) / total; dividing the states by total instead saves a pass over the logits.
+    A gradient is (exp(logits) - total at the token) / total; dividing the states by total instead saves a pass over the logits,
+    and a state's last entry of 1 makes the bias a weight.
     grads["w"] and grads["wb"] get the learned classes that occur, in order, with grads["classes"].
     """
     cls = head.cls[ranks]
-    # |h| <= 1, so these bound the logits; float32 exponentials overflow above 88.
-    safe = max(float(np.abs(p["c"]).sum(axis=0).max()), float(np.abs(p["w"]).sum(axis=1).max())) + max(float(np.abs(p["cb"]).max()), float(np.abs(p["wb"]).max())) < 80
+    # |h| <= 1 in each entry, so norms bound the logits; float32 exponentials overflow above 88.
+    largest = max(float(np.einsum("ij,ij->j", p["c"], p["c"]).max()), float(np.einsum("ij,ij->i", p["w"], p["w"]).max()))
+    safe = (HIDDEN * largest) ** 0.5 + max(float(np.abs(p["cb"]).max()), float(np.abs(p["wb"]).max())) < 80
     out, dh = head.share[ranks], None if grads is None else np.empty_like(h)
+    states = np.ones((len(h), HIDDEN + 1), np.float32)
+    states[:, :HIDDEN] = h
 
-    def part(here, own, w, bias, at):
-        """w: HIDDEN rows. Adds to out and dh; the gradients of w and bias."""
+    def part(here, own, w, wb, one, at):
+        """w: HIDDEN columns, wb: w with the bias as one more, one: as many ones. Adds to out; the gradients of states and wb."""
         row = np.arange(len(own))
-        d = logits_of(own, w, bias, safe)
+        d = own @ wb.T
+        if not safe:
+            d -= d.max(axis=1, keepdims=True)
         mine = d[row, at]
         np.exp(d, out=d)
-        total = d.sum(axis=1)
+        total = d @ one
         out[here] += mine - np.log(total)
         if grads is None:
             return None
         d[row, at] -= total
-        by = 1 / total
-        back = d @ w.T
-        back *= by[:, None]
-        return back, (own * by[:, None]).T @ d, by @ d
+        by = (1 / total)[:, None]
+        back = d @ w
+        back *= by
+        return back, d.T @ (own * by)
 
+    w, one = np.ascontiguousarray(p["c"].T), np.ones(head.n_classes, np.float32)
+    wb = np.column_stack((w, p["cb"]))
     for lo in range(0, len(h), ROWS):
         here = slice(lo, lo + ROWS)
-        got = part(here, h[here], p["c"], p["cb"], cls[here])
+        got = part(here, states[here], w, wb, one, cls[here])
         if grads is not None:
             dh[here] = got[0]
-            grads["c"] += got[1]
-            grads["cb"] += got[2]
+            grads["c"] += got[1][:, :HIDDEN].T
+            grads["cb"] += got[1][:, HIDDEN]
     order = np.argsort(cls, kind="stable")
     edge = np.searchsorted(cls[order], np.arange(head.classes + 1))
     order = order[: edge[-1]]
-    own, at = h[order], ranks[order]
+    own, at = states[order], ranks[order]
     found = np.flatnonzero(np.diff(edge))
     if grads is not None:
-        grads["classes"] = found
-        grads["w"] = np.zeros((len(found), head.members, HIDDEN), np.float32)
-        grads["wb"] = np.zeros((len(found), head.members), np.float32)
-        back = np.empty_like(own)
+        both = np.zeros((len(found), head.members, HIDDEN + 1), np.float32)
+        grads["classes"], grads["w"], grads["wb"] = found, both[:, :, :HIDDEN], both[:, :, HIDDEN]
+        back = np.empty((len(own), HIDDEN), np.float32)
+    wb, one = np.empty((head.members, HIDDEN + 1), np.float32), np.ones(head.members, np.float32)
     for i, c in enumerate(found.tolist()):
         first = c * head.members
-        w, wb = p["w"][first : first + head.members].T, p["wb"][first : first + head.members]
+        w = p["w"][first : first + head.members]
+        wb[:, :HIDDEN], wb[:, HIDDEN] = w, p["wb"][first : first + head.members]
         for lo in range(edge[c], edge[c + 1], ROWS):
             here = slice(lo, min(lo + ROWS, edge[c + 1]))
-            got = part(order[here], own[here], w, wb, at[here] - first)
+            got = part(order[here], own[here], w, wb, one, at[here] - first)
             if grads is not None:
                 back[here] = got[0]
-                grads["w"][i] += got[1].T
-                grads["wb"][i] += got[2]
+                both[i] += got[1]
     if grads is not None:
         dh[order] += back
     return out, dh
@@ -227,10 +242,11 @@ class Steps:
             per = new.shape[1]
             square = np.einsum("abc,abc->ab", new, new) / new.shape[2] if new.ndim == 3 else new * new
             s = sums.reshape(-1, per)
-            s[rows[k]] += square
-            rate = ROW_RATE / (np.sqrt(s[rows[k]]) + 1e-6)
+            at = slice(None) if len(new) == len(s) else rows[k]
+            s[at] += square
+            rate = ROW_RATE / (np.sqrt(s[at]) + 1e-6)
             new *= rate[:, :, None] if new.ndim == 3 else rate
-            p[k].reshape(-1, per, *p[k].shape[1:])[rows[k]] -= new
+            p[k].reshape(-1, per, *p[k].shape[1:])[at] -= new
 
 
 def train(p: dict, head: Head, docs: list[np.ndarray], steps: Steps | None = None) -> None:
@@ -245,7 +261,7 @@ def train(p: dict, head: Head, docs: list[np.ndarray], steps: Steps | None = Non
     grid[: len(stream)] = stream
     grid = grid.reshape(lanes, longest).T
     end_rank = int(head.rank(END)[0])
-    steps, h = steps or Steps(p), np.zeros((lanes, HIDDEN), np.float32)
+    steps, h = steps or Steps(p), np.zeros((HIDDEN, lanes), np.float32)
     before = np.full(lanes, -1, np.int64)
     for lo in range(0, longest, WINDOW):
         here = grid[lo : lo + WINDOW]
@@ -253,47 +269,51 @@ def train(p: dict, head: Head, docs: list[np.ndarray], steps: Steps | None = Non
         g = {k: np.zeros_like(p[k]) for k in ("u", "b", "c", "cb")}
         inputs = np.vstack((before, here[:-1]))
         fresh = (inputs < 0) | (inputs == end_rank)
+        stays = (~fresh).astype(np.float32)
         ids = head.input[np.maximum(inputs, 0)]
         x = p["x"][ids]
         x[fresh] = 0
         x += p["b"]
-        kept, states = [], np.empty((len(here), lanes, HIDDEN), np.float32)
+        x = np.ascontiguousarray(x.transpose(0, 2, 1))
+        kept, states = [], np.empty((len(here), HIDDEN, lanes), np.float32)
         for k in range(len(here)):
-            if fresh[k].any():
-                h = h.copy()
-                h[fresh[k]] = 0
+            h *= stays[k]
             was, (h, parts) = h, step(p, x[k], h)
             kept.append((was, parts))
             states[k] = h
         before = here[-1]
         live = here >= 0
-        _, d = outputs(p, head, states[live], here[live], g)
-        dh_out = np.zeros_like(states)
+        _, d = outputs(p, head, states.transpose(0, 2, 1)[live], here[live], g)
+        dh_out = np.zeros((len(here), lanes, HIDDEN), np.float32)
         dh_out[live] = d
-        dh, dx = np.zeros_like(h), np.empty((len(here), lanes, 3 * HIDDEN), np.float32)
-        da = np.empty((lanes, 3 * HIDDEN), np.float32)
-        ut = np.ascontiguousarray(p["u"].T)
+        dh_out = np.ascontiguousarray(dh_out.transpose(0, 2, 1))
+        dh, dx = np.zeros_like(h), np.empty((len(here), 3 * HIDDEN, lanes), np.float32)
+        da = np.empty((3 * HIDDEN, lanes), np.float32)
         for k in range(len(here) - 1, -1, -1):
             was, (z, r, n, an) = kept[k]
             dh += dh_out[k]
-            dn = dh * (1 - z)
+            dn = dh - dh * z
             dn *= 1 - n * n
-            da[:, :HIDDEN] = dh * (was - n) * z * (1 - z)
-            da[:, HIDDEN : 2 * HIDDEN] = dn * an * r * (1 - r)
-            dx[k, :, : 2 * HIDDEN] = da[:, : 2 * HIDDEN]
-            da[:, 2 * HIDDEN :] = dn * r
-            dx[k, :, 2 * HIDDEN :] = dn
-            g["u"] += was.T @ da
-            dh = dh * z + da @ ut
-            dh[fresh[k]] = 0
-        g["b"] += dx.sum(axis=(0, 1))
-        rows, changes = ids[~fresh], dx[~fresh]
-        order = np.argsort(rows, kind="stable")
-        first = np.flatnonzero(np.append(True, np.diff(rows[order]))) if len(rows) else order
-        g["x"] = np.add.reduceat(changes[order], first) if len(rows) else changes
+            np.multiply(dh, was - n, out=da[:HIDDEN])
+            da[:HIDDEN] *= z - z * z
+            np.multiply(dn, an, out=da[HIDDEN : 2 * HIDDEN])
+            da[HIDDEN : 2 * HIDDEN] *= r - r * r
+            np.multiply(dn, r, out=da[2 * HIDDEN :])
+            dx[k, : 2 * HIDDEN], dx[k, 2 * HIDDEN :] = da[: 2 * HIDDEN], dn
+            g["u"] += was @ da.T
+            dh *= z
+            dh += p["u"] @ da
+            dh *= stays[k]
+        g["b"] += dx.sum(axis=(0, 2))
+        ids[fresh] = head.inputs  # behind the last row
+        rows, of = np.unique(ids, return_inverse=True)
+        of = of.ravel()
+        g["x"] = np.stack([np.bincount(of, dx[:, j].ravel(), len(rows)) for j in range(3 * HIDDEN)], axis=1).astype(np.float32)
+        if rows[-1] == head.inputs:
+            rows, g["x"] = rows[:-1], g["x"][:-1]
         scale = np.float32(1 / max(1, live.sum()))
         classes = g.pop("classes")
-        steps.apply(p, {k: v * scale for k, v in g.items()}, {"x": rows[order][first], "w": classes, "wb": classes})
+        steps.apply(p, {k: v * scale for k, v in g.items()}, {"x": rows, "w": classes, "wb": classes})
 
 
 def score(p: dict, head: Head, ranks: np.ndarray, first: np.ndarray, rows: int = 1 << 16) -> np.ndarray:
@@ -305,7 +325,7 @@ def score(p: dict, head: Head, ranks: np.ndarray, first: np.ndarray, rows: int =
     order = np.argsort(-lens, kind="stable")
     lens, starts = lens[order], first[:-1][order]
     total = np.zeros(len(order))
-    h = np.zeros((len(order), HIDDEN), np.float32)
+    h = np.zeros((HIDDEN, len(order)), np.float32)
     inputs = p["x"] + p["b"]
     lo = 0
     while live := int(np.searchsorted(-lens, -lo, "left")):  # documents longer than lo, the longest first
@@ -316,9 +336,8 @@ def score(p: dict, head: Head, ranks: np.ndarray, first: np.ndarray, rows: int =
             if not m:
                 break
             x = inputs[head.input[ranks[starts[:m] + t - 1]]] if t else np.broadcast_to(p["b"], (m, 3 * HIDDEN))
-            new, _ = step(p, x, h[:m])
-            h[:m] = new
-            states.append(new)
+            h, _ = step(p, np.array(x.T, order="C"), h[:, :m])
+            states.append(h.T)
             tokens.append(ranks[starts[:m] + t])
             who.append(np.arange(m))
         lp, _ = outputs(p, head, np.concatenate(states), np.concatenate(tokens))
