@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.llm import bpe, language, line_dedup, near_dup, packing, quality, quality_rules, recurrent_lm, suffixes, telephony
+from reelgrid.llm import bpe, hard_negatives, language, line_dedup, near_dup, near_vectors, packing, quality, quality_rules, recurrent_lm, suffixes, telephony, whitening
 
-MODULES = [telephony, language, near_dup, recurrent_lm, quality_rules, bpe, quality, suffixes, line_dedup, packing]
+MODULES = [telephony, language, near_dup, recurrent_lm, quality_rules, bpe, quality, suffixes, line_dedup, packing, whitening, hard_negatives, near_vectors]
 
 
 def queries() -> dict:

@@ -64,6 +64,7 @@ def nothing(spark, tmp_path_factory):
     home = str(tmp_path_factory.mktemp("empty"))
     spark.createDataFrame([], DOCS).write.parquet(f"{home}/documents.parquet")
     spark.createDataFrame([], LABELS).write.parquet(f"{home}/labels.parquet")
+    spark.createDataFrame([], "vec_id long, embedding array<float>, label int").write.parquet(f"{home}/embeddings.parquet")
     return home
 
 
