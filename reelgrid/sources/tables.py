@@ -27,15 +27,28 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def gone_at_exit(spark: SparkSession, path: str) -> str:
+    """path, whose folder goes when the application ends."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
+
+
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new, existing folder under spark.checkpoint.dir that goes when the application ends."""
+    path = shared_folder(spark, name)
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).mkdirs(at)  # what isn't there can't be marked for removal
+    return gone_at_exit(spark, path)
+
+
 def kept(df: DataFrame, name: str) -> DataFrame:
     """df, written to the shared folder and read back, so what is used several times is computed once. The folder goes when the
     application ends."""
     spark = df.sparkSession
     path = shared_folder(spark, name)
     df.write.parquet(path)
-    at = spark._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return spark.read.schema(df.schema).parquet(path)
+    return spark.read.schema(df.schema).parquet(gone_at_exit(spark, path))
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:

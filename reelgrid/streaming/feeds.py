@@ -1,21 +1,31 @@
-"""Streaming ingestion: files as they land, entries once, windows, and acquisition in micro-batches.
+"""Streaming ingestion: files as they land, entries once, windows, acquisition and the refresh of feeds in micro-batches.
 
-Streams read with a bounded number of files a trigger and keep their progress in the shared folder,
-so a restart goes on where it stopped. Sinks write each batch to its own folder and overwrite it on
-a retry, which makes them exactly-once.
+Streams read with a bounded number of files a trigger and keep their progress and state in a folder that the caller
+names, so a restart goes on where it stopped. State is kept in RocksDB, with its changes checkpointed, so a batch
+costs its own keys. Sinks write each batch to its own folder and overwrite it on a retry, which makes them exactly-once.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from reelgrid.functions import release
-from reelgrid.operators import acquisition
-from reelgrid.operators.catalogue import upserted
+from reelgrid.functions.titles import title_info
+from reelgrid.operators.catalogue import ingested
 from reelgrid.operators.rank import top_per_key
 from reelgrid.sources import feeds as source
-from reelgrid.sources.tables import shared_folder
+from reelgrid.sources.tables import scratch_folder
+from reelgrid.streaming import acquisition
+from reelgrid.streaming.store import Store
+
+# Fixed names: where Spark keeps the state of streams, and that it checkpoints what changed.
+STATE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
 
 
 def stream_of(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
@@ -27,19 +37,28 @@ def stream_of(spark: SparkSession, path: str, files: int = 100) -> DataFrame:
     return reader.parquet(path)
 
 
-def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys: list[str] | None = None) -> DataFrame:
+def drained(stream: DataFrame, name: str, mode: str = "append", each=None, keys: list[str] | None = None, home: str | None = None) -> DataFrame:
     """Runs a stream over all files there are and reads back what it wrote; each(batch, n, home) changes a batch first.
 
-    In update mode each batch writes the rows that changed; of rows with equal keys those of the last batch count.
+    home holds the stream's progress, state and output: with the same home a later run goes on where this one stopped, and the
+    result is that of all runs. Without one the stream lives in a folder of its own, called after `name`, that goes when the
+    application ends. In update mode each batch writes the rows that changed; of rows with equal keys those of the last batch count.
     """
     spark = stream.sparkSession
-    home = shared_folder(spark, name)
+    home = home.rstrip("/") if home else scratch_folder(spark, name)
 
     def put(batch: DataFrame, n: int):
         out = each(batch, n, home) if each else batch
         out.write.mode("overwrite").parquet(f"{home}/out/batch={n}")
 
-    run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).foreachBatch(put).start()
+    before = {k: spark.conf.get(k, None) for k in STATE}
+    for k, v in STATE.items():
+        spark.conf.set(k, v)
+    try:  # a query takes its settings when it starts
+        run = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{home}/progress").trigger(availableNow=True).foreachBatch(put).start()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v) if v is not None else spark.conf.unset(k)
     run.awaitTermination()
     out = spark.read.parquet(f"{home}/out")
     if mode == "update":
@@ -52,41 +71,52 @@ def unique(entries: DataFrame, keys: list[str]) -> DataFrame:
     return entries.dropDuplicates(keys)
 
 
-def windowed(entries: DataFrame, time: str, size: str, slide: str | None = None, late: str = "1 hour") -> DataFrame:
-    """Counts per window; a window's state goes when entries are `late` past its end, and later ones no longer count."""
-    w = F.window(time, size, slide) if slide else F.window(time, size)
-    return entries.withWatermark(time, late).groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n")
+def windows(size: str, slide: str | None = None, time: str = "at") -> Callable[[DataFrame, int, str], DataFrame]:
+    """For drained(): counts (start, n) of the windows that a batch touches, over all batches so far.
 
+    Each batch's counts are stored by window and added up outside Spark's own state, so there is no watermark: an entry of any
+    age corrects its window. Stored counts are folded to a row per window as they grow. Entries without a time have no window.
+    """
 
-def acquired(batch: DataFrame, n: int, home: str) -> DataFrame:
-    """The acquisition fold of a batch of (key, at, entry_id, feed, resolution), on what earlier batches left.
+    def each(batch: DataFrame, n: int, home: str) -> DataFrame:
+        w = F.window(time, size, slide) if slide else F.window(time, size)
+        total = lambda rows: rows.groupBy("start").agg(F.sum("n").alias("n"))
+        store = Store(batch.sparkSession, f"{home}/windows", "start timestamp, n long", "start", total, buckets=16)
+        store.add(batch.groupBy(w.alias("w")).agg(F.count("*").alias("n")).select(F.col("w.start").alias("start"), "n"), n)
+        touched = store.touched(n)
+        store.compact(n, touched)
+        return store.read(n + 1, touched).join(store.changes(n).select("start"), "start", "left_semi")
 
-    The state has a row for each key and feed seen, with the quality held. A batch adds the rows of all its keys in a
-    folder of its own, so a retry overwrites them; of a key, those of its last batch count. Batches are taken as they come.
-    """
-    spark = batch.sparkSession
-    entries = batch.withColumns({"rank": F.lit(0), "cross_seed": F.lit(False), "upgrade": F.lit(True), "new": F.lit(True)})
-    if n:
-        kinds = {f.name: f.dataType.simpleString() for f in batch.schema}
-        known = spark.read.schema(f"key {kinds['key']}, feed {kinds['feed']}, resolution int, rank int, batch long").parquet(f"{home}/state").where(F.col("batch") < n)
-        keys = batch.select(F.col("key").alias("own")).distinct()
-        known = known.join(keys, F.col("key").eqNullSafe(F.col("own")), "left_semi").withColumn("last", F.max("batch").over(Window.partitionBy("key"))).where("batch = last")
-        # Rows before all entries: the first holds the quality, the others only their feeds.
-        past = known.select("key", "feed", "resolution", "rank").withColumns({"cross_seed": F.lit(False), "upgrade": F.lit(False), "new": F.lit(False)})
-        entries = entries.unionByName(past, allowMissingColumns=True)
-    folded = acquisition.fold(entries, ["key"], [F.asc("new"), F.asc("at"), F.asc("entry_id")], "feed", "resolution", "rank", "cross_seed", "upgrade")
-    path = f"{home}/folded/batch={n}"
-    folded.select("key", "entry_id", "feed", "new", "action", "held_resolution", "held_rank").write.mode("overwrite").parquet(path)
-    done = spark.read.parquet(path)
-    held = F.max(F.max(F.struct("held_resolution", "held_rank"))).over(Window.partitionBy("key"))
-    state = done.groupBy("key", "feed").agg(held.alias("held"))
-    state.select("key", "feed", F.col("held.held_resolution").cast("int").alias("resolution"), F.col("held.held_rank").cast("int").alias("rank")).write.mode("overwrite").parquet(f"{home}/state/batch={n}")
-    return done.where("new").select("key", "entry_id", "action")
-
-
-#: Parts of the stored items; a batch reads and rewrites only those of its feeds.
+    return each
+
+
+def acquired(entries: DataFrame, settled: float | None = None) -> DataFrame:
+    """The decisions of a stream of (key, at, entry_id, feed, resolution) in update mode, with each key's state carried from batch
+    to batch in the order of `at` whatever the order of the files; see streaming/acquisition.py. rank, cross_seed and upgrade
+    may be columns of their own; without them there are no ranks, no cross-seeds, and upgrades are allowed."""
+    plain = {"rank": F.lit(0), "cross_seed": F.lit(False), "upgrade": F.lit(True)}
+    return acquisition.decisions(entries.withColumns({k: v for k, v in plain.items() if k not in entries.columns}), settled)
+
+
+#: Parts of the stored items by feed; a batch reads only those of its feeds.
 BUCKETS = 64
-COMPARED = ["raw_title", "title", "media_type", "year", "season", "episode", "quality", "source", "codec", "release_group", "size_bytes"]
+#: What makes a stored item changed: the parsed attributes, the list of search titles in its order.
+COMPARED = [
+    "title", "search_titles", "year", "media_type", "tv_unit_type", "season", "episode", "episode_end", "special_number", "episode_part",
+    "resolution", "quality", "source", "codec", "audio", "release_group", "variant", "confidence",
+]
+ITEM = (
+    "item_id string, feed_id long, key_type string, key_hash string, hashes array<string>, seen_at long, raw_title string, size_bytes long, title string, search_titles array<string>, year int, "
+    "media_type string, tv_unit_type string, season int, episode int, episode_end int, special_number int, episode_part string, resolution int, quality string, source string, codec string, audio string, "
+    "release_group string, variant string, confidence int"
+)
+
+
+#: What becomes of items to be matched, and what is known of a feed.
+WORK = "item_id string, feed_id long, raw_title string, at long, status string, candidate string"
+FEED = "feed_id long, polls long, last_polled long, next_attempt long, created long, changed long, unchanged long, skipped long, claimed long"
+#: Items of a feed that a refresh claims for matching; later refreshes of the feed claim the rest.
+CLAIMED = 50
 
 
 def keyed(parsed: DataFrame) -> DataFrame:
@@ -95,33 +125,67 @@ def keyed(parsed: DataFrame) -> DataFrame:
     kind = lambda t, v: F.when(v.isNotNull(), F.struct(F.lit(t).alias("type"), sha(v).alias("hash")))
     key = F.coalesce(kind("INFO_HASH", F.col("info_hash")), kind("RELEASE_SIGNATURE", release.signature(F.col("size_bytes"))), kind("LINK_HASH", F.col("torrent_url")))
     found = F.array_compact(F.array(sha(F.col("torrent_url")), sha(F.col("info_hash")), sha(F.col("guid"))))
-    return parsed.withColumn("key", key).select("feed_id", F.col("key.type").alias("key_type"), F.col("key.hash").alias("key_hash"), found.alias("hashes"), "seen_at", *COMPARED)
+    search = title_info("head", "raw_title", "title")["search"]
+    known = parsed.withColumns({"key": key, "search_titles": search})
+    return known.select("feed_id", F.col("key.type").alias("key_type"), F.col("key.hash").alias("key_hash"), found.alias("hashes"), "seen_at", "raw_title", "size_bytes", *COMPARED)
+
+
+def stores(spark: SparkSession, home: str) -> dict[str, Store]:
+    """The tables that refreshes keep: items, work (what is to be matched, and was) and feeds."""
+    latest = lambda *keys: lambda rows: top_per_key(rows, list(keys), [F.desc("batch")])
+    sums = ["polls", "created", "changed", "unchanged", "skipped", "claimed"]
+    feed = lambda rows: rows.groupBy("feed_id").agg(*(F.sum(c).alias(c) for c in sums), *(F.max_by(c, "batch").alias(c) for c in ("last_polled", "next_attempt")))
+    return {
+        "items": Store(spark, f"{home}/items", ITEM, "feed_id", latest("feed_id", "item_id"), BUCKETS),
+        "work": Store(spark, f"{home}/work", WORK, "feed_id", latest("feed_id", "item_id"), BUCKETS),
+        "feeds": Store(spark, f"{home}/feeds", FEED, "feed_id", feed, BUCKETS),
+    }
+
+
+def once(df: DataFrame, path: str) -> DataFrame:
+    """df, computed once: written over what an earlier attempt left, and read back."""
+    df.write.mode("overwrite").parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def refreshed(batch: DataFrame, n: int, home: str) -> DataFrame:
+def refreshed(batch: DataFrame, n: int, home: str, interval: int = 300, claims: int = CLAIMED, match: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
     """A refresh of feeds as one micro-batch of raw items (with feed_id and seen_at): normalised, parsed, merged into the stored
-    items of their feeds; returns what happened to each item that came.
+    items of their feeds, rescheduled, claimed and matched; returns what happened to each item that came.
 
-    Stored items lie by bucket of their feed and by batch; of a bucket those of its last batch count, so a retry overwrites its own.
+    New and changed items are queued for matching; what an earlier match said of a changed item is void. Of each feed that came
+    the `claims` items queued longest are claimed, and match(items with item_id) -> (item_id, candidate) says what they are:
+    those it does not name are unmatched. Without `match` they stay claimed. A feed's next attempt is `interval` seconds (of
+    seen_at) from its last item, also if all its items were skipped. An item whose feed_id is null is skipped with its feed.
     """
     spark = batch.sparkSession
-    extra = ["feed_id", "seen_at"]
-    items = source.normalised(batch, extra).where("skip_reason IS NULL")
-    incoming = keyed(release.parse(items, "raw_title"))
-    path = f"{home}/incoming/batch={n}"
-    incoming.write.mode("overwrite").parquet(path)  # parsed once
-    incoming = spark.read.schema(incoming.schema).parquet(path)
-    bucket = F.pmod(F.xxhash64("feed_id"), F.lit(BUCKETS)).cast("int")
-    empty = spark.createDataFrame([], incoming.schema).withColumn("item_id", F.lit("")).select("item_id", *incoming.columns)
-    stored = empty
-    if n:
-        touched = incoming.select(bucket.alias("bucket")).distinct()
-        every = spark.read.parquet(f"{home}/items").where(F.col("batch") < n).join(F.broadcast(touched), "bucket", "left_semi")  # BUCKETS rows at most
-        last = every.groupBy("bucket").agg(F.max("batch").alias("batch"))
-        stored = every.join(F.broadcast(last), ["bucket", "batch"], "left_semi").select(*empty.columns)
-    merged = upserted(stored, incoming, COMPARED)
-    out = f"{home}/outcome/batch={n}"
-    merged.write.mode("overwrite").parquet(out)
-    merged = spark.read.schema(merged.schema).parquet(out)
-    merged.drop("outcome").withColumns({"bucket": bucket, "batch": F.lit(n)}).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch").parquet(f"{home}/items")
-    return merged.where("outcome <> 'kept'").select("feed_id", "item_id", "raw_title", "outcome")
+    store = stores(spark, home)
+    raw = once(source.normalised(batch.where("feed_id IS NOT NULL"), ["feed_id", "seen_at"]).select("*"), f"{home}/step/raw")
+    incoming = once(keyed(release.parse(raw.where("skip_reason IS NULL"), "raw_title")), f"{home}/step/parsed")
+    buckets = store["items"].buckets_of(raw)  # of all three tables, which have the same key
+    for s in store.values():
+        s.compact(n, buckets)
+    stored = store["items"].read(n, buckets)
+    merged = once(ingested(stored, incoming, COMPARED), f"{home}/step/merged")
+    store["items"].add(merged, n)
+    opened = merged.where("outcome <> 'unchanged'").select("item_id", "feed_id", "raw_title", F.col("seen_at").alias("at"), F.lit("queued").alias("status"), F.lit(None).cast("string").alias("candidate"))
+    # An item that still waits keeps its place in the queue.
+    waiting = store["work"].read(n, buckets).where("status = 'queued'")
+    both = opened.withColumn("new", F.lit(1)).unionByName(waiting.withColumn("new", F.lit(0)))
+    queue = both.groupBy("item_id", "feed_id").agg(F.max_by("raw_title", "new").alias("raw_title"), F.min("at").alias("at"), F.max("new").alias("new"))
+    came = raw.select("feed_id").distinct()
+    first = top_per_key(queue.join(came, "feed_id", "left_semi"), ["feed_id"], [F.asc("at"), F.asc("item_id")], claims).select("item_id", F.lit(True).alias("mine"))
+    queue = queue.join(first, "item_id", "left").withColumn("status", F.when(F.col("mine"), "claimed").otherwise("queued"))
+    work = once(queue.where("new = 1 OR mine").select("item_id", "feed_id", "raw_title", "at", "status", F.lit(None).cast("string").alias("candidate")), f"{home}/step/claimed")
+    if match:
+        mine = work.where("status = 'claimed'").select("item_id", "feed_id").join(store["items"].read(n + 1, buckets), ["feed_id", "item_id"])
+        found = match(mine).select("item_id", F.col("candidate").cast("string").alias("found"))
+        known = work.join(found, "item_id", "left")
+        status = F.when(F.col("status") == "queued", F.col("status")).when(F.col("found").isNotNull(), "matched").otherwise("unmatched")
+        work = once(known.select("item_id", "feed_id", "raw_title", "at", status.alias("status"), F.col("found").alias("candidate")), f"{home}/step/matched")
+    store["work"].add(work, n)
+    count = lambda c: F.count(F.when(c, 1))
+    of_raw = raw.groupBy("feed_id").agg(F.lit(1).cast("long").alias("polls"), F.max("seen_at").alias("last_polled"), (F.max("seen_at") + F.lit(interval)).alias("next_attempt"), count(F.col("skip_reason").isNotNull()).alias("skipped"))
+    of_items = merged.groupBy("feed_id").agg(*(count(F.col("outcome") == o).alias(o) for o in ("created", "changed", "unchanged")))
+    of_work = work.groupBy("feed_id").agg(count(F.col("status") != "queued").alias("claimed"))
+    store["feeds"].add(of_raw.join(of_items, "feed_id", "left").join(of_work, "feed_id", "left").na.fill(0, ["created", "changed", "unchanged", "claimed"]), n)
+    return merged.select("feed_id", "item_id", "raw_title", "outcome")
