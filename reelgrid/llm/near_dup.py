@@ -1,7 +1,7 @@
 """MinHash near duplicates by an inverted join over signature coordinates.
 
 1. Each text's set of word shingles, a key of the whole set and a signature of N coordinates are
-   made in one pass. Texts of equal sets are one class, held by its least doc_id.
+   made in one pass. Texts of equal sets are one class; classes are numbered, since a doc_id may stand for several texts.
 2. Each class is posted under its (coordinate, value) pairs. Pairs of frequency one are of no use;
    a class with fewer than MATCHES others can't reach the threshold and leaves. Of the rest only
    the rarest N - MATCHES + 1 coordinates are merged (two classes that agree in MATCHES of N
@@ -22,7 +22,7 @@ For sets of similarity 0.8 the chance that fewer than 36 of 64 coordinates agree
 148 of the 1024 bits differ (102 are expected), is below 1e-5.
 
 Texts that are null, empty or without words have an empty set, link with nothing and are kept.
-Repeated rows of one doc_id share its fate. A row with a null doc_id is never kept when another
+Rows of one doc_id with different texts are documents of their own, each in its text's component. A row with a null doc_id is never kept when another
 row has its set, and never represents other rows.
 """
 
@@ -47,6 +47,11 @@ BLOCK, BLOCK_BYTES = 4096, 64 << 20
 BITS, DIFFERENT = 1024, 148
 
 
+def key_of(shingles: np.ndarray) -> bytes | None:
+    """A key of a whole set; none for an empty one."""
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest() if len(shingles) else None
+
+
 def signatures(docs: DataFrame, k: int) -> DataFrame:
     """doc_id, n_shingles, set_key (null for an empty set) and sig of every row."""
 
@@ -56,7 +61,7 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
                 n, keys, sigs = [], [], []
                 for s in shingle_sets(words_of(b.column(1).to_pylist()), k):
                     n.append(len(s))
-                    keys.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None)
+                    keys.append(key_of(s))
                     sigs.append(signature(s, COORDINATES) if len(s) else None)
                 yield pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(keys, pa.binary()), pa.array(sigs, pa.list_(pa.int32()))], names=["doc_id", "n_shingles", "set_key", "sig"])
 
@@ -64,16 +69,16 @@ def signatures(docs: DataFrame, k: int) -> DataFrame:
 
 
 def full_sets(docs: DataFrame, k: int) -> DataFrame:
-    """doc_id, the sorted 64-bit shingle hashes of each text, and its second sketch, as bytes."""
+    """doc_id, set_key, the sorted 64-bit shingle hashes of each text, and its second sketch, as bytes."""
 
     def run(batches):
         for whole in batches:
             for b in batches_of(whole, "text"):
                 sets = shingle_sets(words_of(b.column(1).to_pylist()), k)
                 bits = [np.packbits(signature(s, COORDINATES + BITS)[COORDINATES:] & 1).tobytes() for s in sets]
-                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "shingles", "bits"])
+                yield pa.RecordBatch.from_arrays([b.column(0), pa.array([key_of(s) for s in sets], pa.binary()), pa.array([s.tobytes() for s in sets], pa.binary()), pa.array(bits, pa.binary())], names=["doc_id", "set_key", "shingles", "bits"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, shingles binary, bits binary")
+    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, set_key binary, shingles binary, bits binary")
 
 
 def postings(classes: DataFrame) -> DataFrame:
@@ -99,8 +104,8 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= threshold * union of the full sets."""
-    with_b = pairs.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -184,9 +189,9 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFra
     First the sketches of a part's rows tell which have a similar row of another component there; only these get their full
     sets, and within the part links are confirmed and join components at once, so pairs neither leave it nor repeat.
     """
-    sizes = sets.select(F.col("doc_id").alias("id"), F.octet_length("shingles").alias("bytes"))
+    sizes = sets.select("id", F.octet_length("shingles").alias("bytes"))
     merged = lists.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("merged"))  # a bit per coordinate
-    sketches = classes.select("id", "sig").join(merged, "id").join(sets.select(F.col("doc_id").alias("id"), "bits"), "id")
+    sketches = classes.select("id", "sig").join(merged, "id").join(sets.select("id", "bits"), "id")
     names = ["key", "part", "side", "whole", "id", "component", "merged", "sig", "bits"]
     rows = placed(lists, label, sizes).join(sketches, "id").select(*names)
     dealt = lambda df: df.repartition("key", "part").sortWithinPartitions("key", "part")
@@ -202,7 +207,7 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFra
                 yield from t.filter(pa.array(similar)).to_batches()
 
     some = dealt(rows).mapInArrow(met, rows.schema)
-    some = some.join(sets.select(F.col("doc_id").alias("id"), "shingles"), "id").select(*names, "shingles")
+    some = some.join(sets.select("id", "shingles"), "id").select(*names, "shingles")
 
     def linked(batches):
         for t in grouped(batches, ["key", "part"]):
@@ -236,18 +241,23 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFra
 def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFrame:
     """doc_id, n_shingles, component_id, kept of every row of docs(doc_id, text, ...)."""
     sigs = written(signatures(docs, k), "signatures")
-    classes = written(sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("id"), F.first("sig").alias("sig")).where("id is not null"), "classes")
+    classes = sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).where("least is not null")
+    classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # what is written counts, however often a task ran
     lists = written(postings(classes), "postings")
-    member = lists.select("id").distinct()
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(member, F.col("doc_id") == member.id, "left_semi").dropDuplicates(["doc_id"])
-    sets = written(full_sets(texts, k), "sets")
+    member = classes.select("set_key", "least", "id").join(lists.select("id").distinct(), "id", "left_semi")
+    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    texts = texts.join(member.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
+    sets = full_sets(texts, k).dropDuplicates(["set_key", "doc_id"]).join(member.withColumnRenamed("least", "doc_id"), ["set_key", "doc_id"])
+    sets = written(sets.select("id", "shingles", "bits"), "sets")
     heads = lists.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     star = lists.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
     links = written(confirmed(agreeing(star, classes), sets, threshold), "links")
     label = components(links)
     more = written(across(lists, label, classes, sets, threshold), "links")
     label = components(links.union(more))
-    of_class = classes.select("set_key", "id").join(label, classes.id == label.node, "left").select("set_key", F.coalesce("component", "id").alias("class_component"))
+    linked = classes.select("set_key", "least", "id").join(label, F.col("id") == label.node, "left").select("set_key", "least", "component")
+    ends = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
+    of_class = linked.join(ends, "component", "left").select("set_key", F.coalesce("first", "least").alias("class_component"))
     return (
         sigs.select("doc_id", "n_shingles", "set_key")
         .join(of_class, "set_key", "left")

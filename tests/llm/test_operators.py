@@ -463,6 +463,19 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert {x, y, z[:0] + z, "short"} & left >= {x, y, "short"}
 
 
+def test_near_duplicates_of_repeated_ids(spark):
+    """Rows of one id with different texts: each is linked by its own text, whatever the order of the rows."""
+    x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
+    near = lambda ws: " ".join([*ws[:-1], "other"])
+    rows = [(5, " ".join(x)), (5, " ".join(y)), (7, near(y)), (9, near(x)), (11, near(x)), (None, near(y)), (12, "lone words here"), (12, None)]
+    want = sorted([(5, 5), (5, 5), (7, 5), (9, 5), (11, 5), (None, 5), (12, 12), (12, 12)], key=str)
+    for order in (rows, rows[::-1], rows[3:] + rows[:3]):
+        docs = spark.createDataFrame(order, "doc_id long, text string").repartition(3)
+        assert sorted([(r.doc_id, r.component_id) for r in near_dup.near_duplicates(docs).collect()], key=str) == want
+    apart = spark.createDataFrame([(5, " ".join(x)), (5, " ".join(y)), (3, near(y)), (9, near(x))], "doc_id long, text string")
+    assert sorted((r.doc_id, r.component_id) for r in near_dup.near_duplicates(apart).collect()) == [(3, 3), (5, 3), (5, 5), (9, 5)]
+
+
 def test_loser_tree_and_front_coding():
     r = random.Random(5)
     runs = [sorted({bytes(r.choices(b"ab", k=suffixes.WIDTH)) for _ in range(n)} | {b"a" * suffixes.WIDTH}) for n in (0, 1, 5, 40, 7)]
