@@ -67,12 +67,22 @@ def containment(a: Column, b: Column, tv: Column | None = None, season: Column |
     return F.when(contains_window(a, b) | contains_window(b, a), score).otherwise(0).cast("long")
 
 
+def title_parts(c: Column) -> Column:
+    """What a normalised title is compared by: its tokens, and the numbered tokens and trigrams that count. Made once a title, before
+    titles are joined."""
+    x = tokens(c)
+    return F.struct(c.alias("title"), x.alias("tokens"), numbered(score_tokens(x)).alias("words"), numbered(trigrams(F.array_join(score_tokens(x), " "))).alias("grams"))
+
+
+def parts_similarity(a: Column, b: Column, tv: Column | None = None, season: Column | None = None) -> Column:
+    """The largest of containment, token dice and 0.96 times trigram dice of two titles' parts."""
+    grams = F.floor(numbered_dice(a.grams, b.grams) * 96 / 100).cast("long")
+    return F.when(a.title == b.title, F.lit(MILLION).cast("long")).otherwise(F.greatest(containment(a.tokens, b.tokens, tv, season), numbered_dice(a.words, b.words), grams))
+
+
 def title_similarity(a: Column, b: Column, tv: Column | None = None, season: Column | None = None) -> Column:
-    """The largest of containment, token dice and 0.96 times trigram dice of normalised titles."""
-    x, y = tokens(a), tokens(b)
-    p, q = score_tokens(x), score_tokens(y)
-    grams = F.floor(dice(trigrams(F.array_join(p, " ")), trigrams(F.array_join(q, " "))) * 96 / 100).cast("long")
-    return F.when(a == b, F.lit(MILLION).cast("long")).otherwise(F.greatest(containment(x, y, tv, season), dice(p, q), grams))
+    """parts_similarity() of two normalised titles."""
+    return parts_similarity(title_parts(a), title_parts(b), tv, season)
 
 
 def candidate_score(t: Column, expected: Column, actual: Column, tv: Column, season: Column, episode: Column | None = None, boost: Column | None = None) -> Column:

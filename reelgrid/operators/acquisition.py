@@ -11,6 +11,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import padded
+from reelgrid.sources.tables import kept
 
 
 def unit_key(media_type: Column, title_id: Column, season: Column, episode: Column, episode_end: Column, special: Column, variant: Column, part: Column) -> Column:
@@ -37,3 +38,46 @@ def fold(entries: DataFrame, key: list[str], order: list[Column], feed: str, res
     action = F.when(F.col("_first"), "SATISFY").when(F.col("_seeds"), "CROSS_SEED").when(better, "UPGRADE").otherwise("REJECT")
     held = F.when(action.isin("SATISFY", "UPGRADE"), quality).otherwise(F.col("_held"))
     return three.withColumns({"action": action, "held_resolution": held.resolution, "held_rank": held.rank}).drop("_first", "_new_feed", "_seeds", "_counts", "_held")
+
+
+def fold_in_ranges(entries: DataFrame, key: list[str], order: list[str], feed: str, resolution: str, rank: str, cross_seed: str, upgrade: str, ranges: int | None = None) -> DataFrame:
+    """fold() for units of any size: the same result, in tasks that hold a range of a unit's entries at most.
+
+    What a run of entries does to the held quality is a maximum, which composes: entries are sorted into ranges, each range has
+    its greatest counted quality, a unit's ranges (a row each) give what is held before each of them, and within a range the
+    running maximum goes on from there. Whether a feed or a unit is new is told by its least place, an aggregate.
+
+    order: columns, all ascending, that tell a unit's entries apart; entries with equal ones are taken as one place.
+    """
+    spark = entries.sparkSession
+    ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    place = F.struct(*order)
+    of_feed = entries.groupBy(*key, feed).agg(F.min(place).alias("_place"))
+    of_unit = of_feed.groupBy(*key).agg(F.min("_place").alias("_place"))
+    both = of_feed.alias("f").join(of_unit.alias("u"), _all([F.col(f"f.{k}").eqNullSafe(F.col(f"u.{k}")) for k in key]))
+    new = both.select(*(F.col(f"f.{k}").alias(f"_{k}_") for k in [*key, feed]), F.col("f._place").alias("_place"), (F.col("f._place") == F.col("u._place")).alias("_first"))
+    same = [F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in [*key, feed]] + [F.col(c).eqNullSafe(F.col(f"_place.{c}")) for c in order]
+    one = entries.join(new, _all(same), "left").withColumns({"_new_feed": F.col("_place").isNotNull(), "_first": F.coalesce("_first", F.lit(False))}).drop("_place", *(f"_{k}_" for k in [*key, feed]))
+    quality = F.struct(F.coalesce(resolution, F.lit(-1)).alias("resolution"), F.coalesce(rank, F.lit(-1)).alias("rank"))
+    two = one.withColumn("_seeds", ~F.col("_first") & F.col(cross_seed) & F.col("_new_feed")).withColumn("_counted", F.when(F.col("_first") | (~F.col("_seeds") & F.col(upgrade)), quality))
+    # The range is written down, so what follows does not hang on how often Spark samples.
+    three = kept(two.repartitionByRange(ranges, *key, *order).withColumn("_range", F.spark_partition_id()), "ranges")
+    of_range = three.groupBy(*key, "_range").agg(F.max("_counted").alias("_most"))
+    before = Window.partitionBy(*key).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    carry = of_range.withColumn("_carry", F.max("_most").over(before)).select(*(F.col(k).alias(f"_{k}_") for k in key), F.col("_range").alias("_of"), "_carry")
+    carry = carry.where("_carry IS NOT NULL")  # only units that go over a range's border have one
+    four = three.join(carry, _all([F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in key] + [F.col("_range") == F.col("_of")]), "left").drop("_of", *(f"_{k}_" for k in key))
+    line = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    five = four.repartitionByRange(ranges, "_range").withColumn("_held", F.max("_counted").over(line))
+    five = five.withColumn("_held", F.greatest("_held", "_carry"))
+    better = F.col("_counted").isNotNull() & (quality > F.col("_held"))
+    action = F.when(F.col("_first"), "SATISFY").when(F.col("_seeds"), "CROSS_SEED").when(better, "UPGRADE").otherwise("REJECT")
+    held = F.when(action.isin("SATISFY", "UPGRADE"), quality).otherwise(F.col("_held"))
+    return five.withColumns({"action": action, "held_resolution": held.resolution, "held_rank": held.rank}).drop("_first", "_new_feed", "_seeds", "_counted", "_held", "_carry", "_range")
+
+
+def _all(conditions: list[Column]) -> Column:
+    out = conditions[0]
+    for c in conditions[1:]:
+        out = out & c
+    return out

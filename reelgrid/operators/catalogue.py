@@ -1,4 +1,4 @@
-"""Keeping the catalogue: scoped reads, upserts with identities, get-or-create, reparsing, rebuilding, redirects and policies."""
+"""Keeping the catalogue: scoped reads, upserts with identities, get-or-create, reparsing, rebuilding and policies."""
 
 from __future__ import annotations
 
@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators.merge import changed
 from reelgrid.operators.rank import top_per_key
-from reelgrid.sources.tables import kept
 
 
 def scoped(df: DataFrame, tenant: object, column: str = "tenant_id") -> DataFrame:
@@ -108,18 +107,3 @@ def invalidated(matches: DataFrame, touched: DataFrame, key: str, at: Column, wh
     hit = touched.select(key).distinct().withColumn("_hit", F.lit(True))
     now = F.col("_hit").isNotNull() & F.col("invalidated_at").isNull()
     return matches.join(hit, key, "left").withColumns({"stale_reason": F.when(now, F.lit(why)).otherwise(F.col("stale_reason")), "invalidated_at": F.when(now, at).otherwise(F.col("invalidated_at"))}).drop("_hit")
-
-
-def redirects(links: DataFrame, old: str, new: str, steps: int = 32) -> DataFrame:
-    """(old, target): where chains of superseded titles end, by doubling, so `steps` rounds cover chains of 2**steps.
-
-    A title in a cycle has no end and keeps none. Rounds stop when no link gets longer.
-    """
-    hops = links.where(F.col(old) != F.col(new)).select(F.col(old).alias("a"), F.col(new).alias("b")).dropDuplicates(["a"])
-    for _ in range(steps):
-        further = hops.select(F.col("a").alias("b"), F.col("b").alias("c"))
-        longer = kept(hops.join(further, "b", "left").select("a", F.coalesce("c", "b").alias("b"), F.col("c").isNotNull().alias("moved")).where("a <> b"), "redirects")
-        if not longer.where("moved").limit(1).count():
-            return longer.select(F.col("a").alias(old), F.col("b").alias("target"))
-        hops = longer.select("a", "b")
-    return hops.select(F.col("a").alias(old), F.col("b").alias("target"))

@@ -6,7 +6,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.text import aliases, key_of, locale_key, same_ignoring_case
+from reelgrid.operators import substrings
 from reelgrid.operators.rank import top_per_key
+from reelgrid.sources.tables import scratch_folder
 
 # Confidences that decide, reasons, and what providers can find.
 SURE, LOW = 88, 30
@@ -123,12 +125,22 @@ def smart_route(query: Column) -> Column:
     )
 
 
-def searched(queries: DataFrame, catalogue: DataFrame, query: str) -> DataFrame:
-    """(query, media_id, kind) of what queries find in catalogue(media_id, title, provider, provider_id): by identity, else by words
-    of the title key. A query whose identity is unknown finds nothing."""
+def indexed_titles(catalogue: DataFrame, path: str) -> str:
+    """Adds the title keys of catalogue(media_id, title) to the substring index at path."""
+    substrings.add(catalogue.select("media_id", key_of(F.col("title")).alias("title_key")).distinct(), path, "media_id", "title_key")
+    return path
+
+
+def searched(queries: DataFrame, catalogue: DataFrame, query: str, index: str | None = None) -> DataFrame:
+    """(query, media_id, kind) of what queries find in catalogue(media_id, title, provider, provider_id): by identity, else by the
+    key of their words, which may stand inside words of the title key. A query whose identity is unknown finds nothing.
+
+    index: the folder of the catalogue's index (indexed_titles); without one it is made for this search.
+    """
+    spark = queries.sparkSession
     routed = queries.withColumn("_route", smart_route(F.col(query))).select(query, "_route.kind", "_route.value")
     exact = routed.where("kind NOT IN ('hinted', 'broad')").join(catalogue, (F.col("kind") == F.col("provider")) & (F.col("value") == F.col("provider_id"))).select(query, "media_id", "kind")
-    keyed = catalogue.select("media_id", key_of(F.col("title")).alias("title_key")).distinct().withColumn("_word", F.explode(F.array_distinct(F.split("title_key", " "))))
-    wanted = routed.where("kind IN ('hinted', 'broad')").withColumn("_key", key_of(F.col("value"))).withColumn("_word", F.split_part("_key", F.lit(" "), F.lit(1)))
-    found = wanted.join(keyed, "_word").where(F.contains("title_key", F.col("_key"))).select(query, "media_id", "kind")
+    wanted = routed.where("kind IN ('hinted', 'broad')").withColumn("word", key_of(F.col("value")))
+    hits = substrings.find(spark, index or indexed_titles(catalogue, scratch_folder(spark, "titles")), wanted.select("word").distinct(), "word")
+    found = wanted.join(hits, "word").select(query, F.col("key").alias("media_id"), "kind")
     return exact.unionByName(found).distinct()

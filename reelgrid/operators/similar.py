@@ -6,36 +6,84 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelgrid.functions.similarity import MILLION, contains_window, numbered_dice
+from reelgrid.sources.tables import kept
 
 
-def by_rarity(df: DataFrame, key: str, tokens: str) -> DataFrame:
-    """(key, tokens) with each row's distinct tokens from the rarest of all rows to the most frequent."""
-    each = df.select(key, F.explode(F.array_distinct(tokens)).alias("token"))
+def classes(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(class, tokens, members) of rows with equal sets of tokens; rows without tokens are in none. A class is called after its least key."""
+    return token_sets(df, key, tokens).where(F.size(tokens) > 0).groupBy(tokens).agg(F.min(key).alias("class"), F.count("*").alias("members"))
+
+
+def token_sets(df: DataFrame, key: str, tokens: str) -> DataFrame:
+    return df.select(key, F.array_sort(F.array_distinct(tokens)).alias(tokens))
+
+
+def by_rarity(sets: DataFrame, key: str, tokens: str) -> DataFrame:
+    """(key, tokens) with each row's tokens as structs (n, token) from the rarest of all rows to the most frequent."""
+    each = sets.select(key, F.explode(tokens).alias("token"))
     often = each.groupBy("token").agg(F.count("*").alias("n"))
-    return each.join(often, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias("o")).select(key, F.transform("o", lambda x: x.token).alias(tokens))  # a row's own tokens
+    return each.join(often, "token").groupBy(key).agg(F.sort_array(F.collect_list(F.struct("n", "token"))).alias(tokens))  # a row's own tokens
+
+
+def candidates(rare: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
+    """(short, long) of rows that may have a dice of `least` millionths: the short one has no more tokens than the long one.
+
+    Sets of n <= m tokens and dice t share t * (n + m) / 2 of them at least, and m is at most n * (2 - t) / t. So of the short one a
+    token among the first n - t * n + 1 in order of rarity is shared, of the long one among the first m - m * t / (2 - t) + 1: only
+    these prefixes are joined. A shared token that is the i-th of n and the j-th of m leaves min(n - i, m - j) behind it and
+    min(i, j) - 1 before; and behind the prefix that ends first in the order, no more can be shared than that row has left, beyond
+    those counted in the prefixes. Pairs that cannot come to t * (n + m) / 2 by both bounds go before any set is read.
+    """
+    # Whole numbers, so that no pair is lost by rounding: a ceiling is taken of a quotient of integers.
+    up = lambda a, b: F.expr(f"CAST(({a} + {b} - 1) DIV {b} AS INT)")
+    sized = rare.withColumn("n", F.size(tokens))
+    short = sized.withColumn("prefix", F.col("n") - up(f"n * {least}L", f"{MILLION}L") + 1)
+    long = sized.withColumn("prefix", F.col("n") - up(f"n * {least}L", f"{2 * MILLION - least}L") + 1)
+
+    def posted(rows: DataFrame, name: str) -> DataFrame:
+        last = F.element_at(tokens, F.col("prefix"))
+        p = rows.select(F.col(key).alias(name), F.col("n").alias(f"{name}_n"), F.col("prefix").alias(f"{name}_prefix"), last.alias(f"{name}_last"), F.posexplode(F.slice(tokens, F.lit(1), F.col("prefix"))).alias("i", "x"))
+        return p.withColumn("token", F.col("x.token")).withColumn(f"{name}_at", F.col("i") + 1).drop("i", "x")
+
+    need = up(f"(short_n + long_n) * {least}L", f"{2 * MILLION}L")
+    order = (F.col("short_n") < F.col("long_n")) | ((F.col("short_n") == F.col("long_n")) & (F.col("short") < F.col("long")))
+    met = posted(short, "short").join(posted(long, "long"), "token").where(order & (F.col("long_n").cast("long") * least <= F.col("short_n").cast("long") * (2 * MILLION - least)))
+    met = met.where(F.least("short_at", "long_at") + F.least(F.col("short_n") - F.col("short_at"), F.col("long_n") - F.col("long_at")) >= need)
+    left = F.when(F.col("short_last") < F.col("long_last"), F.col("short_n") - F.col("short_prefix")).otherwise(F.col("long_n") - F.col("long_prefix"))
+    found = met.withColumns({"left": left, "need": need}).groupBy("short", "long").agg(F.count("*").alias("shared"), F.first("left").alias("left"), F.first("need").alias("need"))
+    return found.where("shared + left >= need").select("short", "long")
+
+
+def class_pairs(sets: DataFrame, tokens: str, least: int) -> DataFrame:
+    """(short, long, dice) of classes(class, tokens) with a dice of `least` millionths or more."""
+    rare = kept(by_rarity(sets, "class", tokens), "rare")
+    found = candidates(rare, "class", tokens, least)
+    names = F.transform(tokens, lambda x: x.token)
+    both = found.join(rare.select(F.col("class").alias("short"), names.alias("x")), "short").join(rare.select(F.col("class").alias("long"), names.alias("y")), "long")
+    return both.select("short", "long", numbered_dice(F.col("x"), F.col("y")).alias("dice")).where(F.col("dice") >= least)
 
 
 def pairs(df: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
     """(left_id, right_id, dice) of rows whose sets of tokens have a dice of `least` millionths or more; left_id < right_id.
 
-    A set of n tokens shares at least n * t / (2 - t) of them with any set of dice t, so two such sets have a token in
-    common among the first n - that + 1 in order of rarity; only these are joined. Sets without tokens are like none.
+    Rows of equal sets are compared as one class; its pairs are made at the end, since this lists all pairs. Who wants
+    groups takes classes() and class_pairs(). Sets without tokens are like none.
     """
-    rare = by_rarity(df, key, tokens)
-    n = F.size(tokens)
-    shared = F.ceil(n * least / (2 * MILLION - least)).cast("int")
-    prefix = rare.select(key, F.explode(F.slice(tokens, F.lit(1), n - shared + 1)).alias("token"))
-    found = prefix.select(F.col(key).alias("left_id"), "token").join(prefix.select(F.col(key).alias("right_id"), "token"), "token").where("left_id < right_id").select("left_id", "right_id").distinct()
-    left, right = rare.select(F.col(key).alias("left_id"), F.col(tokens).alias("x")), rare.select(F.col(key).alias("right_id"), F.col(tokens).alias("y"))
-    both = found.join(left, "left_id").join(right, "right_id")
-    return both.select("left_id", "right_id", numbered_dice(F.col("x"), F.col("y")).alias("dice")).where(F.col("dice") >= least)
+    rows = kept(token_sets(df, key, tokens), "token-sets")  # computed once, not in each of the joins
+    sets = kept(classes(rows, key, tokens), "classes")
+    found = class_pairs(sets, tokens, least)
+    own = kept(rows.withColumnRenamed(key, "id").join(sets.select("class", tokens), tokens).select("id", "class"), "members")
+    same = sets.where("members > 1").select(F.col("class").alias("short"), F.col("class").alias("long"), F.lit(MILLION).cast("long").alias("dice"))
+    left, right = own.select(F.col("class").alias("short"), F.col("id").alias("a")), own.select(F.col("class").alias("long"), F.col("id").alias("b"))
+    every = found.unionByName(same).join(left, "short").join(right, "long").where("short <> long OR a < b")
+    return every.select(F.least("a", "b").alias("left_id"), F.greatest("a", "b").alias("right_id"), "dice")
 
 
 def containing(df: DataFrame, tokens: str, parts: DataFrame, part: str) -> DataFrame:
     """Rows of df and of parts where the token list holds the part as a run: joined on the part's rarest token."""
     often = df.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("often"))
-    numbered = parts.withColumn("_part", F.monotonically_increasing_id())
-    rarest = numbered.select("_part", F.explode(F.array_distinct(part)).alias("token")).join(often, "token").groupBy("_part").agg(F.min(F.struct("often", "token")).alias("r")).select("_part", F.col("r.token").alias("token"))
+    each = parts.select(F.col(part).alias("_part")).distinct().select("_part", F.explode(F.array_distinct("_part")).alias("token")).join(often, "token")
+    rarest = each.groupBy("_part").agg(F.min(F.struct("often", "token")).alias("r")).select("_part", F.col("r.token").alias("token"))
     probe: Column = F.explode(F.array_distinct(tokens)).alias("token")
-    met = df.select("*", probe).join(numbered.join(rarest, "_part"), "token")
+    met = df.select("*", probe).join(parts.join(rarest, F.col(part) == F.col("_part")), "token")
     return met.where(contains_window(F.col(tokens), F.col(part))).drop("token", "_part")

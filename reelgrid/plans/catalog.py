@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from reelgrid.operators import catalogue, matching, rank
 from reelgrid.operators.merge import changed
+from reelgrid.operators.links import ends, merged
 from reelgrid.operators.rank import top_per_key
 from reelgrid.plans.serving import METADATA, STATE, TRENDING, item_state, metadata, trending_groups
 from reelgrid.sources.tables import feeds, items, jobs, matches, media, oracle, table
@@ -243,8 +244,29 @@ def reparse(spark, d):
 def superseded_titles(spark, d):
     """Titles and where their chains of redirects end: each points to the one before, to every 50th."""
     links = media(spark, d).where("media_id >= 50 AND media_id % 50 <> 0").select("media_id", (F.col("media_id") - 1).alias("superseded_by"))
-    ends = catalogue.redirects(links, "media_id", "superseded_by")
-    return media(spark, d).where("media_id >= 50").select("media_id").join(ends, "media_id", "left").select("media_id", F.coalesce("target", "media_id").alias("target"))
+    targets = ends(links, "media_id", "superseded_by")
+    return media(spark, d).where("media_id >= 50").select("media_id").join(targets, "media_id", "left").select("media_id", F.coalesce("target", "media_id").alias("target"))
+
+
+@query(oracle("SELECT media_id, CASE WHEN media_id // 10 % 4 = 0 THEN media_id - media_id % 10 END AS ended, media_id - media_id % 10 AS target FROM media WHERE media_id % 10 > 0"))
+def superseded_in_cycles(spark, d):
+    """Chains of ten titles; three of four end in a cycle of two, three or five, of which the least title survives."""
+    m, back = F.col("media_id"), F.floor(F.col("media_id") / 10) % 4
+    to = F.when(m % 10 > 0, m - 1).when(back == 1, m + 1).when(back == 2, m + 2).when(back == 3, m + 4)
+    links = media(spark, d).select("media_id", to.alias("superseded_by"))
+    kept_ends, all_ends = ends(links, "media_id", "superseded_by").withColumnRenamed("target", "ended"), ends(links, "media_id", "superseded_by", "least")
+    return media(spark, d).where("media_id % 10 > 0").select("media_id").join(kept_ends, "media_id", "left").join(all_ends, "media_id", "left").select("media_id", "ended", "target")
+
+
+@query(oracle("""SELECT a AS media_id, min(b) AS survivor FROM reach GROUP BY 1""", """,
+identity AS (SELECT media_id, 'tmdb:' || (media_id // 2) AS id FROM media WHERE media_id % 5 < 3 UNION ALL SELECT media_id, 'imdb:' || (media_id // 3) FROM media WHERE media_id % 7 < 3 UNION ALL SELECT media_id, 'tvdb:1' FROM media WHERE media_id % 50 = 49),
+reach(a, b) AS (SELECT media_id, media_id FROM media UNION SELECT r.a, y.media_id FROM reach r JOIN identity x ON x.media_id = r.b JOIN identity y ON y.id = x.id)""").replace("WITH ", "WITH RECURSIVE ", 1))
+def merged_titles(spark, d):
+    """Titles that share identities, directly or by way of others, are one; the least stays."""
+    m = F.col("media_id")
+    of = lambda source, value, rows: media(spark, d).where(rows).select("media_id", F.concat(F.lit(f"{source}:"), F.floor(value).cast("string")).alias("id"))
+    identities = of("tmdb", m / 2, m % 5 < 3).unionByName(of("imdb", m / 3, m % 7 < 3)).unionByName(of("tvdb", F.lit(1), m % 50 == 49))
+    return merged(media(spark, d).select("media_id"), identities, "media_id", "id")
 
 
 @query(oracle("SELECT title AS title_key, media_type, count(*) AS n_items, count(DISTINCT release_id) AS n_releases, min(first_seen) AS first_seen FROM items JOIN media USING (media_id) GROUP BY ALL"))

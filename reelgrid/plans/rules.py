@@ -194,6 +194,25 @@ def acquisition_fold(spark, d):
     return folded.select("content_key", "release_id", "line", "feed_id", "qty", "size_bytes", "action")
 
 
+@query(oracle(f"""SELECT content_key, release_id, line, feed_id, qty, size_bytes, CASE WHEN one THEN 'SATISFY' WHEN seeds THEN 'CROSS_SEED' WHEN counts AND own > held THEN 'UPGRADE' ELSE 'REJECT' END AS action
+FROM (SELECT *, max(CASE WHEN counts THEN own END) OVER (PARTITION BY content_key ORDER BY {ORDER} ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS held FROM
+(SELECT *, one OR (NOT seeds AND policy > 0) AS counts FROM (SELECT *, NOT one AND cross_seed AND fresh AS seeds FROM (SELECT *, CASE policy WHEN 1 THEN coalesce(resolution, -1) * 1000 + CASE qty % 5 WHEN 0 THEN 60 WHEN 1 THEN 40 WHEN 2 THEN 20 ELSE 0 END
+WHEN 2 THEN CASE WHEN release_group IN ('GRP1', 'GRP2') THEN 1 ELSE 0 END ELSE 0 END AS own, row_number() OVER (PARTITION BY content_key ORDER BY {ORDER}) = 1 AS one, row_number() OVER (PARTITION BY content_key, feed_id ORDER BY {ORDER}) = 1 AS fresh
+FROM (SELECT *, media_id % 3 AS policy FROM units JOIN (SELECT DISTINCT release_id, line, feed_id, qty, size_bytes, media_id, first_seen, release_group FROM items) USING (release_id, line, feed_id, qty, size_bytes, media_id, first_seen))))))""", "," + UNITS))
+def acquisition_policies(spark, d):
+    """The fold under each unit's upgrade policy: none, better quality by source rank, or preferred groups; in ranges, so that a
+    unit of any size is many tasks."""
+    own = items(spark, d).select("release_id", "line", "feed_id", "qty", "size_bytes", "media_id", "first_seen", "release_group").distinct()
+    every = units(spark, d).join(own, ["release_id", "line", "feed_id", "qty", "size_bytes", "media_id", "first_seen"])
+    q, policy = F.col("qty") % 5, F.col("media_id") % 3
+    name = F.when(policy == 1, "better_quality").when(policy == 2, "preferred_release_group").otherwise("none")
+    source = F.when(q == 0, "Remux").when(q == 1, "web dl").when(q == 2, "HDTV").when(q == 3, "XviD")
+    score = rules.release_score(name, F.col("resolution"), source, F.lower("release_group"), F.array(F.lit("GRP1"), F.lit("GRP2")))
+    scored = every.withColumns({"score": score, "upgrade": policy > 0}).withColumns({"resolution": F.col("score.resolution"), "source_rank": F.col("score.rank")})
+    folded = acquisition.fold_in_ranges(scored, ["content_key"], ORDER.split(", "), "feed_id", "resolution", "source_rank", "cross_seed", "upgrade")
+    return folded.select("content_key", "release_id", "line", "feed_id", "qty", "size_bytes", "action")
+
+
 CANDIDATES = """candidates AS (SELECT DISTINCT media_id, feed_id, feed_id % 3 AS policy, (media_id + feed_id) % 4 AS title_index, (media_id * 13 + feed_id * 7) % 101 AS score, (media_id + feed_id) % 9 = 0 AS wrong_year FROM items)"""
 
 

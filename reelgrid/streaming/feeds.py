@@ -19,7 +19,7 @@ from reelgrid.operators.rank import top_per_key
 from reelgrid.sources import feeds as source
 from reelgrid.sources.tables import scratch_folder
 from reelgrid.streaming import acquisition
-from reelgrid.streaming.store import Store
+from reelgrid.sources.store import Store
 
 # Fixed names: where Spark keeps the state of streams, and that it checkpoints what changed.
 STATE = {

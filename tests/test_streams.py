@@ -152,7 +152,7 @@ def test_windows_of_any_age(spark, tmp_path):
 def test_store_stays_within_twice_its_rows(spark, tmp_path):
     """A hundred batches of changes to the same keys; old folders go, results and retries are right."""
     from reelgrid.operators.rank import top_per_key
-    from reelgrid.streaming.store import Store
+    from reelgrid.sources.store import Store
 
     store = Store(spark, str(tmp_path / "s"), "k long, v string", "k", lambda rows: top_per_key(rows, ["k"], [F.desc("batch")]), buckets=2)
     folders = lambda: sum(len(of) for kind in ("base", "changes") for of in store._listed(kind).values())
