@@ -11,6 +11,12 @@ HONORIFICS = ["mr", "mrs", "ms", "miss", "dr"]
 SEASON_WORDS = ["season", "series", "part", "cour"]
 
 
+def bound(value: Column, use) -> Column:
+    """use(value), with the value computed once: Spark computes what a lambda refers to anew for each element, but a lambda's own
+    variable only once."""
+    return F.get(F.transform(F.array(value), use), F.lit(0))
+
+
 def tokens(c: Column) -> Column:
     return F.filter(F.split(c, " "), lambda x: x != "")
 
@@ -24,8 +30,7 @@ def numbered(t: Column) -> Column:
 
     Sorted, equal tokens stand together, and the count is the distance to the first of them.
     """
-    ordered = F.array_sort(t)
-    return F.transform(ordered, lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(ordered, x)).cast("string")))
+    return bound(F.array_sort(t), lambda o: F.transform(o, lambda x, i: F.concat(x, F.lit("#"), (i + 1 - F.array_position(o, x)).cast("string"))))
 
 
 def numbered_dice(a: Column, b: Column) -> Column:
@@ -40,8 +45,9 @@ def dice(a: Column, b: Column) -> Column:
 
 
 def trigrams(c: Column) -> Column:
-    s = F.regexp_replace(c, r"\s+", "")
-    return F.when(F.length(s) <= 3, F.array(s)).otherwise(F.transform(F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1))), lambda i: F.substring(s, i, F.lit(3))))
+    places = lambda s: F.sequence(F.lit(1), F.greatest(F.length(s) - 2, F.lit(1)))
+    each = lambda s: F.when(F.length(s) <= 3, F.array(s)).otherwise(F.transform(places(s), lambda i: F.substring(s, i, F.lit(3))))
+    return bound(F.regexp_replace(c, r"\s+", ""), each)
 
 
 def contains_window(long: Column, short: Column) -> Column:
@@ -70,8 +76,11 @@ def containment(a: Column, b: Column, tv: Column | None = None, season: Column |
 def title_parts(c: Column) -> Column:
     """What a normalised title is compared by: its tokens, and the numbered tokens and trigrams that count. Made once a title, before
     titles are joined."""
-    x = tokens(c)
-    return F.struct(c.alias("title"), x.alias("tokens"), numbered(score_tokens(x)).alias("words"), numbered(trigrams(F.array_join(score_tokens(x), " "))).alias("grams"))
+    def of(title: Column) -> Column:
+        words = score_tokens(tokens(title))
+        return F.struct(title.alias("title"), tokens(title).alias("tokens"), numbered(words).alias("words"), numbered(trigrams(F.array_join(words, " "))).alias("grams"))
+
+    return bound(c, of)
 
 
 def parts_similarity(a: Column, b: Column, tv: Column | None = None, season: Column | None = None) -> Column:

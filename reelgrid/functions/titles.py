@@ -9,26 +9,24 @@ import pandas as pd
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-NATIVE = re.compile(r"[぀-ヿ㐀-䶿一-鿿가-힯]")
-LATIN = re.compile(r"[A-Za-z]")
+from reelgrid.functions.fields import GENRES, KINDS, LATIN, NATIVE, NO_TITLES, PEOPLE, REGIONS, brackets, label, numeric_title, title_words, variant_base, yearly_base
+from reelgrid.functions.markers import kept_apart
+
 ALIAS = re.compile(r"(?i)\b(?:aka|alias)\b")
 YEAR = re.compile(r"^(?:19|20)\d{2}$")
-SIZE = re.compile(r"(?i)^\d+(?:[. ]\d+)?\s*(?:[gmt]i?b|[gm])$")
-# Words that describe a release and are no titles of it.
-KINDS = "movie movies tv series animation animations anime documentary documentaries music sports games hd sd uhd 电影 電影 剧集 劇集 电视剧 電視劇 纪录片 紀錄片 动漫 動漫 动画 動畫 音乐 音樂 综艺 綜藝 连载 連載 完结 完結 合集 分集".split()
-FIELDS = "类型 類型 类别 類別 字幕 导演 導演 主演 演员 演員 语言 音频 视频 格式 地区 年份 年代 上映 首播 播出 国语 國語 粤语 粵語 英语 英語 日语 日語 韩语 韓語 中字 简繁 簡繁 简中 繁中 双语 雙語 多国 多國 内封 內封 内嵌 內嵌 杜比 音轨 音軌 花絮 特典 原盘 原盤 官方 频道 頻道 码率 碼率 转自 轉自 转载自 发布组 發布組 压制组 壓制組 如有侵权 联系删除 台版 港版 日版 美版 加长版 完整版 自录 自錄 生肉".split()
-REGIONS = "大陆 大陸 内地 內地 中国大陆 中國大陸 华语 華語 香港 台湾 台灣 美国 美國 英国 英國 日本 韩国 韓國 印度 瑞典 西班牙 意大利 法国 法國 德国 德國 加拿大 澳大利亚 北美 欧洲 歐洲 欧美 歐美 亚洲 亞洲 海外".split()
-GENRES = "动作 動作 剧情 劇情 犯罪 喜剧 喜劇 爱情 愛情 短片 家庭 奇幻 恐怖 冒险 冒險 悬疑 懸疑 科幻 历史 歷史 战争 戰爭 古装 古裝 传记 傳記 惊悚 驚悚 儿童 兒童 歌舞 武侠 武俠 西部 灾难 災難 真人秀 脱口秀 运动 運動 体育 體育".split()
-TECHNICAL = re.compile(r"(?i)\b(?:\d{3,4}[pi]|4k|uhd|hdr10?|sdr|web[- .]?dl|webrip|blu[- .]?ray|bdrip|hdtv|remux|[xh][ .]?26[45]|hevc|avc|aac|dts|flac|truehd|atmos|n/a|anonymous)\b")
-NUMBERS = re.compile(r"^(?:第?\s*[一二三四五六七八九十两\d]{1,4}\s*(?:[-~至到－—]\s*[一二三四五六七八九十两\d]{1,4})?\s*[季部集话話期]|全\s*[一二三四五六七八九十两\d]{1,4}\s*[集话話期]|[\d\s/.,:-]+|s\d{1,2}(?:e\d+)?|season\s*\d+)(?:\s*(?:19|20)\d{2})?$", re.IGNORECASE)
-INSIDE = re.compile(r"第\s*[一二三四五六七八九十两\d]{1,4}\s*(?:[-~至到－—]\s*[一二三四五六七八九十两\d]{1,4})?\s*[季部集话話期].*$|全\s*[一二三四五六七八九十两\d]{1,4}\s*[集话話期].*$|\s(?:19|20)\d{2}\s*年度.*$")
-KIND_PREFIX = re.compile(rf"(?i)^(?:(?:{'|'.join(KINDS)}|\d{{1,2}}\s*月\s*新番)\s*[:：]\s*)")
+TECHNICAL = re.compile(r"(?i)\b(?:\d{3,4}[pi]|4k|uhd|hdr10?|sdr|edr|web[- .]?dl|webrip|blu[- .]?ray|bdrip|hdtv|remux|[xh][ .]?26[45]|hevc|avc|avs|aac|dts|dolby\s*vision|flac|truehd|atmos|shout\s*factory|n/a|anonymous)\b")
+NEW_SEASON = re.compile(r"^\d{1,2}\s*月\s*新番\s*[:：]\s*")
 EDGES = " .。·:：,，;；/\\|—-*"
 
 
 def tidy(value: str) -> str:
-    value = re.sub(r"[()\[\]{}【】（）「」『』]", " ", value)
-    return re.sub(r"\s+", " ", INSIDE.sub("", KIND_PREFIX.sub("", value.strip(EDGES)))).strip(EDGES)
+    """A field's title, without brackets and what stands at its ends."""
+    value = NEW_SEASON.sub("", value.strip(EDGES))
+    for kind in KINDS:
+        if value.casefold().startswith((kind + ":", kind + "：")):
+            value = value[len(kind) + 1 :]
+    value = re.sub(r"[()\[\]{}（）「」『』]", " ", title_words(value))
+    return re.sub(r"\s+", " ", value).strip(EDGES)
 
 
 def same(a: str) -> str:
@@ -37,8 +35,9 @@ def same(a: str) -> str:
 
 def is_field(value: str) -> bool:
     """Says something about a release: its kind, languages, people, sizes, numbers."""
-    low = value.casefold()
-    return low in KINDS or all(w in KINDS for w in low.split()) or bool(SIZE.match(value) or NUMBERS.match(value) or TECHNICAL.search(value)) or any(f in value for f in FIELDS)
+    if numeric_title(value):
+        return False
+    return label(value) in NO_TITLES and label(value) != "genre" or bool(re.fullmatch(r"[\d\s/.,:-]+", value)) or bool(TECHNICAL.search(value))
 
 
 def is_title(value: str) -> bool:
@@ -57,13 +56,21 @@ def script_runs(value: str) -> list[str]:
     return [" ".join(ws) for _, ws in runs] if len(runs) > 1 else []
 
 
-def pieces(value: str) -> list[str]:
-    """Alias parts, then parts between slashes, bars and long dashes, each after its runs of one script."""
+def pieces(value: str, years: frozenset = frozenset()) -> list[str]:
+    """Alias parts, then parts between slashes, bars and long dashes, each after its runs of one script; a name that ends with one
+    of these years also without it."""
     out = []
     for alias in ALIAS.split(value):
+        if numeric_title(alias.strip(EDGES)):
+            out.append(alias.strip(EDGES))
+            continue
+        if base := variant_base(alias):
+            out.append(tidy(base))
         for part in re.split(r"\s+/\s+|[|｜]|—+|(?<=[^\d\s])/(?=[^\d\s])", alias):
             part = tidy(part)
             out += [*map(tidy, script_runs(part)), part]
+            if part[-4:] in years and (base := yearly_base(part)):
+                out.append(base)
     return out
 
 
@@ -79,20 +86,28 @@ def titles_of(head: str | None, raw: str | None, plain: str | None) -> tuple[str
             found.append(value)
         return value
 
+    years = frozenset(re.findall(r"(?<![^\s.\[(])(?:19|20)\d{2}(?![^\s.\])])", raw or ""))  # of the release, as words
     name = re.sub(r"[.\s]+", " ", head or "")
     own = [v for p in pieces(name) if (v := put(p))]
     if ALIAS.search(name):
         explicit |= {same(p) for p in pieces(name)}
     human: list[str] = []
-    for segment in re.findall(r"\[([^\[\]]+)\]", raw or ""):
-        if not (NATIVE.search(segment) or ALIAS.search(segment)):
+    labels: list[str] = []
+    for segment, inner in brackets(raw or ""):
+        labels.append(label(segment, labels))
+        # A season inside a field stands behind a name, in any script.
+        seasoned = any(label(x) in ("season", "count") for x in inner)
+        if labels[-1] in NO_TITLES and labels[-1] not in ("information", "genre", "credit", "disclaimer") or not (NATIVE.search(segment) or ALIAS.search(segment) or seasoned):
             continue
+        if seasoned:
+            explicit |= {same(p) for p in pieces(segment.split("|")[0])}
         if ALIAS.search(segment):
             explicit |= {same(p) for p in pieces(segment)}
-        for field in re.split(r"[|｜]|\s+/\s+", segment):
+        listed = [f for f in re.split(r"[|｜]", segment) if not any(p in f for p in PEOPLE)]  # names of people have slashes between them
+        for field in (f for x in listed for f in re.split(r"\s+/\s+", x)):
             if is_field(tidy(field)) and not NATIVE.search(tidy(field)):
                 continue
-            human += [v for p in pieces(field) if (v := put(p))]
+            human += [v for p in pieces(field, years) if (v := put(p))]
     before = (raw or "").split("[", 1)[0]
     if NATIVE.search(before):
         human += [v for p in pieces(before) if (v := put(p))]
@@ -124,3 +139,19 @@ def title_info(head: pd.Series, raw: pd.Series, plain: pd.Series) -> pd.DataFram
     """Canonical title (Latin of two or more words, else Latin, else the first), candidates, at most four to search with
     (native ones first), and the first to search with. head: the release's name before its first marker."""
     return pd.DataFrame([titles_of(*x) for x in zip(head, raw, plain, strict=True)], columns=["canonical", "candidates", "search", "primary"])
+
+
+@kept_apart
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def field_labels(parts: pd.Series) -> pd.Series:
+    """What each segment of a title says, in order (fields.label)."""
+
+    def of(segments):
+        if segments is None:
+            return None
+        labels: list[str] = []
+        for s in segments:
+            labels.append(label(s or "", labels))
+        return labels
+
+    return parts.map(of)

@@ -328,6 +328,6 @@ def candidate_score(spark, d):
     parts = kept(t.select("page_id", similarity.title_parts(F.col("a")).alias("x")), "parts")
     both = p.join(parts.select(F.col("page_id").alias("left_id"), F.col("x").alias("l")), "left_id").join(parts.select(F.col("page_id").alias("right_id"), F.col("x").alias("r")), "right_id")
     tv, season = i % 2 == 0, F.when(i % 4 == 0, 2)
-    both = both.withColumn("t", similarity.parts_similarity(F.col("l"), F.col("r"), tv, season))
+    both = kept(both.select("left_id", "right_id", similarity.parts_similarity(F.col("l"), F.col("r"), tv, season).alias("t")), "scored")  # once, not in each use
     score = similarity.candidate_score(F.col("t"), (1990 + i % 3).cast("int"), F.when(o % 7 != 0, (1990 + o % 4).cast("int")), tv, season)
     return both.select(i.alias("page_id"), o.alias("other_id"), F.col("t").alias("title_similarity"), score.alias("score"))

@@ -58,6 +58,50 @@ def test_titles():
     assert titles_of(None, None, None) == (None, [], [], None)
 
 
+#: Raw titles whose brackets hold more than titles, and what they may be searched for.
+FIELDS = [
+    ("The Red Orchid", "[电视剧 (TV Series)]CCTV-8 The Red Orchid 2026 S01E14-E15 1080i HDTV-AA[中央电视台电视剧频道 红兰 第14-15集【AVS+卫星源码｜高码率】【导演：某人 | 主演：某某】]", ["红兰"]),
+    ("Vocalist 2026", "[TV Shows/综艺]HunanTV Vocalist 2026 20260612 HDTV 1080i H264-BB[湖南卫视 歌者2026 20260612][8.26 GB][anonymous]", ["歌者2026", "歌者"]),
+    ("Night Gate", "[电影][夜门][Night.Gate.1976.BluRay.1080p.x265-CC][动作][华语][导演: 某某 主演: 甲 / 乙|转自CCGROUP|如有侵权请立刻联系删除][6.04 GiB]", ["夜门"]),
+    ("So Into Tea", "[综艺]So Into Tea S06E04 2026 2160p WEB-DL H265 AAC-DD[茶香你我 第六季 正片 第02期上 嘉宾来了 | 茶香你我 旅行季 *某平台*][1.58 GB][国语 | 中字 | 官方]", ["茶香你我", "茶香你我 旅行季"]),
+    ("Ai Chang Hui", "[综艺]Ai Chang Hui S2026E58 2010 1080p WEB-DL-DD[爱唱会 2026年度 正片 又见老友？ *某平台*][376.62 MB]", ["爱唱会"]),
+    ("Young Summer", "[综艺]Young Summer S01E01 2026 1080p WEB-DL-AD[少年长夏 第一季 同学录 同学录：现场！ *某平台*][209.20 MB]", ["少年长夏"]),
+    ("Marta", "[剧集]Marta S01 1080p WEB-DL-EE[Marta Lunghi  [第一季] / Marta: A Coastal Inspector | 2022][24.27 GB][anonymous][完结]", ["Marta Lunghi", "Marta: A Coastal Inspector"]),
+    ("11/11/11", "11/11/11 2011 UNCUT 1080p-AA", []),
+    ("The Clinic AU", "[剧集]The Clinic AU S01 1080p-AA[The Clinic (AU) | 诊所][2 GB]", ["诊所", "The Clinic"]),
+    ("Old Town", "[剧集]Old Town[短剧：老城故事 全24集][翡翠台]", ["老城故事"]),
+    ("Harbour", "[剧集][港剧]Harbour 2020 1080p-AA[原创录制 翡翠台][翡翠台 4K][压制组 某字幕社][港湾第二季][香港]", ["港湾"]),
+]
+
+
+def test_titles_among_fields():
+    wrong = [(raw, titles_of(head, raw, head)[2], want) for head, raw, want in FIELDS if titles_of(head, raw, head)[2] != want]
+    assert not wrong
+
+
+def test_field_labels():
+    from reelgrid.functions.fields import brackets, label
+
+    said = {"": "empty", "9.34 GiB": "size", "2021": "year", "TV Shows/综艺": "category", "香港": "region", "动作/剧情": "genre", "翡翠台 4K": "broadcaster", "原创录制第3部 翡翠台": "recording", "转自ABC": "credit", "某发布组/某压制组": "credit", "如有侵权请删除": "disclaimer", "01-12 fin": "episodes", "7 (19)": "episodes", "正片 加更版": "section", "全24集": "count", "第2季 第3-5集": "season", "第3话": "count", "S02": "season", "导演: 某": "information", "山河": "native", "Old Town": "latin", "!?": "other", "13 Lakes": "latin"}
+    assert {k: label(k) for k in said} == said
+    assert [label("TV", ["category"]), label("TV", []), label("韩剧", ["category"]), label("韩剧", ["category", "native"])] == ["layout", "category", "drama", "region"]
+    assert brackets("a[b [c] d][e") == [("b  d", ["c"]), ("e", [])] and brackets("a]b") == [] and brackets("") == [] and brackets("[]") == [("", [])]
+
+
+def test_marks():
+    """Marks by words; what is no mark."""
+    from reelgrid.functions.markers import details, marks
+
+    some = lambda s: {k: m[2:] for k, m in marks(s).items()}
+    assert some("A.S02E05-E07.x") == {"tv": (2, 5, 7), "lone": (None, 7, None)} and marks("A.S02E05-E07.x")["tv"][:2] == (3, 12)
+    assert some("S00E09E13E14") == {"tv": (0, 9, 14)} and some("S01E02.03 720p") == {"tv": (1, 2, 3)} and some("S01E02.720p") == {"tv": (1, 2, None)}
+    assert some("S01E1234-1235") == {"long": (1, 1234, 1235)} and some("S001E1234") == {} and some("S01SP02") == {"special": (1, 2, None)}
+    assert some("EP07EP08") == {"lone": (None, 7, 8)} and some("E0007") == {"long_lone": (None, 7, None)} and some("Season 3") == {"word": (3, None, None)}
+    assert some("S03 E04") == {"tv": (3, 4, None), "lone": (None, 4, None)} and some("S03") == {"season": (3, None, None)}
+    assert some("xS01E02 S1E2v2 _S01_ S123 E12345 SE01") == {} and marks(None) == {} and some("第S01E01集") == {"tv": (1, 1, None)}
+    assert details(".Part2.PLUS.2023") == [("2", None, ".PLUS.2023"), ("2", "PLUS", ".2023")] and details(".Extra.Part03.x")[0][:2] == ("3", "EXTRA") and details(".Partly") == [] and details(None) == []
+
+
 def test_urls(spark):
     from reelgrid.functions import text
 
