@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import catalog, rules, search, serving, streams, text
+from reelgrid.plans import catalog, presentation, rules, search, serving, streams, text
 
-MODULES = [serving, catalog, text, rules, search, streams]
+MODULES = [serving, catalog, text, rules, presentation, search, streams]
 
 
 def queries() -> dict:
