@@ -17,10 +17,12 @@ def scoped(df: DataFrame, tenant: object, column: str = "tenant_id") -> DataFram
 IDENTITY = ["feed_id", "key_type", "key_hash"]
 
 
-def identified(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+def identified(stored: DataFrame, incoming: DataFrame, joined: bool = False) -> DataFrame:
     """incoming with item_id, a row per item: the stored item with its key; else the newest of its feed that shares a hash (link,
-    info, guid); else a new one, whose id follows from its key. New rows that share a hash, or each share one with a third, are one
-    item; longer chains of shared hashes stay apart. Of incoming rows of one item the last counts.
+    info, guid); else a new one, whose id follows from its key. Of incoming rows of one item the last counts.
+
+    joined: new rows that share a hash, or each share one with a third, are one item, as if they had come one after the other
+    (longer chains of shared hashes stay apart); without it each new key is an item.
 
     stored(item_id, feed_id, key_type, key_hash, hashes, seen_at, ...) and incoming(feed_id, key_type, key_hash, hashes, seen_at, ...).
     """
@@ -29,22 +31,24 @@ def identified(stored: DataFrame, incoming: DataFrame) -> DataFrame:
     probe = exact.where("_by_key IS NULL").select(*IDENTITY, F.explode("hashes").alias("_hash")).distinct()
     near = probe.join(shared, ["feed_id", "_hash"]).groupBy(*IDENTITY).agg(F.max_by("item_id", F.struct("seen_at", "item_id")).alias("_by_hash"))
     placed = exact.join(near, IDENTITY, "left")
-    # New rows that share a hash are one item, called after the least of their keys.
     own = F.struct("key_type", "key_hash")
-    fresh = placed.where("_by_key IS NULL AND _by_hash IS NULL").select("feed_id", own.alias("_own"), F.explode("hashes").alias("_hash")).distinct()
-    least = fresh.groupBy("feed_id", "_hash").agg(F.min("_own").alias("_least"))
-    first = fresh.join(least, ["feed_id", "_hash"]).groupBy("feed_id", "_own").agg(F.min("_least").alias("_first"))
-    ahead = first.select("feed_id", F.col("_own").alias("_first"), F.col("_first").alias("_ahead"))
-    first = first.join(ahead, ["feed_id", "_first"], "left").select("feed_id", F.col("_own.key_type").alias("key_type"), F.col("_own.key_hash").alias("key_hash"), F.coalesce("_ahead", "_first").alias("_first"))
-    named = placed.join(first, IDENTITY, "left").withColumn("_first", F.coalesce("_first", own))
+    named = placed.withColumn("_first", own)
+    if joined:  # called after the least of their keys
+        fresh = placed.where("_by_key IS NULL AND _by_hash IS NULL").select("feed_id", own.alias("_own"), F.explode("hashes").alias("_hash")).distinct()
+        least = fresh.groupBy("feed_id", "_hash").agg(F.min("_own").alias("_least"))
+        first = fresh.join(least, ["feed_id", "_hash"]).groupBy("feed_id", "_own").agg(F.min("_least").alias("_first"))
+        ahead = first.select("feed_id", F.col("_own").alias("_first"), F.col("_first").alias("_ahead"))
+        first = first.join(ahead, ["feed_id", "_first"], "left").select("feed_id", F.col("_own.key_type").alias("key_type"), F.col("_own.key_hash").alias("key_hash"), F.coalesce("_ahead", "_first").alias("_first"))
+        named = placed.join(first, IDENTITY, "left").withColumn("_first", F.coalesce("_first", own))
     made = F.concat_ws(":", F.lit("new"), F.col("feed_id").cast("string"), F.col("_first.key_type"), F.col("_first.key_hash"))
     placed = named.withColumn("item_id", F.coalesce("_by_key", "_by_hash", made)).drop("_by_key", "_by_hash", "_first")
     return top_per_key(placed, ["item_id"], [F.desc("seen_at"), F.asc("key_type"), F.asc("key_hash")])
 
 
 def ingested(stored: DataFrame, incoming: DataFrame, compared: list[str]) -> DataFrame:
-    """The incoming items as they are to be stored, with outcome: created, changed or unchanged; stored rows that do not come are left out."""
-    last = identified(stored, incoming)
+    """The incoming items (identified, joined) as they are to be stored, with outcome: created, changed or unchanged; stored rows that do
+    not come are left out."""
+    last = identified(stored, incoming, joined=True)
     both = last.alias("n").join(stored.select("item_id", F.lit(True).alias("_there"), *compared).alias("o"), "item_id", "left")
     outcome = F.when(F.col("o._there").isNull(), "created").when(changed("o", "n", compared), "changed").otherwise("unchanged")
     return both.select("item_id", *(F.col(f"n.{c}").alias(c) for c in stored.columns if c != "item_id"), outcome.alias("outcome"))

@@ -196,10 +196,12 @@ def test_refresh_claims_matches_and_reschedules(spark, tmp_path):
 
 
 def test_items_of_one_batch_that_share_a_hash(spark):
-    from reelgrid.operators.catalogue import upserted
+    from reelgrid.operators.catalogue import ingested, upserted
 
     schema = "feed_id long, key_type string, key_hash string, hashes array<string>, seen_at long, title string"
     stored = spark.createDataFrame([], "item_id string, " + schema)
     rows = [(1, "S", "b", ["link", "g1"], 1, "old"), (1, "S", "a", ["link"], 2, "new"), (1, "S", "c", ["g1"], 0, "first"), (2, "S", "d", ["link"], 1, "x"), (1, "S", "e", ["f"], 1, "y"), (1, "S", "f", [], 1, "z")]
-    got = sorted((r.item_id, r.title, r.outcome) for r in upserted(stored, spark.createDataFrame(rows, schema), ["title"]).collect())
+    frame = spark.createDataFrame(rows, schema)
+    got = sorted((r.item_id, r.title, r.outcome) for r in ingested(stored, frame, ["title"]).collect())
     assert got == [("new:1:S:a", "new", "created"), ("new:1:S:e", "y", "created"), ("new:1:S:f", "z", "created"), ("new:2:S:d", "x", "created")]
+    assert upserted(stored, frame, ["title"]).count() == 6  # a key each
