@@ -64,7 +64,7 @@ def item_pages(spark, d):
 
 @query(oracle("""SELECT release_id, CASE WHEN modern THEN 'tmdb:' || metadata_id ELSE 'imdb:' || release_id END AS selected, CASE WHEN modern THEN NULL ELSE 'title' END AS entity, CASE WHEN modern THEN 'user_score' WHEN release_id % 4 = 0 THEN 'critic_score' END AS rating_type FROM
 (SELECT *, metadata_id IS NOT NULL AND release_id % 5 <> 0 AS modern FROM matches WHERE status = 'MATCHED' AND NOT invalidated AND release_id % 13 <> 0) WHERE modern OR release_id % 2 = 0"""))
-def active_matches(spark, d):
+def candidate_matches(spark, d):
     """The match of each release that rules look at: modern metadata, else the legacy record, else none."""
     r = F.col("release_id")
     none = lambda kind: F.lit(None).cast(kind)

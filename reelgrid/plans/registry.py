@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from reelgrid.plans import catalog, presentation, rules, search, serving, streams, text
+from reelgrid.plans import catalog, presentation, rules, search, serving, streams, tenants, text
 
-MODULES = [serving, catalog, text, rules, presentation, search, streams]
+MODULES = [serving, catalog, text, rules, presentation, search, streams, tenants]
 
 
 def queries() -> dict:
-    return {name: query for m in MODULES for name, query in m.QUERIES.items()}
+    found: dict = {}
+    for m in MODULES:
+        if twice := found.keys() & m.QUERIES.keys():
+            raise ValueError(f"queries of one name: {sorted(twice)}")
+        found |= m.QUERIES
+    return found
 
 
 def oracle_sql() -> dict[str, str]:

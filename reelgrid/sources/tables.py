@@ -9,9 +9,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+from contextlib import contextmanager
+from contextvars import ContextVar
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: The tenant whose feeds, and items of these, the views hold; all tenants' if there is none.
+TENANT: ContextVar[int | None] = ContextVar("tenant", default=None)
+
+
+@contextmanager
+def scope(tenant: int):
+    """Inside, feeds() and items() are those of one tenant, and so is every read that is built on them."""
+    token = TENANT.set(tenant)
+    try:
+        yield
+    finally:
+        TENANT.reset(token)
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
@@ -54,7 +70,10 @@ def kept(df: DataFrame, name: str) -> DataFrame:
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Feed entries: one per order line."""
     q = F.col("l_quantity").cast("long")
-    return table(spark, sf_dir, "lineitem").select(
+    lines = table(spark, sf_dir, "lineitem")
+    if TENANT.get() is not None:  # by feed, before anything else is read or joined
+        lines = lines.join(feeds(spark, sf_dir).select(F.col("feed_id").alias("l_suppkey")), "l_suppkey", "left_semi")
+    return lines.select(
         F.col("l_orderkey").alias("release_id"), F.col("l_linenumber").cast("int").alias("line"), F.col("l_partkey").alias("media_id"), F.col("l_suppkey").alias("feed_id"),
         F.col("l_shipdate").alias("first_seen"), q.alias("qty"), F.round(F.col("l_extendedprice") * 100).cast("long").alias("size_bytes"), F.col("l_returnflag").alias("flag"),
         F.when(q % 4 == 0, "2160p").when(q % 4 == 1, "1080p").when(q % 4 == 2, "720p").alias("quality"),
@@ -80,7 +99,10 @@ def media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def feeds(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("feed_id"), F.col("s_name").alias("feed_name"), (F.col("s_nationkey") % 5).alias("tenant_id"), (F.col("s_suppkey") % 6 != 0).alias("enabled"))
+    every = table(spark, sf_dir, "supplier")
+    if TENANT.get() is not None:
+        every = every.where(F.col("s_nationkey") % 5 == TENANT.get())
+    return every.select(F.col("s_suppkey").alias("feed_id"), F.col("s_name").alias("feed_name"), (F.col("s_nationkey") % 5).alias("tenant_id"), (F.col("s_suppkey") % 6 != 0).alias("enabled"))
 
 
 def jobs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -108,5 +130,11 @@ jobs AS (SELECT event_id AS job_id, user_id AS item_id, ts AS created_at, CASE e
 """
 
 
+def scoped_sql(sql: str, tenant: int) -> str:
+    """A query's SQL over the views of one tenant."""
+    mine = f"s_nationkey % 5 = {tenant}"
+    return sql.replace("END AS release_group FROM lineitem)", f"END AS release_group FROM lineitem WHERE l_suppkey IN (SELECT s_suppkey FROM supplier WHERE {mine}))").replace("AS enabled FROM supplier)", f"AS enabled FROM supplier WHERE {mine})")
+
+
 def oracle(body: str, more: str = "") -> str:
     return f"WITH {DOMAIN_SQL}{more} {body}"

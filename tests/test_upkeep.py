@@ -93,3 +93,28 @@ def test_derived_rows(spark, tmp_path):
     store = one.store(2)
     store.add(spark.createDataFrame([(9, "half", 4, "x", False)], store.schema), 1)
     assert state() == [(9, "I", 1)] and ran(of("2"), (9, "j")) == [(9, "changed")] and state() == [(9, "J", 1)]
+
+
+def test_scope_reaches_the_scans_and_ends(spark, sf):
+    from reelgrid.plans import serving, tenants
+    from reelgrid.sources import tables
+
+    mine = {r.feed_id for r in tables.feeds(spark, sf).where("tenant_id = 2").collect()}
+    with tables.scope(2):
+        assert {r.feed_id for r in tables.feeds(spark, sf).collect()} == mine and {r.feed_id for r in tables.items(spark, sf).select("feed_id").distinct().collect()} <= mine
+        with tables.scope(3):
+            assert not mine & {r.feed_id for r in tables.feeds(spark, sf).collect()}
+        assert tables.TENANT.get() == 2
+    with pytest.raises(ZeroDivisionError), tables.scope(1):
+        raise ZeroDivisionError
+    assert tables.TENANT.get() is None
+    # What was built inside stays the tenant's when it runs outside; every tenant's reads add up to all.
+    one = [tenants.of_tenant(serving.items_status, t)(spark, sf) for t in range(5)]
+    assert sum(r.n for q in one for r in q.collect()) == sum(r.n for r in serving.items_status(spark, sf).collect())
+    assert serving.items_status.__name__ in tenants.READS[serving]
+
+
+def test_names_of_queries_are_their_own():
+    from reelgrid.plans import registry
+
+    assert len(registry.queries()) == sum(len(m.QUERIES) for m in registry.MODULES)
