@@ -170,6 +170,33 @@ def parser_titles(spark, d):
     return with_titles(spark, d).select("media_id", "info.canonical", F.array_join("info.candidates", "|").alias("candidates"), F.array_join("info.search", "|").alias("search"), F.col("info.primary").alias("first_search"))
 
 
+#: Titles of brackets, CJK names and broadcasters. {n} is a native name of three signs, {t} a Latin one.
+LAYOUTS = [
+    "[动漫][TV][Grp][{n}][{t}][01-12 fin][1080p]", "{n} 第二季 第3-5集 2160p WEB-DL", "{n} 第十二集 1080p", "[综艺]{t} S06E04 2026 2160p WEB-DL H265 AAC-DD[{n} 第六季 正片 第02期上 嘉宾来了 | {n} 旅行季 *平台*][1.58 GB][国语 | 中字 | 官方]",
+    "[TV Shows/综艺]HunanTV {t} 2026 20260612 HDTV 1080i H264-BB[湖南卫视 {n}2026 20260612][8.26 GB][anonymous]", "[剧集]{t} S01 1080p WEB-DL-EE[{t} Lunghi [第一季] / {t}: Coast | 2022][24.27 GB][完结]",
+    "[电影][香港][{n}][{t} 1969 1080p BluRay x265 DTS-HD-WiKi][{t} | 类型： 动作 | 导演: 甲 / 乙][9.34 GiB][]", "[电视剧 (TV Series)]CCTV-8 {t} 2026 S01E14-E15 1080i HDTV-AA[中央电视台电视剧频道 {n} 第14-15集【源码｜高码率】]", "[纪录片]{t} 1080p WEB-DL x264-GG[{n} 全8集][转自GG组][如有侵权请联系删除]",
+]
+STEMS = "甲乙丙丁戊己庚辛壬癸"
+WIDE_CASE = lambda values: "CASE p_partkey % 9 " + " ".join(f"WHEN {i} THEN {v}" for i, v in enumerate(values)) + " END"
+WIDE_SQL = f"""SELECT p_partkey AS media_id, {WIDE_CASE(["t", "n", "n", "t", "t", "t", "t", "t", "t"])} AS title, CASE p_partkey % 9 WHEN 6 THEN 'MOVIE' ELSE 'TV_SERIES' END AS media_type, {WIDE_CASE(["NULL", "NULL", "NULL", "2026", "2026", "2022", "1969", "2026", "NULL"])} AS year,
+{WIDE_CASE(["NULL", "2", "1", "6", "NULL", "1", "NULL", "1", "NULL"])} AS season, {WIDE_CASE(["1", "3", "12", "4", "NULL", "NULL", "NULL", "14", "NULL"])} AS episode, {WIDE_CASE(["12", "5", "NULL", "NULL", "NULL", "NULL", "NULL", "15", "NULL"])} AS episode_end,
+{WIDE_CASE(["n", "n", "n", "n", "n || '2026'", "t", "n", "n", "n"])} AS first_search FROM (SELECT *, substr('{STEMS}', p_partkey % 10 + 1, 1) || substr('{STEMS}', p_partkey // 10 % 10 + 1, 1) || substr('{STEMS}', p_partkey // 100 % 10 + 1, 1) AS n, upper(p_name[1]) || substr(p_name, 2) AS t FROM part)"""
+
+
+@query(WIDE_SQL)
+def parser_wide_layouts(spark, d):
+    """Releases named in brackets and native scripts, with broadcasters, sections, nested seasons and cast lists around the titles."""
+    k = F.col("p_partkey")
+    sign = lambda c: F.substring(F.lit(STEMS), (c % 10 + 1).cast("int"), F.lit(1))
+    native = F.concat(sign(k), sign(F.floor(k / 10)), sign(F.floor(k / 100)))
+    latin = F.concat(F.upper(F.substring("p_name", 1, 1)), F.substring("p_name", F.lit(2), F.length("p_name")))
+    layout = F.element_at(F.array(*(F.lit(x) for x in LAYOUTS)), (k % 9 + 1).cast("int"))
+    raw = F.replace(F.replace(layout, F.lit("{n}"), native), F.lit("{t}"), latin)
+    titles = table(spark, d, "part").select(k.alias("media_id"), raw.alias("raw_title")).repartition(spark.sparkContext.defaultParallelism)
+    done = release.parse(titles, "raw_title", 2027).withColumn("info", release.title_info("head", "raw_title", "title"))
+    return done.select("media_id", "title", "media_type", "year", "season", "episode", "episode_end", F.col("info.primary").alias("first_search"))
+
+
 SIGNATURE = """concat_ws('|', 'title=' || lower(title), 'mediaType=' || lower(media_type), 'year=' || coalesce(CAST(year AS VARCHAR), ''), 'season=' || coalesce(CAST(season AS VARCHAR), ''),
 'episode=' || coalesce(CAST(episode AS VARCHAR), ''), 'episodeEnd=' || coalesce(CAST(episode_end AS VARCHAR), ''), CASE WHEN special_number IS NOT NULL THEN 'tvUnitType=special|specialNumber=' || special_number END,
 'episodePart=' || lower(episode_part), 'variant=' || lower(variant),
