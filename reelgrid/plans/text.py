@@ -210,7 +210,7 @@ def release_signature(spark, d):
 
 @query("""SELECT p_partkey AS media_id, CASE WHEN p_partkey % 3 = 0 THEN 'INFO_HASH' WHEN p_partkey % 3 = 1 THEN 'RELEASE_SIGNATURE' ELSE 'LINK_HASH' END AS key_type,
 sha256(CASE WHEN p_partkey % 3 = 0 THEN md5(p_name) WHEN p_partkey % 3 = 1 THEN 'title=' || p_name ELSE 'http://x/' || p_partkey END) AS key_hash,
-'sha256:' || sha256('download-job-v1' || chr(1) || 'source' || chr(1) || 'item:' || p_partkey || chr(1) || 'downloader:' || (p_partkey % 3) || CASE WHEN p_partkey % 2 = 0 THEN chr(1) || 'subscription:' || (p_partkey % 11) ELSE '' END) AS job_key FROM part""")
+'sha256:' || sha256('download-job-v1' || chr(0) || 'source' || chr(0) || 'item:' || p_partkey || chr(0) || 'downloader:' || (p_partkey % 3) || CASE WHEN p_partkey % 2 = 0 THEN chr(0) || 'subscription:' || (p_partkey % 11) ELSE '' END) AS job_key FROM part""")
 def dedupe_key(spark, d):
     """The first of info hash, signature and link there is, hashed; and the key of a download job."""
     k = F.col("p_partkey")
@@ -218,7 +218,7 @@ def dedupe_key(spark, d):
         F.when(k % 3 == 0, F.struct(F.lit("INFO_HASH").alias("t"), F.md5("p_name").alias("v"))), F.when(k % 3 == 1, F.struct(F.lit("RELEASE_SIGNATURE").alias("t"), F.concat(F.lit("title="), "p_name").alias("v"))),
         F.struct(F.lit("LINK_HASH").alias("t"), F.concat(F.lit("http://x/"), k.cast("string")).alias("v")),
     )
-    job = F.concat_ws("\x01", F.lit("download-job-v1"), F.lit("source"), F.concat(F.lit("item:"), k.cast("string")), F.concat(F.lit("downloader:"), (k % 3).cast("string")), F.when(k % 2 == 0, F.concat(F.lit("subscription:"), (k % 11).cast("string"))))
+    job = F.concat_ws("\x00", F.lit("download-job-v1"), F.lit("source"), F.concat(F.lit("item:"), k.cast("string")), F.concat(F.lit("downloader:"), (k % 3).cast("string")), F.when(k % 2 == 0, F.concat(F.lit("subscription:"), (k % 11).cast("string"))))
     return table(spark, d, "part").select(k.alias("media_id"), kinds.t.alias("key_type"), F.sha2(kinds.v, 256).alias("key_hash"), F.concat(F.lit("sha256:"), F.sha2(job, 256)).alias("job_key"))
 
 
