@@ -205,3 +205,37 @@ def test_items_of_one_batch_that_share_a_hash(spark):
     got = sorted((r.item_id, r.title, r.outcome) for r in ingested(stored, frame, ["title"]).collect())
     assert got == [("new:1:S:a", "new", "created"), ("new:1:S:e", "y", "created"), ("new:1:S:f", "z", "created"), ("new:2:S:d", "x", "created")]
     assert upserted(stored, frame, ["title"]).count() == 6  # a key each
+
+
+def test_dispatch(spark, tmp_path):
+    """Claims before sends, retries of a tick, lost ticks, limits of attempts and of a tick."""
+    from reelgrid.streaming import dispatch
+
+    home, sent = str(tmp_path), []
+
+    def send(claimed, bad=()):
+        ids = sorted(r.job_id for r in claimed.collect())
+        sent.append(ids)
+        return spark.createDataFrame([(i, "at https://x/?token=abc123 no" if i in bad else None) for i in ids], "job_id long, error string")
+
+    state = lambda n: {r.job_id: (r.status, r.attempts) for r in dispatch.jobs_of(spark, home).read(n).collect()}
+    jobs = spark.createDataFrame([(1, 10, 5), (2, 20, 1), (3, 30, 3), (3, 31, 9), (None, 1, 1)], "job_id long, item_id long, changed_at long")
+    dispatch.queued(spark, home, jobs, 0)
+    dispatch.queued(spark, home, jobs.where("job_id = 1"), 1)
+    assert state(2) == {1: ("QUEUED", 0), 2: ("QUEUED", 0), 3: ("QUEUED", 0)}
+    first = lambda: dispatch.ticked(spark, home, 2, 100, lambda c: send(c, bad=[2]), most=2).collect()
+    assert sorted((r.job_id, r.status) for r in first()) == [(2, "FAILED"), (3, "SENT")]
+    assert sorted((r.job_id, r.status) for r in first()) == [(2, "FAILED"), (3, "SENT")] and sent == [[2, 3], [2, 3]]  # a retry is the same tick
+    assert state(4) == {1: ("QUEUED", 0), 2: ("FAILED", 1), 3: ("SENT", 1)}
+    assert "abc123" not in dispatch.jobs_of(spark, home).read(4).where("job_id = 2").first().error
+
+    def stops(claimed):
+        raise RuntimeError("stopped")
+
+    with pytest.raises(RuntimeError):
+        dispatch.ticked(spark, home, 4, 200, stops)
+    assert state(6) == {1: ("SENDING", 1), 2: ("SENDING", 2), 3: ("SENT", 1)}
+    assert dispatch.ticked(spark, home, 6, 300, send, lease=600).collect() == [] and sent[-1] == []  # they may still be on their way
+    assert sorted((r.job_id, r.status) for r in dispatch.ticked(spark, home, 8, 900, send, tries=2).collect()) == [(1, "SENT"), (2, "FAILED")]
+    assert state(10) == {1: ("SENT", 2), 2: ("FAILED", 2), 3: ("SENT", 1)}
+    assert dispatch.ticked(spark, home, 10, 999, lambda c: c.select("job_id", F.lit(None).cast("string").alias("error")).where("false"), tries=3).collect()[0].error == "no answer"
