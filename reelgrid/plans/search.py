@@ -5,10 +5,10 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from reelgrid.functions import release
-from reelgrid.operators import matching, pages, patterns, substrings
+from reelgrid.operators import catalogue, matching, pages, patterns, substrings
 from reelgrid.operators.derived import Derived
 from reelgrid.plans.catalog import ALIASES, title_aliases
-from reelgrid.sources.tables import feeds, items, media, oracle, scratch_folder, table
+from reelgrid.sources.tables import feeds, items, matches, media, oracle, scratch_folder, table
 
 QUERIES, ORACLES = {}, {}
 
@@ -108,3 +108,24 @@ def reparse_stale(spark, d):
     stored = Derived(spark, scratch_folder(spark, "parsed"), PARSED, "media_id", lambda rows: release.parse(rows, "raw_title").select(*names), "parser-1", names[1:])
     runs = [stored.refresh(rows).select(F.lit(i + 1).alias("run"), "media_id", "outcome") for i, rows in enumerate((first, second, second))]
     return runs[0].unionByName(runs[1]).unionByName(runs[2])
+
+
+RELEASES = PARSED.replace("media_id", "release_id")
+
+
+@query(oracle("""SELECT release_id, status, CASE WHEN NOT invalidated AND release_id % 7 = 0 AND release_id % 2 = 0 THEN 'parsed_release_changed' END AS stale_reason, invalidated OR release_id % 7 = 0 AND release_id % 2 = 0 AS is_stale FROM matches"""))
+def reparse_matches(spark, d):
+    """Matches after a reparse: the active ones of releases that parse otherwise now are invalidated; of the raw titles that changed,
+    half parse as before. A rebuild beside the stored parses then changes nothing that is read."""
+    k = F.col("o_orderkey")
+    raw = lambda quality, gap: table(spark, d, "orders").select(k.alias("release_id"), F.concat(F.lit("Order K"), k.cast("string"), gap, F.lit("1999 "), quality, F.lit(" WEB-DL x264-GRP")).alias("raw_title"))
+    names = [c.split()[0] for c in RELEASES.split(", ")]
+    stored = Derived(spark, scratch_folder(spark, "releases"), RELEASES, "release_id", lambda rows: release.parse(rows, "raw_title").select(*names), "parser-1", names[1:])
+    stored.refresh(raw(F.lit("1080p"), F.lit(" ")))
+    now = raw(F.when((k % 7 == 0) & (k % 2 == 0), "720p").otherwise("1080p"), F.when((k % 7 == 0) & (k % 2 == 1), "_").otherwise(" "))
+    changed = stored.refresh(now).where("outcome = 'changed'")
+    stored.rebuild(now)
+    same = stored.read().select("release_id").join(changed, "release_id")  # what was swapped in holds all of them
+    m = matches(spark, d).select("release_id", "status", F.when(F.col("invalidated"), F.col("updated_at")).alias("invalidated_at"), F.lit(None).cast("string").alias("stale_reason"))
+    at = F.lit("2024-01-01 00:00:00").cast(m.schema["invalidated_at"].dataType)
+    return catalogue.invalidated(m, same, "release_id", at, "parsed_release_changed").select("release_id", "status", "stale_reason", F.col("invalidated_at").isNotNull().alias("is_stale"))
