@@ -99,7 +99,7 @@ def acquired(entries: DataFrame, settled: float | None = None) -> DataFrame:
 
 
 #: Parts of the stored items by feed; a batch reads only those of its feeds.
-BUCKETS = 64
+BUCKETS = 16
 #: What makes a stored item changed: the parsed attributes, the list of search titles in its order.
 COMPARED = [
     "title", "search_titles", "year", "media_type", "tv_unit_type", "season", "episode", "episode_end", "special_number", "episode_part",
@@ -159,7 +159,9 @@ def refreshed(batch: DataFrame, n: int, home: str, interval: int = 300, claims:
     """
     spark = batch.sparkSession
     store = stores(spark, home)
-    raw = once(source.normalised(batch.where("feed_id IS NOT NULL"), ["feed_id", "seen_at"]).select("*"), f"{home}/step/raw")
+    # Parsing costs more than moving a row: a batch that came in few files is dealt out first.
+    dealt = batch.where("feed_id IS NOT NULL").repartition(int(spark.conf.get("spark.sql.shuffle.partitions")))
+    raw = once(source.normalised(dealt, ["feed_id", "seen_at"]), f"{home}/step/raw")
     incoming = once(keyed(release.parse(raw.where("skip_reason IS NULL"), "raw_title")), f"{home}/step/parsed")
     buckets = store["items"].buckets_of(raw)  # of all three tables, which have the same key
     for s in store.values():
