@@ -157,9 +157,12 @@ def attempts(queries: DataFrame) -> DataFrame:
 
 def in_turn(queries: DataFrame, answers: DataFrame, most: int) -> DataFrame:
     """What the service's answers(query, kind, year, position, ...) hold for each query: all hits, up to `most`, of the first attempt that
-    has any, with its number. Only a query's own attempts meet its answers; no later one is looked at."""
+    has any, with its number. Only a query's own attempts meet its answers; no later one is looked at.
+
+    Both sides are rows multiplied by explode, of which Spark's estimate knows nothing: without the hints it would send them
+    through the driver as broadcasts."""
     key = ["query", "kind"]
     tried = attempts(queries).withColumnRenamed("year", "_year")
-    met = answers.join(tried, key).where(F.col("year").eqNullSafe(F.col("_year"))).drop("_year")
+    met = answers.join(tried.hint("merge"), key).where(F.col("year").eqNullSafe(F.col("_year"))).drop("_year")
     best = met.groupBy("query").agg(F.min("attempt").alias("_first"))
-    return top_per_key(met.join(best, "query").where("attempt = _first").drop("_first"), ["query"], [F.asc("position")], most)
+    return top_per_key(met.join(best.hint("merge"), "query").where("attempt = _first").drop("_first"), ["query"], [F.asc("position")], most)

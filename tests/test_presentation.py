@@ -83,3 +83,9 @@ def test_presented_without_metadata(spark):
     none = spark.createDataFrame([], "media_id long, provider string, provider_source string, provider_id string, selected boolean, place int, title string, original_title string, year int, overview string, poster string, backdrop string, rating double, rating_scale int, rating_votes long, rating_type string, fetched_at long")
     got = {r.media_id: (r.title, r.media_type, r.year, r.has_cover, r.rating) for r in presentation.presented(titles, none, "x").collect()}
     assert got == {1: ("Raw", "UNKNOWN", 1999, False, None), 2: ("Unknown", "MOVIE", None, False, None)}
+
+
+def test_answers_stay_off_the_driver(spark):
+    asked = spark.createDataFrame([("a", "MOVIE", 2001)], "query string, media_type string, year int")
+    answers = spark.createDataFrame([("a", "movie", 2001, 1)], "query string, kind string, year int, position int")
+    assert "BroadcastExchange" not in ptgen.in_turn(asked, answers, 2)._jdf.queryExecution().executedPlan().toString()
