@@ -255,7 +255,7 @@ def superseded_in_cycles(spark, d):
     to = F.when(m % 10 > 0, m - 1).when(back == 1, m + 1).when(back == 2, m + 2).when(back == 3, m + 4)
     links = media(spark, d).select("media_id", to.alias("superseded_by"))
     kept_ends, all_ends = ends(links, "media_id", "superseded_by").withColumnRenamed("target", "ended"), ends(links, "media_id", "superseded_by", "least")
-    return media(spark, d).where("media_id % 10 > 0").select("media_id").join(kept_ends, "media_id", "left").join(all_ends, "media_id", "left").select("media_id", "ended", "target")
+    return media(spark, d).where("media_id % 10 > 0").select("media_id").join(kept_ends.hint("merge"), "media_id", "left").join(all_ends.hint("merge"), "media_id", "left").select("media_id", "ended", "target")
 
 
 @query(oracle("""SELECT a AS media_id, min(b) AS survivor FROM reach GROUP BY 1""", """,

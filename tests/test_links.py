@@ -86,3 +86,13 @@ def test_parts_within_lists(spark):
     parts = spark.createDataFrame([("p", ["a", "b"]), ("q", ["a", "b"]), ("r", ["zz"]), ("s", ["c"])], "name string, part array<string>")
     got = similar.containing(rows, "t", parts, "part").select("id", "name").collect()
     assert sorted(tuple(x) for x in got) == [(1, "p"), (1, "q"), (1, "s"), (4, "p"), (4, "q")]
+
+
+def test_chains_stay_off_the_driver(spark, monkeypatch):
+    plans = []
+    written = links.kept
+    monkeypatch.setattr(links, "kept", lambda df, name: plans.append(df._jdf.queryExecution().executedPlan().toString()) or written(df, name))
+    rows = spark.createDataFrame([(1, 2), (2, 3), (3, 1), (4, 5), (5, 6)], "a long, b long")
+    assert sorted(tuple(r) for r in links.ends(rows, "a", "b", "least").collect()) == [(2, 1), (3, 1), (4, 6), (5, 6)]
+    links.connected(rows, "a", "b").collect()
+    assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
