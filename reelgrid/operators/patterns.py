@@ -16,12 +16,14 @@ import re._constants as sre
 import re._parser as parser
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
 LEAST_LITERAL, MOST_BYTES = 3, 32 << 20
+#: Rules of one pattern that a row carries at most.
+MOST_LISTED = 1024
 ASCII_LOWER = {i: i + 32 for i in range(65, 91)}
 #: Escapes that both parsers read alike; patterns with others, or with inline flags, are not taken apart.
 COMMON_ESCAPES = re.compile(r"\\[^wWdDsSbB.\\/+*?()\[\]{}|^$ _-]")
@@ -124,13 +126,22 @@ def by_automata(texts: DataFrame, of: dict, group: str, text: str, kind: str, ru
 def matching_pairs(texts: DataFrame, rules: DataFrame, group: str, text: str, rule: str, pattern: str, columns: list[str]) -> DataFrame:
     """columns of texts and the rule of each pair of one group whose pattern is found in the text, regardless of case (A-Z).
 
-    columns identify a text's row. Null texts and null patterns match nothing; an empty pattern matches every text.
+    columns identify a text's row. Null texts and null patterns match nothing; an empty pattern matches every text. Equal texts and
+    equal patterns of a group are judged once; a text's row then meets lists of the rules that have the pattern.
     """
-    known = rules.where(F.col(pattern).isNotNull()).select(group, rule, F.col(pattern).alias("_pattern")).withColumn("_literals", required_literals("_pattern"))
-    literals = known.where("_literals IS NOT NULL").select(group, rule, F.explode("_literals").alias("literal"))
-    there = texts.where(F.col(group).isNotNull() & F.col(text).isNotNull())
-    named = hits(there, literals, group, text, rule, list(dict.fromkeys([*columns, group, text])))
-    named = named.join(known.select(group, rule, "_pattern"), [group, rule])
-    apart = there.select(*dict.fromkeys([*columns, group, text])).join(known.where("_literals IS NULL").select(group, rule, "_pattern"), group)
-    names = [*dict.fromkeys([*columns, group, text]), rule, "_pattern"]
-    return named.select(*names).unionByName(apart.select(*names)).where(F.regexp_like(F.col(text), F.concat(F.lit("(?i)"), "_pattern"))).select(*columns, rule)
+    known = rules.where(F.col(group).isNotNull() & F.col(pattern).isNotNull()).select(group, rule, F.col(pattern).alias("_pattern"))
+    patterns = known.select(group, "_pattern").distinct().withColumn("_literals", required_literals("_pattern"))
+    literals = patterns.where("_literals IS NOT NULL").select(group, "_pattern", F.explode("_literals").alias("literal"))
+    there = texts.where(F.col(group).isNotNull() & F.col(text).isNotNull()).select(*dict.fromkeys([*columns, group, text]))
+    once = there.select(group, text).distinct()
+    named = hits(once, literals, group, text, "_pattern", [group, text])
+    apart = once.join(patterns.where("_literals IS NULL").select(group, "_pattern"), group)
+    judged = named.unionByName(apart.select(*named.columns)).where(F.regexp_like(F.col(text), F.concat(F.lit("(?i)"), "_pattern")))
+    # What follows is as many rows as there are pairs, which no estimate of Spark's knows: no side of it may be broadcast.
+    of_text = judged.join(there.hint("merge"), [group, text]).select(*dict.fromkeys([*columns, group]), "_pattern")
+    parts = int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    lists = known.withColumn("_list", F.floor(F.row_number().over(Window.partitionBy(group, "_pattern").orderBy(rule)) / MOST_LISTED)).groupBy(group, "_pattern", "_list").agg(F.collect_list(rule).alias("_rules"))
+    # Few patterns may have most of the rows: these are dealt over all tasks, each of which has the lists.
+    dealt = of_text.withColumn("_part", F.pmod(F.xxhash64(*columns), F.lit(parts)))
+    each = lists.withColumn("_part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1)).cast("array<bigint>")))
+    return dealt.join(each.hint("merge"), [group, "_pattern", "_part"]).select(*columns, F.explode("_rules").alias(rule))

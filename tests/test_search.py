@@ -62,3 +62,16 @@ def test_pairs_by_literals(spark, monkeypatch, most):
     got = patterns.matching_pairs(spark.createDataFrame(texts, "id long, tenant int, text string"), spark.createDataFrame(rules, "rule int, tenant int, pattern string"), "tenant", "text", "rule", "pattern", ["id"]).collect()
     want = {(i, r) for i, g, t in texts for r, h, p in rules if g is not None and g == h and t is not None and p is not None and (re.search(p.replace("\\p{Lu}", "[A-Z]"), t, re.I | re.A))}
     assert sorted((x.id, x.rule) for x in got) == sorted(want)
+
+
+def test_equal_patterns_and_texts_are_judged_once(spark, monkeypatch):
+    """A hundred rules of one pattern and fifty equal texts are one pair to judge and five thousand rows."""
+    met, hits = [], patterns.hits
+    monkeypatch.setattr(patterns, "hits", lambda texts, literals, *more: met.append((texts.count(), literals.count())) or hits(texts, literals, *more))
+    monkeypatch.setattr(patterns, "MOST_LISTED", 30)
+    rules = spark.range(100).selectExpr("id AS rule", "0 AS tenant", "'r.ng|widget' AS pattern")
+    texts = spark.range(50).selectExpr("id", "0 AS tenant", "'red widget' AS text")
+    got = patterns.matching_pairs(texts, rules, "tenant", "text", "rule", "pattern", ["id"])
+    assert got.distinct().count() == got.count() == 5000
+    # "r.ng" has no literal of useful length, so the pattern meets the one text without the automata.
+    assert met == [(1, 0)]
