@@ -41,16 +41,32 @@ def fold(entries: DataFrame, key: list[str], order: list[Column], feed: str, res
 
 
 def fold_in_ranges(entries: DataFrame, key: list[str], order: list[str], feed: str, resolution: str, rank: str, cross_seed: str, upgrade: str, ranges: int | None = None) -> DataFrame:
-    """fold() for units of any size: the same result, in tasks that hold a range of a unit's entries at most.
+    """fold() for units of any size: the same result, in tasks that hold about a task's share of the entries at most.
 
-    What a run of entries does to the held quality is a maximum, which composes: entries are sorted into ranges, each range has
-    its greatest counted quality, a unit's ranges (a row each) give what is held before each of them, and within a range the
-    running maximum goes on from there. Whether a feed or a unit is new is told by its least place, an aggregate.
-
-    order: columns, all ascending, that tell a unit's entries apart; entries with equal ones are taken as one place.
+    Units of more than a share (fewer than `ranges`) are folded in ranges; the others are dealt by hash and sorted once.
+    order: columns, all ascending, that tell a unit's entries apart.
     """
     spark = entries.sparkSession
     ranges = ranges or int(spark.conf.get("spark.sql.shuffle.partitions"))
+    of_unit = kept(entries.groupBy(*key).agg(F.count("*").alias("_n")), "units")
+    share = (of_unit.agg(F.sum("_n")).first()[0] or 0) / ranges
+    large = kept(of_unit.where(F.col("_n") > share).select(*(F.col(k).alias(f"_{k}_") for k in key)), "large-units")
+    same = _all([F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in key])
+    small = entries.join(F.broadcast(large), same, "left_anti").repartition(ranges, *key)
+    folded = fold(small, key, [F.asc(c) for c in order], feed, resolution, rank, cross_seed, upgrade)
+    if large.isEmpty():
+        return folded
+    return folded.unionByName(_folded_ranges(entries.join(F.broadcast(large), same, "left_semi"), key, order, feed, resolution, rank, cross_seed, upgrade, ranges))
+
+
+def _folded_ranges(entries: DataFrame, key: list[str], order: list[str], feed: str, resolution: str, rank: str, cross_seed: str, upgrade: str, ranges: int) -> DataFrame:
+    """fold() of units that are large: no task holds more than a range of a unit's entries.
+
+    What a run of entries does to the held quality is a maximum, which composes: entries are sorted into ranges, each range has
+    its greatest counted quality, a unit's ranges (a row each) give what is held before each of them, and within a range the
+    running maximum goes on from there. Whether a feed or a unit is new is told by its least place, an aggregate; entries with equal
+    `order` are taken as one place.
+    """
     place = F.struct(*order)
     of_feed = entries.groupBy(*key, feed).agg(F.min(place).alias("_place"))
     of_unit = of_feed.groupBy(*key).agg(F.min("_place").alias("_place"))

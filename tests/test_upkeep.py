@@ -118,3 +118,10 @@ def test_names_of_queries_are_their_own():
     from reelgrid.plans import registry
 
     assert len(registry.queries()) == sum(len(m.QUERIES) for m in registry.MODULES)
+
+
+def test_units_of_a_task_s_share_are_sorted_once(spark):
+    """None is large: the entries are dealt once, and no ranges are written."""
+    rows = entries(spark, 400, [f"k{i}" for i in range(40)])
+    plan = acquisition.fold_in_ranges(rows, ["key"], ["at", "id"], "feed", "resolution", "rank", "cross_seed", "upgrade", ranges=4)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
