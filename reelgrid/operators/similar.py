@@ -80,10 +80,15 @@ def pairs(df: DataFrame, key: str, tokens: str, least: int) -> DataFrame:
 
 
 def containing(df: DataFrame, tokens: str, parts: DataFrame, part: str) -> DataFrame:
-    """Rows of df and of parts where the token list holds the part as a run: joined on the part's rarest token."""
-    often = df.select(F.explode(F.array_distinct(tokens)).alias("token")).groupBy("token").agg(F.count("*").alias("often"))
+    """Rows of df and of parts where the token list holds the part as a run: joined on the part's rarest token.
+
+    Equal lists and equal parts meet once; their rows are joined to what was found, which no estimate of Spark's knows the size of.
+    """
+    lists = kept(df.select(tokens).distinct(), "lists")
+    probe = lists.select(tokens, F.explode(F.array_distinct(tokens)).alias("token"))
+    often = probe.groupBy("token").agg(F.count("*").alias("often"))
     each = parts.select(F.col(part).alias("_part")).distinct().select("_part", F.explode(F.array_distinct("_part")).alias("token")).join(often, "token")
     rarest = each.groupBy("_part").agg(F.min(F.struct("often", "token")).alias("r")).select("_part", F.col("r.token").alias("token"))
-    probe: Column = F.explode(F.array_distinct(tokens)).alias("token")
-    met = df.select("*", probe).join(parts.join(rarest, F.col(part) == F.col("_part")), "token")
-    return met.where(contains_window(F.col(tokens), F.col(part))).drop("token", "_part")
+    found = probe.join(rarest.hint("merge"), "token").where(contains_window(F.col(tokens), F.col("_part"))).select(tokens, "_part")
+    rows = found.join(df.hint("merge"), tokens)
+    return rows.join(parts.hint("merge"), F.col("_part") == F.col(part)).select(*df.columns, *parts.columns)

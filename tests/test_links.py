@@ -96,3 +96,13 @@ def test_chains_stay_off_the_driver(spark, monkeypatch):
     assert sorted(tuple(r) for r in links.ends(rows, "a", "b", "least").collect()) == [(2, 1), (3, 1), (4, 6), (5, 6)]
     links.connected(rows, "a", "b").collect()
     assert len(plans) > 5 and not any("BroadcastExchange" in p for p in plans)
+
+
+def test_equal_lists_meet_a_part_once(spark, monkeypatch):
+    """Thirty equal rows and twenty equal parts: one list is looked through, six hundred rows come of it."""
+    met, written = [], similar.kept
+    monkeypatch.setattr(similar, "kept", lambda df, name: met.append(df.count()) or written(df, name))
+    rows = spark.range(30).selectExpr("id", "split('a red ring', ' ') AS x")
+    parts = spark.range(20).selectExpr("id AS other", "split('red ring', ' ') AS y")
+    got = similar.containing(rows, "x", parts, "y")
+    assert got.distinct().count() == got.count() == 600 and met == [1]
