@@ -5,7 +5,7 @@ import re
 import pytest
 from pyspark.sql import functions as F
 
-from reelgrid.operators import matching, patterns, substrings
+from reelgrid.operators import matching, patterns, similar, substrings
 
 TEXTS = [(1, "Small Thing"), (2, "Smaller Ring"), (3, "SMALLEST"), (3, "thing two"), (4, "ab"), (5, "a"), (6, ""), (7, None), (8, "Ünïcode Straße"), (9, "aaaaaa"), (10, "x" * 50_000 + "needle"), (1, "Small Thing")]
 WORDS = ["small", "mall", "MALL", "g t", "ing", "thing", "a", "AB", "aaa", "aaaaaa", "aaaaaaa", "needle", "eedl", "ïcod", "straße", "zz", "", None, "small thing", "lest", "st"]
@@ -75,3 +75,23 @@ def test_equal_patterns_and_texts_are_judged_once(spark, monkeypatch):
     assert got.distinct().count() == got.count() == 5000
     # "r.ng" has no literal of useful length, so the pattern meets the one text without the automata.
     assert met == [(1, 0)]
+
+
+def test_pairs_without_enough_tokens_are_not_sent(spark):
+    """Sketches tell apart most pairs that share a token, and lose none that are similar."""
+    rows = [(i, [f"common{i % 3}", *(f"own{i}-{k}" for k in range(9))]) for i in range(60)] + [(100 + i, [f"both{k}" for k in range(8)] + [f"x{i}a", f"x{i}b"]) for i in range(5)]
+    sets = spark.createDataFrame(rows, "class int, x array<string>")
+    # Rarity as if the common ones were rare, so that prefixes meet in them.
+    rare = sets.select("class", F.transform("x", lambda t: F.struct(F.when(t.startswith("common"), 1).otherwise(2).alias("n"), t.alias("token"))).alias("x")).withColumn("x", F.sort_array("x"))
+    found = {tuple(r) for r in similar.candidates(rare, "class", "x", 600_000).collect()}
+    assert found == {(100 + i, 100 + j) for i in range(5) for j in range(i + 1, 5)}
+    met = similar.sketch(F.col("x"))
+    assert sum(map(sum, (tuple(r) for r in sets.where("class = 0").select(*(F.bit_count(c) for c in met)).collect()))) in range(8, 11)
+
+
+def test_a_class_of_many_rows_is_several_tasks(spark, monkeypatch):
+    monkeypatch.setattr(similar, "SHARE", 4)
+    own = spark.createDataFrame([(i, 0) for i in range(21)] + [(100, 100), (101, 100)], "id int, class int")
+    found = spark.createDataFrame([(0, 0, 7), (100, 0, 8)], "short int, long int, of int")
+    got = sorted(map(tuple, similar.expanded(found, own).collect()))
+    assert got == sorted([(i, j, 7) for i in range(21) for j in range(i + 1, 21)] + [(i, j, 8) for i in range(21) for j in (100, 101)])
