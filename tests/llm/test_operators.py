@@ -550,3 +550,9 @@ def test_languages_stand_alone(spark):
     one = language.Model(["en"], {})
     assert one.predict(["a", None, "12"]) == (["en", "und", "und"], [1.0, 0.0, 0.0])
     assert near_dup.MATCHES <= near_dup.COORDINATES
+
+
+def test_ids_of_many_texts_at_once():
+    enc = bpe.encoder(packing.BPE_50K)
+    texts = ["", " a", "One two\n\n three  ", "日本 <|x|> 12345", "é" * 300]
+    assert [x.tolist() for x in enc.ids_of(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
