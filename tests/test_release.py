@@ -156,3 +156,12 @@ def test_cursors():
     for bad in ("%%", "e30", rank.encoded_cursor({"a": 1})):
         with pytest.raises(ValueError):
             rank.decoded_cursor(bad, ["a", "b"])
+
+
+def test_a_title_goes_through_few_python_processes(spark):
+    """Each function that waits for another's result is a process of its own in each task; there were six of them."""
+    raws = [("[剧集]CCTV-4K Some.Show.S01E02.Extra.Part2.2020.1080p.WEB-DL.x264-GRP",), ("TVB Jade Some Show S02E03 1080p HDTV x264-GRP",), (None,)]
+    done = release.parse(spark.createDataFrame(raws, "raw string"), "raw", 2027).withColumn("info", release.title_info("head", "raw", "title"))
+    assert done._jdf.queryExecution().executedPlan().toString().count("ArrowEvalPython") <= 3
+    got = {r["raw"]: (r["title"], r["season"], r["episode"], r["episode_part"], r["variant"]) for r in done.collect()}
+    assert got[raws[0][0]] == ("Some Show", 1, 2, "2", "EXTRA") and got[raws[1][0]] == ("Some Show", 2, 3, None, None)
