@@ -141,6 +141,50 @@ def test_settled_entries_leave_the_state():
     assert said([entry(1, 9, 2, 9), entry(2, 8, 1, 3)], 16_000) == [(9, "CROSS_SEED"), (8, "REJECT")]
 
 
+def test_entries_are_noted_in_blocks():
+    """A call of the state for a block of entries, not for each; late entries and timers work across blocks."""
+    from reelgrid.streaming import acquisition
+
+    class Value:
+        v = None
+        exists, get = (lambda self: self.v is not None), (lambda self: self.v)
+
+        def update(self, v):
+            self.v = v
+
+    class Map(dict):
+        containsKey, removeKey, iterator = dict.__contains__, dict.pop, (lambda self: iter(list(self.items())))
+
+        def updateValue(self, k, v):
+            calls.append(k)
+            self[k] = v
+
+    class Handle:
+        getValueState, getMapState, registerTimer = (lambda self, *_: Value()), (lambda self, *_: Map()), (lambda self, t: None)
+
+    class Now:
+        def __init__(self, t):
+            self.getCurrentProcessingTimeInMs = self.getExpiryTimeInMs = lambda: t
+
+    calls, r = [], random.Random(8)
+    one = acquisition.Acquisition("long", "long", "long", settled=10)
+    one.init(Handle())
+    rows = [{"at": i, "entry_id": i, "feed": r.randrange(3), "resolution": r.randrange(4), "rank": r.randrange(400), "cross_seed": r.random() < 0.5, "upgrade": True} for i in range(2500)]
+    early, late = [x for x in rows if x["at"] not in (1, 1500)], [rows[1500], rows[1], rows[7]]
+    said = {x.entry_id: x for x in one.handleInputRows((7,), iter(early), Now(0))}
+    assert len(calls) <= 3 + 3  # of blocks and of feeds
+    said |= {x.entry_id: x for x in one.handleInputRows((7,), iter(late), Now(5_000))}
+    held, feeds, want = None, set(), {}
+    for x in rows:
+        want[x["entry_id"]], held = acquisition.judged(held, feeds, (x["feed"], x["resolution"], x["rank"], x["cross_seed"], x["upgrade"]))
+        feeds.add(x["feed"])
+    assert {i: x.action for i, x in said.items()} == want and len(one.entries) == 2500
+    list(one.handleExpiredTimer((7,), Now(0), Now(10_000)))  # up to the second entry, which came late
+    assert len(one.entries) == 2499 and one.base.get() == (rows[0]["resolution"], rows[0]["rank"])
+    list(one.handleExpiredTimer((7,), Now(0), Now(15_000)))
+    assert len(one.entries) == 0 and one.base.get() == one.held.get() == held
+
+
 def test_windows_of_any_age(spark, tmp_path):
     pieces = [[(i, f"{day} 10:30:00", 1, "view", "{}")] for i, day in enumerate(["2024-06-10", "2024-01-11", "2023-08-14", "2023-03-17"])]
     home = landed(spark, tmp_path, pieces + [[(9, "2024-01-11 10:59:59", 1, "view", "{}"), (10, None, 1, "view", "{}")]])
