@@ -5,6 +5,7 @@ import math
 import random
 import re
 import struct
+import time
 import unicodedata
 import zlib
 from collections import Counter
@@ -556,3 +557,13 @@ def test_ids_of_many_texts_at_once():
     enc = bpe.encoder(packing.BPE_50K)
     texts = ["", " a", "One two\n\n three  ", "日本 <|x|> 12345", "é" * 300]
     assert [x.tolist() for x in enc.ids_of(texts)] == [enc.tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_a_batch_costs_its_own_units():
+    """Known units, of either generation, are looked up and not walked through."""
+    enc = bpe.Encoder(packing.BPE_50K)
+    enc.known, enc.older = {f"k{i}": b"" for i in range(300_000)}, {f"o{i}": b"" for i in range(1_000_000)} | {"again": b"kept"}
+    began = time.process_time()
+    for i in range(20):
+        assert enc.encode([f"new{i} again", None, f"new{i}"])[1:] == [b"", enc.ids(f"new{i}").tobytes()]
+    assert time.process_time() - began < 0.1 and enc.encode(["again"]) == [b"kept"]
