@@ -19,9 +19,16 @@ def lay_out(rows: DataFrame, path: str, scope: str, order: list[str], files: int
     files = files or int(spark.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("scope", F.col(scope)).repartitionByRange(files, "scope", *order).sortWithinPartitions("scope", *(F.desc(c) for c in order))
     dealt.write.partitionBy("scope").parquet(f"{path}/rows")
-    held = spark.read.parquet(f"{path}/rows").groupBy("scope", F.input_file_name().alias("file"))
-    place = F.struct(*order)
-    held.agg(F.count("*").alias("rows"), F.max(place).alias("first"), F.min(place).alias("last")).write.parquet(f"{path}/ranges")
+    ranges_of(spark.read.parquet(f"{path}/rows"), order).write.parquet(f"{path}/ranges")
+
+
+def ranges_of(rows: DataFrame, order: list[str]) -> DataFrame:
+    """(scope, file, rows, first, last) of rows whose files are sorted, so their first and last rows are told by their places in the
+    file; max() of a struct over all rows would sort them."""
+    held = rows.select("scope", F.struct(*order).alias("place"), F.input_file_name().alias("file"), F.col("_metadata.row_index").alias("_row"))
+    counts = held.groupBy("scope", "file").agg(F.count("*").alias("rows"))
+    ends = held.drop("scope").join(F.broadcast(counts), "file").where((F.col("_row") == 0) | (F.col("_row") == F.col("rows") - 1))  # counts: a row a file
+    return ends.groupBy("scope", "file", "rows").agg(F.max("place").alias("first"), F.min("place").alias("last"))
 
 
 def page(spark: SparkSession, path: str, scope: object, order: list[str], size: int, keep: Column | None = None, after: tuple | None = None) -> DataFrame:

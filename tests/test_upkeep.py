@@ -65,6 +65,21 @@ def test_pages_read_what_they_need(spark, tmp_path, monkeypatch):
     assert seen == want(2, lambda v: v < 50, None)
 
 
+def test_ranges_of_files_need_no_sort(spark, tmp_path):
+    r = random.Random(2)
+    rows = [(None if i % 9 == 0 else i % 3, r.choice([None, *range(50)]), i) for i in range(900)]
+    path = str(tmp_path / "p")
+    pages.lay_out(spark.createDataFrame(rows, "tenant int, at int, id int"), path, "tenant", ["at", "id"], 7)
+    stored = spark.read.parquet(f"{path}/rows")
+    place = F.struct("at", "id")
+    plain = stored.groupBy("scope", F.input_file_name().alias("file")).agg(F.count("*").alias("rows"), F.max(place).alias("first"), F.min(place).alias("last"))
+    found = pages.ranges_of(stored, ["at", "id"])
+    key = lambda x: str(x["file"])
+    assert sorted(spark.read.parquet(f"{path}/ranges").select(*plain.columns).collect(), key=key) == sorted(plain.collect(), key=key)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "Sort" not in plan[plan.index("BroadcastHashJoin") :]  # nothing below the join, where all rows are
+
+
 def test_derived_rows(spark, tmp_path):
     made = []
 
