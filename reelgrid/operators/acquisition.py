@@ -84,7 +84,7 @@ def _folded_ranges(entries: DataFrame, key: list[str], order: list[str], feed: s
     carry = carry.where("_carry IS NOT NULL")  # only units that go over a range's border have one
     four = three.join(carry, _all([F.col(k).eqNullSafe(F.col(f"_{k}_")) for k in key] + [F.col("_range") == F.col("_of")]), "left").drop("_of", *(f"_{k}_" for k in key))
     line = Window.partitionBy("_range", *key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    five = four.repartitionByRange(ranges, "_range").withColumn("_held", F.max("_counted").over(line))
+    five = four.repartitionById(ranges, F.col("_range")).withColumn("_held", F.max("_counted").over(line))
     five = five.withColumn("_held", F.greatest("_held", "_carry"))
     better = F.col("_counted").isNotNull() & (quality > F.col("_held"))
     action = F.when(F.col("_first"), "SATISFY").when(F.col("_seeds"), "CROSS_SEED").when(better, "UPGRADE").otherwise("REJECT")

@@ -32,6 +32,12 @@ def test_a_hot_unit_is_many_tasks(spark):
     assert sum(tasks) == 4000 and max(tasks) <= 2 * 4000 / 8
 
 
+def test_each_range_is_a_task(spark):
+    done = acquisition.fold_in_ranges(entries(spark, 4000, ["hot"]), ["key"], ["at", "id"], "feed", "resolution", "rank", "cross_seed", "upgrade", ranges=8)
+    tasks = [r["count"] for r in done.groupBy(F.spark_partition_id().alias("p")).count().collect()]
+    assert len(tasks) == 8 and sum(tasks) == 4000 and max(tasks) <= 1000
+
+
 def test_release_scores(spark):
     rows = [("better_quality", 1080, "Remux", "X"), ("better_quality", None, "blu-ray", None), ("better_quality", 720, "TELESYNC", "X"), ("preferred_release_group", 1080, "REMUX", " abc "), ("preferred_release_group", 2160, None, None), ("none", 2160, "REMUX", "ABC")]
     f = spark.createDataFrame(rows, "p string, r int, s string, g string")
