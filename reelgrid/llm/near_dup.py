@@ -18,6 +18,9 @@
    Rows sent grow with the lists' lengths; in a list of more than BLOCK rows they grow with the
    rows outside its largest component times its blocks.
 
+Tables that grow with the input are merged by hints where Spark would go by the sizes of files: sixty-four values in a list,
+or sets of long strings, take far more as rows than as a compressed column, and a broadcast of them passes through the driver.
+
 For sets of similarity 0.8 the chance that fewer than 36 of 64 coordinates agree, or that more than
 148 of the 1024 bits differ (102 are expected), is below 1e-5.
 
@@ -88,7 +91,7 @@ def postings(classes: DataFrame) -> DataFrame:
         F.posexplode("sig").alias("at", "value"),
     ).select("id", (F.shiftleft(F.col("at").cast("long"), 32) + F.col("value").cast("long") + F.lit(1 << 31)).alias("key"))
     often = every.groupBy("key").agg(F.count("*").alias("n")).where("n > 1")
-    shared = every.join(often, "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))  # N at most
+    shared = every.join(often.hint("merge"), "key").groupBy("id").agg(F.sort_array(F.collect_list(F.struct("n", "key"))).alias("own"))  # N at most
     shared = shared.where(F.size("own") >= MATCHES)
     rarest = F.slice("own", F.lit(1), F.greatest(F.lit(0), F.size("own") - (MATCHES - 1)))
     return shared.select("id", F.explode(rarest).alias("p")).select("p.key", "id", "p.n")
@@ -96,7 +99,7 @@ def postings(classes: DataFrame) -> DataFrame:
 
 def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     """Of pairs (a, b), those whose signatures agree in MATCHES coordinates."""
-    sig = classes.select("id", "sig")
+    sig = classes.select("id", "sig").hint("merge")
     both = pairs.join(sig.select(F.col("id").alias("a"), F.col("sig").alias("x")), "a").join(sig.select(F.col("id").alias("b"), F.col("sig").alias("y")), "b")
     same = F.aggregate(F.zip_with("x", "y", lambda x, y: (x == y).cast("int")), F.lit(0), lambda n, e: n + e)
     return both.where(same >= MATCHES).select("a", "b")
@@ -104,8 +107,9 @@ def agreeing(pairs: DataFrame, classes: DataFrame) -> DataFrame:
 
 def confirmed(pairs: DataFrame, sets: DataFrame, threshold: int) -> DataFrame:
     """Of pairs (a, b), those with 100 * intersection >= threshold * union of the full sets."""
-    with_b = pairs.join(sets.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
-    both = with_b.join(sets.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
+    own = sets.select("id", "shingles").hint("merge")
+    with_b = pairs.join(own.select(F.col("id").alias("b"), F.col("shingles").alias("y")), "b")
+    both = with_b.join(own.select(F.col("id").alias("a"), F.col("shingles").alias("x")), "a").select("a", "b", "x", "y")
 
     def run(batches):
         for batch in batches:
@@ -168,7 +172,7 @@ def placed(lists: DataFrame, label: DataFrame, sizes: DataFrame) -> DataFrame:
     no comparison among themselves, are dealt once over parts of that size; the rest, whose rows go to each of these, is
     compared with itself in parts of two blocks.
     """
-    known = lists.join(label, lists.id == label.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sizes, "id")
+    known = lists.join(label.hint("merge"), lists.id == label.node, "left").select("key", "id", F.coalesce("component", "id").alias("component")).join(sizes.hint("merge"), "id")
     of = known.groupBy("key", "component").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes"))
     blocks = lambda n, size: F.ceil(F.greatest(n / BLOCK, size / BLOCK_BYTES)).cast("int")
     mixed = of.groupBy("key").agg(F.count("*").alias("components"), F.max_by(F.struct("component", "n", "bytes"), F.struct("n", "component")).alias("top"), F.sum("n").alias("n"), F.sum("bytes").alias("bytes")).where("components > 1")
@@ -191,7 +195,7 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFra
     """
     sizes = sets.select("id", F.octet_length("shingles").alias("bytes"))
     merged = lists.groupBy("id").agg(F.sum(F.expr("shiftleft(1L, cast(shiftright(key, 32) as int))")).alias("merged"))  # a bit per coordinate
-    sketches = classes.select("id", "sig").join(merged, "id").join(sets.select("id", "bits"), "id")
+    sketches = classes.select("id", "sig").join(merged.hint("merge"), "id").join(sets.select("id", "bits").hint("merge"), "id")
     names = ["key", "part", "side", "whole", "id", "component", "merged", "sig", "bits"]
     rows = placed(lists, label, sizes).join(sketches, "id").select(*names)
     dealt = lambda df: df.repartition("key", "part").sortWithinPartitions("key", "part")
@@ -207,7 +211,7 @@ def across(lists: DataFrame, label: DataFrame, classes: DataFrame, sets: DataFra
                 yield from t.filter(pa.array(similar)).to_batches()
 
     some = dealt(rows).mapInArrow(met, rows.schema)
-    some = some.join(sets.select("id", "shingles"), "id").select(*names, "shingles")
+    some = some.join(sets.select("id", "shingles").hint("merge"), "id").select(*names, "shingles")
 
     def linked(batches):
         for t in grouped(batches, ["key", "part"]):
@@ -244,10 +248,10 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     classes = sigs.where("set_key is not null").groupBy("set_key").agg(F.min("doc_id").alias("least"), F.first("sig").alias("sig")).where("least is not null")
     classes = written(classes.withColumn("id", F.monotonically_increasing_id()), "classes")  # what is written counts, however often a task ran
     lists = written(postings(classes), "postings")
-    member = classes.select("set_key", "least", "id").join(lists.select("id").distinct(), "id", "left_semi")
+    member = classes.select("set_key", "least", "id").join(lists.select("id").distinct().hint("merge"), "id", "left_semi")
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    texts = texts.join(member.select(F.col("least").alias("doc_id")).distinct(), "doc_id", "left_semi")
-    sets = full_sets(texts, k).dropDuplicates(["set_key", "doc_id"]).join(member.withColumnRenamed("least", "doc_id"), ["set_key", "doc_id"])
+    texts = texts.join(member.select(F.col("least").alias("doc_id")).distinct().hint("merge"), "doc_id", "left_semi")
+    sets = full_sets(texts, k).dropDuplicates(["set_key", "doc_id"]).join(member.withColumnRenamed("least", "doc_id").hint("merge"), ["set_key", "doc_id"])
     sets = written(sets.select("id", "shingles", "bits"), "sets")
     heads = lists.groupBy("key").agg(F.min("id").alias("a"), F.count("*").alias("m")).where("m > 1")
     star = lists.join(heads, "key").where("id <> a").select("a", F.col("id").alias("b")).distinct()
@@ -255,7 +259,7 @@ def near_duplicates(docs: DataFrame, k: int = 5, threshold: int = 80) -> DataFra
     label = components(links)
     more = written(across(lists, label, classes, sets, threshold), "links")
     label = components(links.union(more))
-    linked = classes.select("set_key", "least", "id").join(label, F.col("id") == label.node, "left").select("set_key", "least", "component")
+    linked = classes.select("set_key", "least", "id").join(label.hint("merge"), F.col("id") == label.node, "left").select("set_key", "least", "component")
     ends = linked.where("component is not null").groupBy("component").agg(F.min("least").alias("first"))
     of_class = linked.join(ends, "component", "left").select("set_key", F.coalesce("first", "least").alias("class_component"))
     return (

@@ -12,6 +12,7 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from reelgrid.llm import bpe, language, line_dedup, near_dup, packing, quality, quality_rules, recurrent_lm, registry, suffixes, telephony
@@ -464,6 +465,15 @@ def test_suffix_dedup_of_repeated_ids(spark):
     assert {x, y, z[:0] + z, "short"} & left >= {x, y, "short"}
 
 
+def test_lists_are_not_broadcast(spark):
+    """Spark takes a list of 64 values for one value: what explodes from it must not pass through the driver, however small it looks."""
+    classes = spark.range(300).select("id", F.expr("transform(sequence(1, 64), i -> hash(id div 3, i))").alias("sig"))
+    links = spark.range(1, 300).selectExpr("id - 1 AS a", "id AS b")
+    for df in (near_dup.postings(classes), near_dup.agreeing(links, classes)):
+        assert df.count() > 0
+        assert "BroadcastExchange" not in df._jdf.queryExecution().executedPlan().toString()
+
+
 def test_near_duplicates_of_repeated_ids(spark):
     """Rows of one id with different texts: each is linked by its own text, whatever the order of the rows."""
     x, y = ([f"{c}{i}" for i in range(60)] for c in "xy")
