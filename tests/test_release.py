@@ -79,6 +79,13 @@ def test_titles_among_fields():
     assert not wrong
 
 
+def test_lists_sent_to_functions_are_not_null(spark):
+    """Of null lists Spark's Arrow writer walks through all before it, at each row of a batch."""
+    plan = release.parse(spark.createDataFrame([("Some.Show.S01E02.1080p.WEB-DL",), (None,)], "raw STRING"), "raw")._jdf.queryExecution().analyzed().toString()
+    for function in ("parts_marked(", "field_labels("):
+        assert plan.count(function + "coalesce(") == plan.count(function) > 0
+
+
 def test_field_labels():
     from reelgrid.functions.fields import brackets, label
 
