@@ -90,5 +90,7 @@ class Derived:
         for old in (build - 1, build + 1):  # one that nobody reads any more, and what a rebuild that stopped has left
             fs.delete(self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.home}/build={old}"), True)
         store = self.store(build + 1)
-        store.add(self._made(self._digested(inputs)).select(*store.schema.names), 0)
+        # Making a row costs more than moving it: inputs that come in few files are dealt out first.
+        dealt = self._digested(inputs).repartition(int(self.spark.conf.get("spark.sql.shuffle.partitions")), self.key)
+        store.add(self._made(dealt).select(*store.schema.names), 0)
         self._point(build + 1, 1)

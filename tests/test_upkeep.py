@@ -146,3 +146,11 @@ def test_units_of_a_task_s_share_are_sorted_once(spark):
     rows = entries(spark, 400, [f"k{i}" for i in range(40)])
     plan = acquisition.fold_in_ranges(rows, ["key"], ["at", "id"], "feed", "resolution", "rank", "cross_seed", "upgrade", ranges=4)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and "rangepartitioning" not in plan
+
+
+def test_a_rebuild_is_many_tasks(spark, tmp_path):
+    """Inputs of one file are made in more than one task."""
+    spark.range(100).coalesce(1).write.parquet(f"{tmp_path}/in")
+    stored = Derived(spark, f"{tmp_path}/home", "id long, part int", "id", lambda rows: rows.select("id", F.spark_partition_id().alias("part")), "1", ["part"])
+    stored.rebuild(spark.read.parquet(f"{tmp_path}/in"))
+    assert stored.read().agg(F.count("id"), F.count_distinct("part")).first() == (100, 4)
